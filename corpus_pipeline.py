@@ -6,23 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraledger.llm import exact_dedup, packing
+from terraledger.llm import exact_dedup, minhash, packing, substring, toxicity
 from terraledger.llm.queries import table, vocabulary
 from terraledger.llm.scratch import materialize
 
 
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model scores below 0.5; it learns from ``labels`` that may be learnt."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id stays."""
     return exact_dedup.dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links join, the one with the smallest doc_id stays."""
+    return minhash.dedup(docs)
+
+
+def spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the sentences that a repeated run other than its first covers."""
+    return substring.strip(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of sequences of at most 2048 tokens."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", nontoxic),
     ("exact dedup", exact),
+    ("minhash near-dedup", near),
+    ("substring dedup", spans),
     ("packing", pack),
 ]
 

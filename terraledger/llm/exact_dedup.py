@@ -4,7 +4,8 @@ Every text is cut into blocks of ``block`` bytes.  All blocks are sorted and
 each distinct one gets an integer name.  Adjacent names are then named as pairs,
 level by level, until each document has one name.  Names come from comparing
 whole blocks, so two documents of equal length share a name exactly when their
-texts are equal: there is no hash to collide.
+texts are equal.  Hashes only shorten the sort keys; a digest stands for a
+block (SHA-256) solely where two tasks' neighbouring rows are compared.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     raw = F.encode("_text", "UTF-8")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
     blocks = rows.select(*ROW, F.posexplode(cut).alias("_pos", "_block"))
-    level, path = ordered_positions(blocks, run=["_block"], tie=[*ROW, "_pos"], carry=[*ROW, "_pos"])
+    blocks = blocks.withColumn("_start", F.substring("_block", 1, F.lit(16))).withColumn("_hash", F.xxhash64("_block"))
+    level, path = ordered_positions(blocks, run=["_block"], lead=["_start", "_hash"], tie=[*ROW, "_pos"], carry=[*ROW, "_pos"])
     level = level.select(*ROW, "_pos", F.col("run_id").alias("_name"))
     most = rows.agg(F.max("_nb")).first()[0] or 0
     done, paths, k, span = [], [path], 0, block

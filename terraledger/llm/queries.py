@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraledger.llm import bpe, exact_dedup, packing, sharding
+from terraledger.llm import bpe, exact_dedup, minhash, packing, sharding, substring, toxicity
 
 #: Folder of the public vocabulary files.
 VOCABULARIES = os.environ.get("TERRALEDGER_VOCABULARIES", "/opt/tokenizers")
@@ -25,10 +25,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
+    "op5_sentence_spans": op5_sentence_spans,
+    "op8_toxicity": op8_toxicity,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_packing": op10_packing,
 }

@@ -10,6 +10,7 @@ latter have to be shuffled.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import pickle
 import tempfile
 import uuid
@@ -93,20 +94,28 @@ _EDGE = T.StructType([
 ])
 
 
-def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], carry: Sequence[str], weight: str | None = None) -> tuple[DataFrame, str]:
+def _edge_key(b: pa.RecordBatch, run: Sequence[str], row: int) -> bytes:
+    """A row's run values, as their SHA-256 digest where they are long: it goes to the driver."""
+    key = pickle.dumps([b.column(c)[row].as_py() for c in run])
+    return key if len(key) <= 64 else hashlib.sha256(key).digest()
+
+
+def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], carry: Sequence[str], weight: str | None = None, lead: Sequence[str] = ()) -> tuple[DataFrame, str]:
     """Number the rows of ``df`` in the order of ``run + tie``.
 
-    Returns (frame, path of its table).  The frame has ``carry`` and
+    ``lead`` are functions of the ``run`` values that sort before them: short
+    keys, so that neither the sampled range bounds nor the comparisons carry
+    long values.  Returns (frame, path of its table).  The frame has ``carry`` and
     ``pos`` (0-based global row number), ``run_id`` (dense number of the
     distinct ``run`` values), ``cum`` (sum of ``weight`` over earlier rows),
     ``run_pos`` and ``run_cum`` (``pos`` and ``cum`` of the run's first row).
 
-    The rows are range-partitioned on all of ``run + tie``, so a value that a
+    The rows are range-partitioned on ``lead`` (or ``run``) and ``tie``, so a value that a
     third of the rows hold still spreads over many tasks.  Each task numbers
     its own rows and adds one edge row; the driver sees only the edge rows,
     one a partition, and turns them into offsets.
     """
-    spark, keys = df.sparkSession, [*run, *tie]
+    spark, keys, ranges = df.sparkSession, [*lead, *run, *tie], [*(lead or run), *tie]
     cols = list(dict.fromkeys([*keys, *carry, *([weight] if weight else [])]))
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in carry] + _EDGE.fields)
     out_schema, n_carry = arrow_schema(schema), len(carry)
@@ -128,11 +137,11 @@ def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], car
                     a, z = x.slice(0, n - 1), x.slice(1)
                     same = pc.or_kleene(pc.equal(a, z), pc.and_(pc.is_null(a), pc.is_null(z)))
                     change[1:] |= ~pc.fill_null(same, False).to_numpy(zero_copy_only=False)
-            head = pickle.dumps([b.column(c)[0].as_py() for c in run])
+            head = _edge_key(b, run, 0)
             if last is None:
                 first, runs = head, -1
             change[0] = head != last
-            last = pickle.dumps([b.column(c)[n - 1].as_py() for c in run])
+            last = _edge_key(b, run, n - 1)
             w = np.zeros(n, dtype=np.int64) if weight is None else b.column(weight).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.arange(rows, rows + n)
             before = cum + np.cumsum(w) - w
@@ -148,7 +157,7 @@ def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], car
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, out_schema.field(i).type) for i in range(n_carry)] + [pa.array([pid], pa.int32())] + [pa.nulls(1, pa.int64())] * 5 + [pa.array([edge], pa.binary())], schema=out_schema)
 
-    ranged = df.select(*cols).repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys)
+    ranged = df.select(*cols).repartitionByRange(*[F.col(c) for c in ranges]).sortWithinPartitions(*keys)
     table, path = materialize(ranged.mapInArrow(number, schema))
     edges = sorted((r[0], pickle.loads(r[1])) for r in table.where("_edge is not null").select("_pid", "_edge").collect())
     offsets, row_off, run_off, cum_off, before, start = [], 0, 0, 0, None, (0, 0)
