@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraledger.llm import bpe, exact_dedup, minhash, packing, sharding, substring, toxicity
+from terraledger.llm import ann, bpe, exact_dedup, langid, minhash, packing, sharding, substring, toxicity, wordpiece
 
 #: Folder of the public vocabulary files.
 VOCABULARIES = os.environ.get("TERRALEDGER_VOCABULARIES", "/opt/tokenizers")
@@ -25,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,14 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(table(spark, sf_dir, "documents"))
 
 
+def op6_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,9 +63,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_hilbert_ann": op2_hilbert_ann,
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_sentence_spans": op5_sentence_spans,
+    "op6_wordpiece_counts": op6_wordpiece_counts,
+    "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_packing": op10_packing,
