@@ -11,12 +11,12 @@ nobody shares come first and count, so a class with fewer than T shared ones
 is out at once, and the most frequent T - 1 postings are never joined.
 
 *Skip*: within a posting list only members of different components meet.  Short
-lists are paired in full; in a long list every member first meets the most
-central one only.  Confirmed links are contracted, and lists that then hold one
-component are skipped.  For what is left, the shingles that a set shares with
-any other set bound its possible similarity; pairs that pass the bound and
-lie in different components are confirmed.  No pair above the threshold
-is given up to save work.
+lists are paired in full; in a long list every member first meets the hub, its
+most central one, only.  Confirmed links are contracted, and lists that then
+hold one component are skipped.  For what is left there is a bound: two sets
+share at most what both share with the hub, plus what either shares with
+anybody outside the hub.  Pairs that pass it and lie in different components
+are confirmed.  No pair above the threshold is given up to save work.
 
 Every link is confirmed on full sets of 64-bit shingle hashes.
 """
@@ -173,24 +173,34 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     a, b = short.select("key", F.col("cls").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("cls").alias("v"), F.col("n").alias("nv"))
     full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v")
     star = long.where((F.col("cls") != F.col("hub.cls")) & _alike("n", "hub.n")).select(F.least("cls", "hub.cls").alias("u"), F.greatest("cls", "hub.cls").alias("v"))
-    found, found_path = materialize(confirmed(full.unionAll(star).distinct(), sets))
+    met, met_path = materialize(compared(full.unionAll(star).distinct(), sets))
+    found = met.where(_linked("both")).select("u", "v")
     root = components(found)
-    rest = _rest(long.select("key", "cls", "n"), root, sets)
+    rest = _rest(long.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met)
     out, _ = materialize(found.unionAll(rest))
-    discard(spark, lists_path, sizes_path, sets_path, found_path)
+    discard(spark, lists_path, sizes_path, sets_path, met_path)
     return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def _linked(both: str):
+    return F.col(both) * 100 >= (F.col("nu") + F.col("nv") - F.col(both)) * PERCENT
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the sizes of both sets (nu, nv) and of their intersection (both)."""
     a = sets.select(F.col("cls").alias("u"), F.col("arr").alias("x"))
     b = sets.select(F.col("cls").alias("v"), F.col("arr").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.size("x") + F.size("y") - both) * PERCENT).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("both"))
+
 
+def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
+    """Links between components that still share a long posting list.
 
-def _rest(members: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that still share a long posting list."""
+    For x and y in a list with hub h, let a be the size of x & h, s the number
+    of x's shingles that any other set here holds, and e = s - a.  What x and
+    y share lies in h, where it is at most min(a) of the two, or outside, where
+    it is at most min(e).
+    """
     at = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     def mixed(m: DataFrame) -> DataFrame:
@@ -201,13 +211,23 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
     shingles = sets.join(at.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode("arr").alias("h"))
     common = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
     shared = shingles.join(common, "h").groupBy("cls").agg(F.count("*").alias("s"))
+    with_hub = met.select("u", "v", "both").withColumnRenamed("both", "a")
     can = at.join(shared, "cls").where(F.col("s") * 100 >= F.col("n") * PERCENT)
-    can, _ = materialize(mixed(can))
-    a = can.select("key", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"), F.col("root").alias("ru"))
-    b = can.select("key", F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"), F.col("root").alias("rv"))
-    most = F.least("su", "sv")
-    on = (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _alike("nu", "nv") & (most * 100 >= (F.col("nu") + F.col("nv") - most) * PERCENT)
-    return confirmed(a.join(b, on).select("u", "v").distinct(), sets)
+    can = can.withColumns({"u": F.least("cls", "hub"), "v": F.greatest("cls", "hub")}).join(with_hub, ["u", "v"], "left")
+    # the hub holds itself; a member that was too large or small to be compared with it has no better bound than its size
+    can = can.withColumn("a", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.col("a"))).select("key", "cls", "n", "root", "s", F.coalesce("a", F.least("n", "hub_n")).alias("a"), F.when(F.col("a").isNull(), F.col("s")).otherwise(F.col("s") - F.col("a")).alias("e"))
+    can = mixed(can)
+    keys = can.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most K - T + 1 of them
+    can, can_path = materialize(can.join(keys, "cls"))
+    side = lambda x: can.select("key", *[F.col(c).alias(f"{c[0]}{x}") for c in ("cls", "n", "root", "s", "a", "e")], F.col("keys").alias(f"k{x}"))
+    a, b = side("u"), side("v")
+    most = F.least(F.least("su", "sv"), F.least("au", "av") + F.least("eu", "ev"))
+    on = (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & (F.col("ru") != F.col("rv")) & _alike("nu", "nv") & (most * 100 >= (F.col("nu") + F.col("nv") - most) * PERCENT)
+    once = F.array_min(F.array_intersect("ku", "kv")) == a["key"]  # a pair counts in the first list that holds both
+    pairs = a.join(b, on & once).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    out, _ = materialize(compared(pairs, sets).where(_linked("both")).select("u", "v"))
+    discard(members.sparkSession, path, can_path)
+    return out
 
 
 def grouped(docs: DataFrame) -> DataFrame:
