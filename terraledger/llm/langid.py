@@ -79,7 +79,7 @@ class Model:
 
     def __post_init__(self):
         self.number = {g: i + LONGEST + 1 for i, g in enumerate(self.table)}
-        self.weights = np.array([*[u or [0.0] * len(self.langs) for u in self.unseen], *self.table.values()]).reshape(-1, len(self.langs))
+        self.weights = np.array([*[u or [0.0] * len(self.langs) for u in self.unseen], *self.table.values()]).reshape(-1, max(1, len(self.langs)))
         self.rows = np.zeros((0, len(self.langs)))
 
     def words(self, words: list[str]) -> np.ndarray:

@@ -225,9 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     picked, _ = materialize(picked)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text is not null")
     n = {t: min(size.get(t, 0), per_class) for t in (0, 1)}
+    share = (size.get(1, 0) + 1) / (size.get(0, 0) + size.get(1, 0) + 2)
+    flat = Model(chars, {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])  # what is known without examples of both classes
     if not n[0] or not n[1]:
-        share = (size.get(1, 0) + 1) / (size.get(0, 0) + size.get(1, 0) + 2)
-        return Model(chars, {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
+        return flat
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
@@ -259,6 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     sample = rows.mapInArrow(found, "toxic int, hits array<int>").collect()  # at most 2 * per_class rows
+    if len({r["toxic"] for r in sample}) < 2:
+        return flat
     counts_of = [(0, 0), *got.values()]
     x, y = [], []
     for toxic, hits in sample:  # each document is judged by features counted without it
