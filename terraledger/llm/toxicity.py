@@ -30,8 +30,8 @@ from terraledger.llm.scratch import materialize, slices
 
 #: Labelled documents of each class that fit the features; features kept.
 PER_CLASS, FEATURES = 5000, 20_000
-#: Documents that a feature must occur in, and by how much more often in toxic ones.
-SUPPORT, LIFT = 2, 4.0
+#: Toxic documents that a feature must occur in (at least two, and this share of the sample's), and by how much more often than in others.
+SUPPORT, LIFT = 0.0015, 4.0
 #: Beginnings of words that count as features, in characters.
 STEMS = (4, 5, 6)
 #: Longest token, and longest row of single letters, that is decoded as one lattice; longer ones are decoded in overlapping parts.
@@ -81,7 +81,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 class CharModel:
     """-log P(class | two classes before), smoothed."""
 
-    cost: np.ndarray = field(default_factory=lambda: np.full((32, 32, 32), math.log(32)))
+    cost: list = field(default_factory=lambda: np.full((32, 32, 32), math.log(32)).tolist())
 
     @staticmethod
     def of(rows: list) -> CharModel:
@@ -96,7 +96,7 @@ class CharModel:
         p1 = (one + 1) / (one.sum() + 32)
         p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
         p3 = (n + 20 * p2) / (n.sum(2, keepdims=True) + 20)
-        return CharModel(-np.log(p3))
+        return CharModel((-np.log(p3)).tolist())
 
 
 def _class(c: str) -> int:
@@ -110,7 +110,7 @@ def restore(token: str, model: CharModel) -> str:
         half = PART // 2
         parts = [restore(token[i : i + PART], model) for i in range(0, len(token) - half, half)]
         return max(parts, key=len)
-    cost = model.cost.tolist()
+    cost = model.cost
     beams: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     for c in token:
         nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
@@ -151,6 +151,15 @@ def readings(token: str, model: CharModel) -> list[str]:
     return [w for w in out if len(w) > 1]
 
 
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
+
+
+def drawn_out(text: str) -> bool:
+    """Whether a letter from a to z stands three times in a row."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return bool(((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] >= 97) & (b[2:] <= 122)).any())
+
+
 def features_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) >= n]]
 
@@ -171,27 +180,39 @@ class Model:
         self.names = list(self.weights)
         self.values = np.array([0.0, *self.weights.values()])
         self.number = {f: i + 1 for i, f in enumerate(self.names)}
+        self.heads = {f.rstrip("*")[:4] for f in self.names}
 
     def best(self, token: str) -> int:
         """Number of the strongest feature of a token, 0 if it has none."""
-        found = [self.number[f] for w in readings(token, self.chars) for f in features_of(w) if f in self.number]
+        plain = token.isalpha() and not _DRAWN.search(token)
+        words = [token] if plain and len(token) > 1 else readings(token, self.chars)
+        found = [self.number[f] for w in words for f in features_of(w) if f in self.number]
         return max(found, key=lambda i: (self.values[i], -i), default=0)
 
     def hits(self, text: str) -> set[int]:
-        """Numbers of the features in a text, one for each token."""
+        """Numbers of the features in a text, one for each token.
+
+        A plain word whose first letters begin no feature is passed over; only
+        the others are looked up, and remembered.
+        """
         low = text.lower()
         words = low.split()
-        get = self.cache.get
-        at = list(map(get, words))
-        if None in at:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            for w in {w for w, i in zip(words, at, strict=True) if i is None}:
-                self.cache[w] = self.best(w)
-            at = [self.cache[w] if w in self.cache else self.best(w) for w in words]
-        found = set(at)
-        for row in apart(low):
-            found.add(self.best(row.replace(" ", "")))
+        heads, cache = self.heads, self.cache
+        found = set()
+        odd = drawn_out(low)
+        for w in [w for w in set(words) if w[:4] in heads or not w.isalpha() or (odd and _DRAWN.search(w))]:
+            bare = w.rstrip(".,;:!?")
+            if bare[:4] not in heads and bare.isalpha() and not (odd and _DRAWN.search(bare)):
+                continue
+            i = cache.get(bare)
+            if i is None:
+                if len(cache) > 200_000:
+                    cache.clear()
+                i = cache[bare] = self.best(bare)
+            found.add(i)
+        if b"\1\1\1\1" in bytes([len(w) == 1 for w in words]):
+            for row in apart(low):
+                found.add(self.best(row.replace(" ", "")))
         found.discard(0)
         return found
 
@@ -246,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     counts = rows.mapInArrow(words, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     lift = (F.col("t") / n[1]) / ((F.col("c") + 0.5) / n[0])
-    best = counts.where((F.col("t") >= SUPPORT) & (lift >= LIFT)).orderBy(F.desc(F.col("t") * F.log(lift)), "f").limit(FEATURES).collect()
+    best = counts.where((F.col("t") >= max(2, round(SUPPORT * n[1]))) & (lift >= LIFT)).orderBy(F.desc(F.col("t") * F.log(lift)), "f").limit(FEATURES).collect()
     got = {r["f"]: (r["t"], r["c"]) for r in best}
 
     def weight(t: float, c: float) -> float:
