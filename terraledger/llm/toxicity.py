@@ -31,7 +31,7 @@ from terraledger.llm.scratch import materialize, slices
 #: Labelled documents of each class that fit the features; features kept.
 PER_CLASS, FEATURES = 5000, 20_000
 #: Toxic documents that a feature must occur in (at least two, and this share of the sample's), and by how much more often than in others.
-SUPPORT, LIFT = 0.0015, 4.0
+SUPPORT, LIFT = 0.01, 4.0
 #: Beginnings of words that count as features, in characters.
 STEMS = (4, 5, 6)
 #: Longest token, and longest row of single letters, that is decoded as one lattice; longer ones are decoded in overlapping parts.
