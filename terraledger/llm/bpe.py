@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import slices
+from terraledger.llm.scratch import held, slices
 
 NONE = np.int32(2**31 - 1)
 
@@ -164,7 +164,7 @@ def byte_letters() -> list[str]:
 class WordStore:
     """Ids of the words met so far, flat; forgets all when it holds ``most`` words."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 250_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -344,14 +344,9 @@ class ByteBpe:
         yield machine.decode(b"", True)
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def loaded(path: str) -> ByteBpe:
     """One coder a worker process, with its store of words."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    return held(f"bytes {path}", lambda: ByteBpe(path))
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, ids: bool = False) -> DataFrame:

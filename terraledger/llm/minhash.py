@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terraledger.llm.exact_dedup import ROW, drop_rows, row_key
 from terraledger.llm.graph import components
-from terraledger.llm.scratch import Sieve, discard, materialize, slices
+from terraledger.llm.scratch import Sieve, discard, held, materialize, slices
 
 #: Signature coordinates, least matches of a candidate pair, words in a shingle.
 K, T, WORDS = 64, 32, 5
@@ -56,24 +56,24 @@ _PLACE = _mixed(WORDS, 100) | np.uint64(1)
 _LENGTH = _mixed(WORDS + 1, 200)
 _A = (_mixed(K, 300) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (_mixed(K, 400) >> np.uint64(32)).astype(np.uint32)
-_SEEN: dict[bytes, int] = {}
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text end to end, and how many each text has."""
-    if len(_SEEN) > 600_000:
-        _SEEN.clear()
+    seen = held("word hashes", dict)
+    if len(seen) > 200_000:
+        seen.clear()
     words: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         w = t.encode("utf-8").lower().split()  # bytes.lower knows A-Z only; split: ASCII white space
         counts[i] = len(w)
         words += w
-    get = _SEEN.get
+    get = seen.get
     ids = list(map(get, words))
     if None in ids:
         for w in {w for w, i in zip(words, ids, strict=True) if i is None}:
-            _SEEN[w] = xxhash.xxh64_intdigest(w)
+            seen[w] = xxhash.xxh64_intdigest(w)
         ids = list(map(get, words))
     w = np.array(ids, dtype=np.uint64)
     ends = np.cumsum(counts)

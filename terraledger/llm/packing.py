@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraledger.llm.bpe import MergeList, WordStore, byte_letters
-from terraledger.llm.scratch import discard, materialize, slices
+from terraledger.llm.scratch import discard, held, materialize, slices
 
 #: Token ids that end a document, a window's width, and open windows in a task.
 END, WIDTH, WINDOWS = 1, 2048, 64
@@ -101,13 +101,9 @@ class WordBpe:
         return [flat[ends[j[0]] : ends[j[1]]] if isinstance(j, tuple) else j for j in jobs]
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    """One coder a worker process, with its store of words."""
+    return held(f"words {path}", lambda: WordBpe(path))
 
 
 class Windows:

@@ -10,6 +10,8 @@ latter have to be shuffled.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import pickle
 import tempfile
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +82,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             at = to
 
 
+_HELD: dict = {}
+
+
+def held(key: str, make):
+    """A worker process's store for one operator; asking for another's frees the one before."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraledger.llm.bpe import NONE, IntTable, byte_letters
-from terraledger.llm.scratch import slices
+from terraledger.llm.scratch import held, slices
 
 #: Runs of letters, digits and underscores; any other sign is a word.
 WORDS = re.compile(r"\w+|[^\w\s]")
@@ -117,7 +117,7 @@ class LongestMatch:
 class Counter:
     """Counts of texts, with a store of the words met."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.match, self.most, self.seen = LongestMatch(*pieces(path)), most, {}
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +139,6 @@ class Counter:
         return sums[ends] - sums[starts], ends - starts
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
     """A row a document: doc_id, n_tokens, n_words.
 
@@ -150,9 +147,7 @@ def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocab_path not in _LOADED:
-            _LOADED[vocab_path] = Counter(vocab_path)
-        counter = _LOADED[vocab_path]
+        counter = held(f"pieces {vocab_path}", lambda: Counter(vocab_path))
         for b in slices(batches):
             tokens, words = counter.many([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), pa.array(words)], names=["doc_id", "n_tokens", "n_words"])
