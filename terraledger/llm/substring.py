@@ -1,71 +1,98 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences (ends of sentences and line breaks); a sentence of
-more than ``LONG`` words is cut again after words chosen by their own hash, so a
-passage is cut alike wherever it stands.  Every run of consecutive sentences
-that starts anywhere and is the shortest with at least ``LEAST`` sentences and
-``MIN_WORDS`` words is hashed and joined over all documents.  Of equal runs the
-one at the smallest (doc_id, text hash, position) is the first; sentences that
-any other repeated run covers are removed.
+A text is cut after ends of sentences, line breaks and words chosen by their own
+hash; each cut depends on the word before it alone, so a passage is cut alike
+wherever it stands, and a splice inside a sentence moves no other cut.  Hashed
+and joined over all documents is every run of consecutive pieces that is the
+shortest with at least ``LEAST`` pieces and ``MIN_WORDS`` words from its start,
+or the shortest up to its end.  These cover every repeated run of that size or
+more: from each piece the shortest run either ends inside it, or the shortest
+run up to its end covers the piece.  Of equal runs the one at the smallest
+(doc_id, text hash, position) is the first; pieces that any other repeated run
+covers are removed.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as mark
+from xxhash import xxh3_128_digest
 
 from terraledger.llm.exact_dedup import ROW, row_key
-from terraledger.llm.scratch import Sieve, materialize, slices
+from terraledger.llm.scratch import Sieve, held, materialize, slices
 
-#: Sentences and words that a run has at least; words after which a sentence is cut again, and how often.
-LEAST, MIN_WORDS, LONG, EVERY = 2, 25, 24, 6
+#: Pieces and words that a run has at least; one in so many words is cut after.
+LEAST, MIN_WORDS, EVERY = 2, 25, 6
+#: Characters of distinct words that a worker remembers; bits of the sieve of repeated runs (16 MB, whatever the input).
+HELD_CHARS, RUN_BITS = 4_000_000, 27
 
-_END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
-def sentences(text: str) -> tuple[list[int], list[str], list[int]]:
-    """Ends of the text's sentences (they tile it), their words joined by blanks in lower case, and numbers of words."""
-    ends, norms, counts = [], [], []
-    at = 0
-    for stop in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if stop == at:
-            continue
-        w = text[at:stop].lower().split()
-        if len(w) <= LONG:
-            ends.append(stop), norms.append(" ".join(w)), counts.append(len(w))
-        else:
-            start = 0
-            spans = list(_WORD.finditer(text, at, stop))
-            for k, x in enumerate(w):
-                if k == len(w) - 1 or zlib.crc32(x.encode("utf-8", "surrogatepass")) % EVERY == 0:
-                    ends.append(spans[k].end() if k < len(w) - 1 else stop), norms.append(" ".join(w[start : k + 1])), counts.append(k + 1 - start)
-                    start = k + 1
-        at = stop
-    return ends, norms, counts
-
-
-def runs(norms: list[str], counts: list[int]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, 16-byte hash) of each run."""
-    marks = [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in norms]
-    out, j, words = [], 0, 0
-    n = len(norms)
-    for i in range(n):
-        while j < n and (j - i < LEAST or words < MIN_WORDS):
-            words += counts[j]
-            j += 1
-        if j - i < LEAST or words < MIN_WORDS:
-            break
-        out.append((i, j - 1, xxhash.xxh3_128_digest(b"".join(marks[i:j]))))
-        words -= counts[i]
-    return out
+class Words:
+    """Words with the blanks after them, in numbers: hash in lower case, length, and whether the text is cut after them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.chars, self.table = 0, np.zeros((1024, 3), dtype=np.int64)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if self.chars > HELD_CHARS:
+            self.clear()
+        at = list(map(self.ids.get, words))
+        if None in at:
+            new = list(dict.fromkeys([w for w, i in zip(words, at, strict=True) if i is None]))
+            n, cut, found = len(self.ids), [], []
+            for w in new:
+                bare = w.rstrip()
+                raw = bare.lower().encode("utf-8", "surrogatepass")
+                cut.append(crc32(raw) % EVERY == 0 or len(bare) < len(w) and (bare[-1] in ".!?" or "\n" in w))
+                found.append(mark(raw))
+            while n + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            to = slice(n, n + len(new))
+            self.table[to, 0], self.table[to, 1], self.table[to, 2] = np.array(found, dtype=np.uint64).view(np.int64), list(map(len, new)), cut
+            self.ids.update(zip(new, range(n, n + len(new)), strict=True))
+            self.chars += int(self.table[to, 1].sum())
+            at = list(map(self.ids.get, words))
+        return self.table[np.array(at, dtype=np.int64)]
+
+
+def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the text's pieces in characters (they tile it) and in words, and a hash of each word."""
+    words = _WORD.findall(text)
+    if not words:
+        n = int(len(text) > 0)
+        return np.full(n, len(text)), np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    rows = held("substring", Words).rows(words)
+    cut = rows[:, 2] > 0
+    cut[-1] = True
+    stops = np.cumsum(rows[:, 1])[cut]
+    return stops + (len(text) - stops[-1]), np.flatnonzero(cut) + 1, np.ascontiguousarray(rows[:, 0])
+
+
+def runs(stops: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """First pieces, last pieces and 16-byte hashes of the runs, from the pieces' ends in words and the words' hashes."""
+    at = np.concatenate([[0], stops])
+    n = len(stops)
+    i = np.arange(n)
+    j = np.maximum(np.searchsorted(at, at[:-1] + MIN_WORDS), i + LEAST)  # the shortest from each start
+    i, j = i[j <= n], j[j <= n]
+    ends = np.setdiff1d(np.arange(LEAST, n + 1), j, assume_unique=False)
+    begin = np.minimum(np.searchsorted(at, at[ends] - MIN_WORDS, side="right") - 1, ends - LEAST)  # the shortest up to each other end
+    i, j = np.concatenate([i, begin[begin >= 0]]), np.concatenate([j, ends[begin >= 0]])
+    raw = memoryview(marks.tobytes())
+    return i, j - 1, [xxh3_128_digest(raw[a:b]) for a, b in zip((at[i] * 8).tolist(), (at[j] * 8).tolist(), strict=True)]
 
 
 def _run_rows(rows: DataFrame) -> DataFrame:
@@ -74,20 +101,27 @@ def _run_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             found = [runs(*sentences(t)[1:]) for t in b.column("_text").to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            flat = [x for f in found for x in f]
-            marks = np.frombuffer(b"".join(x[2] for x in flat), dtype=np.int64).reshape(-1, 2)
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            i, j = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
+            marks = np.frombuffer(b"".join(x for f in found for x in f[2]), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(c).take(take) for c in ROW] + [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
+                [b.column(c).take(take) for c in ROW] + [pa.array(i), pa.array(j), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
                 names=[*ROW, "i", "j", "r1", "r2"])
 
     return rows.mapInArrow(run, schema)
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, _nb, cuts): for rows that lose sentences, the runs (i, j) that are not first."""
+    """(doc_id, _h, _nb, cuts): for rows that lose sentences, the runs (i, j) that are not first.
+
+    First only halves of the runs' hashes are dealt out and counted; the rows
+    that a sieve of those found twice or more lets through are then joined on
+    whole hashes.
+    """
     rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(*ROW, "_text")
     r = _run_rows(rows)
+    twice = r.groupBy("r1").agg(F.count("*").alias("n")).where("n > 1").select("r1")
+    r = Sieve(twice, ["r1"], RUN_BITS).mark(r, [F.col("r1")]).where("_maybe").drop("_maybe")
     place = F.struct("doc_id", "_h", "i")
     first = r.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(place).alias("lead")).where("n > 1").select("r1", "r2", "lead")
     later = r.join(first, ["r1", "r2"]).where(~place.eqNullSafe(F.col("lead")))
@@ -105,15 +139,15 @@ def _rewrite(docs: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFrame:
         for b in slices(batches, "_text"):
             clean, total, lost = [], [], []
             for t, c in zip(b.column("_text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                ends, norms, _ = sentences(t)
-                gone = np.zeros(len(norms) + 1, dtype=np.int64)
+                ends = sentences(t)[0].tolist()
+                gone = np.zeros(len(ends) + 1, dtype=np.int64)
                 for x in c or []:
                     gone[x["i"]] += 1
                     gone[x["j"] + 1] -= 1
                 out = np.cumsum(gone)[:-1] > 0
                 starts = [0, *ends[:-1]]
                 clean.append("".join(t[s:e] for s, e, o in zip(starts, ends, out, strict=True) if not o) if out.any() else t)
-                total.append(len(norms)), lost.append(int(out.sum()))
+                total.append(len(ends)), lost.append(int(out.sum()))
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(clean, pa.string()), pa.array(total, pa.int32()), pa.array(lost, pa.int32())], names=["_row", "_clean", "n_sentences", "n_removed"])
 
     return joined.mapInArrow(run, schema)
