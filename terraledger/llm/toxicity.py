@@ -155,9 +155,9 @@ _DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
 def drawn_out(text: str) -> bool:
-    """Whether a letter from a to z stands three times in a row."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return bool(((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] >= 97) & (b[2:] <= 122)).any())
+    """Whether a character that may be a letter stands three times in a row; ``_DRAWN`` says then which words have one."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return bool(((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] >= 97)).any())
 
 
 def features_of(word: str) -> list[str]:
