@@ -5,7 +5,8 @@
 2. Tokens that look disguised (signs or digits among letters, letters drawn
    out, letters set apart) become a lattice: every character may stand for
    itself, for a letter it imitates, or for nothing.  Viterbi decoding under
-   the character model restores the likeliest word.
+   the character model restores the likeliest word, and the likeliest words
+   where it may hold several.
 3. Words, restored words and their beginnings are looked up among features
    that labelled documents gave, and a logistic model of the features found
    gives the score.
@@ -34,8 +35,6 @@ PER_CLASS, FEATURES = 5000, 20_000
 SUPPORT, LIFT = 0.01, 4.0
 #: Beginnings of words that count as features, in characters.
 STEMS = (4, 5, 6)
-#: Longest token, and longest row of single letters, that is decoded as one lattice; longer ones are decoded in overlapping parts.
-PART = 32
 
 #: What a sign or digit may stand for.
 LOOKALIKES = {
@@ -104,39 +103,181 @@ def _class(c: str) -> int:
     return i + 1 if i >= 0 and len(c) == 1 else 27
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The likeliest word behind ``token`` (lower case): Viterbi over the lattice of its characters."""
-    if len(token) > PART:
-        half = PART // 2
-        parts = [restore(token[i : i + PART], model) for i in range(0, len(token) - half, half)]
-        return max(parts, key=len)
+def restore(token: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest word behind ``token`` (lower case): Viterbi over the lattice of its characters.
+
+    ``spaced`` lets words end before any character; then they come with blanks between them.
+    """
     cost = model.cost
-    beams: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    beams: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # letters read: (those before, the last)
     for c in token:
-        nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int, str], tuple[float, tuple]] = {}
         looks = LOOKALIKES.get(c, "")
+        reads = [(c, 0.0)] if c.isalpha() else [(x, COST_LOOK) for x in looks]
+        if spaced:
+            for (a, b, _), (s, word) in list(beams.items()):
+                key, total = (b, 0, ""), s + cost[a][b][0]
+                if b and (key not in beams or total < beams[key][0]):
+                    beams[key] = (total, (word, " "))
         for (a, b, last), (s, word) in beams.items():
-            reads = [(c, 0.0)] if c.isalpha() else [(x, COST_LOOK) for x in looks]
             for x, extra in reads:
                 k = _class(x)
                 key, total = (b, k, x), s + extra + cost[a][b][k]
                 if key not in nxt or total < nxt[key][0]:
-                    nxt[key] = (total, word + x)
+                    nxt[key] = (total, (word, x))
             if not c.isalpha():
                 extra = COST_UNREAD if looks else COST_SKIP
             elif c == last:
-                extra = COST_DRAWN if word[-2:] == c * 2 else COST_DOUBLE
+                extra = COST_DRAWN if word and word[1] == c and word[0] and word[0][1] == c else COST_DOUBLE
             else:
                 continue
             key, total = (a, b, last), s + extra
             if key not in nxt or total < nxt[key][0]:
                 nxt[key] = (total, word)
         beams = nxt
-    return min((s + cost[a][b][0], w) for (a, b, _), (s, w) in beams.items())[1] if beams else ""
+    if not beams:
+        return ""
+    word = min(((s + cost[a][b][0], w) for (a, b, _), (s, w) in beams.items()), key=lambda x: x[0])[1]
+    out = []
+    while word:
+        word, c = word
+        out.append(c)
+    return "".join(reversed(out))
 
 
 _EDGE = re.compile(r"^[^\w@$!|+(<€£¡*]+|[^\w@$]+$")
 _DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(<€£¡*._\-]+[^\W\d_]|^[\d@$!|+(<€£¡*]+[^\W\d_]|[^\W\d_][\d@$]+$|([^\W\d_])\1\1")
+_BETWEEN = re.compile(r"[._\-]+")
+_PLAIN = re.compile(r"[^\W\d_]+")
+#: Letters set apart by blanks, four at least.
+_APART = re.compile(r"(?<!\S)[^\W_](?: [^\W_](?!\S)){3,}")
+
+
+def readings(token: str, model: CharModel) -> list[str]:
+    """Words to look up for one lower-case token: its plain parts, and what it may disguise as one word."""
+    bare = _EDGE.sub("", token)
+    out = [bare] if bare.isalpha() else _PLAIN.findall(bare)
+    if _DISGUISED.search(bare):
+        out.append(restore(bare, model))
+    return [w for w in out if len(w) > 1]
+
+
+def several(token: str, model: CharModel, row: bool = False) -> list[str]:
+    """Words that a disguised token, or a joined row of single letters, may hold one after the other."""
+    bare = _EDGE.sub("", token)
+    if not row and not _DISGUISED.search(bare):
+        return []
+    parts = [p for p in _BETWEEN.split(bare) if len(p) > 1]
+    alone = [w for p in parts for w in readings(p, model)] if len(parts) > 1 else []
+    return [w for w in [*restore(bare, model, True).split(), *alone] if len(w) > 1]
+
+
+_DRAWN = 0.5, 0.2, 5.0, 2.5, 0.2
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _classes() -> np.ndarray:
+    """Bytes to classes: 0 white space, 1-26 letters, 27 other letters' bytes, 31 anything else."""
+    out = np.full(256, 31, dtype=np.int64)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    for i, c in enumerate(LETTERS):
+        out[ord(c)] = out[ord(c.upper())] = i + 1
+    out[128:] = 27
+    return out
+
+
+CLASSES = _classes()
+
+
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(code, n): counts of class trigrams over all texts; at most 32**3 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(32**3, dtype=np.int64)
+        for b in slices(batches):
+            raw = " ".join(t for t in b.column("text").to_pylist() if t)
+            c = CLASSES[np.frombuffer((" " + raw + " ").encode("utf-8"), dtype=np.uint8)]
+            if len(c) > 2:
+                total += np.bincount(c[:-2] * 1024 + c[1:-1] * 32 + c[2:], minlength=32**3)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
+
+    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class CharModel:
+    """-log P(class | two classes before), smoothed."""
+
+    cost: list = field(default_factory=lambda: np.full((32, 32, 32), math.log(32)).tolist())
+
+    @staticmethod
+    def of(rows: list) -> CharModel:
+        n = np.zeros(32**3)
+        for code, k in rows:
+            n[code] = k
+        n = n.reshape(32, 32, 32)
+        n[:, :, 28:] = 0  # signs are the channel's, not the language's
+        n[:, 28:, :] = 0
+        n[28:, :, :] = 0
+        two, one = n.sum(0), n.sum((0, 1))
+        p1 = (one + 1) / (one.sum() + 32)
+        p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
+        p3 = (n + 20 * p2) / (n.sum(2, keepdims=True) + 20)
+        return CharModel((-np.log(p3)).tolist())
+
+
+def _class(c: str) -> int:
+    i = LETTERS.find(c)
+    return i + 1 if i >= 0 and len(c) == 1 else 27
+
+
+def restore(token: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest word behind ``token`` (lower case): Viterbi over the lattice of its characters.
+
+    ``spaced`` lets words end before any character; then they come with blanks between them.
+    """
+    cost = model.cost
+    beams: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # letters read: (those before, the last)
+    for c in token:
+        nxt: dict[tuple[int, int, str], tuple[float, tuple]] = {}
+        looks = LOOKALIKES.get(c, "")
+        reads = [(c, 0.0)] if c.isalpha() else [(x, COST_LOOK) for x in looks]
+        if spaced:
+            for (a, b, _), (s, word) in list(beams.items()):
+                key, total = (b, 0, ""), s + cost[a][b][0]
+                if b and (key not in beams or total < beams[key][0]):
+                    beams[key] = (total, (word, " "))
+        for (a, b, last), (s, word) in beams.items():
+            for x, extra in reads:
+                k = _class(x)
+                key, total = (b, k, x), s + extra + cost[a][b][k]
+                if key not in nxt or total < nxt[key][0]:
+                    nxt[key] = (total, (word, x))
+            if not c.isalpha():
+                extra = COST_UNREAD if looks else COST_SKIP
+            elif c == last:
+                extra = COST_DRAWN if word and word[1] == c and word[0] and word[0][1] == c else COST_DOUBLE
+            else:
+                continue
+            key, total = (a, b, last), s + extra
+            if key not in nxt or total < nxt[key][0]:
+                nxt[key] = (total, word)
+        beams = nxt
+    if not beams:
+        return ""
+    word = min(((s + cost[a][b][0], w) for (a, b, _), (s, w) in beams.items()), key=lambda x: x[0])[1]
+    out = []
+    while word:
+        word, c = word
+        out.append(c)
+    return "".join(reversed(out))
+
+
+_EDGE = re.compile(r"^[^\w@$!|+(<€£¡*]+|[^\w@$]+$")
+_DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(<€£¡*._\-]+[^\W\d_]|^[\d@$!|+(<€£¡*]+[^\W\d_]|[^\W\d_][\d@$]+$|([^\W\d_])\1\1")
+_BETWEEN = re.compile(r"[._\-]+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 #: Letters set apart by blanks, four at least.
 _APART = re.compile(r"(?<!\S)[^\W_](?: [^\W_](?!\S)){3,}")
@@ -174,23 +315,41 @@ class Model:
     chars: CharModel
     weights: dict[str, float]
     coef: list[float]
-    cache: dict[str, int] = field(default_factory=dict, repr=False)
+    cache: dict[str, set[int]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.names = list(self.weights)
         self.values = np.array([0.0, *self.weights.values()])
         self.number = {f: i + 1 for i, f in enumerate(self.names)}
+        self.longest = max(map(len, self.names), default=0)
         self.heads = {f.rstrip("*")[:4] for f in self.names}
 
-    def best(self, token: str) -> int:
-        """Number of the strongest feature of a token, 0 if it has none."""
-        plain = token.isalpha() and not _DRAWN.search(token)
-        words = [token] if plain and len(token) > 1 else readings(token, self.chars)
+    def best(self, words: list[str]) -> int:
+        """Number of the strongest feature of a token's readings, 0 if they have none."""
         found = [self.number[f] for w in words for f in features_of(w) if f in self.number]
         return max(found, key=lambda i: (self.values[i], -i), default=0)
 
+    def of(self, token: str, row: bool = False) -> set[int]:
+        """Numbers of a token's features: one for the token as a word, one for each of several words in it."""
+        if token.isalpha() and not row and not _DRAWN.search(token):
+            return {self.best([token] if len(token) > 1 else [])}
+        words = readings(token, self.chars)
+        found = {self.best(words), *(self.best([w]) for w in several(token, self.chars, row))}
+        return found.union(*(self.within(w) for w in words)) if row or len(words) > 1 else found
+
+    def within(self, letters: str) -> set[int]:
+        """Numbers of the features that begin anywhere in a joined row or restored token, each after the end of the one before."""
+        found, at = set(), 0
+        while at < len(letters):
+            here = [letters[at:to] for to in range(at + STEMS[0], min(len(letters), at + self.longest) + 1)]
+            known = [(self.number[f], len(w)) for w in here for f in ((w, w + "*") if len(w) in STEMS else (w,)) if f in self.number]
+            best, size = max(known, key=lambda x: (self.values[x[0]], -x[0]), default=(0, 1))
+            found.add(best)
+            at += size
+        return found
+
     def hits(self, text: str) -> set[int]:
-        """Numbers of the features in a text, one for each token.
+        """Numbers of the features in a text, one for each token and each word decoded from it.
 
         A plain word whose first letters begin no feature is passed over; only
         the others are looked up, and remembered.
@@ -208,11 +367,11 @@ class Model:
             if i is None:
                 if len(cache) > 200_000:
                     cache.clear()
-                i = cache[bare] = self.best(bare)
-            found.add(i)
+                i = cache[bare] = self.of(bare)
+            found |= i
         if b"\1\1\1\1" in bytes([len(w) == 1 for w in words]):
             for row in apart(low):
-                found.add(self.best(row.replace(" ", "")))
+                found |= self.of(row.replace(" ", ""), True)
         found.discard(0)
         return found
 
@@ -257,9 +416,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             feats, takes = [], []
             for k, t in enumerate(b.column("text").to_pylist()):
                 low, mine = t.lower(), set()
-                for w in [*set(low.split()), *(x.replace(" ", "") for x in apart(low))]:
+                for w in [*set(low.split()), *apart(low)]:
                     if w not in known:
-                        known[w] = [f for r in readings(w, chars) for f in features_of(r)]
+                        row = w.replace(" ", "")
+                        known[w] = [f for r in readings(row, chars) + several(row, chars, row != w) for f in features_of(r)]
                     mine.update(known[w])
                 feats += mine
                 takes += [k] * len(mine)
