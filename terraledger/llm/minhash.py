@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles.  Equal sets form one
 class.  Each class is posted under its ``K`` (coordinate, minimum) pairs.  Two
 sets of Jaccard similarity 0.75 agree on 48 of 64 coordinates on average and on
-fewer than ``T`` = 32 with probability 2e-6, so pairs below T are left out.
+fewer than ``T`` = 32 with probability 4.6e-6, so pairs below T are left out.
 
 *Prefix*: with postings ordered by how many classes share them, two classes with
 T common postings have one among the first K - T + 1 of either.  Postings that
