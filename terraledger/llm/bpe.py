@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import held, slices
+from terraledger.llm.scratch import held, mapped, own, slices
 
 NONE = np.int32(2**31 - 1)
 
@@ -376,4 +376,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, ids: bool = False) -> Dat
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(own(docs, "doc_id", "text"), run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraledger.llm.bpe import MergeList, WordStore, byte_letters
-from terraledger.llm.scratch import discard, held, materialize, slices
+from terraledger.llm.scratch import held, mapped, materialize, own, slices
 
 #: Token ids that end a document, a window's width, and open windows in a task.
 END, WIDTH, WINDOWS = 1, 2048, 64
@@ -218,8 +218,8 @@ def pack(docs: DataFrame, vocab_path: str, width: int = WIDTH, windows: int = WI
             rows += _placed([x[:5] for x in w], min(x[5] for x in w), True, part)
         yield _batch(rows)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table, path = materialize(source.mapInArrow(first, PIECES))
+    source = own(docs, "doc_id", "text")
+    table, path = materialize(mapped(source, first, PIECES))
     done, paths, parts = [table.where("not left")], [], None
     left = table.where("left")
     while True:
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, vocab_path: str, width: int = WIDTH, windows: int = WI
         to = F.lit(0) if last else (F.col("part") / fan_in).cast("int")
         n = 1 if last else top // fan_in + 1
         dealt = left.withColumn("part", to).repartitionByRange(n, "part").sortWithinPartitions("part", "window", "offset")
-        table, path = materialize(dealt.mapInArrow(merge, PIECES))
+        table, path = materialize(mapped(dealt, merge, PIECES))
         paths.append(path)
         if last:
             done.append(table)

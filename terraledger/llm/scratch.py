@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, found by exact spelling even if others differ from them in case alone; ids as long integers."""
+    places = [f"_c{i}" for i in range(len(df.columns))]
+    cols = [F.col(places[df.columns.index(n)]) for n in names]
+    return df.toDF(*places).select(*[(c.cast("long") if n in ("doc_id", "vec_id") else c).alias(n) for c, n in zip(cols, names, strict=True)])
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -67,7 +74,21 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A frame of a few rows made on the driver alone; from a plain list Spark would start Python workers for it."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with record batches bounded by bytes, on both sides of the pipe, and not by rows alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each carries about ``most`` bytes of one column."""
     for b in batches:
         if not b.num_rows:
@@ -177,7 +198,7 @@ def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], car
                 [pa.nulls(1, out_schema.field(i).type) for i in range(n_carry)] + [pa.array([pid], pa.int32())] + [pa.nulls(1, pa.int64())] * 5 + [pa.array([edge], pa.binary())], schema=out_schema)
 
     ranged = df.select(*cols).repartitionByRange(*[F.col(c) for c in ranges]).sortWithinPartitions(*keys)
-    table, path = materialize(ranged.mapInArrow(number, schema))
+    table, path = materialize(mapped(ranged, number, schema))
     edges = sorted((r[0], pickle.loads(r[1])) for r in table.where("_edge is not null").select("_pid", "_edge").collect())
     offsets, row_off, run_off, cum_off, before, start = [], 0, 0, 0, None, (0, 0)
     for pid, (rows, runs, cum, first, last, rs) in edges:
@@ -187,7 +208,7 @@ def ordered_positions(df: DataFrame, run: Sequence[str], tie: Sequence[str], car
         offsets.append((pid, row_off, run_off, cum_off, head[0], head[1]))
         start = head if runs == 1 else (row_off + rs[0], cum_off + rs[1])
         row_off, run_off, cum_off, before = row_off + rows, run_off + runs, cum_off + cum, last
-    off = spark.createDataFrame(offsets, "_pid int, _ro long, _no long, _co long, _hr long, _hc long")
+    off = small_table(spark, offsets, "_pid int, _ro long, _no long, _co long, _hr long, _hc long")
     out = table.where("_edge is null").join(F.broadcast(off), "_pid").select(
         *carry, (F.col("_row") + F.col("_ro")).alias("pos"), (F.col("_run") + F.col("_no")).alias("run_id"), (F.col("_cum") + F.col("_co")).alias("cum"),
         F.when(F.col("_run") == 0, F.col("_hr")).otherwise(F.col("_rs_row") + F.col("_ro")).alias("run_pos"),
@@ -213,18 +234,33 @@ class Sieve:
         self.bits, self.columns = bits, list(columns)
         at = keys.select(self._slot([F.col(c) for c in columns]).alias("p"))
         marked = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits"))
-        self.table, self.path = materialize(marked)
+        ints = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring("_bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+        self.table, self.path = materialize(marked.select("_bucket", ints.alias("_bits")))
 
     def _slot(self, cols: Sequence[Column]) -> Column:
         return F.pmod(F.xxhash64(*cols), F.lit(1 << self.bits)).cast("long") + F.lit(1).cast("long")
 
     def mark(self, df: DataFrame, cols: Sequence[Column], name: str = "_maybe") -> DataFrame:
         """``df`` with a boolean: false where the key is surely absent."""
-        slot = self._slot(cols)
-        byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        hit = df.withColumn("_slot", slot).withColumn("_bucket", F.expr("bitmap_bucket_number(_slot)")).join(F.broadcast(self.table), "_bucket", "left")
-        bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_slot) % 8 as int))")
-        return hit.withColumn("_byte", byte).withColumn(name, F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_slot", "_bucket", "_bits", "_byte")
+        hit = df.withColumn("_slot", self._slot(cols)).withColumn("_bucket", F.expr("bitmap_bucket_number(_slot)")).join(F.broadcast(self.table), "_bucket", "left")
+        # a bucket is 1024 numbers of four bytes, the first byte highest
+        bit = F.expr("shiftright(_bits[cast(bitmap_bit_position(_slot) div 32 as int)], cast((3 - bitmap_bit_position(_slot) div 8 % 4) * 8 + bitmap_bit_position(_slot) % 8 as int)) & 1")
+        return hit.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_slot", "_bucket", "_bits")
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], count: str, parts: int = 1024) -> DataFrame:
+    """Inner join of ``rows`` with the one row that ``facts`` has for a key; both are read twice, so they should be tables.
+
+    ``count`` says how many rows a key has.  Keys with over 1/parts of all rows,
+    fewer than ``parts`` in number, are joined by broadcast where the rows are; the
+    others are shuffled.  So no task gets many times its share.
+    """
+    keys = list(keys)
+    bound = facts.agg((F.sum(count) / parts).alias("_bound"))
+    split = facts.crossJoin(F.broadcast(bound))  # one row
+    heavy = split.where(F.col(count) > F.col("_bound")).drop("_bound")
+    light = split.where(F.col(count) <= F.col("_bound")).drop("_bound")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
 
 
 def same(a: Column, b: Column) -> Column:

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import materialize, slices
+from terraledger.llm.scratch import mapped, materialize, own, slices
 
 #: Labelled documents of each class that fit the features; features kept.
 PER_CLASS, FEATURES = 5000, 20_000
 #: Toxic documents that a feature must occur in (at least two, and this share of the sample's), and by how much more often than in others.
 SUPPORT, LIFT = 0.01, 4.0
+#: Tokens whose features a task remembers.
+REMEMBERED = 100_000
 #: Beginnings of words that count as features, in characters.
 STEMS = (4, 5, 6)
 
@@ -73,7 +75,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return mapped(own(docs, "text"), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -172,126 +174,6 @@ def several(token: str, model: CharModel, row: bool = False) -> list[str]:
     return [w for w in [*restore(bare, model, True).split(), *alone] if len(w) > 1]
 
 
-_DRAWN = 0.5, 0.2, 5.0, 2.5, 0.2
-
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-
-def _classes() -> np.ndarray:
-    """Bytes to classes: 0 white space, 1-26 letters, 27 other letters' bytes, 31 anything else."""
-    out = np.full(256, 31, dtype=np.int64)
-    out[[9, 10, 11, 12, 13, 32]] = 0
-    for i, c in enumerate(LETTERS):
-        out[ord(c)] = out[ord(c.upper())] = i + 1
-    out[128:] = 27
-    return out
-
-
-CLASSES = _classes()
-
-
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): counts of class trigrams over all texts; at most 32**3 rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(32**3, dtype=np.int64)
-        for b in slices(batches):
-            raw = " ".join(t for t in b.column("text").to_pylist() if t)
-            c = CLASSES[np.frombuffer((" " + raw + " ").encode("utf-8"), dtype=np.uint8)]
-            if len(c) > 2:
-                total += np.bincount(c[:-2] * 1024 + c[1:-1] * 32 + c[2:], minlength=32**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
-
-    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class CharModel:
-    """-log P(class | two classes before), smoothed."""
-
-    cost: list = field(default_factory=lambda: np.full((32, 32, 32), math.log(32)).tolist())
-
-    @staticmethod
-    def of(rows: list) -> CharModel:
-        n = np.zeros(32**3)
-        for code, k in rows:
-            n[code] = k
-        n = n.reshape(32, 32, 32)
-        n[:, :, 28:] = 0  # signs are the channel's, not the language's
-        n[:, 28:, :] = 0
-        n[28:, :, :] = 0
-        two, one = n.sum(0), n.sum((0, 1))
-        p1 = (one + 1) / (one.sum() + 32)
-        p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
-        p3 = (n + 20 * p2) / (n.sum(2, keepdims=True) + 20)
-        return CharModel((-np.log(p3)).tolist())
-
-
-def _class(c: str) -> int:
-    i = LETTERS.find(c)
-    return i + 1 if i >= 0 and len(c) == 1 else 27
-
-
-def restore(token: str, model: CharModel, spaced: bool = False) -> str:
-    """The likeliest word behind ``token`` (lower case): Viterbi over the lattice of its characters.
-
-    ``spaced`` lets words end before any character; then they come with blanks between them.
-    """
-    cost = model.cost
-    beams: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # letters read: (those before, the last)
-    for c in token:
-        nxt: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-        looks = LOOKALIKES.get(c, "")
-        reads = [(c, 0.0)] if c.isalpha() else [(x, COST_LOOK) for x in looks]
-        if spaced:
-            for (a, b, _), (s, word) in list(beams.items()):
-                key, total = (b, 0, ""), s + cost[a][b][0]
-                if b and (key not in beams or total < beams[key][0]):
-                    beams[key] = (total, (word, " "))
-        for (a, b, last), (s, word) in beams.items():
-            for x, extra in reads:
-                k = _class(x)
-                key, total = (b, k, x), s + extra + cost[a][b][k]
-                if key not in nxt or total < nxt[key][0]:
-                    nxt[key] = (total, (word, x))
-            if not c.isalpha():
-                extra = COST_UNREAD if looks else COST_SKIP
-            elif c == last:
-                extra = COST_DRAWN if word and word[1] == c and word[0] and word[0][1] == c else COST_DOUBLE
-            else:
-                continue
-            key, total = (a, b, last), s + extra
-            if key not in nxt or total < nxt[key][0]:
-                nxt[key] = (total, word)
-        beams = nxt
-    if not beams:
-        return ""
-    word = min(((s + cost[a][b][0], w) for (a, b, _), (s, w) in beams.items()), key=lambda x: x[0])[1]
-    out = []
-    while word:
-        word, c = word
-        out.append(c)
-    return "".join(reversed(out))
-
-
-_EDGE = re.compile(r"^[^\w@$!|+(<€£¡*]+|[^\w@$]+$")
-_DISGUISED = re.compile(r"[^\W\d_][\d@$!|+(<€£¡*._\-]+[^\W\d_]|^[\d@$!|+(<€£¡*]+[^\W\d_]|[^\W\d_][\d@$]+$|([^\W\d_])\1\1")
-_BETWEEN = re.compile(r"[._\-]+")
-_PLAIN = re.compile(r"[^\W\d_]+")
-#: Letters set apart by blanks, four at least.
-_APART = re.compile(r"(?<!\S)[^\W_](?: [^\W_](?!\S)){3,}")
-
-
-def readings(token: str, model: CharModel) -> list[str]:
-    """Words to look up for one lower-case token: its plain parts, and what it may disguise."""
-    bare = _EDGE.sub("", token)
-    out = [bare] if bare.isalpha() else _PLAIN.findall(bare)
-    if _DISGUISED.search(bare):
-        out.append(restore(bare, model))
-    return [w for w in out if len(w) > 1]
-
-
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -315,7 +197,8 @@ class Model:
     chars: CharModel
     weights: dict[str, float]
     coef: list[float]
-    cache: dict[str, set[int]] = field(default_factory=dict, repr=False)
+    cache: dict[str, frozenset[int]] = field(default_factory=dict, repr=False)
+    kinds: dict[frozenset[int], frozenset[int]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.names = list(self.weights)
@@ -365,9 +248,10 @@ class Model:
                 continue
             i = cache.get(bare)
             if i is None:
-                if len(cache) > 200_000:
+                if len(cache) > REMEMBERED:
                     cache.clear()
-                i = cache[bare] = self.of(bare)
+                i = frozenset(self.of(bare))
+                i = cache[bare] = self.kinds.setdefault(i, i)  # most tokens have one of few sets
             found |= i
         if b"\1\1\1\1" in bytes([len(w) == 1 for w in words]):
             for row in apart(low):
@@ -395,15 +279,15 @@ def may_learn(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` documents of each class with a label that may be learnt."""
     chars = CharModel.of(trigram_counts(docs).collect())  # at most 32**3 rows
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = own.where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = own(labels, "doc_id", "toxic").withColumn("toxic", F.col("toxic").cast("int"))
+    marks = marks.where(F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    size = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = None
     for t in (0, 1):
-        part = own.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     picked, _ = materialize(picked)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+    rows = own(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
     n = {t: min(size.get(t, 0), per_class) for t in (0, 1)}
     share = (size.get(1, 0) + 1) / (size.get(0, 0) + size.get(1, 0) + 2)
     flat = Model(chars, {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])  # what is known without examples of both classes
@@ -425,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                 takes += [k] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.string()), b.column("toxic").take(pa.array(takes, pa.int32()))], names=["f", "toxic"])
 
-    counts = rows.mapInArrow(words, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = mapped(rows, words, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     lift = (F.col("t") / n[1]) / ((F.col("c") + 0.5) / n[0])
     best = counts.where((F.col("t") >= max(2, round(SUPPORT * n[1]))) & (lift >= LIFT)).orderBy(F.desc(F.col("t") * F.log(lift)), "f").limit(FEATURES).collect()
     got = {r["f"]: (r["t"], r["c"]) for r in best}
@@ -440,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             hits = [sorted(first.hits(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
-    sample = rows.mapInArrow(found, "toxic int, hits array<int>").collect()  # at most 2 * per_class rows
+    sample = mapped(rows, found, "toxic int, hits array<int>").collect()  # at most 2 * per_class rows
     if len({r["toxic"] for r in sample}) < 2:
         return flat
     counts_of = [(0, 0), *got.values()]
@@ -477,7 +361,7 @@ def _scored(rows: DataFrame, model: Model, keep: str) -> DataFrame:
             s = [model.score(model.hits(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(s, pa.float64())], names=[keep, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -489,20 +373,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score is the smoothed share of toxic ones.  Repeated rows are scored alike.
     """
     model = fit(docs, labels)
-    out = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "doc_id")
+    out = _scored(own(docs, "doc_id", "text"), model, "doc_id")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``at``, with all their columns as they are."""
+    """The rows of ``docs`` that score below ``at``, with all their columns as they are.
+
+    Null and empty texts score as a text without features does.  Other columns,
+    also ones called like this module's own, only pass through; an empty table
+    gives no rows.
+    """
     model = fit(docs, labels)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    schema = rows.select("_row").schema
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ok = [model.score(model.hits(t or "")) < at for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_row").filter(pa.array(ok, pa.bool_()))], names=["_row"])
+        for b in slices(batches, place):
+            ok = [model.score(model.hits(t or "")) < at for t in b.column(place).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, schema).select("_row.*")
+    return mapped(docs, run, docs.schema)

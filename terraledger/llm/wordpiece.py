@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraledger.llm.bpe import NONE, IntTable, byte_letters
-from terraledger.llm.scratch import held, slices
+from terraledger.llm.scratch import held, mapped, own, slices
 
 #: Runs of letters, digits and underscores; any other sign is a word.
 WORDS = re.compile(r"\w+|[^\w\s]")
@@ -152,4 +152,4 @@ def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
             tokens, words = counter.many([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens), pa.array(words)], names=["doc_id", "n_tokens", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
+    return mapped(own(docs, "doc_id", "text"), run, "doc_id long, n_tokens long, n_words long")
