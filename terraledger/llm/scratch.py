@@ -234,7 +234,9 @@ class Sieve:
         self.bits, self.columns = bits, list(columns)
         at = keys.select(self._slot([F.col(c) for c in columns]).alias("p"))
         marked = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits"))
-        ints = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.hex(F.substring("_bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+        four = lambda i: F.conv(F.hex(F.substring("_bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+        signed = lambda x: ((x + F.lit(1 << 31)).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")
+        ints = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: signed(four(i)))
         self.table, self.path = materialize(marked.select("_bucket", ints.alias("_bits")))
 
     def _slot(self, cols: Sequence[Column]) -> Column:

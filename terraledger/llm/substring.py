@@ -4,156 +4,198 @@ A text is cut after ends of sentences, line breaks and words chosen by their own
 hash; each cut depends on the word before it alone, so a passage is cut alike
 wherever it stands, and a splice inside a sentence moves no other cut.  Hashed
 and joined over all documents is every run of consecutive pieces that is the
-shortest with at least ``LEAST`` pieces and ``MIN_WORDS`` words from its start,
+shortest with at least ``least`` pieces and ``min_words`` words from its start,
 or the shortest up to its end.  These cover every repeated run of that size or
 more: from each piece the shortest run either ends inside it, or the shortest
 run up to its end covers the piece.  Of equal runs the one at the smallest
 (doc_id, text hash, position) is the first; pieces that any other repeated run
 covers are removed.
+
+Words are what ASCII white space parts; A-Z count as a-z.  All texts of a slice
+are cut and hashed together, as arrays over their bytes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest as mark
-from xxhash import xxh3_128_digest
 
 from terraledger.llm.exact_dedup import ROW, row_key
-from terraledger.llm.scratch import Sieve, held, materialize, slices
+from terraledger.llm.scratch import Sieve, discard, mapped, materialize, own, slices, with_facts
+from terraledger.llm.words import buffers, mixed, powers, words
 
 #: Pieces and words that a run has at least; one in so many words is cut after.
-LEAST, MIN_WORDS, EVERY = 2, 25, 6
-#: Characters of distinct words that a worker remembers; bits of the sieve of repeated runs (16 MB, whatever the input).
-HELD_CHARS, RUN_BITS = 4_000_000, 27
-
-_WORD = re.compile(r"\S+\s*")
-
-
-class Words:
-    """Words with the blanks after them, in numbers: hash in lower case, length, and whether the text is cut after them."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.chars, self.table = 0, np.zeros((1024, 3), dtype=np.int64)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        if self.chars > HELD_CHARS:
-            self.clear()
-        at = list(map(self.ids.get, words))
-        if None in at:
-            new = list(dict.fromkeys([w for w, i in zip(words, at, strict=True) if i is None]))
-            n, cut, found = len(self.ids), [], []
-            for w in new:
-                bare = w.rstrip()
-                raw = bare.lower().encode("utf-8", "surrogatepass")
-                cut.append(crc32(raw) % EVERY == 0 or len(bare) < len(w) and (bare[-1] in ".!?" or "\n" in w))
-                found.append(mark(raw))
-            while n + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            to = slice(n, n + len(new))
-            self.table[to, 0], self.table[to, 1], self.table[to, 2] = np.array(found, dtype=np.uint64).view(np.int64), list(map(len, new)), cut
-            self.ids.update(zip(new, range(n, n + len(new)), strict=True))
-            self.chars += int(self.table[to, 1].sum())
-            at = list(map(self.ids.get, words))
-        return self.table[np.array(at, dtype=np.int64)]
-
-
-def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of the text's pieces in characters (they tile it) and in words, and a hash of each word."""
-    words = _WORD.findall(text)
-    if not words:
-        n = int(len(text) > 0)
-        return np.full(n, len(text)), np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    rows = held("substring", Words).rows(words)
-    cut = rows[:, 2] > 0
-    cut[-1] = True
-    stops = np.cumsum(rows[:, 1])[cut]
-    return stops + (len(text) - stops[-1]), np.flatnonzero(cut) + 1, np.ascontiguousarray(rows[:, 0])
-
-
-def runs(stops: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """First pieces, last pieces and 16-byte hashes of the runs, from the pieces' ends in words and the words' hashes."""
-    at = np.concatenate([[0], stops])
-    n = len(stops)
-    i = np.arange(n)
-    j = np.maximum(np.searchsorted(at, at[:-1] + MIN_WORDS), i + LEAST)  # the shortest from each start
-    i, j = i[j <= n], j[j <= n]
-    ends = np.setdiff1d(np.arange(LEAST, n + 1), j, assume_unique=False)
-    begin = np.minimum(np.searchsorted(at, at[ends] - MIN_WORDS, side="right") - 1, ends - LEAST)  # the shortest up to each other end
-    i, j = np.concatenate([i, begin[begin >= 0]]), np.concatenate([j, ends[begin >= 0]])
-    raw = memoryview(marks.tobytes())
-    return i, j - 1, [xxh3_128_digest(raw[a:b]) for a, b in zip((at[i] * 8).tolist(), (at[j] * 8).tolist(), strict=True)]
-
-
-def _run_rows(rows: DataFrame) -> DataFrame:
+LEAST, MIN_WORDS, EVERY = 2, 25, 8
+#: Bits of the sieve of repeated runs: 16 MB, whatever the input.
+RUN_BITS = 27
+
+
+_STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+#: Odd factor of a word's place in its run, and its inverse modulo 2**64.
+_FACTOR = 0xD1342543DE82EF95
+_BACK = pow(_FACTOR, -1, 1 << 64)
+
+
+@dataclass
+class Pieces:
+    """Pieces of all texts of a slice, end to end; text t has those from ``of[t]`` to before ``of[t + 1]``."""
+
+    of: np.ndarray
+    ends: np.ndarray  # in bytes of the slice
+    stops: np.ndarray  # in words of the slice
+    begin: np.ndarray  # first words
+    text: np.ndarray  # number of the piece's text
+    marks: np.ndarray  # a hash of each word
+
+
+def pieces(raw: np.ndarray, offs: np.ndarray, every: int = EVERY) -> Pieces:
+    """Cut texts; the pieces tile each text, and a text of blanks only is one piece without words."""
+    n, w = len(raw), words(raw, offs)
+    begins, owner = w.begins, w.owner
+    cut = ((w.marks >> np.uint64(17)) % np.uint64(every) == 0) | _STOP[raw[w.last]]
+    breaks = np.flatnonzero(raw == 10)
+    before = np.searchsorted(begins, breaks) - 1
+    before, breaks = before[before >= 0], breaks[before >= 0]
+    cut[before[np.searchsorted(offs, breaks, side="right") - 1 == owner[before]]] = True
+    if len(owner):
+        cut[np.r_[owner[1:] != owner[:-1], True]] = True
+    at = np.flatnonzero(cut)
+    text, stops = owner[at], at + 1
+    ends = np.r_[begins, n][stops]
+    final = np.r_[text[1:] != text[:-1], True] if len(text) else np.zeros(0, bool)
+    ends[final] = offs[text[final] + 1]
+    sizes = np.diff(offs)
+    hollow = np.flatnonzero((np.bincount(owner, minlength=len(sizes)) == 0) & (sizes > 0))
+    if len(hollow):
+        place = np.searchsorted(text, hollow)
+        ends, stops = np.insert(ends, place, offs[hollow + 1]), np.insert(stops, place, np.r_[0, stops][place])
+        text = np.insert(text, place, hollow)
+    of = np.searchsorted(text, np.arange(len(sizes) + 1))
+    return Pieces(of, ends, stops, np.r_[0, stops[:-1]] if len(stops) else stops, text, w.marks)
+
+
+def runs(p: Pieces, least: int = LEAST, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last pieces of the runs, counted through the slice, and their hashes (signed 64 bits) under two functions."""
+    i = np.arange(len(p.stops))
+    j = np.maximum(np.searchsorted(p.stops, p.begin + min_words), i + least - 1)  # the shortest from each start
+    ok = j < p.of[p.text + 1]
+    i, j = i[ok], j[ok]
+    taken = np.zeros(len(p.stops), dtype=bool)
+    taken[j] = True
+    e = np.flatnonzero(~taken)
+    b = np.minimum(np.searchsorted(p.begin, p.stops[e] - min_words, side="right") - 1, e - least + 1)  # the shortest up to each other end
+    ok = b >= p.of[p.text[e]]
+    i, j = np.r_[i, b[ok]], np.r_[j, e[ok]]
+    return i, j, _hashed(p, i, j, 0x94D049BB133111EB), _hashed(p, i, j, 0x2545F4914F6CDD1D)
+
+
+def _hashed(p: Pieces, i: np.ndarray, j: np.ndarray, by: int) -> np.ndarray:
+    """Hash of the words of pieces i to j, wherever they stand: a polynomial's partial sums, moved to place 0."""
+    sums = np.r_[np.uint64(0), np.cumsum(mixed(p.marks, by) * powers(_FACTOR, len(p.marks)))] if len(p.marks) else np.zeros(1, np.uint64)
+    a, b = p.begin[i], p.stops[j]
+    back = powers(_BACK, len(p.marks) + 1)
+    return mixed((sums[b] - sums[a]) * back[a], 0xBF58476D1CE4E5B9).view(np.int64)
+
+
+def _half_rows(texts: DataFrame, least: int, min_words: int) -> DataFrame:
+    """(r1): the first half of every run's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([pa.array(runs(pieces(*buffers(b.column("_text"))), least, min_words)[2])], names=["r1"])
+
+    return mapped(texts.select("_text"), run, "r1 long")
+
+
+def _run_rows(rows: DataFrame, least: int, min_words: int) -> DataFrame:
     schema = "doc_id long, _h long, _nb long, i int, j int, r1 long, r2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            found = [runs(*sentences(t)[1:]) for t in b.column("_text").to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            i, j = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
-            marks = np.frombuffer(b"".join(x for f in found for x in f[2]), dtype=np.int64).reshape(-1, 2)
+            p = pieces(*buffers(b.column("_text")))
+            i, j, r1, r2 = runs(p, least, min_words)
+            text = p.text[i]
+            take = pa.array(text)
+            own = p.of[text]
             yield pa.RecordBatch.from_arrays(
-                [b.column(c).take(take) for c in ROW] + [pa.array(i), pa.array(j), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
+                [b.column(c).take(take) for c in ROW] + [pa.array((i - own).astype(np.int32)), pa.array((j - own).astype(np.int32)), pa.array(r1), pa.array(r2)],
                 names=[*ROW, "i", "j", "r1", "r2"])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _h, _nb, cuts): for rows that lose sentences, the runs (i, j) that are not first.
 
     First only halves of the runs' hashes are dealt out and counted; the rows
     that a sieve of those found twice or more lets through are then joined on
-    whole hashes.
+    whole hashes, runs that very many documents hold by broadcast.
     """
-    rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(*ROW, "_text")
-    r = _run_rows(rows)
-    twice = r.groupBy("r1").agg(F.count("*").alias("n")).where("n > 1").select("r1")
-    r = Sieve(twice, ["r1"], RUN_BITS).mark(r, [F.col("r1")]).where("_maybe").drop("_maybe")
+    spark = docs.sparkSession
+    rows = row_key(own(docs, "doc_id", "text")).select(*ROW, "_text")
+    twice = _half_rows(rows, least, min_words).groupBy("r1").agg(F.count("*").alias("n")).where("n > 1").select("r1")
+    sieve = Sieve(twice, ["r1"], RUN_BITS)
+    r, path = materialize(sieve.mark(_run_rows(rows, least, min_words), [F.col("r1")]).where("_maybe").drop("_maybe"))
     place = F.struct("doc_id", "_h", "i")
-    first = r.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(place).alias("lead")).where("n > 1").select("r1", "r2", "lead")
-    later = r.join(first, ["r1", "r2"]).where(~place.eqNullSafe(F.col("lead")))
-    return later.groupBy(*ROW).agg(F.collect_set(F.struct("i", "j")).alias("cuts"))
+    first, first_path = materialize(r.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(place).alias("lead")).where("n > 1"))
+    later = with_facts(r, first, ["r1", "r2"], "n").where(~place.eqNullSafe(F.col("lead")))
+    out, _ = materialize(later.groupBy(*ROW).agg(F.collect_set(F.struct("i", "j")).alias("cuts")))
+    discard(spark, path, first_path, sieve.path)
+    return out
 
 
-def _rewrite(docs: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (a struct _row and the row key) with _clean, n_sentences and n_removed."""
-    m, g = docs.alias("m"), cuts.alias("g")
-    on = F.col("m.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("m._h") == F.col("g._h")) & (F.col("m._nb") == F.col("g._nb"))
-    joined = m.join(g, on, "left").select("m._row", F.col("m._text").alias("_text"), "g.cuts")
-    schema = joined.select("_row").schema.add("_clean", "string").add("n_sentences", "integer").add("n_removed", "integer")
+def _rewrite(rows: DataFrame, place: int) -> DataFrame:
+    """``rows`` with the cuts of their text (the last column) carried out, n_sentences and n_removed in its stead.
+
+    ``place`` is the text's column; a text that loses nothing stays as it is, null included.
+    """
+    schema = rows.drop("cuts").schema.add("n_sentences", "integer").add("n_removed", "integer")
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            clean, total, lost = [], [], []
-            for t, c in zip(b.column("_text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
-                ends = sentences(t)[0].tolist()
-                gone = np.zeros(len(ends) + 1, dtype=np.int64)
-                for x in c or []:
-                    gone[x["i"]] += 1
-                    gone[x["j"] + 1] -= 1
-                out = np.cumsum(gone)[:-1] > 0
-                starts = [0, *ends[:-1]]
-                clean.append("".join(t[s:e] for s, e, o in zip(starts, ends, out, strict=True) if not o) if out.any() else t)
-                total.append(len(ends)), lost.append(int(out.sum()))
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(clean, pa.string()), pa.array(total, pa.int32()), pa.array(lost, pa.int32())], names=["_row", "_clean", "n_sentences", "n_removed"])
-
-    return joined.mapInArrow(run, schema)
-
-
-def removed(docs: DataFrame) -> DataFrame:
+        for b in slices(batches, place):
+            text = b.column(place)
+            raw, offs = buffers(text)
+            p = pieces(raw, offs)
+            gone = np.zeros(len(p.ends) + 1, dtype=np.int64)
+            cuts = b.column(b.num_columns - 1)
+            many = np.repeat(p.of[:-1], cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = cuts.flatten()
+            np.add.at(gone, many + flat.field("i").to_numpy(), 1)
+            np.add.at(gone, many + flat.field("j").to_numpy() + 1, -1)
+            out = np.cumsum(gone)[:-1] > 0
+            lost = np.add.reduceat(np.r_[out, False].astype(np.int32), np.minimum(p.of[:-1], len(out))) * (np.diff(p.of) > 0)
+            if lost.any():
+                start = np.r_[0, p.ends[:-1]]
+                clean = text.to_pylist()
+                for t in np.flatnonzero(lost).tolist():
+                    own = range(int(p.of[t]), int(p.of[t + 1]))
+                    clean[t] = b"".join(raw[start[k] : p.ends[k]].tobytes() for k in own if not out[k]).decode("utf-8", "replace")
+                text = pa.array(clean, pa.string())
+            cols = [text if k == place else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(p.of).astype(np.int32)), pa.array(lost.astype(np.int32))], names=names)
+
+    return mapped(rows, run, schema)
+
+
+def _cut(docs: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows that surely lose nothing, rows that may, with their cuts; both under neutral column names), and those names."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    text = F.col(names[docs.columns.index("text")])
+    ids = F.col(names[docs.columns.index("doc_id")]).cast("long")
+    keyed = row_key(docs.toDF(*names).withColumn("text", text)).drop("text").withColumn("doc_id", ids)
+    marked = Sieve(cuts, ROW).mark(keyed, [F.col(c) for c in ROW])
+    m, g = marked.where("_maybe").alias("m"), cuts.alias("g")
+    on = F.col("m.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("m._h") == F.col("g._h")) & (F.col("m._nb") == F.col("g._nb"))
+    return marked.where(~F.col("_maybe")).select(*names), m.join(g, on, "left").select(*names, "cuts"), names
+
+
+def removed(docs: DataFrame, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
     """A row a document: doc_id, text (what stays), n_sentences, n_removed.
 
     A null text counts as empty: no sentences, nothing removed.  Rows that
@@ -162,33 +204,17 @@ def removed(docs: DataFrame) -> DataFrame:
     twice in one text goes the second time.  Documents without repeats keep
     their text byte by byte.  An empty table gives no rows.
     """
-    cuts, _ = materialize(covered(docs))
-    source = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    keyed = source.select(F.struct("doc_id").alias("_row"), *ROW, "_text")
-    marked = Sieve(cuts, ROW).mark(keyed, [F.col(c) for c in ROW])
-    clear = marked.where(~F.col("_maybe")).withColumn("cuts", F.lit(None).cast("array<struct<i:int,j:int>>"))
-    out = _rewrite(marked.where("_maybe"), cuts, []).select("_row.doc_id", F.col("_clean").alias("text"), "n_sentences", "n_removed")
-    return _counted(clear).unionByName(out)
+    texts = own(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    clear, cut, _ = _cut(texts, covered(docs, least, min_words))
+    clear = clear.withColumn("cuts", F.lit(None).cast("array<struct<i:int,j:int>>"))
+    return _rewrite(clear, 1).unionByName(_rewrite(cut, 1)).toDF("doc_id", "text", "n_sentences", "n_removed")
 
 
-def _counted(clear: DataFrame) -> DataFrame:
-    """Rows that lose nothing, with their numbers of sentences."""
+def strip(docs: DataFrame, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with ``text`` cut as in ``removed``; all rows and all other columns stay as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            n = [len(sentences(t)[0]) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n, pa.int32()), pa.array(np.zeros(len(n), np.int32))], names=["doc_id", "text", "n_sentences", "n_removed"])
-
-    return clear.select(F.col("doc_id"), F.col("_text").alias("text")).mapInArrow(run, "doc_id long, text string, n_sentences int, n_removed int")
-
-
-def strip(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut; all rows and all other columns stay as they are."""
-    cuts, _ = materialize(covered(docs))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = row_key(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_row", *ROW, "_text")
-    marked = Sieve(cuts, ROW).mark(keyed, [F.col(c) for c in ROW])
-    clear = marked.where(~F.col("_maybe")).select("_row.*")
-    cut = _rewrite(marked.where("_maybe"), cuts, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("_clean")).otherwise(F.col("_row.text"))
-    return clear.unionByName(cut.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    Null and empty texts stay; repeated (doc_id, text) rows take nothing from
+    each other; an empty table gives an empty one.
+    """
+    clear, cut, names = _cut(docs, covered(docs, least, min_words))
+    return clear.unionByName(_rewrite(cut, docs.columns.index("text")).select(*names)).toDF(*docs.columns)
