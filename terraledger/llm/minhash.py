@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles.  Equal sets form one
 class.  Each class is posted under its ``K`` (coordinate, minimum) pairs.  Two
 sets of Jaccard similarity 0.75 agree on 48 of 64 coordinates on average and on
-fewer than ``T`` = 32 with probability 4.6e-6, so pairs below T are left out.
+fewer than ``T`` = 28 with probability 2.5e-8, so pairs below T are left out.
 
 *Prefix*: with postings ordered by how many classes share them, two classes with
 T common postings have one among the first K - T + 1 of either.  Postings that
@@ -16,9 +16,11 @@ most central one, only.  Confirmed links are contracted, and lists that then
 hold one component are skipped.  For what is left there is a bound: two sets
 share at most what both share with the hub, plus what either shares with
 anybody outside the hub.  Pairs that pass it and lie in different components
-are confirmed.  No pair above the threshold is given up to save work.
+are kept.  No pair above the threshold is given up to save work.
 
-Every link is confirmed on full sets of 64-bit shingle hashes.
+*Count*: the common postings of the kept pairs are counted, and pairs with T or
+more are confirmed on full sets of 64-bit shingle hashes.  The hub's pairs are
+compared on full sets at once, as those sizes are what the bound is made of.
 """
 
 from __future__ import annotations
@@ -33,74 +35,46 @@ from pyspark.sql import functions as F
 
 from terraledger.llm.exact_dedup import ROW, drop_rows, row_key
 from terraledger.llm.graph import components
-from terraledger.llm.scratch import Sieve, discard, held, materialize, slices
+from terraledger.llm.scratch import Sieve, discard, mapped, materialize, own, slices
+from terraledger.llm.words import buffers, mixed, random_numbers, words
 
 #: Signature coordinates, least matches of a candidate pair, words in a shingle.
-K, T, WORDS = 64, 32, 5
+K, T, WORDS = 64, 28, 5
 #: Similarity in percent that makes a link.
 PERCENT = 75
 #: Members up to which a posting list is paired in full at once.
 SHORT = 6
 
 
-def _mixed(n: int, seed: int) -> np.ndarray:
-    """n 64-bit constants from a counter (splitmix64)."""
-    with np.errstate(over="ignore"):
-        z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+_PLACE = random_numbers(WORDS, 100) | np.uint64(1)
+_LENGTH = random_numbers(WORDS + 1, 200)
+_A = (random_numbers(K, 300) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (random_numbers(K, 400) >> np.uint64(32)).astype(np.uint32)
 
 
-_PLACE = _mixed(WORDS, 100) | np.uint64(1)
-_LENGTH = _mixed(WORDS + 1, 200)
-_A = (_mixed(K, 300) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (_mixed(K, 400) >> np.uint64(32)).astype(np.uint32)
-
-
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text end to end, and how many each text has."""
-    seen = held("word hashes", dict)
-    if len(seen) > 200_000:
-        seen.clear()
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        w = t.encode("utf-8").lower().split()  # bytes.lower knows A-Z only; split: ASCII white space
-        counts[i] = len(w)
-        words += w
-    get = seen.get
-    ids = list(map(get, words))
-    if None in ids:
-        for w in {w for w, i in zip(words, ids, strict=True) if i is None}:
-            seen[w] = xxhash.xxh64_intdigest(w)
-        ids = list(map(get, words))
-    w = np.array(ids, dtype=np.uint64)
-    ends = np.cumsum(counts)
+    found = words(*buffers(texts))
+    w = found.marks
+    ends = np.searchsorted(found.owner, np.arange(len(texts)), side="right")
+    counts = np.diff(np.r_[0, ends])
     h = np.zeros(len(w), dtype=np.uint64)
     n = max(0, len(w) - WORDS + 1)
     for j in range(WORDS):
         h[:n] += w[j : j + n] * _PLACE[j]
-    h = _finish(h + _LENGTH[WORDS])
+    h = mixed(h + _LENGTH[WORDS], 0xBF58476D1CE4E5B9)
     out, sizes = [], np.zeros(len(texts), dtype=np.int64)
-    for i in range(len(texts)):
+    for i in np.flatnonzero(counts).tolist():
         c, e = counts[i], ends[i]
         if c >= WORDS:
             u = np.unique(h[e - c : e - WORDS + 1])
-        elif c:
-            u = _finish((w[e - c : e] * _PLACE[:c]).sum(dtype=np.uint64, keepdims=True) + _LENGTH[c : c + 1])
         else:
-            continue
+            u = mixed((w[e - c : e] * _PLACE[:c]).sum(dtype=np.uint64, keepdims=True) + _LENGTH[c : c + 1], 0xBF58476D1CE4E5B9)
         out.append(u)
         sizes[i] = len(u)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
 
 
-def _finish(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def signatures(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """(sets, K) minima under K bijections of 32 bits; empty sets are left out."""
     sizes = sizes[sizes > 0]
@@ -119,7 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            flat, sizes = shingle_sets(b.column("_text").to_pylist())
+            flat, sizes = shingle_sets(b.column("_text"))
             sig = signatures(flat, sizes).view(np.int32)
             ends = np.cumsum(sizes)
             cls = [xxhash.xxh3_128_digest(flat[e - n : e].tobytes()) if n else None for e, n in zip(ends, sizes, strict=True)]
@@ -129,7 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("_h"), b.column("_nb"), pa.array(sizes), pa.array(cls, pa.binary()), lists],
                 names=["doc_id", "_h", "_nb", "n_shingles", "cls", "sig"])
 
-    return row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(*ROW, "_text").mapInArrow(run, schema)
+    return mapped(row_key(own(docs, "doc_id", "text")).select(*ROW, "_text"), run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -138,17 +112,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            flat, sizes = shingle_sets(b.column("_text").to_pylist())
+            flat, sizes = shingle_sets(b.column("_text"))
             ends = np.cumsum(sizes)
             keep = np.flatnonzero(sizes)
             cls = [xxhash.xxh3_128_digest(flat[ends[i] - sizes[i] : ends[i]].tobytes()) for i in keep]
             at = np.r_[0, np.cumsum(sizes[keep])].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sizes[keep]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=["cls", "n", "arr"])
 
-    rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_text")
+    rows = row_key(own(docs, "doc_id", "text")).select("doc_id", "_text")
     sieve = Sieve(wanted, ["first"])
     some = sieve.mark(rows, [F.col("doc_id")]).where("_maybe").select("_text")
-    return some.mapInArrow(run, schema).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return mapped(some, run, schema).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _alike(a: str, b: str):
@@ -161,24 +135,25 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     post = reps.select("cls", "n", F.posexplode("sig").alias("i", "v")).select("cls", "n", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     freq = post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    own = post.join(freq, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("own"), F.sum("f").alias("w")).where(F.size("own") >= T)
-    lists = own.select("cls", "n", "w", F.explode(F.expr(f"slice(own, 1, size(own) - {T - 1})")).alias("p")).select("cls", "n", "w", F.col("p.key").alias("key"))
+    mine = post.join(freq, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("own"), F.sum("f").alias("w")).where(F.size("own") >= T)
+    lists = mine.select("cls", "n", "w", F.explode(F.expr(f"slice(own, 1, size(own) - {T - 1})")).alias("p")).select("cls", "n", "w", F.col("p.key").alias("key"))
     lists, lists_path = materialize(lists)
     sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.max_by(F.struct("cls", "n"), F.struct("w", "cls")).alias("hub")).where("size > 1")
     sizes, sizes_path = materialize(sizes)
-    wanted = lists.join(sizes.select("key"), "key", "left_semi").select("cls").distinct().join(reps.select("cls", "first"), "cls")
+    wanted, wanted_path = materialize(lists.join(sizes.select("key"), "key", "left_semi").select("cls").distinct().join(reps.select("cls", "first"), "cls"))
     sets, sets_path = materialize(full_sets(docs, wanted))
     used = lists.join(sizes, "key")
     short, long = used.where(F.col("size") <= SHORT), used.where(F.col("size") > SHORT)
     a, b = short.select("key", F.col("cls").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("cls").alias("v"), F.col("n").alias("nv"))
-    full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v")
+    full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v").distinct()
+    full = matched(full, reps.join(wanted.select("cls"), "cls", "left_semi"))
     star = long.where((F.col("cls") != F.col("hub.cls")) & _alike("n", "hub.n")).select(F.least("cls", "hub.cls").alias("u"), F.greatest("cls", "hub.cls").alias("v"))
     met, met_path = materialize(compared(full.unionAll(star).distinct(), sets))
     found = met.where(_linked("both")).select("u", "v")
     root = components(found)
-    rest = _rest(long.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met)
+    rest = _rest(long.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met, reps)
     out, _ = materialize(found.unionAll(rest))
-    discard(spark, lists_path, sizes_path, sets_path, met_path)
+    discard(spark, lists_path, sizes_path, sets_path, met_path, wanted_path)
     return out
 
 
@@ -186,6 +161,13 @@ def _linked(both: str):
     return F.col(both) * 100 >= (F.col("nu") + F.col("nv") - F.col(both)) * PERCENT
 
 
+def matched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (u, v) that share at least ``T`` postings: as many as their signatures have equal coordinates."""
+    a, b = reps.select(F.col("cls").alias("u"), F.col("sig").alias("x")), reps.select(F.col("cls").alias("v"), F.col("sig").alias("y"))
+    count = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "u").join(b, "v").where(count >= T).select("u", "v")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) with the sizes of both sets (nu, nv) and of their intersection (both)."""
     a = sets.select(F.col("cls").alias("u"), F.col("arr").alias("x"))
@@ -193,7 +175,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("both"))
 
 
-def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between components that still share a long posting list.
 
     For x and y in a list with hub h, let a be the size of x & h, s the number
@@ -225,7 +207,7 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame)
     on = (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & (F.col("ru") != F.col("rv")) & _alike("nu", "nv") & (most * 100 >= (F.col("nu") + F.col("nv") - most) * PERCENT)
     once = F.array_min(F.array_intersect("ku", "kv")) == a["key"]  # a pair counts in the first list that holds both
     pairs = a.join(b, on & once).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    out, _ = materialize(compared(pairs, sets).where(_linked("both")).select("u", "v"))
+    out, _ = materialize(compared(matched(pairs, reps), sets).where(_linked("both")).select("u", "v"))
     discard(members.sparkSession, path, can_path)
     return out
 
@@ -236,7 +218,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach, the document itself
     included.  Null and blank texts have an empty set and no links.  Repeated
     rows share their class.  A null doc_id never names a component that has
-    another id.  Columns other than doc_id and text play no part.
+    another id.  Columns other than doc_id and text play no part.  An empty
+    table gives no rows.
     """
     feats, path = materialize(features(docs))
     reps, reps_path = materialize(feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
@@ -256,5 +239,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that another one of their component stands for; all columns stay."""
+    """``docs`` without the documents that another one of their component stands for; all columns stay.
+
+    Null and blank texts stay; repeated rows share their fate; an empty table gives an empty one.
+    """
     return drop_rows(docs, grouped(docs).where("not kept").select(*ROW).distinct())
