@@ -1,10 +1,12 @@
 """Language identification of mixed texts.
 
-Each word's letters name a script, and a script the languages that were learnt
-with it; only those are candidates for the word.  A naive Bayes model of
+A word ends where its letters' script changes.  Its script names the languages
+that were learnt with it; only those are candidates for the word.  A naive Bayes model of
 character n-grams scores the word in every candidate.  Viterbi decoding with a
 switching penalty then labels the words, so that spans of one language come out
 rather than single words, and the label that covers most letters is the text's.
+Runs of letters without a blank, as in Thai or Chinese, are read in consecutive
+pieces, to the last letter.
 
 The model is fitted on a bounded sample: at most ``PER_LANGUAGE`` documents a
 language in hash order, among those whose label may be learnt.
@@ -20,14 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import materialize, slices
+from terraledger.llm.scratch import mapped, materialize, own, slices
 
 #: Sample: documents a language; n-grams kept a language; longest n-gram.
 PER_LANGUAGE, GRAMS, LONGEST = 1500, 30_000, 4
-#: Nats that a change of language costs, and letters of a word that are scored.
+#: Nats that a change of language costs, and letters of a piece that an unbroken run is read in.
 SWITCH, LETTERS = 6.0, 40
 #: Share of a language's letters that a script needs to make it a candidate.
 SCRIPT_SHARE = 0.01
@@ -51,7 +54,25 @@ SCRIPTS = {
 }
 _NAMES = list(SCRIPTS)
 _STARTS = sorted((lo, hi, i) for i, r in enumerate(SCRIPTS.values()) for lo, hi in r)
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _piece_pattern() -> str:
+    """Letters of one script and the marks on them, at most ``LETTERS``; then letters of no script listed."""
+    sets = ["".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in r) for r in SCRIPTS.values()]
+    more = f"{{0,{LETTERS - 1}}}"
+    listed = [rf"[[{x}]&&\p{{L}}][[[{x}]&&\p{{L}}]\p{{M}}]{more}" for x in sets]
+    return "|".join([*listed, rf"[\p{{L}}--[{''.join(sets)}]][[\p{{L}}--[{''.join(sets)}]]\p{{M}}]{more}"])
+
+
+_PIECE = regex.compile(_piece_pattern(), regex.V1)
+#: The same where no character is above U+024F, for the faster engine.
+_LATIN = re.compile(f"[A-Za-zªµºÀ-ÖØ-öø-ɏ]{{1,{LETTERS}}}")
+_BEYOND = re.compile("[ɐ-\U0010ffff]")
+
+
+def pieces(text: str) -> list[str]:
+    """The text's words, cut where the script changes and after ``LETTERS`` letters; numbers and signs are none."""
+    return (_PIECE if _BEYOND.search(text) else _LATIN).findall(text)
 
 
 def script(word: str) -> str:
@@ -65,7 +86,7 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    w = f" {word[:LETTERS]} "
+    w = f" {word} "
     return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
 
 
@@ -115,7 +136,7 @@ class Model:
         """Language, score and number of spans of each text."""
         words, counts = [], []
         for t in texts:
-            w = _WORD.findall(t)
+            w = pieces(t)
             words += w
             counts.append(len(w))
         at = self.index(words)
@@ -174,23 +195,17 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows whose crc32(doc_id as text) modulo 4 is not 2 and that have a language and a text."""
-    own = docs.select("doc_id", "lang", "text").where("text is not null and lang is not null and doc_id is not null")
-    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    ids = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    langs = sorted(r[0] for r in own.select("lang").distinct().collect())
-    picked = None
-    for x in langs:
-        part = ids.where(F.col("lang") == x).orderBy("h", "doc_id").limit(per_language)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return Model([], {}, [[] for _ in range(LONGEST + 1)], {})
-    picked, _ = materialize(picked.select("lang", "doc_id").distinct())
+    rows = own(docs, "doc_id", "lang", "text").where("text is not null and lang is not null and doc_id is not null")
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    per = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked, _ = materialize(rows.select("lang", "doc_id").withColumn("r", F.row_number().over(per)).where(F.col("r") <= per_language).select("lang", "doc_id").distinct())
+    langs = sorted(r[0] for r in picked.select("lang").distinct().collect())  # one row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
         for b in slices(batches):
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(_WORD.findall(t.lower()))
+                seen.setdefault(lang, Counter()).update(pieces(t.lower()))
         for lang, words in seen.items():
             total: Counter = Counter()
             for w, n in words.items():
@@ -199,12 +214,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 total["\x00" + script(w)] += n * len(w)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "g", "n"])
 
-    counts = own.join(F.broadcast(picked), ["lang", "doc_id"]).mapInArrow(count, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = mapped(rows.join(F.broadcast(picked), ["lang", "doc_id"]), count, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
     table: dict[str, dict[str, int]] = {x: {} for x in langs}
     scripts: dict[str, dict[str, int]] = {x: {} for x in langs}
-    for x in langs:
-        for r in counts.where(F.col("lang") == x).orderBy(F.desc("n"), "g").limit(GRAMS).collect():
-            (scripts if r["g"][0] == "\x00" else table)[x][r["g"].lstrip("\x00")] = r["n"]
+    for r in counts.withColumn("r", F.row_number().over(frequent)).where(F.col("r") <= GRAMS).collect():  # GRAMS rows a language
+        (scripts if r["g"][0] == "\x00" else table)[r["lang"]][r["g"].lstrip("\x00")] = r["n"]
     known = sorted({g for t in table.values() for g in t})
     sums = {x: [sum(n for g, n in table[x].items() if len(g) == k) for k in range(LONGEST + 1)] for x in langs}
     kinds = [sum(len(g) == k for g in known) + 1 for k in range(LONGEST + 1)]
@@ -218,19 +233,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def identify(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, held_out, lang_pred, score (share of letters in that language), spans.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is
-    everything where no language could be learnt.  Ties go to the language
+    Null and empty texts and texts without a letter are ``und`` with score 0, and
+    so is everything where no language could be learnt, as from an empty table.  Ties go to the language
     first in the alphabet.  ``lang`` is read for fitting only; repeated rows are
     labelled alike; other columns are dropped.
     """
     model = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=16 << 20):
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             lang, score, spans = model.label(texts) if model.langs else (["und"] * len(texts), [0.0] * len(texts), [0] * len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, pa.int32())], names=["doc_id", "lang_pred", "score", "spans"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans int")
+    out = mapped(own(docs, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, spans int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
