@@ -3,14 +3,16 @@
 Vectors are projected on a few random directions, shifted and quantised, once
 for each of ``CURVES`` curves, and every curve orders all of them by Hilbert
 index.  The order is range-partitioned and numbered; ``BLOCK`` neighbours form a
-block, and the queries of ``HOME`` blocks search every block within a window
-around them.  The windows' finds of all curves are merged and ranked by the
-exact inner product in double precision.
+block.  Queries lie in homes of as many blocks as half a window has, and search
+every block within half a window of their home, so a block goes to three homes
+at most, however wide the window is.  The windows' finds of all curves are
+merged and ranked by the exact inner product in double precision.
 
 The window is measured, not guessed: up to ``PROBES`` queries are compared with
 all vectors, and the window is the smallest with which the curves together
 would have met ``RECALL`` of their true neighbours.  Where vectors have
-structure it is narrow; on directionless data it grows towards all blocks.
+structure it is narrow; on directionless data no order of few curves tells
+neighbours from others, and it grows towards all blocks.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraledger.llm.hilbert import hilbert_index
-from terraledger.llm.scratch import discard, materialize, ordered_positions
+from terraledger.llm.scratch import discard, mapped, materialize, ordered_positions, own
 
 #: Neighbours, and the divisor of a query's id.
 NEAREST, EVERY = 20, 20
-#: Curves; dimensions and bits of each; rows of a block; blocks whose queries search together.
-CURVES, DIMS, BITS, BLOCK, HOME = 3, 8, 7, 1024, 16
+#: Curves; dimensions and bits of each; rows of a block.
+CURVES, DIMS, BITS, BLOCK = 3, 8, 7, 256
 #: Queries that measure the window, and the recall it must reach on them.
 PROBES, RECALL = 64, 0.96
 
@@ -44,7 +46,7 @@ def classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
     among a query's k nearest, whose ties go to smaller ids.
     """
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    rows = own(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     rows = rows.where(ok)
     most = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dims = most["d"] if most else 1
@@ -52,8 +54,8 @@ def classes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
     rows = rows.where(F.size("embedding") == dims).select("vec_id", plus.alias("vec")).withColumns({"g1": F.xxhash64("vec"), "g2": F.xxhash64(F.lit(1), "vec")})
     cls = rows.groupBy("g1", "g2").agg(F.min("vec_id").alias("cid"), F.first("vec").alias("vec"), F.max(F.col("vec_id") % EVERY == 0).alias("asked"))
     cls, _ = materialize(cls)
-    own = rows.select("g1", "g2", "vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
-    members, _ = materialize(own.join(cls.select("g1", "g2", F.struct("g1", "g2").alias("c")), ["g1", "g2"]).select("g1", "g2", "vec_id", "rank"))
+    named = rows.select("g1", "g2", "vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
+    members, _ = materialize(named.join(cls.select("g1", "g2", F.struct("g1", "g2").alias("c")), ["g1", "g2"]).select("g1", "g2", "vec_id", "rank"))
     return cls, members, dims
 
 
@@ -78,7 +80,7 @@ def curve_rows(cls: DataFrame, dims: int) -> DataFrame:
                 q[c] += (p * p).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([s.ravel().tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "q"])
 
-    per = cls.select("vec").mapInArrow(moments, "n double, s array<double>, q array<double>").select("n", F.posexplode(F.arrays_zip("s", "q")).alias("at", "x"))
+    per = mapped(cls.select("vec"), moments, "n double, s array<double>, q array<double>").select("n", F.posexplode(F.arrays_zip("s", "q")).alias("at", "x"))
     sums = per.groupBy("at").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q")).orderBy("at").collect()  # one row a direction
     n = max(sums[0]["n"], 1.0) if sums else 1.0
     mean = np.array([r["s"] for r in sums]).reshape(CURVES, -1) / n
@@ -94,7 +96,7 @@ def curve_rows(cls: DataFrame, dims: int) -> DataFrame:
                 h = hilbert_index(np.clip(at, 0, top - 1).astype(np.int64), BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(h), b.column("g1"), b.column("g2"), b.column("vec"), b.column("asked")], names=["curve", "key", "g1", "g2", "vec", "asked"])
 
-    return cls.select("g1", "g2", "vec", "asked").mapInArrow(keys, schema)
+    return mapped(cls.select("g1", "g2", "vec", "asked"), keys, schema)
 
 
 def window(cls: DataFrame, placed: DataFrame, dims: int, total: int, k: int) -> tuple[int, float]:
@@ -113,7 +115,7 @@ def window(cls: DataFrame, placed: DataFrame, dims: int, total: int, k: int) ->
             take = pa.array(top.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), top.shape[1])), b.column("g1").take(take), b.column("g2").take(take), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["p", "g1", "g2", "score"])
 
-    near = cls.select("g1", "g2", "vec").mapInArrow(nearest, schema)
+    near = mapped(cls.select("g1", "g2", "vec"), nearest, schema)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "g1", "g2"))).where(F.col("r") <= k + 1)
     where = placed.select("curve", "g1", "g2", "pos")
     at = best.join(where, ["g1", "g2"]).select("p", "g1", "g2", "curve", "pos").collect()  # at most PROBES * (k + 1) * CURVES rows
@@ -131,14 +133,15 @@ def window(cls: DataFrame, placed: DataFrame, dims: int, total: int, k: int) ->
     return half, float((gaps <= half).mean())
 
 
-def search(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> DataFrame:
     """The k nearest found of every query (vec_id divisible by ``EVERY``): query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision; ties go to the smaller
     vec_id.  Vectors that are null, zero, of another length than most, or hold
     null or non-finite components take no part, and rows without a vec_id
     cannot be named.  Repeated (vec_id, vector) rows count once.  With fewer
-    than k candidates a query gets all of them.
+    than k candidates a query gets all of them.  ``half`` is half a window in
+    rows; without it the window is measured.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     cls, members, dims = classes(vectors, k)
@@ -146,18 +149,16 @@ def search(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
     rows = curve_rows(cls, dims)
     placed, path = ordered_positions(rows, run=["curve", "key"], tie=["g1", "g2"], carry=["curve", "g1", "g2", "vec", "asked"])
     placed = placed.withColumn("pos", F.col("pos") - F.col("curve") * total)
-    half, _ = window(cls, placed, dims, total, k)
-    blocks = max(1, -(-total // BLOCK))
-    reach = -(-half // BLOCK)
-    homes = -(-blocks // HOME)
-    # A window that would stick out at an end is moved inwards, so all are equally wide.
-    lo = lambda h: max(0, min(h * HOME - reach, blocks - HOME - 2 * reach))
-    hi = lambda h: min(blocks - 1, max(h * HOME + HOME - 1 + reach, HOME + 2 * reach - 1))
-    plan = spark.createDataFrame([(h, b) for h in range(homes) for b in range(lo(h), hi(h) + 1)], "home int, block int")
+    if half is None:
+        half, _ = window(cls, placed, dims, total, k)
+    reach = max(1, -(-half // BLOCK))
+    homes = -(-max(1, -(-total // BLOCK)) // reach)
+    at = F.col("block")
+    searched_by = F.sequence(F.greatest(F.lit(0), F.floor(at / reach) - 1).cast("int"), F.least(F.lit(homes - 1), F.floor(at / reach) + 1).cast("int"))
     packed = placed.groupBy("curve", (F.col("pos") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("g1", "g2", "vec", "asked")).alias("rows"))
     packed, packed_path = materialize(packed)
-    asked = packed.select("curve", F.floor(F.col("block") / HOME).cast("int").alias("home"), F.filter("rows", lambda x: x["asked"]).alias("rows"), F.lit(-1).alias("block")).where(F.size("rows") > 0)
-    data = packed.join(F.broadcast(plan), "block").select("curve", "home", "rows", "block")
+    asked = packed.select("curve", F.floor(at / reach).cast("int").alias("home"), F.filter("rows", lambda x: x["asked"]).alias("rows"), F.lit(-1).alias("block")).where(F.size("rows") > 0)
+    data = packed.select("curve", F.explode(searched_by).alias("home"), "rows", "block")
     both = asked.unionByName(data).repartition("curve", "home").sortWithinPartitions("curve", "home", "block")
     schema = "q1 long, q2 long, g1 long, g2 long, score double"
 
@@ -200,7 +201,7 @@ def search(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
                 best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order[:, :, None], 1)
         yield from out()
 
-    found = both.mapInArrow(rank, schema).groupBy("q1", "q2", "g1", "g2").agg(F.max("score").alias("score"))
+    found = mapped(both, rank, schema).groupBy("q1", "q2", "g1", "g2").agg(F.max("score").alias("score"))
     per = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "g1", "g2")
     found, _ = materialize(found.withColumn("r", F.row_number().over(per)).where(F.col("r") <= k + 1).drop("r"))
     discard(spark, path, packed_path)
@@ -209,6 +210,6 @@ def search(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
     named = named.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     lists = named.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     key = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    queries = vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.xxhash64(key).alias("q1"), F.xxhash64(F.lit(1), key).alias("q2")).distinct()
-    own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
-    return queries.join(lists, ["q1", "q2"]).select("query_id", F.posexplode(F.slice(own, 1, k)).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+    queries = own(vectors, "vec_id", "embedding").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64(key).alias("q1"), F.xxhash64(F.lit(1), key).alias("q2")).distinct()
+    others = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    return queries.join(lists, ["q1", "q2"]).select("query_id", F.posexplode(F.slice(others, 1, k)).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
