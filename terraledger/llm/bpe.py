@@ -354,7 +354,8 @@ def encode_documents(docs: DataFrame, vocab_path: str, ids: bool = False) -> Dat
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the
     ids as array<int>.  A null text counts as empty: no tokens.  One row a
-    document, repeated rows included; other columns are dropped.
+    document, repeated rows included; other columns are dropped.  Long texts are
+    encoded in chunks, to the last character; an empty table gives no rows.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 

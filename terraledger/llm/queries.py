@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terraledger.llm import ann, bpe, exact_dedup, langid, minhash, packing, sharding, substring, toxicity, wordpiece
 
-#: Folder of the public vocabulary files.
-VOCABULARIES = os.environ.get("TERRALEDGER_VOCABULARIES", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    return f"{VOCABULARIES}/{name}"
+    """Path of a public vocabulary file; every machine has it."""
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

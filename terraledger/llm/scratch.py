@@ -32,9 +32,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where a local session has none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="terraledger-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -370,7 +370,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no features and get the score of such a text.
     Labels that are null or neither 0 nor 1 are not learnt; a doc_id with two
     labels counts as toxic if one says so; without labels of both classes every
-    score is the smoothed share of toxic ones.  Repeated rows are scored alike.
+    score is the smoothed share of toxic ones.  Repeated rows are scored alike;
+    other columns are dropped; an empty table gives no rows.
     """
     model = fit(docs, labels)
     out = _scored(own(docs, "doc_id", "text"), model, "doc_id")

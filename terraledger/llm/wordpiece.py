@@ -143,7 +143,8 @@ def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
     """A row a document: doc_id, n_tokens, n_words.
 
     Null and empty texts have none of either.  Repeated rows are counted each;
-    columns other than doc_id and text are dropped.
+    columns other than doc_id and text are dropped.  Texts and words of any
+    length are counted whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
