@@ -11,12 +11,14 @@ nobody shares come first and count, so a class with fewer than T shared ones
 is out at once, and the most frequent T - 1 postings are never joined.
 
 *Skip*: within a posting list only members of different components meet.  Short
-lists are paired in full; in a long list every member first meets the hub, its
-most central one, only.  Confirmed links are contracted, and lists that then
-hold one component are skipped.  For what is left there is a bound: two sets
-share at most what both share with the hub, plus what either shares with
-anybody outside the hub.  Pairs that pass it and lie in different components
-are kept.  No pair above the threshold is given up to save work.
+lists are paired in full; in a long list members meet the hub, its most central
+one, only: first each class the hub of its longest list, then, in lists that
+still hold several components, all members theirs.  Confirmed links are
+contracted each time, and lists that then hold one component are skipped.  For
+what is left there is a bound: two sets share at most what both share with the
+hub, plus what either shares with anybody outside the hub.  Pairs that pass it
+and lie in different components are kept.  No pair above the threshold is given
+up to save work.
 
 *Count*: the common postings of the kept pairs are counted, and pairs with T or
 more are confirmed on full sets of 64-bit shingle hashes.  The hub's pairs are
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from terraledger.llm.exact_dedup import ROW, drop_rows, row_key
 from terraledger.llm.graph import components
-from terraledger.llm.scratch import Sieve, discard, mapped, materialize, own, slices
+from terraledger.llm.scratch import Sieve, discard, mapped, materialize, own, slices, with_facts
 from terraledger.llm.words import buffers, mixed, random_numbers, words
 
 #: Signature coordinates, least matches of a candidate pair, words in a shingle.
@@ -131,7 +133,7 @@ def _alike(a: str, b: str):
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) between classes of ``reps`` (cls, first, n, sig), enough to give every component."""
+    """Edges (u, v) between classes of ``reps`` (cls, first, n, sig) that give every component; each joins what confirmed links join."""
     spark = docs.sparkSession
     post = reps.select("cls", "n", F.posexplode("sig").alias("i", "v")).select("cls", "n", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     freq = post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
@@ -147,16 +149,37 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     a, b = short.select("key", F.col("cls").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("cls").alias("v"), F.col("n").alias("nv"))
     full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v").distinct()
     full = matched(full, reps.join(wanted.select("cls"), "cls", "left_semi"))
-    star = long.where((F.col("cls") != F.col("hub.cls")) & _alike("n", "hub.n")).select(F.least("cls", "hub.cls").alias("u"), F.greatest("cls", "hub.cls").alias("v"))
-    met, met_path = materialize(compared(full.unionAll(star).distinct(), sets))
-    found = met.where(_linked("both")).select("u", "v")
-    root = components(found)
-    rest = _rest(long.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met, reps)
-    out, _ = materialize(found.unionAll(rest))
-    discard(spark, lists_path, sizes_path, sets_path, met_path, wanted_path)
+    largest = long.groupBy("cls").agg(F.max_by(F.struct("n", "hub"), F.struct("size", "key")).alias("p")).select("cls", "p.n", "p.hub")
+    met, met_path = materialize(compared(full.unionAll(_with_hub(largest)).distinct(), sets))
+    root = components(met.where(_linked("both")).select("u", "v"))
+    members, members_path = materialize(_mixed(long.select("key", "cls", "n", "hub"), root))
+    star = _with_hub(members).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti")
+    more, more_path = materialize(compared(star, sets))
+    edges = root.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    root = components(edges.unionAll(more.where(_linked("both")).select("u", "v")))
+    rest = _rest(members.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met.unionAll(more), reps)
+    out, _ = materialize(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest))
+    discard(spark, lists_path, sizes_path, sets_path, met_path, more_path, members_path, wanted_path)
     return out
 
 
+def _with_hub(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of members (cls, n, hub) and their hubs, where sizes allow a link."""
+    ok = members.where((F.col("cls") != F.col("hub.cls")) & _alike("n", "hub.n"))
+    return ok.select(F.least("cls", "hub.cls").alias("u"), F.greatest("cls", "hub.cls").alias("v"))
+
+
+def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
+    """Members (key, cls, ...) of lists that hold several components, with their root."""
+    at = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return _several(at)
+
+
+def _several(m: DataFrame) -> DataFrame:
+    two = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return m.join(two, "key", "left_semi")
+
+
 def _linked(both: str):
     return F.col(both) * 100 >= (F.col("nu") + F.col("nv") - F.col(both)) * PERCENT
 
@@ -183,13 +206,7 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame,
     y share lies in h, where it is at most min(a) of the two, or outside, where
     it is at most min(e).
     """
-    at = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
-    def mixed(m: DataFrame) -> DataFrame:
-        two = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return m.join(two, "key", "left_semi")
-
-    at, path = materialize(mixed(at))
+    at, path = materialize(_mixed(members, root))
     shingles = sets.join(at.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode("arr").alias("h"))
     common = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
     shared = shingles.join(common, "h").groupBy("cls").agg(F.count("*").alias("s"))
@@ -198,7 +215,7 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame,
     can = can.withColumns({"u": F.least("cls", "hub"), "v": F.greatest("cls", "hub")}).join(with_hub, ["u", "v"], "left")
     # the hub holds itself; a member that was too large or small to be compared with it has no better bound than its size
     can = can.withColumn("a", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.col("a"))).select("key", "cls", "n", "root", "s", F.coalesce("a", F.least("n", "hub_n")).alias("a"), F.when(F.col("a").isNull(), F.col("s")).otherwise(F.col("s") - F.col("a")).alias("e"))
-    can = mixed(can)
+    can = _several(can)
     keys = can.groupBy("cls").agg(F.collect_list("key").alias("keys"))  # at most K - T + 1 of them
     can, can_path = materialize(can.join(keys, "cls"))
     side = lambda x: can.select("key", *[F.col(c).alias(f"{c[0]}{x}") for c in ("cls", "n", "root", "s", "a", "e")], F.col("keys").alias(f"k{x}"))
@@ -225,9 +242,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     reps, reps_path = materialize(feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     root = components(links(docs, reps))
     of = reps.select("cls", "first").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = of.groupBy("root").agg(F.min("first").alias("component"))
-    named, _ = materialize(of.join(least, "root").select("cls", "component"))
-    discard(docs.sparkSession, reps_path)
+    of, of_path = materialize(of)
+    least, least_path = materialize(of.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size")))
+    named, _ = materialize(with_facts(of, least, ["root"], "size").select("cls", "component"))
+    discard(docs.sparkSession, reps_path, of_path, least_path)
     out = feats.select(*ROW, "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select(*ROW, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -82,12 +82,32 @@ def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
 
 
+def _give_back(whole: bool) -> None:
+    """Let a Python worker return freed memory: large blocks when they are freed, or (``whole``) all it can now."""
+    try:
+        libc = ctypes.CDLL(None)
+        if whole:
+            libc.malloc_trim(0)
+        else:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: a fixed one, as otherwise it rises with every large block freed
+            libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with record batches bounded by bytes, on both sides of the pipe, and not by rows alone."""
+    """``df.mapInArrow`` with record batches bounded by bytes, in workers that return what they freed when a task ends."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(key).rstrip("b")) > SLICE_BYTES:
         conf.set(key, str(SLICE_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back(False)
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        _give_back(True)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -113,11 +133,7 @@ def held(key: str, make):
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        _give_back(True)
         _HELD[key] = make()
     return _HELD[key]
 
