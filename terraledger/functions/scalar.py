@@ -42,10 +42,12 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
-def compact(c: Column) -> Column:
-    """Money with one decimal and B, M or K."""
+def compact(c: Column, sign: str = "$") -> Column:
+    """Money: B and M with one decimal, K and less as whole numbers, halves up; the amount without its sign picks the unit."""
+    size, mark = F.abs(c), F.lit(sign)
     one = lambda d: F.format_string("%.1f", F.round(c / d, 1))
-    return F.when(c >= 1e9, F.concat(F.lit("$"), one(1e9), F.lit("B"))).when(c >= 1e6, F.concat(F.lit("$"), one(1e6), F.lit("M"))).when(c >= 1e3, F.concat(F.lit("$"), one(1e3), F.lit("K"))).otherwise(F.concat(F.lit("$"), c.cast("bigint").cast("string")))
+    whole = lambda x: F.floor(x + 0.5).cast("bigint").cast("string")
+    return F.when(size >= 1e9, F.concat(mark, one(1e9), F.lit("B"))).when(size >= 1e6, F.concat(mark, one(1e6), F.lit("M"))).when(size >= 1e3, F.concat(mark, whole(c / 1e3), F.lit("K"))).otherwise(F.concat(mark, whole(c)))
 
 
 def titled(c: Column) -> Column:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 #: Land shares that make a parcel underdeveloped, and signs of a parking structure.
 SINGLE_FAMILY_SHARE, OTHER_SHARE = 0.67, 0.50
 STRUCTURE = "(?i)Garage|Deck|Structure|Ramp"
-#: Overlap thresholds and size gates (square feet) of the parking waterfall.
-STRUCT_OVERLAP, REAL_HIGH, REAL_LOW, SIZE_GATE, FUEL_GATE = 0.30, 0.85, 0.40, 80_000, 20_000
+#: State classes and categories whose parcels without improvements are not vacant land.
+EXCLUDED_PREFIXES, EXCLUDED_CLASS, EXCLUDED_CATEGORIES = ("X", "J", "D"), "1D", ("Utility", "Agricultural / Rural")
+#: Overlap thresholds and size gates (square feet) of the parking waterfall, and the tags it reads.
+STRUCT_OVERLAP, REAL_HIGH, REAL_LOW, REAL_NONE, SIZE_GATE, FUEL_GATE = 0.30, 0.85, 0.40, 0.05, 80_000, 20_000
+STRUCTURE_TAGS, STRUCTURE_BUILDINGS = ("multi-storey", "multistorey", "underground", "rooftop"), ("parking", "garage", "garages")
 
 
 def first_match(rules: Sequence[tuple[Column, Column | str | None]], default: Column | str | None = None) -> Column:
@@ -23,32 +26,53 @@ def first_match(rules: Sequence[tuple[Column, Column | str | None]], default: Co
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def refined(category: Column, land: Column, impr: Column) -> Column:
-    """Vacant, Parking Lot, Underdeveloped or null; a later source rule outranks an earlier one."""
+def refined(category: Column, land: Column, impr: Column, built: Column, footprint: Column, state_class: Column) -> Column:
+    """Vacant, Parking Lot, Underdeveloped or null; a later source rule outranks an earlier one.
+
+    Without an improvement a parcel is vacant only if no building area and no
+    footprint is known and its class or category is not excluded; with one, its
+    land share decides.  Null values count as 0.
+    """
+    land, impr, built = (F.coalesce(c, F.lit(0)) for c in (land, impr, built))
+    code = F.coalesce(state_class, F.lit(""))
+    excluded = F.substring(code, 1, 1).isin(*EXCLUDED_PREFIXES) | (F.substring(code, 1, 2) == EXCLUDED_CLASS) | category.isin(*EXCLUDED_CATEGORIES)
     total = land + impr
     share = F.when(total > 0, land / total)
-    structure = category.rlike(STRUCTURE)
-    cut = F.when(category.contains("Single Family"), SINGLE_FAMILY_SHARE).otherwise(OTHER_SHARE)
+    cut = F.when(category == "Single Family", SINGLE_FAMILY_SHARE).otherwise(OTHER_SHARE)
     return first_match([
         (category.contains("Vacant"), "Vacant"),
-        (category.contains("Parking") & ~structure, "Parking Lot"),
-        ((impr <= 0) & (land <= 0), "Vacant"),
-        (F.coalesce(share >= cut, F.lit(False)), "Underdeveloped"),
+        (category.contains("Parking") & ~category.rlike(STRUCTURE), "Parking Lot"),
+        ((impr == 0) & (built == 0) & ~footprint & ~F.coalesce(excluded, F.lit(False)), "Vacant"),
+        ((impr != 0) & F.coalesce(share >= cut, F.lit(False)), "Underdeveloped"),
     ])
 
 
-def waterfall(fuel: Column, tag: Column, levels: Column, struct: Column, real: Column, area: Column) -> Column:
-    """(type, confidence, source) of a parking polygon."""
+def waterfall(fuel: Column, tag: Column, building: Column, levels: Column, struct: Column, real: Column, area: Column) -> Column:
+    """(parking_type, confidence, source) of a parking polygon; null overlaps count as 0."""
 
-    def made(kind: str, confidence: str, source: str) -> Column:
-        return F.struct(F.lit(kind).alias("parking_type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
+    def made(kind: str, confidence: str | Column, source: str | Column) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(F.lit(kind).alias("parking_type"), lit(confidence).alias("confidence"), lit(source).alias("source"))
 
+    tag, building = F.lower(F.coalesce(tag, F.lit(""))), F.lower(F.coalesce(building, F.lit("")))
+    struct, real, area = (F.coalesce(c, F.lit(0.0)) for c in (struct, real, area))
+    plain = tag == "surface"
     return first_match([
-        (fuel & (area <= FUEL_GATE), made("excluded", "high", "fuel")),
-        (tag.isin("multi-storey", "underground"), made("structure", "high", "tag")),
-        (levels >= 2, made("structure", "medium", "levels")),
-        (struct >= STRUCT_OVERLAP, made("structure", "high", "building")),
-        (real >= REAL_HIGH, made("structure", "medium", "overlap")),
-        ((real >= REAL_LOW) & (area > SIZE_GATE), made("surface", "medium", "size")),
-        (real >= REAL_LOW, made("uncertain", "low", "overlap")),
-    ], made("surface", "high", "default"))
+        (fuel & (area <= FUEL_GATE), made("excluded", "high", "osm_fuel")),
+        (tag.isin(*STRUCTURE_TAGS) | building.isin(*STRUCTURE_BUILDINGS) | F.coalesce(levels >= 2, F.lit(False)), made("structure", "high", "osm_tag")),
+        (struct >= STRUCT_OVERLAP, made("structure", "high", "overture_class")),
+        (real >= REAL_HIGH, made("structure", "high", "building_overlap")),
+        ((real >= REAL_LOW) & (area > SIZE_GATE), made("surface", "medium", "building_overlap")),
+        (real >= REAL_LOW, made("uncertain", "low", "building_overlap")),
+    ], made("surface", F.when(plain | (real < REAL_NONE), "high").otherwise("medium"), F.when(plain, "osm_tag").otherwise("building_overlap")))
+
+
+def status(code: Column) -> Column:
+    """Error class of an HTTP status; null where there is none."""
+    named = {401: "unauthorized", 403: "forbidden", 404: "not_found", 408: "timeout", 429: "rate_limited"}
+    return first_match([(code >= 500, "server_error"), *[(code == k, v) for k, v in named.items()], (code >= 400, "client_error")])
+
+
+def chosen(category: Column, wanted: str) -> Column:
+    """Equality with a chosen category; an empty choice lets all pass."""
+    return category == wanted if wanted else F.lit(True)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraledger.operators.lineage import saved
+
 
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): every node's least reachable node; ``edges`` has u and v.
@@ -14,11 +14,8 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Each round is cut off by a reliable checkpoint in the cluster's
     ``spark.checkpoint.dir``, which survives the loss of executors.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-"))
     nodes = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
-    e = edges.select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small")).where("big <> small").distinct().checkpoint()
+    e = saved(edges.select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small")).where("big <> small").distinct())
     mark = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum("small"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
@@ -30,7 +27,7 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small").distinct()
         low = large.groupBy("big").agg(F.min("small").alias("m"))
         pair = large.join(low, "big")
-        e = pair.select(F.col("small").alias("a"), "m").unionAll(pair.select(F.col("big").alias("a"), "m")).select(F.greatest("a", "m").alias("big"), F.least("a", "m").alias("small")).where("big <> small").distinct().checkpoint()
+        e = saved(pair.select(F.col("small").alias("a"), "m").unionAll(pair.select(F.col("big").alias("a"), "m")).select(F.greatest("a", "m").alias("big"), F.least("a", "m").alias("small")).where("big <> small").distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("big").alias("node"), F.col("small").alias("root"))

@@ -15,6 +15,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def first_existing(df: DataFrame, names: list[str]) -> str | None:
+    """The first of ``names`` that is a column of ``df``; None if none is."""
+    return next((n for n in names if n in df.columns), None)
+
+
 def rect_area(x0: str, x1: str, y0: str, y1: str) -> Column:
     return (col(x1) - col(x0)) * (col(y1) - col(y0))
 
@@ -81,3 +86,28 @@ def market(levels: dict[str, float], cls: str, value: str) -> Column:
     """Assessed value over its class's level of assessment."""
     level = reduce(lambda acc, kv: acc.when(col(cls) == kv[0], kv[1]), levels.items(), F.when(F.lit(False), 0.0)).otherwise(1.0)
     return col(value) / level
+
+
+#: Columns that a pricing join adds to parking lots.
+PRICES = ("fkey", "rate", "value", "exempt")
+
+
+def without_prices(lots: DataFrame) -> DataFrame:
+    return lots.drop(*PRICES)
+
+
+def priced(lots: DataFrame, parcels: DataFrame, overlapping) -> DataFrame:
+    """lot, fkey, rate, value, exempt: lots at the land rate of the parcel with the largest shared area (ties: smallest key).
+
+    The rate is over the parcel's measured area.  A lot is exempt if any parcel under it is, or if
+    parcels cover less than a tenth of it; without a rate its value is 0.
+    """
+    box = ("x0", "x1", "y0", "y1")
+    right = parcels.select("fkey", "land", "area", F.col("exempt").alias("_ex"), *[F.col(c).alias("_" + c) for c in box])
+    hit = overlapping(lots.select("lot", *box), right, box, tuple("_" + c for c in box))
+    lead = F.max_by(F.struct("fkey", "land", "area"), F.struct("shared", -F.col("fkey"))).alias("p")
+    per = hit.groupBy("lot").agg(lead, F.max("_ex").alias("_ex"), F.sum("shared").alias("covered"))
+    own = rect_area(*box)
+    rate = F.when(F.col("p.area") > 0, F.col("p.land") / F.col("p.area"))
+    exempt = F.col("p").isNull() | (F.coalesce("_ex", F.lit(0)) == 1) | (F.col("covered") / own < 0.1)
+    return lots.join(per, "lot", "left").select("lot", "p.fkey", F.round(rate, 6).alias("rate"), F.round(F.coalesce(own * rate, F.lit(0.0)), 4).alias("value"), exempt.alias("exempt"))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraledger.operators.lineage import saved
+
 #: Web Mercator's radius, and the semi-axis and eccentricity of WGS 84.
 RADIUS, SEMI_AXIS, ECC = 6378137.0, 6378137.0, 0.0818191908426215
 
@@ -50,22 +52,45 @@ def containing(points: DataFrame, boxes: DataFrame, x: str, y: str, b: tuple[str
     return p.join(r, on, how).drop("_px", "_py", "_ix", "_iy")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, size: int, rings: int) -> DataFrame:
-    """The k nearest right points within ``rings`` cells of each left point's cell, by squared distance then id.
+def nearest(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, size: float = 200, others: bool = False) -> DataFrame:
+    """The k nearest right points of each left point by squared distance ``d2``, then id: ``place`` from 1.
 
-    Each right point goes to the (2 rings + 1)^2 cells around its own, so the
-    join is on the cell.  A k-th distance of at most ``rings * size`` proves the
-    answer complete: column ``proved``.
+    Left points look at the nine cells around them.  What lies within a cell's
+    width is then complete; points with fewer than k such neighbours go on with
+    cells twice as wide, until a cell is as wide as the whole map.  With
+    ``others`` a point of the same id is no neighbour.  Ids are unique.
     """
-    d = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
-    r = right.withColumn("_dx", d).withColumn("_dy", d).withColumn("_ix", F.floor(F.col(rx) / size) + F.col("_dx")).withColumn("_iy", F.floor(F.col(ry) / size) + F.col("_dy")).drop("_dx", "_dy")
-    l = left.withColumn("_lx", F.floor(F.col(lx) / size)).withColumn("_ly", F.floor(F.col(ly) / size))
+    span = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    boxes = [b for b in (span(left, lx, ly), span(right, rx, ry)) if b["x0"] is not None]
+    extent = max((max(b[f"{c}1"] for b in boxes) - min(b[f"{c}0"] for b in boxes) for c in "xy"), default=0)
+    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     dist = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(lid).orderBy("d2", rid)
-    near = l.join(r, (l["_lx"] == r["_ix"]) & (l["_ly"] == r["_iy"])).drop("_lx", "_ly", "_ix", "_iy").withColumn("d2", dist)
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("proved", F.col("d2") <= (rings * size) ** 2)
+    first = Window.partitionBy(lid).orderBy("d2", rid)
+    pending, done = left, []
+    while True:
+        l = pending.withColumn("_dx", step).withColumn("_dy", step).withColumn("_ix", F.floor(F.col(lx) / size) + F.col("_dx")).withColumn("_iy", F.floor(F.col(ly) / size) + F.col("_dy")).drop("_dx", "_dy")
+        r = right.withColumn("_ix", F.floor(F.col(rx) / size)).withColumn("_iy", F.floor(F.col(ry) / size))
+        met = l.join(r, ["_ix", "_iy"]).drop("_ix", "_iy").withColumn("d2", dist)
+        last = size > extent
+        if not last:
+            met = met.where(F.col("d2") <= size * size)
+        if others:
+            met = met.where(F.col(lid) != F.col(rid))
+        near = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+        if last:
+            done.append(near)
+            break
+        near = saved(near)
+        full = near.where(F.col("place") == k).select(lid)
+        done.append(near.join(full, lid, "left_semi"))
+        pending = saved(pending.join(full, lid, "left_anti"))
+        if pending.isEmpty():
+            break
+        size *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -73,6 +98,11 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
 
 
+def unmercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of EPSG:3857."""
+    return F.degrees(x / RADIUS), F.degrees(F.atan(F.exp(y / RADIUS)) * 2 - math.pi / 2)
+
+
 def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Cylindrical equal-area metres (standard parallel 30 degrees, WGS 84)."""
     s30 = math.sin(math.radians(30))

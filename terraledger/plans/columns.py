@@ -247,10 +247,11 @@ def cs_19(spark, sf):
     return fx.rec(spark, sf).select("fkey", "l_partkey", "l_suppkey", "total", classify.first_match(rules).alias("message"))
 
 
-@query("cs_20_status_class", "select event_id, case when s >= 500 then 'server' when s in (401, 403) then 'auth' when s = 404 then 'missing' when s in (408, 429) then 'busy' when s >= 400 then 'client' else 'ok' end as kind from (select event_id, 200 + (event_id % 7) * 51 as s from events)")
+@query("cs_20_status_class", "select event_id, case when s >= 500 then 'server_error' when s = 401 then 'unauthorized' when s = 403 then 'forbidden' when s = 404 then 'not_found' when s = 408 then 'timeout' when s = 429 then 'rate_limited' when s >= 400 then 'client_error' end as kind from (select event_id, [200, 301, 400, 401, 403, 404, 408, 418, 429, 500, 503][event_id % 11 + 1] as s from events)")
 def cs_20(spark, sf):
-    s = F.col("event_id") % 7 * 51 + 200
-    return fx.table(spark, sf, "events").select("event_id", classify.first_match([(s >= 500, "server"), (s.isin(401, 403), "auth"), (s == 404, "missing"), (s.isin(408, 429), "busy"), (s >= 400, "client")], "ok").alias("kind"))
+    codes = F.array(*[F.lit(s) for s in (200, 301, 400, 401, 403, 404, 408, 418, 429, 500, 503)])
+    e = fx.table(spark, sf, "events").select("event_id", F.element_at(codes, (F.col("event_id") % 11 + 1).cast("int")).alias("s"))
+    return e.select("event_id", classify.status(F.col("s")).alias("kind"))
 
 
 @query("cs_24_prefix_letters", "select p_partkey, case when starts_with(p_type, 'ST') then 'standard' when left(p_type, 1) = 'S' then 'small' when left(p_type, 1) = 'E' then 'economy' else 'rest' end as kind from part")
@@ -278,9 +279,9 @@ def sf_03(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", scalar.loose_number(F.when(e % 4 == 1, " ").when(e % 4 == 2, "a").when(e % 4 == 3, "7.5")).alias("v"))
 
 
-@query("sf_04_normalise_keys", "select doc_id, upper(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))) as k, regexp_replace(lower(source), '[^a-z0-9]+', '', 'g') as slug from documents where lang = 'en'")
+@query("sf_04_normalise_keys", "select doc_id, replace(replace(upper(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')), 'ß', 'SS'), 'ẞ', 'SS') as k, regexp_replace(lower(source), '[^a-z0-9]+', '', 'g') as slug from documents")
 def sf_04(spark, sf):
-    return fx.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", scalar.squeezed(F.substring("text", 1, 60)).alias("k"), scalar.slug(F.col("source")).alias("slug"))
+    return fx.table(spark, sf, "documents").select("doc_id", scalar.squeezed(F.col("text")).alias("k"), scalar.slug(F.col("source")).alias("slug"))
 
 
 @query("sf_05_placeholders", "select doc_id, case when lower(trim(s)) not in ('', 'nan', 'none', 'null') then trim(s) end as s from (select doc_id, case doc_id % 5 when 0 then 'NaN' when 1 then ' ' when 2 then 'None' else source end as s from documents)")
@@ -311,10 +312,11 @@ def sf_13(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("t"))
 
 
-@query("sf_14_compact_money", fx.sql("select fkey, case when v >= 1e9 then '$' || printf('%.1f', round(v / 1e9, 1)) || 'B' when v >= 1e6 then '$' || printf('%.1f', round(v / 1e6, 1)) || 'M' when v >= 1e3 then '$' || printf('%.1f', round(v / 1e3, 1)) || 'K' else '$' || v end as label from (select fkey, total * case fkey % 4 when 0 then 10000 when 1 then 100 when 2 then 1 else 0 end + fkey % 500 as v from roll)", "roll"))
+@query("sf_14_compact_money", fx.sql("""select fkey, '$' || case when abs(v) >= 1e9 then printf('%.1f', round(v / 1e9, 1)) || 'B' when abs(v) >= 1e6 then printf('%.1f', round(v / 1e6, 1)) || 'M' when abs(v) >= 1e3 then cast(floor(v / 1e3 + 0.5) as bigint) || 'K' else cast(v as varchar) end as label
+  from (select fkey, (total * case fkey % 4 when 0 then 10000 when 1 then 100 when 2 then 1 else 0 end + fkey % 500) * case when fkey % 3 = 0 then -1 else 1 end as v from roll)""", "roll"))
 def sf_14(spark, sf):
     k = F.col("fkey")
-    v = F.col("total") * F.when(k % 4 == 0, 10000).when(k % 4 == 1, 100).when(k % 4 == 2, 1).otherwise(0) + k % 500
+    v = (F.col("total") * F.when(k % 4 == 0, 10000).when(k % 4 == 1, 100).when(k % 4 == 2, 1).otherwise(0) + k % 500) * F.when(k % 3 == 0, -1).otherwise(1)
     return fx.roll(spark, sf).select("fkey", scalar.compact(v).alias("label"))
 
 

@@ -118,13 +118,13 @@ def jn_15(spark, sf):
     return hit.groupBy("fkey").agg(F.max_by(F.struct("bid", "shared"), F.struct("shared", -F.col("bid"))).alias("m")).select("fkey", "m.*")
 
 
-_NEAR = """select bid, fkey, d2, place from (select bid, fkey, (bx0 - x0) * (bx0 - x0) + (by0 - y0) * (by0 - y0) as d2,
-  row_number() over (partition by bid order by (bx0 - x0) * (bx0 - x0) + (by0 - y0) * (by0 - y0), fkey) as place from bld join geo on abs(bx0 - x0) <= 400 and abs(by0 - y0) <= 400) where place <= {k} and d2 <= 40000"""
+_NEAR = """select bid, v % 100000000 as fkey, v // 100000000 as d2, place from (select bid, unnest(vs) as v, generate_subscripts(vs, 1) as place from
+  (select bid, min(((bx0 - x0) * (bx0 - x0) + (by0 - y0) * (by0 - y0)) * 100000000 + fkey, {k}) as vs from bld, geo group by bid))"""
 
 
 def _near(spark, sf, k):
     b, g = fx.bld(spark, sf).select("bid", "bx0", "by0"), fx.geo(spark, sf).select("fkey", "x0", "y0")
-    return spatial.nearest(b, g, k, "bid", "fkey", "bx0", "by0", "x0", "y0", 200, 1).where("proved").select("bid", "fkey", "d2", F.col("place").cast("long").alias("place"))
+    return spatial.nearest(b, g, k, "bid", "fkey", "bx0", "by0", "x0", "y0").select("bid", "fkey", "d2", F.col("place").cast("long").alias("place"))
 
 
 @query("jn_16_nearest", fx.sql(_NEAR.format(k=1), "bld", "geo"))
@@ -173,10 +173,15 @@ def jn_23(spark, sf):
 @query("jn_24_token_overlap", """select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) * 1.0 / len(list_distinct(string_split(a.p_name, ' '))), 6) as share
   from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey where len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) * 2 >= len(list_distinct(string_split(a.p_name, ' ')))""")
 def jn_24(spark, sf):
+    """Pairs are met through their rarest words only: of n words, half at least are shared, so one of the first n // 2 + 1 is."""
     p = fx.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_type", F.col("w").alias("wa")), p.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", F.col("w").alias("wb"))
+    word = p.select("p_partkey", "p_brand", "p_type", F.explode("w").alias("t"))
+    often = word.groupBy("p_brand", "p_type", "t").agg(F.count("*").alias("f"))
+    ranked = word.join(often, ["p_brand", "p_type", "t"]).groupBy("p_partkey", "p_brand", "p_type").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))  # the words of one name
+    head = ranked.select("p_brand", "p_type", F.col("p_partkey").alias("a"), F.transform("r", lambda x: x["t"]).alias("wa"), F.explode(F.expr("slice(r, 1, size(r) div 2 + 1)")).alias("h")).select("p_brand", "p_type", "a", "wa", F.col("h.t").alias("t"))
+    b = word.join(p.select(F.col("p_partkey"), F.col("w").alias("wb")), "p_partkey").select("p_brand", "p_type", "t", F.col("p_partkey").alias("b"), "wb")
     n = F.size(F.array_intersect("wa", "wb"))
-    return a.join(b, ["p_brand", "p_type"]).where((F.col("a") < F.col("b")) & (n * 2 >= F.size("wa"))).select("a", "b", F.round(n / F.size("wa"), 6).alias("share"))
+    return head.join(b, ["p_brand", "p_type", "t"]).where((F.col("a") < F.col("b")) & (n * 2 >= F.size("wa"))).select("a", "b", F.round(n / F.size("wa"), 6).alias("share")).distinct()
 
 
 @query("jn_25_boundary_clip", fx.sql("select fkey from geo where (x0 + x1) / 2.0 between 1000 and 6000 and (y0 + y1) / 2.0 between 300 and 1500", "geo"))
@@ -228,12 +233,23 @@ def sp_36(spark, sf):
     return components.connected(_pairs(spark, sf).where("o_custkey % 3 = gcust % 3").select(F.col("fkey").alias("u"), F.col("gkey").alias("v")))
 
 
-@query("sp_40_split_merge", None)
+_TOUCH = "x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1"
+
+
+@query("sp_40_split_merge", "with recursive " + fx.sql("""select root, count(*) as n, cast(sum(land) as bigint) as land, cast(sum(impr) as bigint) as impr, arg_max(fkey, [land + impr, -fkey]) as lead from
+  (select c.root, roll.fkey, land, impr, max(impr) over (partition by c.root) as most from roll join (select node, min(root) as root from reach group by node) c on roll.fkey = c.node) group by root, most
+  having count(*) >= 2 and sum(impr) > 100000 and coalesce(sum(land) filter (where impr <= greatest(1000, 0.02 * most)), 0) > 0 and most >= 0.55 * greatest(sum(impr), 1)""", "geo", "roll", more=_OTHER + f""",
+ two as (select fkey as u, gkey as v from geo join other on o_custkey % 20 = gcust % 20 and fkey < gkey and {_TOUCH} union select gkey, fkey from geo join other on o_custkey % 20 = gcust % 20 and fkey < gkey and {_TOUCH}),
+ reach(node, root) as (select u, least(u, v) from two union select two.u, reach.root from two join reach on two.v = reach.node where reach.root < two.u)""")[5:])
 def sp_40(spark, sf):
-    """Components of one owner's touching parcels that carry one dominant and one nearly empty part, merged."""
+    """Components of one owner's touching parcels that carry one dominant and a nearly empty part with land, merged."""
     root = components.connected(_pairs(spark, sf, touch=True).where("o_custkey % 20 = gcust % 20").select(F.col("fkey").alias("u"), F.col("gkey").alias("v")))
-    g = fx.roll(spark, sf).join(root.withColumnRenamed("node", "fkey"), "fkey").groupBy("root").agg(F.count("*").alias("n"), F.sum("land").alias("land"), F.sum("impr").alias("impr"), F.max("impr").alias("most"), F.min("impr").alias("least"))
-    return g.where((F.col("impr") > 100_000) & (F.col("most") >= F.col("impr") * 0.55) & (F.col("least") <= F.greatest(F.lit(1000), F.col("impr") * 0.02))).select("root", "n", "land", "impr")
+    m = fx.roll(spark, sf).join(root.withColumnRenamed("node", "fkey"), "fkey")
+    most = m.groupBy("root").agg(F.max("impr").alias("most"))
+    empty = F.col("impr") <= F.greatest(F.lit(1000.0), F.col("most") * 0.02)
+    lead = F.max_by("fkey", F.struct(F.col("land") + F.col("impr"), -F.col("fkey")))
+    g = m.join(most, "root").groupBy("root", "most").agg(F.count("*").alias("n"), F.sum("land").alias("land"), F.sum("impr").alias("impr"), lead.alias("lead"), F.coalesce(F.sum(F.when(empty, F.col("land"))), F.lit(0)).alias("spare"))
+    return g.where((F.col("n") >= 2) & (F.col("impr") > 100_000) & (F.col("spare") > 0) & (F.col("most") >= F.greatest("impr", F.lit(1)) * 0.55)).select("root", "n", "land", "impr", "lead")
 
 
 @query("sp_43_condo_allocation", fx.sql("""select fkey, l_partkey, l_suppkey, total, round(total + case when ut > 0 then total * 1.0 / ut else 1.0 / n end * coalesce(b.v, 0), 4) as value from
@@ -253,15 +269,20 @@ def sp_30(spark, sf):
     return hit.groupBy("fkey", "area").agg(part("house").alias("real"), part("parking", "garage").alias("struct"), part("roof").alias("canopy")).drop("area")
 
 
-@query("cs_08_waterfall", fx.sql("""select lot, case when lot % 13 = 0 and a <= 20000 then 'excluded' when p_type like '%BRASS' then 'structure' when p_size % 7 >= 6 then 'structure' when lot % 10 / 10.0 >= 0.9 then 'structure'
-  when lot % 100 / 100.0 >= 0.85 then 'structure' when lot % 100 / 100.0 >= 0.4 and a > 80000 then 'surface' when lot % 100 / 100.0 >= 0.4 then 'uncertain' else 'surface' end as parking_type from (select *, (x1 - x0) * (y1 - y0) * 11 as a from lot)""", "lot"))
+@query("cs_08_waterfall", fx.sql("""select lot, case when fuel and a <= 20000 then 'excluded' when tagged then 'structure' when struct >= 0.3 then 'structure' when real >= 0.85 then 'structure' when real >= 0.4 and a > 80000 then 'surface' when real >= 0.4 then 'uncertain' else 'surface' end as parking_type,
+  case when fuel and a <= 20000 or tagged or struct >= 0.3 or real >= 0.85 then 'high' when real >= 0.4 and a > 80000 then 'medium' when real >= 0.4 then 'low' when tag = 'surface' or real < 0.05 then 'high' else 'medium' end as confidence,
+  case when fuel and a <= 20000 then 'osm_fuel' when tagged then 'osm_tag' when struct >= 0.3 then 'overture_class' when real >= 0.4 then 'building_overlap' when tag = 'surface' then 'osm_tag' else 'building_overlap' end as source from
+  (select *, tag in ('multi-storey', 'multistorey', 'underground', 'rooftop') or building in ('parking', 'garage', 'garages') or coalesce(levels >= 2, false) as tagged from (select lot, (x1 - x0) * (y1 - y0) * 31 as a, lot % 13 = 0 as fuel, lot % 100 / 100.0 as real,
+   case when lot % 10 = 9 then 0.9 else 0.0 end as struct, case p_size % 11 when 0 then 'multi-storey' when 1 then 'rooftop' when 2 then 'surface' when 3 then 'multistorey' else '' end as tag, case when p_type like '%BRASS' then 'garage' else 'yes' end as building, case when p_size % 7 = 6 then 2 when p_size % 7 = 5 then 1 end as levels from lot))""", "lot"))
 def cs_08(spark, sf):
-    l = fx.lot(spark, sf).withColumn("a", metrics.rect_area(*GEO) * 11)
-    tag = F.when(F.col("p_type").endswith("BRASS"), "multi-storey").otherwise("surface")
-    levels = F.when(F.col("p_size") % 7 >= 6, 2).otherwise(1)
-    struct = F.when(F.col("lot") % 10 / 10.0 >= 0.9, 0.9).otherwise(0.0)
-    out = classify.waterfall(F.col("lot") % 13 == 0, tag, levels, struct, F.col("lot") % 100 / 100.0, F.col("a"))
-    return l.select("lot", out["parking_type"].alias("parking_type"))
+    l = fx.lot(spark, sf).withColumn("a", metrics.rect_area(*GEO) * 31)
+    size = F.col("p_size")
+    tag = classify.first_match([(size % 11 == i, t) for i, t in enumerate(("multi-storey", "rooftop", "surface", "multistorey"))], "")
+    building = F.when(F.col("p_type").endswith("BRASS"), "garage").otherwise("yes")
+    levels = F.when(size % 7 == 6, 2).when(size % 7 == 5, 1)
+    struct = F.when(F.col("lot") % 10 == 9, 0.9).otherwise(0.0)
+    out = classify.waterfall(F.col("lot") % 13 == 0, tag, building, levels, struct, F.col("lot") % 100 / 100.0, F.col("a"))
+    return l.select("lot", out.alias("o")).select("lot", "o.*")
 
 
 @query("sp_25_grid_aggregate", fx.sql("""select ix, iy, cast(sum(piece) as bigint) as area, round(sum(land * piece * 1.0 / area), 4) as land, round(100.0 * sum(case when exempt = 1 then piece else 0 end) / sum(piece), 4) as exempt_pct from

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terraledger.operators import metrics, quality, regions, spatial, stats
+from terraledger.operators import metrics, quality, ranks, regions, spatial, stats
 from terraledger.plans import fixtures as fx
 from terraledger.plans.registry import query
 
@@ -14,7 +14,7 @@ GEO, BLD, LOT = ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1"), ("lx0",
 
 @query("sx_01_percentile", fx.sql("select round(quantile_cont(land, 0.5), 6) as p50, round(quantile_cont(land, 0.99), 6) as p99 from roll where land > 0", "roll"))
 def sx_01(spark, sf):
-    p = fx.roll(spark, sf).where("land > 0").agg(stats.percentiles("land", [50, 99]).alias("p"))
+    p = ranks.percentiles(fx.roll(spark, sf).where("land > 0"), ["land"], [50, 99])
     return p.select(F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p99"))
 
 
@@ -24,14 +24,14 @@ def _qs(ps):
 
 @query("sx_02_quantile_breaks", fx.sql(f"select i, round(b, 6) as b from (select unnest(list_sort(list_distinct(q))) as b, generate_subscripts(list_sort(list_distinct(q)), 1) as i from (select quantile_cont(land, [{_qs([20, 40, 60, 80])}]) as q from roll))", "roll"))
 def sx_02(spark, sf):
-    b = fx.roll(spark, sf).agg(stats.breaks("land", 5).alias("b"))
+    b = ranks.percentiles(fx.roll(spark, sf), ["land"], stats.break_stops(5)).select(stats.rising(F.col("p")).alias("b"))
     return b.select(F.posexplode("b").alias("i", "b")).select((F.col("i") + 1).cast("long").alias("i"), F.round("b", 6).alias("b"))
 
 
-@query("sx_03_ramp_breaks", fx.sql(f"select i, round(b, 6) as b from (select unnest(q) as b, generate_subscripts(q, 1) as i from (select quantile_cont(total, [{_qs(stats.RAMP)}]) as q from roll))", "roll"))
+@query("sx_03_ramp_breaks", fx.sql(f"select i, round(b, 6) as b from (select unnest(q) as b, generate_subscripts(q, 1) as i from (select quantile_cont(total, [0.08, 0.2, 0.35, 0.5, 0.65, 0.8, 0.93, 0.995]) as q from roll))", "roll"))
 def sx_03(spark, sf):
-    b = fx.roll(spark, sf).agg(stats.percentiles("total", stats.RAMP).alias("b"))
-    return b.select(F.posexplode("b").alias("i", "b")).select((F.col("i") + 1).cast("long").alias("i"), F.round("b", 6).alias("b"))
+    b = ranks.percentiles(fx.roll(spark, sf), ["total"], stats.RAMP)
+    return b.select(F.posexplode("p").alias("i", "b")).select((F.col("i") + 1).cast("long").alias("i"), F.round("b", 6).alias("b"))
 
 
 @query("sx_04_fallback_breaks", fx.sql("select i, round(lo + (hi - lo) * i / 5.0, 6) as b from (select min(land) as lo, max(land) as hi from roll), range(1, 5) t(i)", "roll"))
@@ -49,8 +49,8 @@ def sx_05(spark, sf):
 
 @query("sx_06_colour_domain", fx.sql("select category, round(coalesce(quantile_cont(land, 0.01), 0), 6) as lo, round(coalesce(quantile_cont(land, 0.999), max(land), 1), 6) as hi from roll group by category", "roll"))
 def sx_06(spark, sf):
-    p = fx.roll(spark, sf).groupBy("category").agg(stats.percentiles("land", [1, 99.9]).alias("p"), F.max("land").alias("m"))
-    return p.select("category", F.round(F.coalesce(F.col("p")[0], F.lit(0)), 6).alias("lo"), F.round(F.coalesce(F.col("p")[1], "m", F.lit(1)), 6).alias("hi"))
+    p = ranks.percentiles(fx.roll(spark, sf), ["land"], [1, 99.9, 100], ["category"])
+    return p.select("category", F.round(F.coalesce(F.col("p")[0], F.lit(0)), 6).alias("lo"), F.round(F.coalesce(F.col("p")[1], F.col("p")[2], F.lit(1)), 6).alias("hi"))
 
 
 @query("sx_07_step_bins", fx.sql("select bin, count(*) as n from (select case when land >= 80000 then 4 when land >= 40000 then 3 when land >= 20000 then 2 when land >= 10000 then 1 else 0 end as bin from roll) group by bin", "roll"))
@@ -64,33 +64,30 @@ def sx_08(spark, sf):
     return fx.roll(spark, sf).select("fkey", F.round(stats.ramp(F.col("land"), [(0, 0), (50000, 10), (200000, 100)]), 6).alias("v"))
 
 
-@query("sx_09_mad_cap", fx.sql("""select max(case when s.scale = 0 or abs(l - mid) <= 3 * s.scale then v end) as cap, count(*) filter (where not (s.scale = 0 or abs(l - mid) <= 3 * s.scale)) as outliers from (select ln(1 + land) as l, land as v from roll where land >= 0) x,
-  (select quantile_cont(ln(1 + land), 0.5) as mid from roll where land >= 0) m, (select quantile_cont(abs(ln(1 + land) - mid), 0.5) * 1.4826 as scale from roll, (select quantile_cont(ln(1 + land), 0.5) as mid from roll where land >= 0) where land >= 0) s""", "roll"))
+@query("sx_09_mad_cap", fx.sql("""select max(case when s.scale > 0 and abs(l - mid) <= 3 * s.scale then v end) as cap, count(*) filter (where s.scale > 0 and abs(l - mid) > 3 * s.scale) as outliers from (select ln(1 + greatest(v, 0)) as l, v from lv) x,
+  (select quantile_cont(ln(1 + greatest(v, 0)), 0.5) as mid from lv) m, (select quantile_cont(abs(ln(1 + greatest(v, 0)) - mid), 0.5) * 1.4826 as scale from lv, (select quantile_cont(ln(1 + greatest(v, 0)), 0.5) as mid from lv)) s""", "roll", more="lv as (select land - 3000 as v from roll)"))
 def sx_09(spark, sf):
-    return stats.mad_cap(fx.roll(spark, sf), "land", 3)
+    return stats.mad_cap(fx.roll(spark, sf).select((F.col("land") - 3000).alias("v")), "v", 3)
 
 
-@query("sx_11_height_autoscale", fx.sql("""select unit, round(1000 / (f * p99), 8) as multiplier from (select quantile_cont(total, 0.99) as p99 from roll), (values ('m', 1.0), ('ft', 0.3048), ('km', 1000.0)) t(unit, f)
-  order by case when 1000 / (f * p99) between 1 and 100 then 0 else 1 end, abs(log10(1000 / (f * p99)) - 1), unit limit 1""", "roll"))
+@query("sx_11_height_autoscale", fx.sql("""select unit, round(m, 8) as multiplier from (select unit, 1000 / (f * p99) as m from (select quantile_cont(total, 0.99) as p99 from roll), (values ('centimeters', 0.01), ('meters', 1.0), ('kilometers', 1000.0)) t(unit, f))
+  order by case when m between 1 and 100 then abs(log10(greatest(1e-12, m)) - 1) else 1000000 + least(abs(m - 1), abs(m - 100)) * 1000 end, list_position(['centimeters', 'meters', 'kilometers'], unit) limit 1""", "roll"))
 def sx_11(spark, sf):
-    p = fx.roll(spark, sf).agg(F.expr("percentile(total, 0.99)").alias("p99"))
-    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(f).alias("f")) for u, f in (("m", 1.0), ("ft", 0.3048), ("km", 1000.0))]))
-    m = p.select("p99", units.alias("u")).select("u.unit", (F.lit(1000) / (F.col("u.f") * F.col("p99"))).alias("m"))
-    score = F.struct(F.when(F.col("m").between(1, 100), 0).otherwise(1), F.abs(F.log10("m") - 1), F.col("unit"))
-    return m.agg(F.min_by(F.struct("unit", "m"), score).alias("b")).select("b.unit", F.round("b.m", 8).alias("multiplier"))
+    p = ranks.percentiles(fx.roll(spark, sf), ["total"], [99]).select(F.col("p")[0].alias("p99"))
+    units = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(u).alias("unit"), F.lit(f).alias("f")) for i, (u, f) in enumerate(stats.UNITS)]))
+    m = p.select("p99", units.alias("u")).select("u.i", "u.unit", (F.lit(stats.CAP_METERS) / (F.col("u.f") * F.col("p99"))).alias("m"))
+    return m.agg(F.min_by(F.struct("unit", "m"), F.struct(stats.unit_score(F.col("m")), "i")).alias("b")).select("b.unit", F.round("b.m", 8).alias("multiplier"))
 
 
 @query("sx_12_render_percentiles", fx.sql("select field, round(p20, 6) as p20, round(p50, 6) as p50, round(p99, 6) as p99 from (" + " union all ".join(f"select '{c}' as field, quantile_cont({c}, 0.2) as p20, quantile_cont({c}, 0.5) as p50, quantile_cont({c}, 0.99) as p99 from roll" for c in ("land", "impr", "total")) + ")", "roll"))
 def sx_12(spark, sf):
-    cols = ("land", "impr", "total")
-    one = fx.roll(spark, sf).agg(*[stats.percentiles(c, [20, 50, 99]).alias(c) for c in cols])
-    long = one.select(F.expr("stack(3, {})".format(", ".join(f"'{c}', {c}" for c in cols))).alias("field", "p"))
-    return long.select("field", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p20", "p50", "p99"))])
+    p = ranks.percentiles(fx.roll(spark, sf), ["land", "impr", "total"], [20, 50, 99])
+    return p.select("field", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p20", "p50", "p99"))])
 
 
 @query("sx_13_category_breaks", fx.sql("select category, round(quantile_cont(impr, 0.25), 6) as q1, round(quantile_cont(impr, 0.75), 6) as q3 from roll where impr >= 0 group by category having count(*) >= 2", "roll"))
 def sx_13(spark, sf):
-    p = fx.roll(spark, sf).where("impr >= 0").groupBy("category").agg(stats.percentiles("impr", [25, 75]).alias("p"), F.count("*").alias("n")).where("n >= 2")
+    p = ranks.percentiles(fx.roll(spark, sf).where("impr >= 0"), ["impr"], [25, 75], ["category"]).where("n >= 2")
     return p.select("category", F.round(F.col("p")[0], 6).alias("q1"), F.round(F.col("p")[1], 6).alias("q3"))
 
 
@@ -106,31 +103,53 @@ def sx_15(spark, sf):
     return fx.table(spark, sf, "events").groupBy("user_id").agg(stats.nearest_rank("value", 0.5).alias("mid"), stats.nearest_rank("value", 0.95).alias("p95"))
 
 
-_KNN = """near as (select fkey, gkey, d2, row_number() over (partition by fkey order by d2, gkey) as place from (select a.fkey, b.fkey as gkey, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) as d2
-  from geo a join geo b on abs(a.x0 - b.x0) <= 400 and abs(a.y0 - b.y0) <= 400) where d2 > 0 and d2 <= 40000)"""
+def _knn(who, donors, k):
+    """SQL: the k nearest donors of each row of ``who``: fkey, gkey, d2; ties go to the smaller key."""
+    return f"""near as (select fkey, v % 100000000 as gkey, v // 100000000 as d2 from (select fkey, unnest(vs) as v from
+  (select a.fkey, min(((a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0)) * 100000000 + b.fkey, {k}) as vs from {who} a, {donors} b where a.fkey <> b.fkey group by a.fkey)))"""
 
 
-def _neighbours(spark, sf, k):
-    a = fx.geo(spark, sf).select("fkey", "x0", "y0")
-    b = a.select(F.col("fkey").alias("gkey"), F.col("x0").alias("gx"), F.col("y0").alias("gy"))
-    near = spatial.nearest(a, b, 10_000, "fkey", "gkey", "x0", "y0", "gx", "gy", 200, 1).where("d2 > 0 and proved")
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("fkey").orderBy("d2", "gkey"))).where(F.col("place") <= k).select("fkey", "gkey", "d2")
+def _neighbours(who, donors, k):
+    """fkey, gkey, d2: the k nearest donors of each parcel."""
+    b = donors.select(F.col("fkey").alias("gkey"), F.col("x0").alias("gx"), F.col("y0").alias("gy"))
+    return spatial.nearest(who.select("fkey", "x0", "y0"), b, k, "fkey", "gkey", "x0", "y0", "gx", "gy", others=True).select("fkey", "gkey", "d2")
 
 
-@query("sx_16_knn_smoothing", fx.sql("""select p.fkey, round(0.25 * p.land + 0.75 * sum(q.land / greatest(sqrt(d2), 10)) / sum(1 / greatest(sqrt(d2), 10)), 4) as v from near join roll p on near.fkey = p.fkey join roll q on near.gkey = q.fkey where place <= 10 group by p.fkey, p.land""", "roll", "geo", more=_KNN))
+@query("sx_16_knn_smoothing", fx.sql("""select p.fkey, round(case when s.v is null then p.v when p.v is null then s.v else 0.25 * p.v + 0.75 * s.v end, 4) as v from rate p left join
+  (select near.fkey, sum(q.v / greatest(sqrt(d2), 10)) / sum(case when q.v is not null then 1 / greatest(sqrt(d2), 10) end) as v from near join rate q on near.gkey = q.fkey group by near.fkey) s on p.fkey = s.fkey""", "par", more="rate as (select fkey, x0, y0, case when land > 0 then land * 1.0 / area end as v from par), " + _knn("rate", "rate", 10)))
 def sx_16(spark, sf):
-    r = fx.roll(spark, sf).select("fkey", "land")
-    n = _neighbours(spark, sf, 10).join(r.select(F.col("fkey").alias("gkey"), F.col("land").alias("other")), "gkey").join(r, "fkey")
-    w = F.lit(1) / F.greatest(F.sqrt("d2"), F.lit(10))
-    return n.groupBy("fkey", "land").agg((F.sum(F.col("other") * w) / F.sum(w)).alias("s")).select("fkey", F.round(F.col("land") * 0.25 + F.col("s") * 0.75, 4).alias("v"))
+    """Land rates drawn to the weighted mean of the ten nearest; those of unknown value are left out after the choice."""
+    r = fx.par(spark, sf).select("fkey", "x0", "y0", F.when(F.col("land") > 0, F.col("land") / F.col("area")).alias("v"))
+    other = r.select(F.col("fkey").alias("gkey"), F.col("v").alias("other"))
+    w = F.when(F.col("other").isNotNull(), F.lit(1) / F.greatest(F.sqrt("d2"), F.lit(10)))
+    s = _neighbours(r, r, 10).join(other, "gkey").groupBy("fkey").agg((F.sum(F.col("other") * w) / F.sum(w)).alias("s"))
+    v = F.when(F.col("s").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("s")).otherwise(F.col("v") * 0.25 + F.col("s") * 0.75)
+    return r.join(s, "fkey", "left").select("fkey", F.round(v, 4).alias("v"))
 
 
-@query("sx_17_knn_impute", fx.sql("select p.fkey, round(least(quantile_cont(q.land, 0.5), 0.7 * p.total), 4) as imputed from near join roll p on near.fkey = p.fkey join roll q on near.gkey = q.fkey where place <= 15 and p.land * 5 < p.total group by p.fkey, p.total, p.land having least(quantile_cont(q.land, 0.5), 0.7 * p.total) > p.land", "roll", "geo", more=_KNN))
+@query("sx_17_knn_impute", fx.sql("""select fkey, round(round(least(rate * area, 0.7 * total), 6)) as imputed from (select p.fkey, p.land, p.total, p.area, quantile_cont(q.land * 1.0 / q.area, 0.5) as rate from near join par p on near.fkey = p.fkey join par q on near.gkey = q.fkey group by p.fkey, p.land, p.total, p.area)
+  where least(rate * area, 0.7 * total) > land""", "par", more="poor as (select * from par where land * 5 < total), donor as (select * from par where land > 0 and land * 5 >= total and area >= 500), " + _knn("poor", "donor", 15)))
 def sx_17(spark, sf):
-    r = fx.roll(spark, sf).select("fkey", "land", "total")
-    n = _neighbours(spark, sf, 15).join(r.where("land * 5 < total"), "fkey").join(r.select(F.col("fkey").alias("gkey"), F.col("land").alias("other")), "gkey")
-    m = n.groupBy("fkey", "total", "land").agg(F.expr("percentile(other, 0.5)").alias("mid")).withColumn("v", F.least("mid", F.col("total") * 0.7))
-    return m.where("v > land").select("fkey", F.round("v", 4).alias("imputed"))
+    """Land of parcels with hardly any, at the median rate of 15 donors, at most 0.7 of the total and only where it is more."""
+    p = fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area")
+    donors = p.where("land > 0 and land * 5 >= total and area >= 500")
+    near = _neighbours(p.where("land * 5 < total"), donors, 15)
+    rates = near.join(donors.select(F.col("fkey").alias("gkey"), (F.col("land") / F.col("area")).alias("r")), "gkey").groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("rate"))  # 15 values a parcel
+    v = F.least(F.col("rate") * F.col("area"), F.col("total") * 0.7)
+    return p.join(rates, "fkey").withColumn("v", v).where("v > land").select("fkey", F.round(F.round("v", 6)).alias("imputed"))
+
+
+@query("sx_18_resplit", fx.sql("""select fkey, land as was, cast(least(round(round(mid * area, 6)), total) as bigint) as land, total - cast(least(round(round(mid * area, 6)), total) as bigint) as impr from
+  (select p.fkey, p.land, p.total, p.area, quantile_cont(q.land * 1.0 / q.area, 0.5) as mid from near join par p on near.fkey = p.fkey join par q on near.gkey = q.fkey group by p.fkey, p.land, p.total, p.area) where land * 1.0 / area / mid > 3""", "par",
+  more="merged as (select * from par where n >= 4), donor as (select * from par where n < 4 and land > 0 and area >= 500 and category <> 'NO'), " + _knn("merged", "donor", 15)))
+def sx_18(spark, sf):
+    """Merged parcels whose land rate is over three times their neighbours' median get that rate; the total stays."""
+    p = fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area", "n", "category")
+    merged, donors = p.where("n >= 4"), p.where("n < 4 and land > 0 and area >= 500 and category <> 'NO'")
+    rates = _neighbours(merged, donors, 15).join(donors.select(F.col("fkey").alias("gkey"), (F.col("land") / F.col("area")).alias("r")), "gkey").groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("mid"))
+    hot = merged.join(rates, "fkey").where(F.col("land") / F.col("area") / F.col("mid") > 3)
+    new = F.least(F.round(F.round(F.col("mid") * F.col("area"), 6)), F.col("total")).cast("bigint")
+    return hot.select("fkey", F.col("land").alias("was"), new.alias("land"), (F.col("total") - new).alias("impr"))
 
 
 @query("sx_20_opacity", "select z, round(case when z <= 9 then 0.2 when z <= 13 then 0.2 + (z - 9) * 0.8 / 4 else 1 end, 6) as opacity from range(5, 17) t(z)")

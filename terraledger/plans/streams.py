@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terraledger.operators import classify
+from terraledger.operators import classify, ranks
 from terraledger.plans import fixtures as fx
 from terraledger.plans.registry import query
 from terraledger.streaming import telemetry
@@ -33,10 +33,14 @@ def sm_03(spark, sf):
     return telemetry.episodes(_events(spark, sf), "user_id", ["ts", "event_id"], F.col("value") > 60)
 
 
-@query("sm_05_report", "select event_type, user_id % 3 as band, list_sort(list(value))[cast(floor(count(*) / 2) as bigint) + 1] as mid, count(*) as n from events group by 1, 2")
+@query("sm_05_report", "select event_type, user_id % 3 as band, list_sort(list(value))[cast(floor(count(value) / 2) as bigint) + 1] as mid, count(value) as n from events group by 1, 2")
 def sm_05(spark, sf):
-    xs = F.sort_array(F.collect_list("value"))
-    return _events(spark, sf).groupBy("event_type", (F.col("user_id") % 3).alias("band")).agg(F.element_at(xs, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("mid"), F.count("*").alias("n"))
+    """The middle value of few large groups: the one whose ranks hold floor(n / 2)."""
+    e = _events(spark, sf).select("event_type", (F.col("user_id") % 3).alias("band"), "value")
+    d = ranks.distribution(e, ["value"], ["event_type", "band"])
+    n = d.groupBy("event_type", "band").agg(F.sum("n").alias("total"))
+    half = F.floor(F.col("total") / 2)
+    return d.join(F.broadcast(n), ["event_type", "band"]).where((half >= F.col("before")) & (half < F.col("before") + F.col("n"))).select("event_type", "band", F.col("value").alias("mid"), F.col("total").alias("n"))
 
 
 @query("sm_06_rate_limit", "select user_id, time_bucket(interval 1 day, ts) as start, count(*) as n, count(*) - 3 as rejected from events group by 1, 2 having count(*) > 3")
@@ -92,10 +96,12 @@ def sc_21(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.substring("html", 1, 10).alias("a"), F.trim(F.substring("html", 11, 20)).alias("b"), F.length("html").cast("long").alias("n"))
 
 
-@query("sc_22_record_parse", "select page_id, n, left(part, 30) as head from (select page_id, unnest(string_split(html, '<p>')) as part, generate_subscripts(string_split(html, '<p>'), 1) as n from pages) where n > 1")
+@query("sc_22_record_parse", "select page_id, n, part, len(regexp_extract_all(part, '[A-Za-z]+')) as words, regexp_extract(part, '[0-9]+') as number from (select page_id, unnest(string_split(html, '<p>')) as part, generate_subscripts(string_split(html, '<p>'), 1) as n from pages) where n > 1")
 def sc_22(spark, sf):
+    """Records of a text layout: the whole record, its number of words and its first number."""
     p = fx.table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", "<p>")).alias("i", "part"))
-    return p.where("i > 0").select("page_id", (F.col("i") + 1).cast("long").alias("n"), F.substring("part", 1, 30).alias("head"))
+    words = F.size(F.regexp_extract_all("part", F.lit("[A-Za-z]+"), 0)).cast("long")
+    return p.where("i > 0").select("page_id", (F.col("i") + 1).cast("long").alias("n"), "part", words.alias("words"), F.regexp_extract("part", "[0-9]+", 0).alias("number"))
 
 
 @query("sc_26_best_image", "select p_brand, p_partkey from (select *, row_number() over (partition by p_brand order by p_size, p_partkey desc) as r from part) where r = 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraledger.functions import scalar
-from terraledger.operators import classify, components, metrics, stats
+from terraledger.operators import classify, components, metrics, ranks, spatial, stats
 from terraledger.streaming import telemetry
 
 
@@ -17,35 +17,71 @@ def test_ratios_with_zero_land(spark):
     assert (r["total"], r["impr_land_ratio"], r["impr_land_pct"], r["impr_pct_total"]) == (5, None, None, 100)
 
 
-@pytest.mark.parametrize(("category", "land", "impr", "want"), [
-    ("Vacant Parking", 1.0, 9.0, "Vacant"), ("Parking Garage", 9.0, 1.0, "Underdeveloped"), ("Single Family", 66.0, 34.0, None),
-    ("Single Family", 67.0, 33.0, "Underdeveloped"), ("Shop", 50.0, 50.0, "Underdeveloped"), ("Parking Lot", 1.0, 9.0, "Parking Lot")])
-def test_refined_precedence(spark, category, land, impr, want):
-    got = one(spark, "c string, l double, i double", [(category, land, impr)], classify.refined(F.col("c"), F.col("l"), F.col("i")))
+@pytest.mark.parametrize(("category", "land", "impr", "built", "foot", "code", "want"), [
+    ("Vacant Parking", 1.0, 9.0, 0.0, False, "", "Vacant"), ("Parking Garage", 9.0, 1.0, 0.0, False, "", "Underdeveloped"), ("Single Family", 66.0, 34.0, 0.0, False, "", None),
+    ("Single Family", 67.0, 33.0, 0.0, False, "", "Underdeveloped"), ("Single Family Home", 60.0, 40.0, 0.0, False, "", "Underdeveloped"), ("Shop", 50.0, 50.0, 0.0, False, None, "Underdeveloped"),
+    ("Parking Lot", 1.0, 9.0, 0.0, False, "", "Parking Lot"), ("Shop", 5.0, 0.0, 0.0, False, "", "Vacant"), ("Shop", 5.0, None, None, False, None, "Vacant"), ("Shop", 5.0, 0.0, 10.0, False, "", None),
+    ("Shop", 5.0, 0.0, 0.0, True, "", None), ("Shop", 5.0, 0.0, 0.0, False, "X9", None), ("Shop", 5.0, 0.0, 0.0, False, "1D1", None), ("Utility", 5.0, 0.0, 0.0, False, "", None)])
+def test_refined_precedence(spark, category, land, impr, built, foot, code, want):
+    cols = [F.col(x) for x in "clibfs"]
+    got = one(spark, "c string, l double, i double, b double, f boolean, s string", [(category, land, impr, built, foot, code)], classify.refined(*cols))
     assert got == [(want,)]
 
 
-@pytest.mark.parametrize(("overlap", "area", "want"), [(0.5, 80_001, ("surface", "medium")), (0.5, 80_000, ("uncertain", "low")), (0.9, 10, ("structure", "medium")), (0.0, 10, ("surface", "high"))])
-def test_waterfall_gates(spark, overlap, area, want):
-    w = classify.waterfall(F.lit(False), F.lit("x"), F.lit(1), F.lit(0.0), F.col("o"), F.col("a"))
-    assert one(spark, "o double, a int", [(overlap, area)], w["parking_type"], w["confidence"]) == [want]
+@pytest.mark.parametrize(("tag", "building", "levels", "overlap", "area", "want"), [
+    ("x", None, None, 0.5, 80_001, ("surface", "medium", "building_overlap")), ("x", None, None, 0.5, 80_000, ("uncertain", "low", "building_overlap")), ("x", None, 1, 0.9, 10, ("structure", "high", "building_overlap")),
+    (None, None, None, 0.0, 10, ("surface", "high", "building_overlap")), (None, None, None, 0.2, 10, ("surface", "medium", "building_overlap")), ("surface", None, None, 0.2, 10, ("surface", "high", "osm_tag")),
+    ("Rooftop", None, None, 0.0, 10, ("structure", "high", "osm_tag")), ("x", "garages", None, 0.0, 10, ("structure", "high", "osm_tag")), ("x", None, 2, 0.0, 10, ("structure", "high", "osm_tag"))])
+def test_waterfall_gates(spark, tag, building, levels, overlap, area, want):
+    w = classify.waterfall(F.lit(False), F.col("t"), F.col("b"), F.col("l"), F.lit(0.0), F.col("o"), F.col("a"))
+    assert one(spark, "t string, b string, l int, o double, a int", [(tag, building, levels, overlap, area)], w["parking_type"], w["confidence"], w["source"]) == [want]
 
 
 def test_fuel_gate(spark):
-    w = classify.waterfall(F.lit(True), F.lit("x"), F.lit(1), F.lit(0.0), F.lit(0.0), F.col("a"))
+    w = classify.waterfall(F.lit(True), F.lit("x"), F.lit(""), F.lit(1), F.lit(0.0), F.lit(0.0), F.col("a"))
     assert one(spark, "a int", [(20_000,), (20_001,)], w["parking_type"]) == [("excluded",), ("surface",)]
 
 
 def test_breaks_and_bins(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
-    assert df.agg(stats.percentiles("v", [50])).first()[0] == [2.5]
+    assert ranks.percentiles(df, ["v"], [50]).first()["p"] == [2.5]
     same = spark.createDataFrame([(7.0,)] * 9, "v double")
-    assert same.agg(stats.breaks("v", 5)).first()[0] == [7.0]
-    assert stats.mad_cap(same, "v", 3).first()["cap"] == 7.0
+    assert ranks.percentiles(same, ["v"], stats.break_stops(5)).select(stats.rising(F.col("p"))).first()[0] == [7.0]
+    flat = stats.mad_cap(same, "v", 3).first()
+    assert (flat["cap"], flat["outliers"]) == (None, 0)
     cuts = F.array(F.lit(1.0), F.lit(2.0))
     assert [r[0] for r in df.select(stats.step_bin(F.col("v"), cuts)).collect()] == [1, 2, 2, 2]
 
 
+def test_ranks_by_group(spark):
+    rows = [(g, float(v)) for g, n in (("a", 7), ("b", 1), (None, 4)) for v in range(n)] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["p"], r["n"]) for r in ranks.percentiles(df, ["v"], [0, 50, 90, 100], ["g"]).collect()}
+    assert got == {"a": ([0, 3, 5.4, 6], 7), "b": ([0, 0, 0, 0], 1), None: ([0, 1.5, 2.7, 3], 4)}
+    d = df.where("g is not null and v is not null").repartition(3)
+    assert sorted((r["g"], r["place"]) for r in ranks.positions(d, ["g"], ["v"]).collect()) == [("a", i) for i in range(1, 8)] + [("b", 1)]
+
+
+def test_nearest_widens_until_proved(spark):
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1, 0), (5000, 0), (5000, 9), (90_000, 70_000)])]
+    right = spark.createDataFrame(pts, "r long, rx double, ry double")
+    left = spark.createDataFrame([(i + 100, x, y) for i, x, y in pts], "l long, lx double, ly double")
+    got = spatial.nearest(left, right, 3, "l", "r", "lx", "ly", "rx", "ry", size=10).collect()
+    for i, x, y in pts:
+        want = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in pts)[:3]
+        assert [(r["d2"], r["r"]) for r in sorted((r for r in got if r["l"] == i + 100), key=lambda r: r["place"])] == want
+
+
+def test_status_classes(spark):
+    got = one(spark, "s int", [(200,), (401,), (403,), (404,), (408,), (418,), (429,), (500,), (None,)], classify.status(F.col("s")))
+    assert [g[0] for g in got] == [None, "unauthorized", "forbidden", "not_found", "timeout", "client_error", "rate_limited", "server_error", None]
+
+
+def test_compact_money(spark):
+    got = one(spark, "v double", [(1500.0,), (-1_250_000.0,), (2.6e9,), (999.4,)], scalar.compact(F.col("v")))
+    assert [g[0] for g in got] == ["$2K", "$-1.3M", "$2.6B", "$999"]
+
+
 def test_currency(spark):
     got = one(spark, "s string", [("($1,234)",), ("1,234",), ("12 Main",), ("",)], scalar.currency(F.col("s")))
     assert got == [(-1234.0,), (1234.0,), (None,), (None,)]
