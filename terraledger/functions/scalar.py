@@ -17,6 +17,11 @@ def currency(c: Column) -> Column:
     return F.regexp_replace(bare, r"^\((.*)\)$", r"-$1").try_cast("double")
 
 
+def currency_or_text(c: Column) -> Column:
+    """The number in a money text as text, or the text as it is if there is none."""
+    return F.coalesce(currency(c).cast("string"), c)
+
+
 def loose_number(c: Column) -> Column:
     """Null and empty text as 0, as browsers read them; null for other text that is no number."""
     return F.when(c.isNull() | (F.trim(c) == ""), F.lit(0.0)).otherwise(c.try_cast("double"))

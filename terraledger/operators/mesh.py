@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraledger.operators.components import connected
@@ -39,6 +39,38 @@ def stl_lines(triangles: DataFrame) -> DataFrame:
     return triangles.select(F.concat_ws("\n", F.lit("facet normal 0 0 0"), F.lit("outer loop"), v("p1"), v("p2"), v("p3"), F.lit("endloop"), F.lit("endfacet")).alias("value"))
 
 
+def stl_records(triangles: DataFrame) -> DataFrame:
+    """Facets as the 50-byte records of binary STL (little-endian floats), in no order; a head of 80 bytes and the count go before them."""
+    def run(parts):
+        for t in parts:
+            flat = np.zeros(len(t), dtype=[("n", "<f4", 3), ("v", "<f4", 9), ("a", "<u2")])
+            flat["v"] = np.array([[p[k] for p in (a, b, c) for k in "xyz"] for a, b, c in zip(t["p1"], t["p2"], t["p3"], strict=True)], dtype="<f4").reshape(-1, 9)
+            v = flat["v"].reshape(-1, 3, 3)
+            flat["n"] = np.cross(v[:, 1] - v[:, 0], v[:, 2] - v[:, 0])
+            length = np.linalg.norm(flat["n"], axis=1, keepdims=True)
+            flat["n"] = np.divide(flat["n"], length, out=np.zeros_like(flat["n"]), where=length > 0)
+            raw = flat.tobytes()
+            yield pd.DataFrame({"record": [raw[i : i + 50] for i in range(0, len(raw), 50)]})
+
+    return triangles.select("p1", "p2", "p3").mapInPandas(run, "record binary")
+
+
+def obj_lines(triangles: DataFrame) -> DataFrame:
+    """(part, n, value): OBJ text, equal vertices written once: part 0 holds vertices, part 1 faces that name them by number.
+
+    Numbers come from one window over the distinct vertices, so a model for
+    one printer, not a city's parcels, is what this is for.
+    """
+    t = triangles.withColumn("id", F.struct("cell", "face"))
+    v = t.select(F.explode(F.array("p1", "p2", "p3")).alias("p")).distinct()
+    v = v.withColumn("i", F.row_number().over(Window.orderBy("p")))
+    corner = t.select("id", F.posexplode(F.array("p1", "p2", "p3")).alias("k", "p")).join(v, "p")
+    faces = corner.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("c"))
+    names = F.array_join(F.transform("c", lambda x: x["i"].cast("string")), " ")
+    vertices = v.select(F.lit(0).alias("part"), F.col("i").cast("long").alias("n"), F.concat_ws(" ", F.lit("v"), "p.x", "p.y", "p.z").alias("value"))
+    return vertices.unionByName(faces.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("id")).cast("long").alias("n"), F.concat(F.lit("f "), names).alias("value")))
+
+
 def carved(boxes: DataFrame) -> DataFrame:
     """(lot, area, kept): the area left to each rectangle after all larger ones of its overlap cluster (ties: smaller id first).
 

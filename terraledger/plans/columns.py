@@ -266,11 +266,11 @@ def sf_01(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", scalar.number(F.when(e % 3 == 0, F.concat(F.lit("x"), e.cast("string"))).otherwise(e.cast("string"))).alias("v"))
 
 
-@query("sf_02_currency", "select event_id, try_cast(regexp_replace(regexp_replace(s, '[$,\\s]', '', 'g'), '^\\((.*)\\)$', '-\\1') as double) as v from (select event_id, case event_id % 4 when 0 then '($1,' || (100 + event_id % 900) || ')' when 1 then '$ ' || event_id when 2 then '12 Main' else '' end as s from events)")
+@query("sf_02_currency", "select event_id, coalesce(cast(try_cast(regexp_replace(regexp_replace(s, '[$,\\s]', '', 'g'), '^\\((.*)\\)$', '-\\1') as double) as varchar), s) as kept, try_cast(regexp_replace(regexp_replace(s, '[$,\\s]', '', 'g'), '^\\((.*)\\)$', '-\\1') as double) as v from (select event_id, case event_id % 4 when 0 then '($1,' || (100 + event_id % 900) || ')' when 1 then '$ ' || event_id when 2 then '12 Main' else '' end as s from events)")
 def sf_02(spark, sf):
     e = F.col("event_id")
     s = F.when(e % 4 == 0, F.concat(F.lit("($1,"), (e % 900 + 100).cast("string"), F.lit(")"))).when(e % 4 == 1, F.concat(F.lit("$ "), e.cast("string"))).when(e % 4 == 2, "12 Main").otherwise("")
-    return fx.table(spark, sf, "events").select("event_id", scalar.currency(s).alias("v"))
+    return fx.table(spark, sf, "events").select("event_id", scalar.currency_or_text(s).alias("kept"), scalar.currency(s).alias("v"))
 
 
 @query("sf_03_loose_number", "select event_id, case when s is null or trim(s) = '' then 0.0 else try_cast(s as double) end as v from (select event_id, case event_id % 4 when 0 then null when 1 then ' ' when 2 then 'a' else '7.5' end as s from events)")

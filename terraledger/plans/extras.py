@@ -270,10 +270,16 @@ def cs_14(spark, sf):
     return fx.lot(spark, sf).select("lot").join(hit, "lot", "left").select("lot", F.coalesce("e", F.lit(True)).alias("is_exempt"))
 
 
-@query("cs_15_coverage_type", fx.sql("select p_brand, case when bool_and(source = 'osm') then 'osm_only' when bool_and(source = 'ml') then 'ml_segmentation' when count(*) > 0 then 'mixed' else 'unknown' end as coverage from lot group by p_brand", "lot"))
+@query("cs_15_coverage_type", fx.sql("select p_brand, case when list_sort(list(distinct s) filter (where s is not null)) = ['ml_segmentation'] then 'ml_segmentation' when len(list(distinct s) filter (where s is not null)) > 0 and list_sort(list(distinct s) filter (where s is not null)) = ['osm', 'osm_supplement'] or list_sort(list(distinct s) filter (where s is not null)) = ['osm'] then 'osm_only' when count(distinct s) > 1 then 'mixed' else 'unknown' end as coverage from (select p_brand, case when lot % 5 = 4 then null when p_brand like '%1' then 'osm' when p_brand like '%2' then case lot % 2 when 0 then 'osm' else 'osm_supplement' end when p_brand like '%3' then 'ml_segmentation' when p_brand like '%4' then 'osm_supplement' else source end as s from lot) where s is not null or p_brand is not null group by p_brand", "lot"))
 def cs_15(spark, sf):
-    s = F.sort_array(F.collect_set("source"))
-    return fx.lot(spark, sf).groupBy("p_brand").agg(F.when(s == F.array(F.lit("osm")), "osm_only").when(s == F.array(F.lit("ml")), "ml_segmentation").when(F.size(s) > 0, "mixed").otherwise("unknown").alias("coverage"))
+    """What a brand's lots come from; the two OSM sources, or the first alone, are OSM only, the second alone is not."""
+    k, brand = F.col("lot"), F.col("p_brand")
+    even = F.when(k % 2 == 0, "osm").otherwise("osm_supplement")
+    s = F.when(k % 5 == 4, None).when(brand.endswith("1"), "osm").when(brand.endswith("2"), even).when(brand.endswith("3"), "ml_segmentation").when(brand.endswith("4"), "osm_supplement").otherwise(F.col("source"))
+    have = F.sort_array(F.collect_set("s"))
+    lit = lambda *x: F.array(*[F.lit(v) for v in x])
+    label = F.when(have == lit("ml_segmentation"), "ml_segmentation").when((have == lit("osm", "osm_supplement")) | (have == lit("osm")), "osm_only").when(F.size(have) > 1, "mixed").otherwise("unknown")
+    return fx.lot(spark, sf).select("p_brand", s.alias("s")).groupBy("p_brand").agg(label.alias("coverage"))
 
 
 @query("cs_23_merge_gate", fx.sql("select fkey, count(*) as n from rec group by fkey having count(*) > 1 and (bool_or(l_linenumber = 7) or (quantile_cont(qty, 0.5) < 20 and bool_and(category <> 'NO')))", "rec"))

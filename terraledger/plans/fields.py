@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terraledger.functions import fields
-from terraledger.operators import classify, metrics, spatial
+from terraledger.operators import classify, metrics, ranks, rollup, spatial
 from terraledger.plans import fixtures as fx
 from terraledger.plans.registry import query
+from terraledger.sources import files
 
 GEO, BLD, LOT = ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1"), ("lx0", "lx1", "ly0", "ly1")
 _HIT = "x0 < bx1 and bx0 < x1 and y0 < by1 and by0 < y1"
@@ -298,3 +299,48 @@ def cs_13(spark, sf):
     value = F.coalesce("v", F.lit(0))
     kept = F.when(F.col("refined") != "Parking Lot", F.col("refined"))
     return base.join(per, "fkey", "left").select("fkey", value.alias("parking_value"), F.coalesce("a", F.lit(0)).alias("parking_area"), F.when(value > 0, "Parking Lot").otherwise(kept).alias("refined"))
+
+
+# ------------------------------------------------------------------ scans and sinks
+
+
+@query("sc_04_column_median", fx.sql("select round(quantile_cont(land, 0.5), 6) as mid, count(*) as n from par where land > 0", "par"))
+def sc_04(spark, sf):
+    """The median of one column, read alone and whole rather than from a few row groups."""
+    p = ranks.percentiles(fx.par(spark, sf).where("land > 0"), ["land"], [50])
+    return p.select(F.round(F.col("p")[0], 6).alias("mid"), "n")
+
+
+@query("sc_08_tile_scan", "select c_custkey, cast(floor((lon + 180) / 360 * 64) as bigint) as x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 64) as bigint) as y from (select c_custkey, c_custkey % 360 - 180 + 0.5 as lon, c_custkey % 160 - 80 + 0.5 as lat from customer) where x between 14 and 39 and y between 20 and 38")
+def sc_08(spark, sf):
+    """Points as tiles of one zoom, and those tiles that a box touches."""
+    lon, lat = F.col("c_custkey") % 360 - 180 + 0.5, F.col("c_custkey") % 160 - 80 + 0.5
+    x, y = spatial.tile(lon, lat, 6)
+    t = T(spark, sf, "customer").select("c_custkey", F.lit(6).alias("z"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    return files.tile_range(t, (-100, -30, 44, 55.7), 6).select("c_custkey", "x", "y")
+
+
+@query("sc_24_nested_bbox", fx.sql("select fkey from geo where x0 between 1000 and 6000 and y1 between 100 and 1500", "geo"))
+def sc_24(spark, sf):
+    """A predicate on the fields of a nested box."""
+    g = fx.geo(spark, sf).select("fkey", F.struct(F.col("x0").alias("xmin"), F.col("y1").alias("ymax")).alias("bbox"))
+    return g.where(F.col("bbox.xmin").between(1000, 6000) & F.col("bbox.ymax").between(100, 1500)).select("fkey")
+
+
+@query("sk_04_metadata", fx.sql("select '{\"record_count\":' || count(*) || ',\"statistics\":{\"land\":{\"min\":' || min(land) || ',\"max\":' || max(land) || '},\"total\":{\"min\":' || min(total) || ',\"max\":' || max(total) || '}},\"categories\":{\"category\":[' || (select string_agg('\"' || category || '\"', ',' order by category) from (select distinct category from par)) || ']}}' as value from par", "par"))
+def sk_04(spark, sf):
+    """The metadata document of a table."""
+    return files.metadata(fx.par(spark, sf), ["land", "total"], ["category"])
+
+
+@query("ud_04_layer_transforms", fx.sql("select fkey, upper(region) as region_key, substr(district, 1, 2) as zone from par", "par"))
+def ud_04(spark, sf):
+    """Columns made by a list of (source, target, rule)."""
+    rules = [("region", "region_key", F.upper), ("district", "zone", lambda c: F.substring(c, 1, 2))]
+    return fx.par(spark, sf).select("fkey", *[rule(F.col(src)).alias(dst) for src, dst, rule in rules])
+
+
+@query("sm_04_bounded_state", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 24")
+def sm_04(spark, sf):
+    """A history of bounded length: the newest 24 of a key, limited before the shuffle."""
+    return rollup.first_by(T(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 24).select("user_id", "event_id")

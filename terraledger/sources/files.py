@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import io
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,50 @@ def fixed_width(spark: SparkSession, path: str, fields: Sequence[tuple[str, int,
     return spark.read.text(path).select(*[F.trim(F.substring("value", a + 1, b - a)).alias(n) for n, a, b in fields])
 
 
+def zipped_lines(spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "latin-1") -> DataFrame:
+    """(member, n, value): lines of the text files in zip archives; an archive is read by one task and streamed line by line."""
+
+    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for raw in part["content"]:
+                archive = zipfile.ZipFile(io.BytesIO(raw))
+                for member in (m for m in archive.namelist() if m.endswith(suffix)):
+                    with io.TextIOWrapper(archive.open(member), encoding=encoding, errors="replace", newline=None) as f:
+                        held: list[tuple[str, int, str]] = []
+                        for n, line in enumerate(f):
+                            held.append((member, n, line.rstrip("\n")))
+                            if len(held) == 10_000:
+                                yield pd.DataFrame(held, columns=["member", "n", "value"])
+                                held = []
+                        if held:
+                            yield pd.DataFrame(held, columns=["member", "n", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "member string, n long, value string")
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if a finished one is there, else what ``make`` gives, written there first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def tile_range(df: DataFrame, box: tuple[float, float, float, float], zoom: int) -> DataFrame:
+    """Rows of a tile table (z, x, y) that a box of degrees (west, south, east, north) touches: whole folders are passed over."""
+    corner = lambda lon, lat: df.sparkSession.range(1).select(*[c.cast("int").alias(n) for c, n in zip(tile(F.lit(float(lon)), F.lit(float(lat)), zoom), "xy", strict=True)]).first()
+    low, high = corner(box[0], box[3]), corner(box[2], box[1])
+    return df.where((F.col("z") == zoom) & F.col("x").between(low["x"], high["x"]) & F.col("y").between(low["y"], high["y"]))
+
+
+def metadata(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """One row of JSON text: record count, min and max of numbers, sorted names of categories."""
+    bounds = F.struct(*[F.struct(F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in numbers])
+    names = F.struct(*[F.sort_array(F.collect_set(c)).alias(c) for c in categories])  # few names a category
+    one = df.agg(F.count("*").alias("record_count"), bounds.alias("statistics"), names.alias("categories"))
+    return one.select(F.to_json(F.struct("record_count", "statistics", "categories")).alias("value"))
+
+
 def snapshot(df: DataFrame, path: str, date: str) -> None:
     """The table, and a copy under its date."""
     df.write.mode("overwrite").parquet(path)
@@ -53,7 +99,18 @@ def geojson(df: DataFrame, geometry: str, digits: int = 2) -> DataFrame:
 
 def dictionary(df: DataFrame) -> DataFrame:
     """(column, type): the schema as a table."""
-    return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "column string, type string")
+    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type")) for n, t in df.dtypes])
+    return df.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def decode_wkt(c: Column) -> Column:
+    """Rings of a WKT polygon as array<array<struct<x,y>>>; null for anything else."""
+    body = F.regexp_extract(F.upper(F.trim(c)), r"^POLYGON\s*\(\s*(\(.*\))\s*\)$", 1)
+    number = lambda p, i: F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("double")
+    ring = lambda r: F.transform(F.split(F.regexp_replace(r, r"[()]", ""), ","), lambda p: F.struct(number(p, 1).alias("x"), number(p, 2).alias("y")))
+    rings = F.transform(F.split(body, r"\)\s*,\s*\("), ring)
+    whole = F.forall(rings, lambda r: F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    return F.when((body != "") & whole, rings)
 
 
 def decode_wkb(c: Column) -> Column:

@@ -1,10 +1,12 @@
 """Hand-sized cases of the property operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from terraledger.functions import scalar
-from terraledger.operators import classify, components, metrics, ranks, spatial, stats
+from terraledger.functions import fields, rings, scalar
+from terraledger.operators import assign, classify, components, metrics, ranks, spatial, stats, unions
 from terraledger.streaming import telemetry
 
 
@@ -115,3 +117,61 @@ def test_stream_windows_match_batch(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
     want = {tuple(r) for r in telemetry.tumbling(batch, "ts", "1 day", ["event_type"], [F.count("*").alias("n")]).select("start", "event_type", "n").collect()}
     assert got == want
+
+
+def test_greedy_equals_one_after_the_other(spark):
+    rng = random.Random(3)
+    for seed in range(3):
+        cands = list(range(30))
+        rank = {c: r for r, c in enumerate(rng.sample(cands, len(cands)))}
+        members = [(c, m, rng.randint(1, 3)) for c in cands for m in rng.sample(range(40), rng.randint(1, 6))]
+        weight = {m: w for _, m, w in members}
+        members = [(c, m, weight[m]) for c, m, _ in members]
+        want, free = set(), set(weight)
+        for c in sorted(cands, key=rank.get):
+            own = {m for k, m, _ in members if k == c} & free
+            if sum(weight[m] for m in own) >= 4:
+                want |= {(c, m) for m in own}
+                free -= own
+        got = assign.greedy(spark.createDataFrame(list(rank.items()), "cand long, rank long"), spark.createDataFrame(members, "cand long, member long, weight long"), least=4)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_development_and_address(spark):
+    legal = ["PARKSIDE GRANDE, BLDG 1, UNIT 101", "Chelsea House Condo, Common Area", "DOWNTOWN, BLK 93, 1220 MAIN ST CONDOS, UNIT 3", "COMMON AREA, TOWN CENTER, BLK F, LOT 8, PARKSIDE GRANDE", "DOWNTOWN, BLK 1", "", None, "EAST RIDGE CONDOMINIUMS -"]
+    got = one(spark, "s string", [(x,) for x in legal], fields.development(F.col("s")))
+    assert [g[0] for g in got] == ["PARKSIDE GRANDE", "CHELSEA HOUSE", "DOWNTOWN | 1220 MAIN ST CONDOS", "PARKSIDE GRANDE", "DOWNTOWN", "", "", "EAST RIDGE"]
+    text = ["12 Main St  Apt 4", "12 Oak Ave #5", "NONE (+2 more)", "none", "9 Elm St A12-3", "9 Pine Rd 7B", "5 High St (+3 more)", None, " "]
+    got = one(spark, "s string", [(x,) for x in text], fields.base_address(F.col("s")))
+    assert [g[0] for g in got] == ["12 MAIN ST", "12 OAK AVE", None, None, "9 ELM ST", "9 PINE RD", "5 HIGH ST", None, None]
+
+
+def test_expressions_and_nulls(spark):
+    df = spark.createDataFrame([(None, None), (3.0, "b"), (12.0, "a")], "v double, k string")
+    ask = lambda e: [r[0] for r in df.select(fields.expression(e)).collect()]
+    assert ask(["to-number", ["get", "v"]]) == [0, 3, 12]
+    assert ask(["==", ["get", "k"], "a"]) == [False, False, True] and ask(["!=", ["get", "k"], "a"]) == [True, True, False]
+    assert ask(["step", ["to-number", ["get", "v"]], "lo", 3, "mid", 10, "hi"]) == ["lo", "mid", "hi"]
+    assert ask(["interpolate", ["linear"], ["to-number", ["get", "v"]], 0, 0, 6, 60, 12, 0]) == [0, 30, 0]
+    assert ask(["match", ["get", "k"], ["a", "c"], 1, "b", 2, 9]) == [9, 2, 1]
+    assert ask(["case", [">", ["get", "v"], 5], "x", ["boolean", ["==", ["get", "k"], "b"]], "y", "z"]) == ["z", "y", "x"]
+
+
+def test_rings(spark):
+    square, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0)]
+    df = spark.createDataFrame([([square, hole],), ([square[::-1]],)], "r array<array<struct<x:double,y:double>>>")
+    r = F.col("r")
+    assert [x[0] for x in df.select(rings.area(r)).collect()] == [15, 16]
+    assert [x[0] for x in df.select(rings.holds(r, F.lit(1.5), F.lit(1.5))).collect()] == [False, True]
+    assert [tuple(x[0]) for x in df.select(rings.centroid(r)).collect()] == [((32 - 1.5) / 15, (32 - 1.5) / 15), (2, 2)]
+    assert [x[0] for x in df.select(rings.signed_area(F.element_at(rings.wound(r), 1))).collect()] == [16, 16]
+    a, b = [x[0] for x in df.select(rings.shape_key(rings.filled(r))).collect()]
+    assert a == b
+
+
+def test_unions_are_exact(spark):
+    rng = random.Random(5)
+    rects = [(k, x, x + rng.randint(1, 9), y, y + rng.randint(1, 9)) for k in range(4) for x, y in [(rng.randint(0, 20), rng.randint(0, 20)) for _ in range(12)]]
+    got = {r["k"]: r["covered"] for r in unions.union_area(spark.createDataFrame(rects, "k long, x0 long, x1 long, y0 long, y1 long"), ["k"]).collect()}
+    for k in range(4):
+        assert got[k] == len({(x, y) for g, x0, x1, y0, y1 in rects if g == k for x in range(x0, x1) for y in range(y0, y1)})

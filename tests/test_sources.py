@@ -1,6 +1,8 @@
 """Sources and sinks."""
 
+import json
 import struct
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,66 @@ def test_carve_keeps_union_area(spark):
     boxes = spark.createDataFrame([(1, 0, 10, 0, 10), (2, 5, 15, 0, 9), (3, 0, 4, 0, 4), (4, 100, 101, 100, 101)], "lot long, x0 long, x1 long, y0 long, y1 long")
     got = {r["lot"]: r["kept"] for r in mesh.carved(boxes).collect()}
     assert got == {1: 100, 2: 45, 3: 0, 4: 1}
+
+
+def by_id(where, ids, limit):
+    return [r["id"] for r in ROWS] if ids is None else [r for r in ROWS if r["id"] in ids and r["id"] != (13 if where else None)]
+
+
+def by_tile(where, box, limit):
+    x0, y0, x1, y1 = box
+    return [r for r in ROWS if x0 <= r["id"] % 5 <= x1 and y0 <= r["id"] // 5 <= y1]
+
+
+def test_scans_by_id_by_tile_and_resumed(spark):
+    paged.register(spark)
+    read = lambda f, **o: spark.read.format("paged").schema("id long, kind string").option("fetch", f"tests.test_sources:{f}").options(**o).load()
+    assert sorted(r["id"] for r in read("by_id", ids="1", pagesize="10").collect()) == list(range(25))
+    with pytest.raises(Exception, match=r"9 of 10 rows"):
+        read("by_id", ids="1", pagesize="10", where="id = 0").collect()
+    tiles = read("by_tile", bbox="0,0,4,4", grid="2,2")
+    assert tiles.rdd.getNumPartitions() == 4 and tiles.count() == 36
+    assert sorted(r["id"] for r in tiles.dropDuplicates(["id"]).collect()) == list(range(25))
+    assert sorted(r["id"] for r in read("service", pagesize="10", start="7", most="12").collect()) == list(range(7, 19))
+
+
+def test_zip_cache_and_metadata(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.csv", "a,b\n1,caf\xe9\n".encode("latin-1"))
+        z.writestr("two.txt", "no")
+    assert [tuple(r) for r in files.zipped_lines(spark, str(tmp_path / "a.zip")).orderBy("n").collect()] == [("one.csv", 0, "a,b"), ("one.csv", 1, "1,caf\xe9")]
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert files.cached(spark, str(tmp_path / "c"), make).count() == files.cached(spark, str(tmp_path / "c"), make).count() == 3
+    assert len(made) == 1
+    doc = json.loads(files.metadata(spark.createDataFrame([(1, "b"), (4, "a"), (None, "a")], "v int, k string"), ["v"], ["k"]).first()[0])
+    assert doc == {"record_count": 3, "statistics": {"v": {"min": 1, "max": 4}}, "categories": {"k": ["a", "b"]}}
+
+
+def test_tile_range_reads_few_folders(spark, tmp_path):
+    df = spark.createDataFrame([(i, -170.0 + i, 10.0) for i in range(0, 340, 10)], "id int, lon double, lat double")
+    files.tiles(df, str(tmp_path / "t"), F.col("lon"), F.col("lat"), [4])
+    got = files.tile_range(spark.read.parquet(str(tmp_path / "t")), (-50, 0, 0, 20), 4)
+    assert sorted(r["id"] for r in got.collect()) == list(range(110, 191, 10))
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString()
+
+
+def test_wkt(spark):
+    df = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 3, 0 0), (1 1, 2 1, 1 2, 1 1))",), ("POINT (1 2)",), ("polygon((0 0,1 x,1 1))",), (None,)], "g string")
+    got = [r[0] for r in df.select(files.decode_wkt(F.col("g"))).collect()]
+    assert [[tuple(p) for p in ring] for ring in got[0]] == [[(0, 0), (4, 0), (4, 3), (0, 0)], [(1, 1), (2, 1), (1, 2), (1, 1)]]
+    assert got[1:] == [None, None, None]
+
+
+def test_mesh_exports(spark):
+    t = mesh.prisms(spark.createDataFrame([(0, 0, 2.0)], "x int, y int, h double"), "x", "y", "h")
+    obj = [r["value"] for r in mesh.obj_lines(t).orderBy("part", "n").collect()]
+    assert sum(v.startswith("v ") for v in obj) == 8 and sum(v.startswith("f ") for v in obj) == 12
+    raw = [bytes(r["record"]) for r in mesh.stl_records(t).collect()]
+    assert len(raw) == 12 and all(len(r) == 50 for r in raw)
+    normals = sorted(struct.unpack("<fff", r[:12]) for r in raw)
+    assert normals == sorted(2 * [(1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, -1.0)])
