@@ -29,6 +29,15 @@ def safe_div(a: str | Column, b: str | Column, default: float | None = None) ->
     return F.when(col(b) > 0, col(a) / col(b)).otherwise(F.lit(default).cast("double"))
 
 
+def finite(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows in which every one of ``cols`` is a finite number."""
+    ok = F.lit(True)
+    for c in cols:
+        v = col(c).cast("double")
+        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.where(ok)
+
+
 def ratio_fields(df: DataFrame, land: str = "land", impr: str = "impr") -> DataFrame:
     """total, improvement/land, its percentage, improvement share and land share; a column that exists stays."""
     total = col(land) + col(impr)

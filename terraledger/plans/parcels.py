@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terraledger.functions import rings
-from terraledger.operators import assign, components, metrics, spatial, unions
+from terraledger.functions import rings, scalar
+from terraledger.operators import assign, components, hexgrid, metrics, spatial, unions
 from terraledger.plans import fixtures as fx
 from terraledger.plans.joins import _OTHER, _pairs
 from terraledger.plans.registry import query
+from terraledger.sources import files
 
 GEO, BLD, LOT = ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1"), ("lx0", "lx1", "ly0", "ly1")
 _HIT = "x0 < bx1 and bx0 < x1 and y0 < by1 and by0 < y1"
@@ -269,3 +269,112 @@ def sp_53(spark, sf):
     cands = hit.groupBy("lot", "source", *GEO).agg(F.sum("weight").alias("w"))
     rank = F.struct((F.col("source") != "osm").alias("source"), (-F.col("w")).alias("w"), (-metrics.rect_area(*GEO)).alias("area"), F.col("lot").alias("lot"))
     return assign.greedy(cands.select(F.col("lot").alias("cand"), rank.alias("rank")), members)
+
+
+# ------------------------------------------------------------------ pieces, hexagons and overlays
+
+
+@query("pj_02_client_fields", fx.sql("select fkey, land + impr as total, round(case when land > 0 then impr * 1.0 / land end, 6) as ratio, round(case when land + impr > 0 then land * 100.0 / (land + impr) end, 6) as land_pct from (select fkey, case when fkey % 7 = 0 then null when fkey % 7 = 1 then 'inf'::double else land end as land, impr from par) where land is not null and isfinite(land)", "par"))
+def pj_02(spark, sf):
+    """Derived fields of rows whose land and improvement are both finite; others are passed over."""
+    k = F.col("fkey")
+    p = fx.par(spark, sf).select("fkey", F.when(k % 7 == 0, None).when(k % 7 == 1, float("inf")).otherwise(F.col("land")).cast("double").alias("land"), "impr")
+    r = metrics.ratio_fields(metrics.finite(p, ["land", "impr"]))
+    return r.select("fkey", "total", F.round("impr_land_ratio", 6).alias("ratio"), F.round("land_pct_total", 6).alias("land_pct"))
+
+
+@query("pj_10_reported_first", fx.sql("select fkey, case when case when fkey % 3 = 0 then 0 when fkey % 3 = 1 then null else 700 + fkey % 90 end > 0 then 700 + fkey % 90 else area end as area from par", "par"))
+def pj_10(spark, sf):
+    """The reported area if it is over zero, else the measured one."""
+    k = F.col("fkey")
+    reported = F.when(k % 3 == 0, 0).when(k % 3 == 1, None).otherwise(k % 90 + 700)
+    return fx.par(spark, sf).select("fkey", metrics.first_positive(reported, "area").alias("area"))
+
+
+@query("sp_10_pieces", fx.sql("select lot, fkey, greatest(lot.x0, geo.x0) as x0, least(lot.x1, geo.x1) as x1, greatest(lot.y0, geo.y0) as y0, least(lot.y1, geo.y1) as y1 from lot join geo on lot.x0 < geo.x1 and geo.x0 < lot.x1 and lot.y0 < geo.y1 and geo.y0 < lot.y1", "lot", "geo"))
+def sp_10(spark, sf):
+    """The shapes that lots and parcels share."""
+    hit = spatial.overlapping(fx.lot(spark, sf).select("lot", *GEO), fx.geo(spark, sf).select("fkey", *[F.col(c).alias("l" + c) for c in GEO]), GEO, LOT)
+    return hit.select("lot", "fkey", F.greatest("x0", "lx0").alias("x0"), F.least("x1", "lx1").alias("x1"), F.greatest("y0", "ly0").alias("y0"), F.least("y1", "ly1").alias("y1"))
+
+
+@query("sp_21_multi_cell", fx.sql("select fkey, ix, iy from geo, unnest(generate_series(cast(floor(x0 / 30) as bigint), cast(floor(x1 / 30) as bigint))) t(ix), unnest(generate_series(cast(floor(y0 / 30) as bigint), cast(floor(y1 / 30) as bigint))) s(iy)", "geo"))
+def sp_21(spark, sf):
+    """Every cell that a footprint touches."""
+    return spatial.cells(fx.geo(spark, sf), *GEO, 30).select("fkey", F.col("_ix").alias("ix"), F.col("_iy").alias("iy"))
+
+
+@query("sp_26_hex_boundary", "select c_custkey, i, round(cx + 25 * cos(pi() / 6 + i * pi() / 3), 6) as x, round(cy + 25 * sin(pi() / 6 + i * pi() / 3), 6) as y from (select c_custkey, (q * sqrt(3) + r * (sqrt(3) / 2)) * 25 as cx, r * 1.5 * 25 as cy from (select c_custkey, c_custkey % 31 as q, c_custkey % 17 - 8 as r from customer)), range(0, 6) t(i)")
+def sp_26(spark, sf):
+    """Corners of hexagonal cells."""
+    k = F.col("c_custkey")
+    c = fx.table(spark, sf, "customer").select("c_custkey", F.posexplode(hexgrid.ring(k % 31, k % 17 - 8, 25.0)).alias("i", "p"))
+    return c.select("c_custkey", F.col("i").cast("long").alias("i"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query("sp_29_square_grid", fx.sql("select floor((x0 + x1) / 2 / 500.0) as ix, floor((y0 + y1) / 2 / 500.0) as iy, count(*) as n, round(avg(land), 6) as land, max(case when land > 20000 then 1 else 0 end) as dear from par group by 1, 2", "par"))
+def sp_29(spark, sf):
+    """Parcels by the square that holds their middle."""
+    at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / 500).cast("double")
+    return fx.par(spark, sf).groupBy(at("x0", "x1").alias("ix"), at("y0", "y1").alias("iy")).agg(F.count("*").alias("n"), F.round(F.avg("land"), 6).alias("land"), F.max((F.col("land") > 20000).cast("int")).alias("dear"))
+
+
+@query("sp_37_contiguity", "with recursive " + fx.sql("""select root, count(*) as n from (select node, min(root) as root from reach group by node) group by root""", "lot", more="""e as (select a.lot as u, b.lot as v from lot a join lot b on a.lot < b.lot and a.p_size % 6 = b.p_size % 6 and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1), two as (select u, v from e union select v, u from e),
+ reach(node, root) as (select u, least(u, v) from two union select two.u, reach.root from two join reach on two.v = reach.node where reach.root < two.u)""")[5:])
+def sp_37(spark, sf):
+    """Groups of lots of one kind that touch."""
+    l = fx.lot(spark, sf).select("lot", (F.col("p_size") % 6).alias("size6"), *GEO)
+    other = l.select(F.col("lot").alias("other"), F.col("size6").alias("other6"), *[F.col(c).alias("l" + c) for c in GEO])
+    pairs = spatial.overlapping(l, other, GEO, LOT, touch=True).where("lot < other and size6 = other6")
+    return components.connected(pairs.select(F.col("lot").alias("u"), F.col("other").alias("v"))).groupBy("root").agg(F.count("*").alias("n"))
+
+
+@query("sp_47_overlay", fx.sql("select name, round(covered, 6) as covered, slabs from (" + _GRID.format(key="name", src="tidy") + ")", "par", more="tidy as (select region || ' ' || cast(floor(y0 / 400) as bigint) || '/' || cast(floor(x0 / 2000) as bigint) as name, floor(x0 / 8 + 0.5) * 8 as x0, floor(x1 / 8 + 0.5) * 8 as x1, floor(y0 / 8 + 0.5) * 8 as y0, floor(y1 / 8 + 0.5) * 8 as y1 from par)"))
+def sp_47(spark, sf):
+    """An overlay of named districts: footprints snapped to a precision and dissolved by name."""
+    snap = lambda c: (F.floor(F.col(c) / 8 + 0.5) * 8).cast("double").alias(c)
+    name = F.concat("region", F.lit(" "), F.floor(F.col("y0") / 400).cast("string"), F.lit("/"), F.floor(F.col("x0") / 2000).cast("string"))
+    d = unions.dissolved(fx.par(spark, sf).select(name.alias("name"), *[snap(c) for c in GEO]), ["name"])
+    w, h = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
+    return d.groupBy("name").agg(F.round(F.sum(w * h), 6).alias("covered"), F.count_distinct("sx0").alias("slabs"))
+
+
+@query("sp_54_min_width", fx.sql("select o_custkey, bx0 - px as x0, bx1 + px as x1, by0 - py as y0, by1 + py as y1 from (select *, greatest(0, (60 - (bx1 - bx0)) / 2.0) as px, greatest(0, (60 - (by1 - by0)) / 2.0) as py from (select o_custkey, min(x0) as bx0, max(x1) as bx1, min(y0) as by0, max(y1) as by1 from geo where fkey % 20 = 0 group by 1))", "geo"))
+def sp_54(spark, sf):
+    """Hulls along the axes, widened until no side is under a least width."""
+    b = fx.geo(spark, sf).where("fkey % 20 = 0").groupBy("o_custkey").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    pad = lambda lo, hi: F.greatest(F.lit(0.0), (F.lit(60) - (F.col(hi) - F.col(lo))) / 2)
+    return b.select("o_custkey", (F.col("x0") - pad("x0", "x1")).alias("x0"), (F.col("x1") + pad("x0", "x1")).alias("x1"), (F.col("y0") - pad("y0", "y1")).alias("y0"), (F.col("y1") + pad("y0", "y1")).alias("y1"))
+
+
+@query("sc_28_geometry_text", fx.sql("select fkey, 1 + cast(fkey % 3 = 0 as int) as n, (x1 - x0) * (y1 - y0) - case when fkey % 3 = 0 then 4 else 0 end as area from geo where fkey % 11 <> 0", "geo"))
+def sc_28(spark, sf):
+    """Polygons as text, decoded; rows that are no polygon are dropped."""
+    s = lambda c: F.col(c).cast("string")
+    pt = lambda x, y: F.concat(x, F.lit(" "), y)
+    loop = lambda *p: F.concat(F.lit("("), F.concat_ws(", ", *p, p[0]), F.lit(")"))
+    a, b = (F.col("x0") + 2).cast("string"), (F.col("x0") + 4).cast("string")
+    c, d = (F.col("y0") + 2).cast("string"), (F.col("y0") + 4).cast("string")
+    outer, inner = loop(pt(s("x0"), s("y0")), pt(s("x1"), s("y0")), pt(s("x1"), s("y1")), pt(s("x0"), s("y1"))), loop(pt(a, c), pt(a, d), pt(b, d), pt(b, c))
+    wkt = F.when(F.col("fkey") % 11 == 0, "POINT (1 2)").otherwise(F.concat(F.lit("POLYGON ("), F.when(F.col("fkey") % 3 == 0, F.concat_ws(", ", outer, inner)).otherwise(outer), F.lit(")")))
+    g = fx.geo(spark, sf).select("fkey", files.decode_wkt(wkt).alias("rings")).where("rings is not null")
+    return g.select("fkey", F.size("rings").alias("n"), rings.area(F.col("rings")).alias("area"))
+
+
+@query("sc_03_schema", "select column_name as c from (describe select * from orders)")
+def sc_03(spark, sf):
+    """The columns of a table from its schema alone."""
+    return files.dictionary(fx.table(spark, sf, "orders")).select(F.col("column").alias("c"))
+
+
+@query("sk_08_dictionary", "select column_name as c, (select count(*) from orders) as record_count from (describe select * from orders)")
+def sk_08(spark, sf):
+    """The dictionary of a table with its record count."""
+    o = fx.table(spark, sf, "orders")
+    return files.dictionary(o).select(F.col("column").alias("c")).crossJoin(F.broadcast(o.agg(F.count("*").alias("record_count"))))  # one row
+
+
+@query("sf_24_slug", "select n_nationkey, regexp_replace(lower(n_name || ' & ' || n_nationkey || '-Co.'), '[^a-z0-9]+', '', 'g') as slug from nation")
+def sf_24(spark, sf):
+    n = fx.table(spark, sf, "nation")
+    return n.select("n_nationkey", scalar.slug(F.concat("n_name", F.lit(" & "), F.col("n_nationkey").cast("string"), F.lit("-Co."))).alias("slug"))
