@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraledger.operators.components import connected
 from terraledger.operators.spatial import overlapping
+from terraledger.operators.unions import union_area
 
 #: A unit box's corners as bits x, y, z, and its twelve outward triangles.
 FACES = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
@@ -72,26 +72,14 @@ def obj_lines(triangles: DataFrame) -> DataFrame:
 
 
 def carved(boxes: DataFrame) -> DataFrame:
-    """(lot, area, kept): the area left to each rectangle after all larger ones of its overlap cluster (ties: smaller id first).
+    """(lot, area, kept): the area left to each rectangle after all larger ones that overlap it (ties: smaller id first).
 
-    The order matters only inside a connected cluster of overlaps, so clusters
-    are found first and each is carved by itself on its compressed coordinates.
+    A rectangle loses the union of what it shares with those before it, so each
+    needs its own neighbours only, not its whole cluster.
     """
-    other = boxes.select(*[F.col(c).alias(f"b{c}") for c in boxes.columns])
-    pairs = overlapping(boxes, other, ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1")).where("lot < blot")
-    root = connected(pairs.select(F.col("lot").alias("u"), F.col("blot").alias("v"))).withColumnRenamed("node", "lot")
-    tied = boxes.join(root, "lot", "left").withColumn("root", F.coalesce("root", "lot"))
-
-    def carve(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(area=(p.x1 - p.x0) * (p.y1 - p.y0)).sort_values(["area", "lot"], ascending=[False, True])
-        xs, ys = np.unique(p[["x0", "x1"]]), np.unique(p[["y0", "y1"]])
-        size = np.outer(np.diff(xs), np.diff(ys))
-        free = np.ones(size.shape, dtype=bool)
-        kept = []
-        for r in p.itertuples():
-            at = (slice(*np.searchsorted(xs, [r.x0, r.x1])), slice(*np.searchsorted(ys, [r.y0, r.y1])))
-            kept.append(int((size[at] * free[at]).sum()))
-            free[at] = False
-        return p.assign(kept=kept)[["lot", "area", "kept"]]
-
-    return tied.groupBy("root").applyInPandas(carve, "lot long, area long, kept long")
+    box, other_box = ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1")
+    sized = boxes.select("lot", *box).withColumn("area", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("long"))
+    other = sized.select(*[F.col(c).alias(f"b{c}") for c in sized.columns])
+    before = (F.col("barea") > F.col("area")) | ((F.col("barea") == F.col("area")) & (F.col("blot") < F.col("lot")))
+    cut = overlapping(sized, other, box, other_box).where(before).select("lot", *[f(c, f"b{c}").alias(c) for c, f in zip(box, (F.greatest, F.least, F.greatest, F.least), strict=True)])
+    return sized.join(union_area(cut, ["lot"]), "lot", "left").select("lot", "area", (F.col("area") - F.coalesce("covered", F.lit(0.0))).cast("long").alias("kept"))

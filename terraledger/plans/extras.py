@@ -324,12 +324,6 @@ def sp_52(spark, sf):
     return fx.geo(spark, sf).crossJoin(F.broadcast(b)).select("fkey", F.round((F.col("x0") - F.col("w")) * 100.0 / size, 6).alias("x"), F.round((F.col("y0") - F.col("s")) * 100.0 / size, 6).alias("y"))  # one row broadcast
 
 
-@query("sp_34_overlap_carve", None)
-def sp_34(spark, sf):
-    """Area that each lot keeps when larger ones of its overlap cluster come first."""
-    return mesh.carved(fx.lot(spark, sf).select("lot", *GEO))
-
-
 @query("sf_08_token_sets", "select p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(lower(p_type), ' ')), lambda x: x not in ('steel', 'brass'))), ' ') as t from part")
 def sf_08(spark, sf):
     w = F.array_except(F.array_distinct(F.split(F.lower("p_type"), " ")), F.array(F.lit("steel"), F.lit("brass")))

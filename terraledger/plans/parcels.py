@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraledger.functions import rings, scalar
-from terraledger.operators import assign, components, hexgrid, metrics, spatial, unions
+from terraledger.operators import assign, components, hexgrid, mesh, metrics, spatial, unions
 from terraledger.plans import fixtures as fx
 from terraledger.plans.joins import _OTHER, _pairs
 from terraledger.plans.registry import query
@@ -378,3 +378,21 @@ def sk_08(spark, sf):
 def sf_24(spark, sf):
     n = fx.table(spark, sf, "nation")
     return n.select("n_nationkey", scalar.slug(F.concat("n_name", F.lit(" & "), F.col("n_nationkey").cast("string"), F.lit("-Co."))).alias("slug"))
+
+
+_CARVE = """cutr as (select a.lot, greatest(a.x0, b.x0) as x0, least(a.x1, b.x1) as x1, greatest(a.y0, b.y0) as y0, least(a.y1, b.y1) as y1 from {src} a join {src} b on a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1
+  where (b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) or ((b.x1 - b.x0) * (b.y1 - b.y0) = (a.x1 - a.x0) * (a.y1 - a.y0) and b.lot < a.lot))"""
+_KEPT = "select lot, area, cast(area - coalesce(covered, 0) as bigint) as kept from (select lot, (x1 - x0) * (y1 - y0) as area from {src}) left join (select lot as k, covered from (" + _GRID.format(key="lot", src="cutr") + ")) on lot = k"
+
+
+@query("sp_34_overlap_carve", fx.sql(_KEPT.format(src="lot"), "lot", more=_CARVE.format(src="lot")))
+def sp_34(spark, sf):
+    """Area that each lot keeps when larger ones that overlap it come first."""
+    return mesh.carved(fx.lot(spark, sf).select("lot", *GEO))
+
+
+@query("wn_09_largest_first", fx.sql(_KEPT.format(src="wide"), "lot", more="wide as (select lot, x0 % 600 as x0, x0 % 600 + (x1 - x0) * 2 as x1, y0 % 600 as y0, y0 % 600 + (y1 - y0) * 2 as y1 from lot), " + _CARVE.format(src="wide")))
+def wn_09(spark, sf):
+    """The same on lots that overlap many times."""
+    wide = fx.lot(spark, sf).select("lot", (F.col("x0") % 600).alias("x0"), (F.col("x0") % 600 + (F.col("x1") - F.col("x0")) * 2).alias("x1"), (F.col("y0") % 600).alias("y0"), (F.col("y0") % 600 + (F.col("y1") - F.col("y0")) * 2).alias("y1"))
+    return mesh.carved(wide)

@@ -62,3 +62,17 @@ def test_roll_up_does_not_depend_on_partitions(spark):
     a = roll_up(rec.repartition(1), "fkey").toPandas().sort_values("fkey").reset_index(drop=True)
     b = roll_up(rec.repartition(7, "l_partkey"), "fkey").toPandas().sort_values("fkey").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_greedy_query_equals_one_after_the_other(spark):
+    from terraledger.plans import fixtures as fx
+
+    lots, parcels = fx.lot(spark, SF).collect(), fx.par(spark, SF).collect()
+    on = {a["lot"]: [p for p in parcels if a["x0"] < p["x1"] and p["x0"] < a["x1"] and a["y0"] < p["y1"] and p["y0"] < a["y1"]] for a in lots}
+    want, taken = set(), set()
+    for a in sorted(lots, key=lambda a: (a["source"] != "osm", -sum(p["n"] for p in on[a["lot"]]), -(a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), a["lot"])):
+        free = [p for p in on[a["lot"]] if p["fkey"] not in taken]
+        if sum(p["n"] for p in free) >= 2:
+            want |= {(a["lot"], p["fkey"]) for p in free}
+            taken |= {p["fkey"] for p in free}
+    assert want and {(r["cand"], r["member"]) for r in QUERIES["sp_53_greedy_assignment"](spark, SF).collect()} == want
