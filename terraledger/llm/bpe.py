@@ -333,16 +333,33 @@ class ByteBpe:
             out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
         return out
 
+    def stream(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of one text as they become stable; what is held does not grow with the text."""
+        for p in self.pieces(chunks):
+            yield self.words.ids(p)[0] if isinstance(p, list) else p
+
     # -------------------------------------------------------------- decoding
 
     def decoded(self, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
         """Text of ids, piece by piece: a byte-to-text machine keeps only an unfinished character."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        raw = self.raw
         for i in range(0, len(ids), step):
-            yield machine.decode(b"".join(map(raw.__getitem__, ids[i : i + step].tolist())))
+            yield machine.decode(self._bytes(ids[i : i + step]))
         yield machine.decode(b"", True)
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))
+
+    def digests(self, chunks: Iterable[str]) -> tuple[int, str, str]:
+        """Number of ids of one text, SHA-256 of the ids and of the text decoded from them, in constant memory."""
+        n, ids_sha, text_sha, machine = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for ids in self.stream(chunks):
+            n += len(ids)
+            ids_sha.update(ids.astype("<u4").tobytes())
+            text_sha.update(machine.decode(self._bytes(ids)).encode("utf-8", "surrogatepass"))
+        text_sha.update(machine.decode(b"", True).encode("utf-8", "surrogatepass"))
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
 
 def loaded(path: str) -> ByteBpe:
     """One coder a worker process, with its store of words."""
@@ -363,17 +380,23 @@ def encode_documents(docs: DataFrame, vocab_path: str, ids: bool = False) -> Dat
         coder = loaded(vocab_path)
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            coded = coder.encode_many(texts)
-            back = []
-            for x in coded:
+            far = [not ids and len(t) > coder.CHUNK for t in texts]  # these are digested chunk by chunk
+            coded = iter(coder.encode_many([t for t, x in zip(texts, far, strict=True) if not x]))
+            found, kept = [], []
+            for t, x in zip(texts, far, strict=True):
+                if x:
+                    found.append(coder.digests(t[i : i + coder.CHUNK] for i in range(0, len(t), coder.CHUNK)))
+                    continue
+                own_ids = next(coded)
                 h = hashlib.sha256()
-                for part in coder.decoded(x):
+                for part in coder.decoded(own_ids):
                     h.update(part.encode("utf-8", "surrogatepass"))
-                back.append(h.hexdigest())
-            cols = [b.column("doc_id"), pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]), pa.array(back)]
+                found.append((len(own_ids), hashlib.sha256(own_ids.astype("<u4").tobytes()).hexdigest(), h.hexdigest()))
+                kept.append(own_ids)
+            cols = [b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                cols.append(pa.array([x.tolist() for x in coded], pa.list_(pa.int32())))
+                cols.append(pa.array([x.tolist() for x in kept], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -98,7 +98,7 @@ def _give_back(whole: bool) -> None:
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with record batches bounded by bytes, in workers that return what they freed when a task ends."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b")) > SLICE_BYTES:
+    if conf.get(key) != str(SLICE_BYTES):
         conf.set(key, str(SLICE_BYTES))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Operators against brute force, libraries and held-out labels."""
 
 import collections
+import hashlib
 import itertools
 import os
 import random
@@ -13,15 +14,11 @@ from terraledger.llm import ann, hilbert, langid, minhash, substring, toxicity,
 from terraledger.llm.bpe import ByteBpe
 from terraledger.llm.packing import WordBpe
 from terraledger.llm.queries import ORACLES, QUERIES, vocabulary
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def shingles(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-
-
 def near_copies(n, seed):
     """Copies of a few texts with every rate of changed words, and unrelated texts."""
     rng = random.Random(seed)
@@ -38,21 +35,9 @@ def near_copies(n, seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, seed):
     texts = near_copies(260, seed)
-    sets = [shingles(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[i] & sets[j])
-        if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
+    root = brute.components(texts)
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (find(i), len(sets[i])) for i in range(len(texts))}
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (root[i], len(brute.shingles(t))) for i, t in enumerate(texts)}
 
 
 def test_stream_equals_library():
@@ -68,7 +53,11 @@ def test_stream_equals_library():
         want = t.encode(text, add_special_tokens=False).ids
         ids = coder.encode_many([text])[0]
         assert ids.tolist() == want
-        assert "".join(coder.decoded(ids, 3)) == t.decode(want, skip_special_tokens=False)
+        back = t.decode(want, skip_special_tokens=False)
+        assert "".join(coder.decoded(ids, 3)) == back
+        step = rng.choice([1, 5, 900])
+        digests = coder.digests(text[i : i + step] for i in range(0, len(text), step))
+        assert digests == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
 def test_word_bpe_equals_library():
