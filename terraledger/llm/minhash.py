@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles.  Equal sets form one
 class.  Each class is posted under its ``K`` (coordinate, minimum) pairs.  Two
 sets of Jaccard similarity 0.75 agree on 48 of 64 coordinates on average and on
-fewer than ``T`` = 28 with probability 2.5e-8, so pairs below T are left out.
+fewer than ``T`` = 30 with probability 3.8e-7, so pairs below T are left out.
 
 *Prefix*: with postings ordered by how many classes share them, two classes with
 T common postings have one among the first K - T + 1 of either.  Postings that
@@ -12,13 +12,14 @@ is out at once, and the most frequent T - 1 postings are never joined.
 
 *Skip*: within a posting list only members of different components meet.  Short
 lists are paired in full; in a long list members meet the hub, its most central
-one, only: first each class the hub of its longest list, then, in lists that
-still hold several components, all members theirs.  Confirmed links are
-contracted each time, and lists that then hold one component are skipped.  For
-what is left there is a bound: two sets share at most what both share with the
-hub, plus what either shares with anybody outside the hub.  Pairs that pass it
-and lie in different components are kept.  No pair above the threshold is given
-up to save work.
+one, only.  First each class meets the hub of its longest list, and the links
+found are contracted.  From then on a posting counts only where it lies in
+several components: two classes that are not yet joined share T of those, so the
+prefix is taken again from them, rarest first, and all members of the lists that
+it leaves meet their hubs.  For what is left there is a bound: two sets share at
+most what both share with the hub, plus what either shares with anybody outside
+the hub.  Pairs that pass it and lie in different components are kept.  No pair
+above the threshold is given up to save work.
 
 *Count*: the common postings of the kept pairs are counted, and pairs with T or
 more are confirmed on full sets of 64-bit shingle hashes.  The hub's pairs are
@@ -41,7 +42,7 @@ from terraledger.llm.scratch import Sieve, discard, mapped, materialize, own, sl
 from terraledger.llm.words import buffers, mixed, random_numbers, words
 
 #: Signature coordinates, least matches of a candidate pair, words in a shingle.
-K, T, WORDS = 64, 28, 5
+K, T, WORDS = 64, 30, 5
 #: Similarity in percent that makes a link.
 PERCENT = 75
 #: Members up to which a posting list is paired in full at once.
@@ -109,7 +110,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, arr): the shingle hashes of each class in ``wanted`` (cls, first), read from the text of its first document."""
+    """(cls, n, arr, sig): the shingle hashes of each class in ``wanted`` (cls, first, sig), read from the text of its first document."""
     schema = "cls binary, n long, arr array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = row_key(own(docs, "doc_id", "text")).select("doc_id", "_text")
     sieve = Sieve(wanted, ["first"])
     some = sieve.mark(rows, [F.col("doc_id")]).where("_maybe").select("_text")
-    return mapped(some, run, schema).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return mapped(some, run, schema).join(wanted.select("cls", "sig"), "cls").dropDuplicates(["cls"])
 
 
 def _alike(a: str, b: str):
@@ -132,50 +133,85 @@ def _alike(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _postings(reps: DataFrame) -> DataFrame:
+    """(cls, n, key): the coordinate-value pairs of each class."""
+    key = F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return reps.select("cls", "n", F.posexplode("sig").alias("i", "v")).select("cls", "n", key.alias("key"))
+
+
+def _owned(post: DataFrame, freq: DataFrame) -> DataFrame:
+    """(cls, n, own, w): the postings of a class that ``freq`` (key, f) holds, rarest first, and their sum; classes with fewer than T are out."""
+    per = post.join(freq, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("own"), F.sum("f").alias("w"))  # at most K a class
+    return per.where(F.size("own") >= T)
+
+
+def _prefix(mine: DataFrame) -> DataFrame:
+    """(cls, n, w, key): all but the T - 1 most frequent postings of each class."""
+    return mine.select("cls", "n", "w", F.explode(F.expr(f"slice(own, 1, size(own) - {T - 1})")).alias("p")).select("cls", "n", "w", F.col("p.key").alias("key"))
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """(key, size, hub): lists with several members, and the member with most postings in company."""
+    return lists.groupBy("key").agg(F.count("*").alias("size"), F.max_by(F.struct("cls", "n"), F.struct("w", "cls")).alias("hub")).where("size > 1")
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (u, v) between classes of ``reps`` (cls, first, n, sig) that give every component; each joins what confirmed links join."""
     spark = docs.sparkSession
-    post = reps.select("cls", "n", F.posexplode("sig").alias("i", "v")).select("cls", "n", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    freq = post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    mine = post.join(freq, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("own"), F.sum("f").alias("w")).where(F.size("own") >= T)
-    lists = mine.select("cls", "n", "w", F.explode(F.expr(f"slice(own, 1, size(own) - {T - 1})")).alias("p")).select("cls", "n", "w", F.col("p.key").alias("key"))
-    lists, lists_path = materialize(lists)
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.max_by(F.struct("cls", "n"), F.struct("w", "cls")).alias("hub")).where("size > 1")
-    sizes, sizes_path = materialize(sizes)
-    wanted, wanted_path = materialize(lists.join(sizes.select("key"), "key", "left_semi").select("cls").distinct().join(reps.select("cls", "first"), "cls"))
+    post = _postings(reps)
+    lists, lists_path = materialize(_prefix(_owned(post, post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"))))
+    sizes, sizes_path = materialize(_hubs(lists))
+    wanted, wanted_path = materialize(reps.join(lists.join(sizes.select("key"), "key", "left_semi").select("cls").distinct(), "cls", "left_semi"))
     sets, sets_path = materialize(full_sets(docs, wanted))
     used = lists.join(sizes, "key")
     short, long = used.where(F.col("size") <= SHORT), used.where(F.col("size") > SHORT)
     a, b = short.select("key", F.col("cls").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("cls").alias("v"), F.col("n").alias("nv"))
-    full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v").distinct()
-    full = matched(full, reps.join(wanted.select("cls"), "cls", "left_semi"))
+    full = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _alike("nu", "nv")).select("u", "v", F.lit(False).alias("hub"))
     largest = long.groupBy("cls").agg(F.max_by(F.struct("n", "hub"), F.struct("size", "key")).alias("p")).select("cls", "p.n", "p.hub")
-    met, met_path = materialize(compared(full.unionAll(_with_hub(largest)).distinct(), sets))
+    pairs = full.unionAll(_with_hub(largest).withColumn("hub", F.lit(True))).groupBy("u", "v").agg(F.bool_or("hub").alias("hub"))
+    met, met_path = materialize(compared(pairs, sets))
     root = components(met.where(_linked("both")).select("u", "v"))
-    members, members_path = materialize(_mixed(long.select("key", "cls", "n", "hub"), root))
-    star = _with_hub(members).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti")
+    apart = _several(_rooted(long.select("key", "cls"), root)).select("cls").distinct()
+    members, members_path = materialize(_refined(wanted.join(apart, "cls", "left_semi"), root))
+    star = _with_hub(members).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti").withColumn("hub", F.lit(True))
     more, more_path = materialize(compared(star, sets))
     edges = root.select(F.col("node").alias("u"), F.col("root").alias("v"))
     root = components(edges.unionAll(more.where(_linked("both")).select("u", "v")))
-    rest = _rest(members.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met.unionAll(more), reps)
+    rest = _rest(members.select("key", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), root, sets, met.unionAll(more))
     out, _ = materialize(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest))
     discard(spark, lists_path, sizes_path, sets_path, met_path, more_path, members_path, wanted_path)
     return out
 
 
+def _refined(reps: DataFrame, root: DataFrame, rounds: int = 2) -> DataFrame:
+    """(key, cls, n, hub): prefix lists of ``reps`` over postings that lie in several components only.
+
+    A class that leaves may leave others' postings in one component, so the
+    count is taken ``rounds`` times.
+    """
+    post = _postings(reps)
+    for k in range(rounds):
+        several = _rooted(post, root).groupBy("key").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "f")
+        mine = _owned(post, several)
+        if k + 1 < rounds:
+            post = mine.select("cls", "n", F.explode("own").alias("p")).select("cls", "n", F.col("p.key").alias("key"))
+    lists, _ = materialize(_prefix(mine))
+    return lists.join(_hubs(lists), "key").select("key", "cls", "n", "hub")
+
+
 def _with_hub(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of members (cls, n, hub) and their hubs, where sizes allow a link."""
     ok = members.where((F.col("cls") != F.col("hub.cls")) & _alike("n", "hub.n"))
     return ok.select(F.least("cls", "hub.cls").alias("u"), F.greatest("cls", "hub.cls").alias("v"))
 
 
-def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
-    """Members (key, cls, ...) of lists that hold several components, with their root."""
-    at = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return _several(at)
+def _rooted(members: DataFrame, root: DataFrame) -> DataFrame:
+    """``members`` with the root of their component."""
+    return members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
 def _several(m: DataFrame) -> DataFrame:
+    """Members of lists that hold several components."""
     two = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     return m.join(two, "key", "left_semi")
 
@@ -184,21 +220,20 @@ def _linked(both: str):
     return F.col(both) * 100 >= (F.col("nu") + F.col("nv") - F.col(both)) * PERCENT
 
 
-def matched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (u, v) that share at least ``T`` postings: as many as their signatures have equal coordinates."""
-    a, b = reps.select(F.col("cls").alias("u"), F.col("sig").alias("x")), reps.select(F.col("cls").alias("v"), F.col("sig").alias("y"))
-    count = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(a, "u").join(b, "v").where(count >= T).select("u", "v")
-
-
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) with the sizes of both sets (nu, nv) and of their intersection (both)."""
-    a = sets.select(F.col("cls").alias("u"), F.col("arr").alias("x"))
-    b = sets.select(F.col("cls").alias("v"), F.col("arr").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("both"))
+    """Pairs (u, v, hub) with the sizes of both sets (nu, nv) and of their intersection (both).
+
+    Pairs that are not with a hub are counted first: their common postings are
+    as many as their signatures have equal coordinates, and those with fewer than
+    ``T`` are out.
+    """
+    a = sets.select(F.col("cls").alias("u"), F.col("arr").alias("x"), F.col("sig").alias("sx"))
+    b = sets.select(F.col("cls").alias("v"), F.col("arr").alias("y"), F.col("sig").alias("sy"))
+    count = F.aggregate(F.zip_with("sx", "sy", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "u").join(b, "v").where(F.col("hub") | (count >= T)).select("u", "v", F.size("x").alias("nu"), F.size("y").alias("nv"), F.size(F.array_intersect("x", "y")).alias("both"))
 
 
-def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame, reps: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
     """Links between components that still share a long posting list.
 
     For x and y in a list with hub h, let a be the size of x & h, s the number
@@ -206,7 +241,7 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame,
     y share lies in h, where it is at most min(a) of the two, or outside, where
     it is at most min(e).
     """
-    at, path = materialize(_mixed(members, root))
+    at, path = materialize(_several(_rooted(members, root)))
     shingles = sets.join(at.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode("arr").alias("h"))
     common = shingles.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
     shared = shingles.join(common, "h").groupBy("cls").agg(F.count("*").alias("s"))
@@ -223,8 +258,8 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, met: DataFrame,
     most = F.least(F.least("su", "sv"), F.least("au", "av") + F.least("eu", "ev"))
     on = (a["key"] == b["key"]) & (F.col("cu") < F.col("cv")) & (F.col("ru") != F.col("rv")) & _alike("nu", "nv") & (most * 100 >= (F.col("nu") + F.col("nv") - most) * PERCENT)
     once = F.array_min(F.array_intersect("ku", "kv")) == a["key"]  # a pair counts in the first list that holds both
-    pairs = a.join(b, on & once).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    out, _ = materialize(compared(matched(pairs, reps), sets).where(_linked("both")).select("u", "v"))
+    pairs = a.join(b, on & once).select(F.col("cu").alias("u"), F.col("cv").alias("v"), F.lit(False).alias("hub"))
+    out, _ = materialize(compared(pairs, sets).where(_linked("both")).select("u", "v"))
     discard(members.sparkSession, path, can_path)
     return out
 
