@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import mapped, materialize, own, slices
+from terraledger.llm.scratch import gathered, held, mapped, materialize, own, slices
 
 #: Sample: documents a language; n-grams kept a language; longest n-gram.
 PER_LANGUAGE, GRAMS, LONGEST = 1500, 30_000, 4
 #: Nats that a change of language costs, and letters of a piece that an unbroken run is read in.
 SWITCH, LETTERS = 6.0, 40
+#: Bytes of text that are decoded in lockstep.
+LOCKSTEP = 12 << 20
 #: Share of a language's letters that a script needs to make it a candidate.
 SCRIPT_SHARE = 0.01
 
@@ -238,14 +241,15 @@ def identify(docs: DataFrame) -> DataFrame:
     first in the alphabet.  ``lang`` is read for fitting only; repeated rows are
     labelled alike; other columns are dropped.
     """
-    model = fit(docs)
+    fitted, mark = fit(docs), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        model = held(f"language {mark}", lambda: fitted)  # a worker's tasks share the words it has scored
+        for b in slices(gathered(batches, LOCKSTEP), most=LOCKSTEP):
             texts = [t or "" for t in b.column("text").to_pylist()]
             lang, score, spans = model.label(texts) if model.langs else (["und"] * len(texts), [0.0] * len(texts), [0] * len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, pa.int32())], names=["doc_id", "lang_pred", "score", "spans"])
 
     out = mapped(own(docs, "doc_id", "text"), run, "doc_id long, lang_pred string, score double, spans int")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+    out_of_fit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", out_of_fit.alias("held_out"), "lang_pred", "score", "spans")

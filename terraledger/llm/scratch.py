@@ -125,6 +125,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: in
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Record batches put together until they have about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 _HELD: dict = {}
 
 
