@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraledger.llm.scratch import mapped, materialize, own, slices
+from terraledger.llm.scratch import held, mapped, materialize, own, slices
 
 #: Labelled documents of each class that fit the features; features kept.
 PER_CLASS, FEATURES = 5000, 20_000
 #: Toxic documents that a feature must occur in (at least two, and this share of the sample's), and by how much more often than in others.
 SUPPORT, LIFT = 0.01, 4.0
-#: Tokens whose features a task remembers.
+#: Tokens whose features a worker remembers.
 REMEMBERED = 100_000
 #: Beginnings of words that count as features, in characters.
 STEMS = (4, 5, 6)
@@ -355,8 +356,10 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, ro
 def _scored(rows: DataFrame, model: Model, keep: str) -> DataFrame:
     """``rows`` (keep, text) with score; the text is not carried on."""
     schema = rows.select(keep).schema.add("score", "double")
+    fitted, mark = model, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held(f"toxicity {mark}", lambda: fitted)  # a worker's tasks share the tokens it has decoded
         for b in slices(batches):
             s = [model.score(model.hits(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(s, pa.float64())], names=[keep, "score"])
@@ -386,10 +389,11 @@ def clean(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     also ones called like this module's own, only pass through; an empty table
     gives no rows.
     """
-    model = fit(docs, labels)
+    fitted, mark = fit(docs, labels), uuid.uuid4().hex
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held(f"toxicity {mark}", lambda: fitted)
         for b in slices(batches, place):
             ok = [model.score(model.hits(t or "")) < at for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
