@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terraledger.llm import ann, bpe, exact_dedup, langid, minhash, packing, sharding, substring, toxicity, wordpiece
+from terraledger.llm import ann, bpe, chunked_bpe, exact_dedup, infill, langid, minhash, packing, sharding, substring, toxicity, whitening, wordpiece
 
 
 def vocabulary(name: str) -> str:
@@ -59,6 +60,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = infill.restore(infill.rearrange(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_hilbert_ann": op2_hilbert_ann,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_infill": op12_infill,
+    "op13_chunked_bpe": op13_chunked_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +94,18 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window g as (partition by coalesce(text, ''))""",
+    "op12_infill": """
+        with units as (
+          select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || doc_id) as h from documents),
+        drawn as (
+          select *, len(u) as n, cast('0x' || h[1:8] as ubigint) % (len(u) + 1) as a, cast('0x' || h[9:16] as ubigint) % (len(u) + 1) as b,
+                 case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or cast('0x' || h[17:24] as ubigint) % 100 >= 90 then 'plain'
+                      when cast('0x' || h[25:32] as ubigint) % 100 < 20 then 'spm' else 'psm' end as form
+          from units),
+        cut as (
+          select *, array_to_string(u[1:least(a, b)], '') as p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as m, array_to_string(u[greatest(a, b) + 1:], '') as s from drawn)
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(text) as restored_sha256
+        from cut""",
 }
