@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from pyspark.sql import functions as F
 HEX_AREAS = (
     4357449416078.383, 609788441794.133, 86801780398.997, 12393434655.088, 1770347654.491, 252903858.182, 36129062.164, 5161293.360,
     737327.598, 105332.513, 15047.502, 2149.643, 307.092, 43.870, 6.267, 0.895)
-METRES_PER_DEGREE = 111320
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def opened(ring: Column) -> Column:
@@ -57,6 +63,59 @@ def crossings(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(ring, after, lambda a, b: F.coalesce(hit(a, b), F.lit(False)).cast("int")), F.lit(0), lambda s, t: s + t)
 
 
+def _joined(ring: Column) -> Column:
+    """Each vertex's successor, the first after the last."""
+    return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+
+def spans(rings: Column, y: Column) -> Column:
+    """The stretches of a level line inside a polygon, as an array of struct(lo, hi); lower ends belong to it, upper ends do not."""
+    at = lambda a, b: F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"])
+    hits = F.transform(rings, lambda r: F.filter(F.zip_with(r, _joined(r), at), lambda x: x.isNotNull()))
+    pair = lambda xs, i: F.struct(F.get(xs, i * 2).alias("lo"), F.get(xs, i * 2 + 1).alias("hi"))
+    none = F.array().cast("array<struct<lo:double,hi:double>>")
+    paired = lambda xs: F.when(F.size(xs) > 1, F.transform(F.sequence(F.lit(0), (F.size(xs) / 2 - 1).cast("int")), lambda i: pair(xs, i))).otherwise(none)
+    return let(F.array_sort(F.flatten(hits)), paired)
+
+
+def inside_point(rings: Column) -> Column:
+    """A point that surely lies in a polygon: the middle of the widest stretch (the first of equal ones) of a level line.
+
+    The line runs midway between the vertices next above and below the middle
+    of the extent, so it meets no vertex.
+    """
+    first = F.transform(F.element_at(rings, 1), lambda p: p["y"])
+    every = F.transform(F.flatten(rings), lambda p: p["y"])
+    level = lambda mid: (F.array_max(F.filter(every, lambda v: v <= mid)) + F.array_min(F.filter(every, lambda v: v > mid))) / 2
+    wider = lambda best, s: F.when(best.isNull() | (s["hi"] - s["lo"] > best["hi"] - best["lo"]), s).otherwise(best)
+    widest = lambda y: F.aggregate(spans(rings, y), F.lit(None).cast("struct<lo:double,hi:double>"), wider)
+    at = lambda y: let(widest(y), lambda w: F.struct(((w["lo"] + w["hi"]) / 2).alias("x"), y.alias("y")))
+    return let(let((F.array_min(first) + F.array_max(first)) / 2, level), at)
+
+
+def clipped(ring: Column, planes: Column) -> Column:
+    """A ring cut by half planes, one after the other (Sutherland-Hodgman); ``planes`` are struct(nx, ny, c): inside is nx x + ny y <= c.
+
+    Where the rest falls apart, its pieces hang together by edges that are
+    walked to and fro; areas are not touched by them.
+    """
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def cut(r: Column, h: Column) -> Column:
+        out = lambda p: h["nx"] * p["x"] + h["ny"] * p["y"] - h["c"]
+
+        def step(a: Column, b: Column) -> Column:
+            t = a["d"] / F.when(a["d"] != b["d"], a["d"] - b["d"])
+            meet = F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+            end = F.struct(b["x"].alias("x"), b["y"].alias("y"))
+            return F.when((b["d"] <= 0) & (a["d"] > 0), F.array(meet, end)).when(b["d"] <= 0, F.array(end)).when(a["d"] <= 0, F.array(meet)).otherwise(none)
+
+        away = F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), out(p).alias("d")))
+        return let(away, lambda v: F.flatten(F.zip_with(v, _joined(v), step)))
+
+    return F.aggregate(planes, ring.cast("array<struct<x:double,y:double>>"), cut)
+
+
 def holds(rings: Column, x: Column, y: Column) -> Column:
     """Whether a point lies inside, holes left out (even-odd rule)."""
     return F.aggregate(F.transform(rings, lambda r: crossings(r, x, y)), F.lit(0), lambda s, n: s + n) % 2 == 1

@@ -1,24 +1,37 @@
-"""Cutting lineage with reliable checkpoints in the folder that the cluster names."""
+"""Cutting lineage with reliable checkpoints, and scratch tables, in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``, which survives the loss of executors.
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
     Without that setting a temporary folder serves a local session; on a cluster it is an error,
     as each machine would write to its own disk.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="terraledger-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared(spark)}/terraledger-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, which survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="terraledger-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraledger.operators import classify, ranks
 from terraledger.plans import fixtures as fx
 from terraledger.plans.registry import query
-from terraledger.streaming import telemetry
+from terraledger.streaming import telemetry, windows
 
 
 def _events(spark, sf):
@@ -33,6 +33,23 @@ def sm_03(spark, sf):
     return telemetry.episodes(_events(spark, sf), "user_id", ["ts", "event_id"], F.col("value") > 60)
 
 
+#: Twelve hours a window, a day and a half a gap.
+RULES = windows.Rules(width=43_200_000, gap=129_600_000, bad=90.0, good=2, history=5)
+_WINDOWS = f"""s as (select *, row_number() over (partition by user_id order by t, event_id) as i, t - lag(t) over (partition by user_id order by t, event_id) as d from (select user_id, event_id, value, epoch_ms(ts) as t from events)),
+ g as (select *, sum(case when d is null or d > {RULES.gap} then 1 else 0 end) over (partition by user_id order by i) as seg from s),
+ nxt as (select a.user_id, a.seg, a.i, a.t, min(b.i) as j from g a left join g b on a.user_id = b.user_id and a.seg = b.seg and b.i > a.i and b.t >= a.t + {RULES.width} group by 1, 2, 3, 4),
+ walk(user_id, i) as (select user_id, min(i) from g group by user_id, seg union all select nxt.user_id, nxt.j from walk join nxt on walk.user_id = nxt.user_id and walk.i = nxt.i where nxt.j is not null),
+ win as (select n.user_id, n.seg, n.i, n.t as start, max(g.t) as "end", count(*) as n, max(g.value) as worst from walk join nxt n using (user_id, i) join g on g.user_id = n.user_id and g.i > n.i and g.i <= n.j where n.j is not null group by 1, 2, 3, 4),
+ run as (select *, sum(case when worst > {RULES.bad} and near = 0 then 1 else 0 end) over (partition by user_id, seg order by i rows unbounded preceding) as e from (select *, coalesce(max(case when worst > {RULES.bad} then 1 else 0 end) over (partition by user_id, seg order by i rows between {RULES.good} preceding and 1 preceding), 0) as near from win))"""
+
+
+@query("sm_02_gap_windows", f"""with recursive {_WINDOWS} select user_id, 'window' as kind, start, "end", n, worst, max(worst) over (partition by user_id order by i rows between {RULES.history - 1} preceding and current row) as recent from win
+  union all select user_id, 'episode', min(start), max("end"), count(*), max(worst), null from run where worst > {RULES.bad} group by user_id, seg, e""")
+def sm_02_windows(spark, sf):
+    """Windows that a gap throws away, the episodes that bad ones make and gaps close, and the worst of a bounded history."""
+    return windows.windows(_events(spark, sf), "user_id", "ts", "value", "event_id", RULES)
+
+
 @query("sm_05_report", "select event_type, user_id % 3 as band, list_sort(list(value))[cast(floor(count(value) / 2) as bigint) + 1] as mid, count(value) as n from events group by 1, 2")
 def sm_05(spark, sf):
     """The middle value of few large groups: the one whose ranks hold floor(n / 2)."""
