@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraledger.functions.rings import let
 from terraledger.operators.spatial import overlapping
 from terraledger.operators.unions import union_area
 
@@ -21,15 +22,69 @@ def prisms(cells: DataFrame, x: str, y: str, height: str) -> DataFrame:
     return cells.select(F.struct(x, y).alias("cell"), F.posexplode(faces).alias("face", "t")).select("cell", "face", "t.*")
 
 
+#: The four walls of a cell: the neighbour behind it, and its lower corners from left to right, seen from there.
+WALLS = [((1, 0), (1, 0), (1, 1)), ((-1, 0), (0, 1), (0, 0)), ((0, 1), (1, 1), (0, 1)), ((0, -1), (0, 0), (1, 0))]
+
+
+def heightfield(cells: DataFrame, x: str, y: str, height: str) -> DataFrame:
+    """One closed surface over unit cells: cell, p1, p2, p3 (struct x, y, z), outward.
+
+    Cells of one height share no wall; between unequal ones stands the step
+    that is left over, and where the grid ends a wall down to 0.  A wall's
+    corners are cut at the heights of all four cells around them, so no
+    triangle ends in the middle of another's side.  Every cell learns its
+    eight neighbours' heights from one shuffle.  Cells are unique; those
+    without a positive height are none.
+    """
+    c = cells.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), F.col(height).cast("double").alias("h")).where("h > 0")
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    sent = c.select(F.explode(F.array(*[F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.lit(k).alias("k"), F.col("h").alias("h")) for k, (dx, dy) in enumerate(near)])).alias("s")).select("s.*")
+    around = sent.groupBy("x", "y").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("h"))), F.lit(0.0)).alias(f"h{k}") for k in range(9)]).where(f"h{near.index((0, 0))} > 0")
+    at = lambda d: F.col(f"h{near.index(d)}")
+    h = at((0, 0))
+    point = lambda corner, z: F.struct((F.col("x") + corner[0]).cast("double").alias("x"), (F.col("y") + corner[1]).cast("double").alias("y"), z.alias("z"))
+    triangle = lambda a, b, d: F.struct(a.alias("p1"), b.alias("p2"), d.alias("p3"))
+    zero = F.lit(0.0)
+    flat = [triangle(*[point(p, z) for p in ps]) for z, ps in ((h, ((0, 0), (1, 0), (1, 1))), (h, ((0, 0), (1, 1), (0, 1))), (zero, ((0, 0), (1, 1), (1, 0))), (zero, ((0, 0), (0, 1), (1, 1))))]
+    walls = []
+    for behind, p, q in WALLS:
+        low = at(behind)
+
+        def cut(corner, low, make):
+            """Triangles from one corner's lower end to the next, at the heights around it."""
+            four = F.array(*[at((i, j)) for i in (corner[0] - 1, corner[0]) for j in (corner[1] - 1, corner[1])])
+            levels = F.array_sort(F.array_distinct(F.filter(four, lambda z: (z >= low) & (z <= h))))
+            return let(levels, lambda z: F.transform(F.sequence(F.lit(0), F.size(z) - 2), lambda i: make(F.get(z, i), F.get(z, i + 1))))
+
+        right = cut(q, low, lambda a, b: triangle(point(p, low), point(q, a), point(q, b)))
+        left = cut(p, low, lambda a, b: triangle(point(q, h), point(p, b), point(p, a)))
+        walls.append(F.when(h > low, F.concat(right, left)))
+    none = F.slice(F.array(*flat), 1, 0)
+    return around.select(F.struct("x", "y").alias("cell"), F.explode(F.concat(F.array(*flat), *[F.coalesce(w, none) for w in walls])).alias("t")).select("cell", "t.*")
+
+
+def closed(triangles: DataFrame) -> DataFrame:
+    """One row over the whole surface: cells, triangles, edges that their opposites do not close, edges of more than two triangles, volume."""
+    edges = triangles.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("p1", "p2"), ("p2", "p3"), ("p3", "p1"))])).alias("e"))
+    way = F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1)
+    per = edges.groupBy(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).agg(F.sum(way).alias("s"), F.count("*").alias("n"))
+    open_ = per.agg(F.count_if(F.col("s") != 0).alias("open_edges"), F.count_if(F.col("n") > 2).alias("thick_edges"))
+    total = triangles.agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("triangles"), F.round(F.sum(_determinant()) / 6, 4).alias("volume"))
+    return total.crossJoin(open_)  # one row each
+
+
+def _determinant():
+    c = lambda p, k: F.col(f"{p}.{k}")
+    return c("p1", "x") * (c("p2", "y") * c("p3", "z") - c("p2", "z") * c("p3", "y")) - c("p1", "y") * (c("p2", "x") * c("p3", "z") - c("p2", "z") * c("p3", "x")) + c("p1", "z") * (c("p2", "x") * c("p3", "y") - c("p2", "y") * c("p3", "x"))
+
+
 def checked(triangles: DataFrame) -> DataFrame:
     """One row: cells, triangles, edges that no opposite edge closes, signed volume."""
     edges = triangles.select("cell", F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("p1", "p2"), ("p2", "p3"), ("p3", "p1"))])).alias("e"))
     key = F.when(F.col("e.a") < F.col("e.b"), F.struct(F.col("e.a"), F.col("e.b"))).otherwise(F.struct(F.col("e.b").alias("a"), F.col("e.a").alias("b")))
     way = F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1)
     open_ = edges.groupBy("cell", key.alias("k")).agg(F.sum(way).alias("s"), F.count("*").alias("n")).agg(F.count_if((F.col("s") != 0) | (F.col("n") != 2)).alias("open_edges"))
-    c = lambda p, k: F.col(f"{p}.{k}")
-    det = c("p1", "x") * (c("p2", "y") * c("p3", "z") - c("p2", "z") * c("p3", "y")) - c("p1", "y") * (c("p2", "x") * c("p3", "z") - c("p2", "z") * c("p3", "x")) + c("p1", "z") * (c("p2", "x") * c("p3", "y") - c("p2", "y") * c("p3", "x"))
-    total = triangles.agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("triangles"), F.round(F.sum(det) / 6, 4).alias("volume"))
+    total = triangles.agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("triangles"), F.round(F.sum(_determinant()) / 6, 4).alias("volume"))
     return total.crossJoin(open_).select("cells", "triangles", "open_edges", "volume")  # one row each
 
 

@@ -299,12 +299,6 @@ def sp_04(spark, sf):
     return fx.geo(spark, sf).agg(F.when((F.max("x1") > 180) | (F.max("y1") > 90), 3857).otherwise(4326).alias("srid"))
 
 
-@query("sp_24_hex_binning", fx.sql(hexgrid.sql("select (x0 + x1) / 2.0 as x, (y0 + y1) / 2.0 as y, land, area from par", 150, "cast(sum(land) as bigint) as land, cast(sum(area) as bigint) as area, count(*) as n"), "par"))
-def sp_24(spark, sf):
-    p = fx.par(spark, sf).select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "land", "area")
-    return hexgrid.binned(p, "x", "y", 150).groupBy("hq", "hr").agg(F.sum("land").alias("land"), F.sum("area").alias("area"), F.count("*").alias("n"))
-
-
 @query("sp_49_mesh_check", fx.sql("select count(*) as cells, count(*) * 12 as triangles, 0 as open_edges, cast(sum(h) as double) as volume from (select floor(x0 / 400) as a, floor(y0 / 400) as b, 1 + count(*) as h from geo group by 1, 2)", "geo"))
 def sp_49(spark, sf):
     cells = fx.geo(spark, sf).groupBy(F.floor(F.col("x0") / 400).alias("a"), F.floor(F.col("y0") / 400).alias("b")).agg((F.count("*") + 1).alias("h"))

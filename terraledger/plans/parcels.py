@@ -339,14 +339,6 @@ def sp_47(spark, sf):
     return d.groupBy("name").agg(F.round(F.sum(w * h), 6).alias("covered"), F.count_distinct("sx0").alias("slabs"))
 
 
-@query("sp_54_min_width", fx.sql("select o_custkey, bx0 - px as x0, bx1 + px as x1, by0 - py as y0, by1 + py as y1 from (select *, greatest(0, (60 - (bx1 - bx0)) / 2.0) as px, greatest(0, (60 - (by1 - by0)) / 2.0) as py from (select o_custkey, min(x0) as bx0, max(x1) as bx1, min(y0) as by0, max(y1) as by1 from geo where fkey % 20 = 0 group by 1))", "geo"))
-def sp_54(spark, sf):
-    """Hulls along the axes, widened until no side is under a least width."""
-    b = fx.geo(spark, sf).where("fkey % 20 = 0").groupBy("o_custkey").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    pad = lambda lo, hi: F.greatest(F.lit(0.0), (F.lit(60) - (F.col(hi) - F.col(lo))) / 2)
-    return b.select("o_custkey", (F.col("x0") - pad("x0", "x1")).alias("x0"), (F.col("x1") + pad("x0", "x1")).alias("x1"), (F.col("y0") - pad("y0", "y1")).alias("y0"), (F.col("y1") + pad("y0", "y1")).alias("y1"))
-
-
 @query("sc_28_geometry_text", fx.sql("select fkey, 1 + cast(fkey % 3 = 0 as int) as n, (x1 - x0) * (y1 - y0) - case when fkey % 3 = 0 then 4 else 0 end as area from geo where fkey % 11 <> 0", "geo"))
 def sc_28(spark, sf):
     """Polygons as text, decoded; rows that are no polygon are dropped."""
