@@ -4,11 +4,11 @@ A text is cut into chunks that overlap, and every chunk is split into
 pre-tokens by itself, wherever it lies.  A chunk begins in the middle of
 something, but a pre-token depends on nothing before it: as soon as a chunk
 and the one before have one boundary in common, they agree from there on.
-Neighbours are stitched at the first common boundary of their overlap.  Where
-they have none (a run longer than the overlap) they become one chunk and are
-split again, until all meet; so every boundary is the whole text's.  Then the
-pieces between the stitches are encoded, each by itself, and decoding
-concatenates the tokens' bytes.
+Neighbours are stitched at the first common boundary of their overlap.  A text
+in which two have none (a run longer than the overlap) is cut again into
+longer chunks with longer overlaps, until all meet; so every boundary is the
+whole text's.  Then the pieces between the stitches are encoded, each by
+itself, and decoding concatenates the tokens' bytes.
 
 Inside a pre-token the two neighbours whose joined bytes have the least rank
 merge first, the leftmost of equals.  Short words merge in lockstep; a word in
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraledger.llm.bpe import LATIN, NONE, ODD, SPLIT, IntTable, WordStore
-from terraledger.llm.scratch import discard, gathered, held, mapped, materialize, own, slices, with_facts
+from terraledger.llm.scratch import gathered, held, mapped, materialize, own, slices
 
-#: Characters of a chunk, and how many it has in common with the next.
-CHUNK, OVERLAP = 1 << 14, 1 << 8
+#: Characters of a chunk, how many it has in common with the next, and by how much both grow where neighbours do not meet.
+CHUNK, OVERLAP, GROW = 1 << 14, 1 << 8, 4
+#: A text of over so many chunks is dealt out chunk by chunk before its chunks are split.
+SPREAD = 64
 #: A pre-token is final with so many characters past its start, and one past its end.
 SIGHT = 3
 #: Bytes of a word from which on the queue merges it; bytes of text that are encoded together.
@@ -48,6 +50,7 @@ class RankBpe:
         self.raw = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.raw[rank] = token
+        self.small = np.dtype("<u2" if len(self.raw) <= 1 << 16 else "<u4")  # how ids travel
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [(a, b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         a, b, made = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
@@ -156,22 +159,20 @@ def loaded(path: str) -> RankBpe:
 
 # ---------------------------------------------------------------- chunks and stitches
 
-_CHUNK = "key string, chunk long, start long, text string"
 
-
-def chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(key, chunk, start, text): chunks of ``size`` characters, each with its last ``overlap`` in common with the next."""
+def chunks(rows: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(key, doc_id, chunk, start, text): chunks of ``size`` characters, each with its last ``overlap`` in common with the next."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for key, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
                 starts = range(0, max(len(text) - overlap, 1), size - overlap)
-                for at in range(0, len(starts), 64):
-                    some = starts[at : at + 64]
-                    cols = [pa.array([key] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.int64()), pa.array([text[i : i + size] for i in some])]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "chunk", "start", "text"])
+                for at in range(0, len(starts), SPREAD):
+                    some = starts[at : at + SPREAD]
+                    cols = [pa.array([key] * len(some)), pa.array([doc_id] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.int64()), pa.array([text[i : i + size] for i in some])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "chunk", "start", "text"])
 
-    return mapped(texts, cut, _CHUNK)
+    return mapped(rows, cut, "key string, doc_id long, chunk long, start long, text string")
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(parts: DataFrame, overlap: int) -> DataFrame:
-    """(key, chunk, start, head, tail): boundaries in the text's places, near a chunk's begin, and sure ones near its end."""
+    """(key, chunk, head, tail): boundaries in the text's places, near a chunk's begin, and sure ones near its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -192,43 +193,33 @@ def _edges(parts: DataFrame, overlap: int) -> DataFrame:
                 every, sure = boundaries(text)
                 heads.append((every[every <= overlap] + start).tolist())
                 tails.append((sure[sure >= len(text) - overlap] + start).tolist())
-            cols = [b.column("key"), b.column("chunk"), b.column("start"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "chunk", "start", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["key", "chunk", "head", "tail"])
 
-    return mapped(parts, run, "key string, chunk long, start long, head array<long>, tail array<long>")
+    return mapped(parts.select("key", "chunk", "start", "text"), run, "key string, chunk long, head array<long>, tail array<long>")
 
 
-def stitched(parts: DataFrame, overlap: int) -> tuple[DataFrame, list[str]]:
-    """(key, chunk, start, text, since, until) and the tables behind it.
+def stitches(rows: DataFrame, size: int, overlap: int) -> tuple[DataFrame, str]:
+    """(key, chunk, since, until, torn) of every chunk, and its table.
 
-    Pre-tokens from place ``since`` to ``until`` are the chunk's own; null
-    means the text's begin or end.
+    Pre-tokens from place ``since`` to ``until`` are the chunk's own; null means
+    the text's begin or end.  ``torn``: somewhere in the text, neighbours have
+    no boundary in common.
     """
-    spark, paths = parts.sparkSession, []
+    far = F.length("text") > SPREAD * size
+    parts = chunks(rows.where(~far), size, overlap), chunks(rows.where(far), size, overlap).repartition("key", "chunk")
+    edges = _edges(parts[0], overlap).unionByName(_edges(parts[1], overlap)).dropDuplicates(["key", "chunk"])  # of repeated rows, one
     order = Window.partitionBy("key").orderBy("chunk")
-    while True:
-        parts, path = materialize(parts)
-        edges = _edges(parts, overlap).withColumn("until", F.array_min(F.array_intersect("tail", F.lead("head").over(order)))).withColumn("next", F.lead("start").over(order))
-        met, met_path = materialize(edges.select("key", "chunk", "until", "next"))
-        if met.where("next is not null and until is null").isEmpty():
-            met = met.withColumn("since", F.lag("until").over(order)).drop("next")
-            return parts.join(met, ["key", "chunk"]), [*paths, path, met_path]
-        head = F.lag("until").over(order).isNotNull() | F.lag("chunk").over(order).isNull()
-        runs = met.withColumn("run", F.last(F.when(head, F.col("chunk")), ignorenulls=True).over(order))
-        inner = F.when(F.col("until").isNull() & F.col("next").isNotNull(), F.expr("substring(text, 1, cast(next - start as int))")).otherwise(F.col("text"))
-        named = parts.join(runs, ["key", "chunk"]).select("key", "run", F.struct("chunk", "start", inner.alias("text")).alias("part"))
-        # a run is one stretch without a boundary in any overlap: in effect one pre-token, which has to be whole to be encoded
-        one = named.groupBy("key", "run").agg(F.array_sort(F.collect_list("part")).alias("p"))
-        joined, joined_path = materialize(one.select("key", F.col("run").alias("chunk"), F.col("p")[0]["start"].alias("start"), F.array_join("p.text", "").alias("text")))
-        discard(spark, path, met_path)
-        parts, paths = joined, [*paths, joined_path]
+    met = edges.select("key", "chunk", F.array_min(F.array_intersect("tail", F.lead("head").over(order))).alias("until"), F.lead("chunk").over(order).isNull().alias("last"))
+    every = Window.partitionBy("key")
+    out = met.select("key", "chunk", F.lag("until").over(order).alias("since"), "until", F.max(F.col("until").isNull() & ~F.col("last")).over(every).alias("torn"))
+    return materialize(out)
 
 
 # ---------------------------------------------------------------- encoding
 
 
 def _ids(parts: DataFrame, path: str) -> DataFrame:
-    """(key, chunk, ids) of stitched chunks."""
+    """(key, doc_id, chunk, ids) of stitched chunks, ids as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
@@ -240,46 +231,77 @@ def _ids(parts: DataFrame, path: str) -> DataFrame:
                 words += found[0 if since is None else int(np.searchsorted(places, since)) : len(found) if until is None else int(np.searchsorted(places, until))]
                 ends.append(len(words))
             flat, lens = coder.words.ids(words)
-            cuts = np.r_[0, np.cumsum(lens)][ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["key", "chunk", "ids"])
+            cuts = np.r_[0, np.cumsum(lens)][ends].tolist()
+            raw = [flat[i:j].astype(coder.small).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("chunk"), pa.array(raw, pa.binary())], names=["key", "doc_id", "chunk", "ids"])
+
+    return mapped(parts.select("key", "doc_id", "chunk", "start", "text", "since", "until"), run, "key string, doc_id long, chunk long, ids binary")
 
-    return mapped(parts.select("key", "chunk", "start", "text", "since", "until"), run, "key string, chunk long, ids array<int>")
+
+def pieces(rows: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
+    """(key, doc_id, chunk, ids) of long texts: (key, doc_id, text).
+
+    Texts with a run that is longer than the overlap go on to the next round.
+    """
+    done: list[DataFrame] = []
+    while True:
+        met, _ = stitches(rows, size, overlap)
+        whole = met.where("not torn").drop("torn")
+        # stitches grow with the texts, so they are not for broadcasting, whatever they measure
+        done.append(_ids(chunks(rows, size, overlap).join(whole.hint("merge"), ["key", "chunk"]), path))
+        torn = met.where("torn")
+        if torn.isEmpty():
+            break
+        rows = rows.join(torn.select("key").distinct(), "key", "left_semi")
+        size, overlap = size * GROW, overlap * GROW
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(pieces: DataFrame, path: str) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of the pieces of each key, read in order, one piece at a time."""
+def _digests(coded: DataFrame, path: str, keep: bool) -> DataFrame:
+    """A row a document from its pieces, read in order, one at a time; a repeated row's pieces repeat, and so does its result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, now, n, a, b_ = loaded(path), None, 0, hashlib.sha256(), hashlib.sha256()
+        coder = loaded(path)
+        now = doc = last = None
+        copies, n, ids_sha, text_sha, held_ids = 0, 0, hashlib.sha256(), hashlib.sha256(), []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([n], pa.int64()), pa.array([a.hexdigest()]), pa.array([b_.hexdigest()])], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [pa.array([doc] * copies, pa.int64()), pa.array([n] * copies, pa.int64()), pa.array([ids_sha.hexdigest()] * copies), pa.array([text_sha.hexdigest()] * copies)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep:
+                cols.append(pa.array([np.concatenate(held_ids)] * copies, pa.list_(pa.int32())))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         for b in batches:
-            for i, key in enumerate(b.column("key").to_pylist()):
+            for key, doc_id, chunk, raw in zip(*(b.column(c) for c in ("key", "doc_id", "chunk", "ids")), strict=True):
+                key, chunk = key.as_py(), chunk.as_py()
                 if key != now:
                     if now is not None:
                         yield done()
-                    now, n, a, b_ = key, 0, hashlib.sha256(), hashlib.sha256()
-                ids = b.column("ids")[i].values.to_numpy(zero_copy_only=False)
+                    now, doc, last = key, doc_id.as_py(), -1
+                    copies, n, ids_sha, text_sha, held_ids = 0, 0, hashlib.sha256(), hashlib.sha256(), []
+                copies += chunk == 0
+                if chunk == last:
+                    continue
+                last = chunk
+                ids = np.frombuffer(raw.as_buffer(), dtype=coder.small)
                 n += len(ids)
-                a.update(ids.astype("<u4").tobytes())
-                b_.update(coder.decoded(ids))
+                ids_sha.update(ids.astype("<u4").tobytes())
+                text_sha.update(coder.decoded(ids))
+                if keep:
+                    held_ids.append(ids.astype(np.int32))
         if now is not None:
             yield done()
 
-    return mapped(pieces.repartition("key").sortWithinPartitions("key", "chunk"), run, "key string, " + _DIGEST)
-
-
-def pieces(docs: DataFrame, path: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(key, chunk, ids) of every different text longer than a chunk; ``key`` is the text's SHA-256."""
-    long = own(docs, "text").where(F.length("text") > size)
-    texts = long.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
-    parts, _ = stitched(chunks(texts, size, overlap), overlap)
-    return _ids(parts, path)
+    schema = "doc_id long, " + _DIGEST + (", ids array<int>" if keep else "")
+    return mapped(coded.repartition("key").sortWithinPartitions("key", "chunk"), run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = False, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -289,13 +311,13 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False, size: int =
     ids as array<int>.  A null text counts as empty: no tokens.  One row a
     document, repeated rows included; other columns are dropped.  A text of at
     most ``size`` characters is one chunk; longer ones are cut, stitched and
-    encoded chunk by chunk to the last character, equal ones once.  An empty
-    table gives no rows.
+    encoded chunk by chunk to the last character.  An empty table gives no
+    rows.  Copies of a text under other ids are separate texts, so a large
+    group of them needs no task of its own.
     """
     if size < 2 * overlap or overlap < SIGHT + 1:
         raise ValueError("a chunk needs two overlaps, an overlap four characters")
     rows = own(docs, "doc_id", "text")
-    tail = ", ids array<int>" if ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
@@ -317,16 +339,13 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False, size: int =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    short = mapped(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= size), run, "doc_id long, " + _DIGEST + tail)
-    keyed, _ = materialize(rows.where(F.length("text") > size).select("doc_id", F.sha2("text", 256).alias("key")))
-    if keyed.isEmpty():
+    length = F.coalesce(F.length("text"), F.lit(0))
+    short = mapped(rows.where(length <= size), run, "doc_id long, " + _DIGEST + (", ids array<int>" if ids else ""))
+    long = rows.where(length > size)
+    if long.isEmpty():
         return short
-    coded, _ = materialize(pieces(docs, path, size, overlap))
-    facts = _digests(coded, path)
-    if ids:
-        facts = facts.join(coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda p: p["ids"])).alias("ids")), "key")
-    facts, _ = materialize(facts.join(keyed.groupBy("key").agg(F.count("*").alias("copies")), "key"))
-    return short.unionByName(with_facts(keyed, facts, ["key"], "copies").select(*short.columns))
+    keyed = long.withColumn("key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256))
+    return short.unionByName(_digests(pieces(keyed, path, size, overlap), path, ids))
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
