@@ -167,6 +167,16 @@ def repaired(rings: Column) -> Column:
     return F.when(good(F.element_at(bare_rings, 1)), F.filter(bare_rings, good))
 
 
+#: Fixed value: metres of a degree of latitude.
+METRES_PER_DEGREE = 111320
+
+
+def metric_area(ring: Column, lat: Column) -> Column:
+    """Square metres of a ring in degrees near a latitude, on a flat map of its surroundings."""
+    wide = F.cos(F.radians(lat)) * METRES_PER_DEGREE
+    return F.abs(signed_area(F.transform(ring, lambda p: F.struct((p["x"] * wide).alias("x"), (p["y"] * METRES_PER_DEGREE).alias("y")))))
+
+
 def resolution(largest: Column) -> Column:
     """The hexagon resolution whose average area is nearest; 9 for no area."""
     errors = F.array(*[F.struct(F.abs(largest - a).alias("e"), F.lit(i).alias("i")) for i, a in enumerate(HEX_AREAS)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Land shares that make a parcel underdeveloped, and signs of a parking structure.
@@ -76,3 +76,24 @@ def status(code: Column) -> Column:
 def chosen(category: Column, wanted: str) -> Column:
     """Equality with a chosen category; an empty choice lets all pass."""
     return category == wanted if wanted else F.lit(True)
+
+
+#: What is said of a parcel whose size does not allow a rate.
+SIZE_ERRORS = {"land": "⚠ Invalid land size (≤ 0 or missing)", "negative": "⚠ Negative building size", "zero": "ℹ Building size is 0 — shown flat (not an error)"}
+
+
+def size_error(mode: Column, land: Column, building: Column) -> Column:
+    """The message on a rate per land or per building; null where it can be shown, and in other modes."""
+    per_land = (mode == "perLand") & ~F.coalesce((land > 0) & (land < float("inf")), F.lit(False))
+    built = F.coalesce(building, F.lit(0))  # a missing number counts as 0 here
+    per_building = mode == "perBuilding"
+    return F.when(per_land, SIZE_ERRORS["land"]).when(per_building & (built < 0), SIZE_ERRORS["negative"]).when(per_building & (built == 0), SIZE_ERRORS["zero"])
+
+
+def named_defaults(values: DataFrame, by: str, name: str, order: str, defaults: Sequence[str]) -> DataFrame:
+    """by, wanted, have, place: the default names that each group has, in the defaults' order, spelt as it is met first."""
+    known = F.create_map(*[F.lit(v) for i, d in enumerate(defaults) for v in (d.lower(), i)])
+    at = values.withColumn("_i", F.try_element_at(known, F.lower(F.trim(name)))).where("_i is not null")
+    first = at.groupBy(by, "_i").agg(F.min_by(F.trim(name), order).alias("have"))
+    wanted = F.get(F.array(*[F.lit(d) for d in defaults]), F.col("_i"))
+    return first.select(by, wanted.alias("wanted"), "have", F.row_number().over(Window.partitionBy(by).orderBy("_i")).alias("place"))

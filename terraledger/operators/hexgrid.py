@@ -10,6 +10,29 @@ from pyspark.sql import functions as F
 from terraledger.functions import rings as R
 
 
+#: Resolutions and the zooms that they serve, counts of parcels above which the finest ones are left out, zoom of the parcels otherwise.
+BANDS = {7: (0, 6), 8: (7, 8), 10: (9, 9), 11: (10, 11), 12: (12, 12)}
+CAPS = {11: 1_000_000, 12: 600_000}
+PARCEL_ZOOM = 13
+
+
+def ladder(parcels: Column, median: Column) -> Column:
+    """Which hexagons stand for parcels at low zooms: struct(kept, hex_maxzoom, parcel_minzoom).
+
+    Fine resolutions go where parcels are many, and those whose hexagon is
+    smaller than the median parcel (square metres), though the coarsest stays;
+    parcels then take over at the first zoom of those that were too small.
+    """
+    counted = F.filter(F.array(*[F.lit(r) for r in BANDS]), lambda r: ~F.coalesce(*[F.when((r >= k) & (parcels > n), True) for k, n in CAPS.items()], F.lit(False)))
+    areas = F.create_map(*[F.lit(v) for r in BANDS for v in (r, R.HEX_AREAS[r])])
+    starts = F.create_map(*[F.lit(v) for r, (low, _) in BANDS.items() for v in (r, low)])
+    small = F.filter(counted, lambda r: F.element_at(areas, r) < median)
+    fine = F.array_except(counted, small)
+    kept = F.when(F.size(fine) > 0, fine).otherwise(F.slice(counted, 1, 1))
+    first = F.coalesce(F.array_min(F.transform(F.array_except(counted, kept), lambda r: F.element_at(starts, r))), F.lit(PARCEL_ZOOM))
+    return F.struct(kept.alias("kept"), (first - 1).alias("hex_maxzoom"), first.alias("parcel_minzoom"))
+
+
 def binned(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """``df`` with the axial coordinates hq, hr of the hexagon (centre to corner: ``size``) that holds each point.
 
@@ -25,13 +48,6 @@ def binned(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return d.withColumns({"hq": hq, "hr": hr}).drop("_q", "_r", "_a", "_b", "_c")
 
 
-def sql(points: str, size: float, aggs: str) -> str:
-    """The same as SQL: ``points`` is a query with x and y."""
-    return f"""select cast(case when dq > dr and dq > ds then -b - c else a end as bigint) as hq, cast(case when not (dq > dr and dq > ds) and dr > ds then -a - c else b end as bigint) as hr, {aggs}
-  from (select *, abs(a - q) as dq, abs(b - r) as dr, abs(c + q + r) as ds from (select *, floor(q + 0.5) as a, floor(r + 0.5) as b, floor(-q - r + 0.5) as c from
-  (select *, (x * (sqrt(3) / 3) - y / 3) / {size} as q, y * 2 / 3 / {size} as r from ({points})))) group by 1, 2"""
-
-
 def ring(q, r, size: float):
     """Corners of a hexagon as an array of struct(x, y)."""
     cx, cy = (q * math.sqrt(3) + r * (math.sqrt(3) / 2)) * size, r * 1.5 * size

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraledger.functions import rings as R
 from terraledger.operators.lineage import saved
 
 #: Web Mercator's radius, and the semi-axis and eccentricity of WGS 84.
@@ -112,6 +113,26 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * SEMI_AXIS * k0, q * SEMI_AXIS / (2 * k0)
 
 
+#: Fixed value: square feet of a square metre.
+SQUARE_FEET = 10.76391041671
+
+
+def geodesic_area(rings: Column) -> Column:
+    """Square feet of a polygon in degrees on the ellipsoid, holes subtracted; null for none.
+
+    Vertices go to an equal-area map, sides are straight there: over a parcel
+    that is the geodesic area to eight digits.
+    """
+    def flat(p: Column) -> Column:
+        x, y = equal_area(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def moved(origin: Column) -> Column:  # near the origin, so that products do not cancel
+        return F.transform(rings, lambda r: F.transform(F.transform(r, flat), lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y"))))
+
+    return F.greatest(R.let(R.let(flat(rings[0][0]), moved), R.area), F.lit(0.0)) * SQUARE_FEET
+
+
 def tile(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     """Slippy-map tile of a point, clamped to the map."""
     n = 1 << zoom

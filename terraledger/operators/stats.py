@@ -67,3 +67,9 @@ def ramp(v: Column, stops: Sequence[tuple[float, float]]) -> Column:
     for (a, p), (b, q) in zip(stops, stops[1:], strict=False):
         out = out.when(v <= b, p + (v - a) * (q - p) / (b - a))
     return out.otherwise(F.lit(float(stops[-1][1])))
+
+
+def inverted_rank(value: Column, breaks: Column, bins: int) -> Column:
+    """1 for values below all breaks, falling in equal steps to 0 for those at or above ``bins`` - 1 of them."""
+    below = F.size(F.filter(breaks, lambda b: b <= value))
+    return (F.lit(bins - 1) - below) / F.lit(bins - 1)

@@ -241,12 +241,6 @@ def cs_16(spark, sf):
     return fx.roll(spark, sf).select("fkey", F.round(value, 6).alias("share"), basis.alias("basis"))
 
 
-@query("cs_19_error_flags", fx.sql("select fkey, l_partkey, l_suppkey, total, case when qty <= 2 then 'invalid size' when total - 3 * land < 0 then 'negative' when land = 0 then 'zero' end as message from rec", "rec"))
-def cs_19(spark, sf):
-    rules = [(F.col("qty") <= 2, "invalid size"), (F.col("total") - F.col("land") * 3 < 0, "negative"), (F.col("land") == 0, "zero")]
-    return fx.rec(spark, sf).select("fkey", "l_partkey", "l_suppkey", "total", classify.first_match(rules).alias("message"))
-
-
 @query("cs_20_status_class", "select event_id, case when s >= 500 then 'server_error' when s = 401 then 'unauthorized' when s = 403 then 'forbidden' when s = 404 then 'not_found' when s = 408 then 'timeout' when s = 429 then 'rate_limited' when s >= 400 then 'client_error' end as kind from (select event_id, [200, 301, 400, 401, 403, 404, 408, 418, 429, 500, 503][event_id % 11 + 1] as s from events)")
 def cs_20(spark, sf):
     codes = F.array(*[F.lit(s) for s in (200, 301, 400, 401, 403, 404, 408, 418, 429, 500, 503)])

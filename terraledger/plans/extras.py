@@ -168,13 +168,6 @@ def fl_15(spark, sf):
     return T(spark, sf, "orders").where(F.length(F.col("o_orderkey").cast("string")) == 4).select("o_orderkey")
 
 
-@query("fl_19_sensitive_columns", "select column_name as c, regexp_matches(column_name, 'name|phone|acct|addr', 'i') as hit from (describe select * from customer)")
-def fl_19(spark, sf):
-    """The columns of a table's own schema that look personal."""
-    have = fx.table(spark, sf, "customer").columns
-    return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in have])).alias("c")).withColumn("hit", F.col("c").rlike("(?i)name|phone|acct|addr"))
-
-
 @query("fl_21_plausible_source", "select n_nationkey, case when n < 5 then -3 when n > 90 then -2 else 0 end + case when n_name like '%A%' then 1 else 0 end as score from (select n_nationkey, n_name, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by 1, 2)")
 def fl_21(spark, sf):
     c = T(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))

@@ -49,40 +49,6 @@ def pj_24(spark, sf):
     return p.select("fkey", F.coalesce("land_rate", rate("land")).alias("land_rate"), rate("total").alias("total_rate"))
 
 
-_COLUMN_NAMES = "select column_name as name, 't' as t from (describe select * from lineitem) union all select column_name, 't' from (describe select * from orders) union all select unnest(['land_value', 'LAND', 'Total Value', 'bldg_valuation', 'improve_amt', 'market_total']), 't'"
-
-
-def _names(spark, sf):
-    extra = ["land_value", "LAND", "Total Value", "bldg_valuation", "improve_amt", "market_total"]
-    names = [*T(spark, sf, "lineitem").columns, *T(spark, sf, "orders").columns, *extra]
-    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
-
-
-@query("pj_26_value_field_score", f"""select name, round(case when list_contains(t, 'land') then 0 when len(list_intersect(t, ['property', 'market', 'total'])) > 0 then 100 when len(list_intersect(t, ['building', 'bldg'])) > 0 or len(list_filter(t, lambda x: starts_with(x, 'impr'))) > 0 then 200 else 300 end
-  - case when contains(lower(name), 'valu') then 20 else 0 end + len(t) * 0.5 + least(20.0, length(name) / 50.0), 6) as score from (select name, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') as t from ({_COLUMN_NAMES}))""")
-def pj_26(spark, sf):
-    return _names(spark, sf).select("name", F.round(fields.value_score(F.col("name")), 6).alias("score"))
-
-
-@query("sf_27_field_suggestion", "select role, arg_min(name, [i, n]) as name from (select name, n, role, list_position(pats, list_filter(pats, lambda p: contains(lower(name), p))[1]) as i, pats from (select name, row_number() over () as n from (select unnest(['PIN', 'LANDVAL', 'tot_mktlnd', 'Impr_Val', 'ClassCode', 'parcelid', 'o_custkey']) as name)), (values ('land', ['landval', 'land_val', 'landmkt', 'mktlnd', 'land_value', 'land_market', 'curr_land', 'total_land']), ('improvement', ['imprval', 'impr_val', 'mktimp', 'improvement_value', 'impr_market', 'curr_impr', 'total_impr']), ('category', ['class', 'landuse', 'land_use', 'usecode', 'use_code', 'lutype', 'lu_type', 'proptype', 'prop_type', 'usegroup']), ('parcel', ['parcelid', 'parcel_id', 'pin', 'parid', 'apn', 'blockfaceid', 'taxid'])) r(role, pats) where len(list_filter(pats, lambda p: contains(lower(name), p))) > 0) group by role")
-def sf_27(spark, sf):
-    """For each role the field that contains its earliest pattern; of several, the first."""
-    names = F.array(*[F.lit(n) for n in ("PIN", "LANDVAL", "tot_mktlnd", "Impr_Val", "ClassCode", "parcelid", "o_custkey")])
-    f = spark.range(1).select(F.posexplode(names).alias("n", "name"))
-    roles = F.array(*[F.struct(F.lit(r).alias("role"), fields.suggestion(r, F.col("name")).alias("i")) for r in fields.SUGGESTIONS])
-    hits = f.select("n", "name", F.explode(roles).alias("r")).where("r.i is not null")
-    return hits.groupBy("r.role").agg(F.min_by("name", F.struct("r.i", "n")).alias("name"))
-
-
-@query("cs_21_under_categories", "select d.name as wanted, arg_min(trim(v.name), v.n) as have, min(d.i) as place from (values (0, 'Vacant'), (1, 'Parking Lot'), (2, 'Underdeveloped')) d(i, name) join (values (0, ' VACANT '), (1, 'vacant'), (2, ''), (3, 'underdeveloped'), (4, 'Industrial')) v(n, name) on lower(trim(v.name)) = lower(d.name) group by d.name")
-def cs_21(spark, sf):
-    """The default categories that a city has, in the defaults' order and the city's own spelling."""
-    have = spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in (" VACANT ", "vacant", "", "underdeveloped", "Industrial")])).alias("n", "name"))
-    want = spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in fields.UNDERUSED])).alias("i", "wanted"))
-    hit = want.join(have.where(F.trim("name") != ""), F.lower(F.trim("name")) == F.lower("wanted"))
-    return hit.groupBy("wanted").agg(F.min_by(F.trim("name"), "n").alias("have"), F.min("i").alias("place"))
-
-
 # ------------------------------------------------------------------ filters and joins
 
 
@@ -181,16 +147,6 @@ def sf_11(spark, sf):
     return T(spark, sf, "customer").select("c_custkey", fields.base_address(made).alias("base"))
 
 
-@query("sf_31_development", """select p_partkey, case p_partkey % 6 when 0 then 'PARKSIDE ' || p_size when 1 then 'CHELSEA HOUSE' when 2 then 'DOWNTOWN | 1220 MAIN ST CONDOS' when 3 then 'PARKSIDE GRANDE' when 4 then 'DOWNTOWN' else '' end as development from part""")
-def sf_31(spark, sf):
-    """Development names out of legal descriptions, made in the forms that occur."""
-    k = F.col("p_partkey")
-    text = classify.first_match([
-        (k % 6 == 0, F.concat(F.lit("Parkside "), F.col("p_size").cast("string"), F.lit(", Bldg 1, Unit 101"))), (k % 6 == 1, "Chelsea House Condo, Common Area"), (k % 6 == 2, "DOWNTOWN, BLK 93, 1220 Main St Condos Unit 3"),
-        (k % 6 == 3, "COMMON AREA, TOWN CENTER, BLK F, LOT 8, PARKSIDE GRANDE"), (k % 6 == 4, "Downtown, Blk 2, Lot 7")], " , ,")
-    return T(spark, sf, "part").select("p_partkey", fields.development(text).alias("development"))
-
-
 @query("sf_18_where_mask", fx.sql("select fkey, case when land > 20000 then land end as kept, case when land > 20000 then 0 else land end as masked, coalesce(nullif(land, 0), impr, 0) as filled from par", "par"))
 def sf_18(spark, sf):
     big = F.col("land") > 20000
@@ -296,7 +252,11 @@ def sc_04(spark, sf):
     return p.select(F.round(F.col("p")[0], 6).alias("mid"), "n")
 
 
-@query("sc_08_tile_scan", "select c_custkey, cast(floor((lon + 180) / 360 * 64) as bigint) as x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 64) as bigint) as y from (select c_custkey, c_custkey % 360 - 180 + 0.5 as lon, c_custkey % 160 - 80 + 0.5 as lat from customer) where x between 14 and 39 and y between 20 and 38")
+#: Tile column and row at zoom 6, for points and for the corners of a box alike.
+_TX, _TY = "cast(floor(({} + 180) / 360 * 64) as bigint)", "cast(floor((1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * 64) as bigint)"
+
+
+@query("sc_08_tile_scan", f"select c_custkey, {_TX.format('lon')} as x, {_TY.format('lat')} as y from (select c_custkey, c_custkey % 360 - 180 + 0.5 as lon, c_custkey % 160 - 80 + 0.5 as lat from customer) where {_TX.format('lon')} between {_TX.format('-100')} and {_TX.format('44')} and {_TY.format('lat')} between {_TY.format('55.7')} and {_TY.format('-30')}")
 def sc_08(spark, sf):
     """Points as tiles of one zoom, and those tiles that a box touches."""
     lon, lat = F.col("c_custkey") % 360 - 180 + 0.5, F.col("c_custkey") % 160 - 80 + 0.5

@@ -258,12 +258,6 @@ def sp_19(spark, sf):
     return fx.geo(spark, sf).select("fkey", F.concat_ws(",", mid("x0", "x1"), mid("y0", "y1")).alias("k"), F.md5(F.concat_ws(" ", "x0", "y0", "x1", "y1").cast("binary")).alias("h"))
 
 
-@query("sp_22_ladder", "select res, n, res < 11 or (res = 11 and n <= 1000000) or (res = 12 and n <= 600000) as kept from (values (7), (8), (10), (11), (12)) r(res), (values (600000), (600001), (1000000), (1000001)) c(n)")
-def sp_22(spark, sf):
-    r = spark.createDataFrame([(r, n) for r in (7, 8, 10, 11, 12) for n in (600000, 600001, 1000000, 1000001)], "res int, n int")
-    return r.withColumn("kept", (F.col("res") < 11) | ((F.col("res") == 11) & (F.col("n") <= 1_000_000)) | ((F.col("res") == 12) & (F.col("n") <= 600_000)))
-
-
 @query("sp_42_plat_gate", fx.sql("select l_suppkey, count(*) as n from rec where total > 0 group by l_suppkey having count(*) filter (where qty <= 30) * 10 >= count(*) * 6 and count(*) filter (where qty <= 30) >= 2 and bool_or(l_linenumber = 7)", "rec"))
 def sp_42(spark, sf):
     stub = F.count_if(F.col("qty") <= 30)

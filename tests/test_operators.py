@@ -138,19 +138,28 @@ def test_greedy_equals_one_after_the_other(spark):
 
 
 def test_development_and_address(spark):
-    legal = ["PARKSIDE GRANDE, BLDG 1, UNIT 101", "Chelsea House Condo, Common Area", "DOWNTOWN, BLK 93, 1220 MAIN ST CONDOS, UNIT 3", "COMMON AREA, TOWN CENTER, BLK F, LOT 8, PARKSIDE GRANDE", "DOWNTOWN, BLK 1", "", None, "EAST RIDGE CONDOMINIUMS -"]
+    legal = ["Heron  Court, Phase 2, Lot 40", "Old Mill Townhomes, Common Area", "DOWNTOWN, LOT 5, 77 Quay Lofts Units 1-9", "COMMON AREA, NORTH BANK, BLOCK 2, HERON COURT", "DOWNTOWN, BLK 1", "", None, "WILLOW CONDOS -", "Common Area, Lot 2"]
     got = one(spark, "s string", [(x,) for x in legal], fields.development(F.col("s")))
-    assert [g[0] for g in got] == ["PARKSIDE GRANDE", "CHELSEA HOUSE", "DOWNTOWN | 1220 MAIN ST CONDOS", "PARKSIDE GRANDE", "DOWNTOWN", "", "", "EAST RIDGE"]
+    assert [g[0] for g in got] == ["HERON COURT", "OLD MILL", "DOWNTOWN | 77 QUAY LOFTS", "HERON COURT", "DOWNTOWN", "", "", "WILLOW", ""]
     text = ["12 Main St  Apt 4", "12 Oak Ave #5", "NONE (+2 more)", "none", "9 Elm St A12-3", "9 Pine Rd 7B", "5 High St (+3 more)", None, " "]
     got = one(spark, "s string", [(x,) for x in text], fields.base_address(F.col("s")))
     assert [g[0] for g in got] == ["12 MAIN ST", "12 OAK AVE", None, None, "9 ELM ST", "9 PINE RD", "5 HIGH ST", None, None]
 
 
+def test_subdivisions(spark):
+    text = ["The Oaks at Mill Creek, Phase 2", "CONDOMINIUM PUD", "2nd Filing B Lake 1999 View Point North", "Heron Unit 4", None, ""]
+    got = one(spark, "s string", [(x,) for x in text], fields.subdivision_root(F.col("s")), fields.subdivision_family(F.col("s")))
+    assert got == [("THE", "THE OAKS MILL"), (None, None), ("2ND", "FILING LAKE VIEW"), ("HERON", "HERON"), (None, None), (None, None)]
+
+
 def test_expressions_and_nulls(spark):
     df = spark.createDataFrame([(None, None), (3.0, "b"), (12.0, "a")], "v double, k string")
     ask = lambda e: [r[0] for r in df.select(fields.expression(e)).collect()]
     assert ask(["to-number", ["get", "v"]]) == [0, 3, 12]
     assert ask(["==", ["get", "k"], "a"]) == [False, False, True] and ask(["!=", ["get", "k"], "a"]) == [True, True, False]
+    assert ask(["-", ["to-number", ["get", "v"]]]) == [0, -3, -12]
+    with pytest.raises(ValueError, match="no such operator"):
+        fields.expression(["concat", "a"])
     assert ask(["step", ["to-number", ["get", "v"]], "lo", 3, "mid", 10, "hi"]) == ["lo", "mid", "hi"]
     assert ask(["interpolate", ["linear"], ["to-number", ["get", "v"]], 0, 0, 6, 60, 12, 0]) == [0, 30, 0]
     assert ask(["match", ["get", "k"], ["a", "c"], 1, "b", 2, 9]) == [9, 2, 1]
