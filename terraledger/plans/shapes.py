@@ -7,11 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from terraledger.functions import rings
-from terraledger.operators import borders, hexgrid, hulls, lineage, mesh, raster, repair, simplify, spatial, unions
+from terraledger.operators import borders, collapse, condos, hexgrid, hulls, lineage, mesh, raster, regions, repair, simplify, spatial, unions
 from terraledger.plans import fixtures as fx
 from terraledger.plans.parcels import _GRID, _POLY, GEO, LOT, _poly
 from terraledger.plans.registry import query
-from terraledger.sources import files, vector
+from terraledger.sources import files, geometry, vector
 
 # ------------------------------------------------------------------ simplification
 
@@ -278,3 +278,93 @@ def sc_23(spark, sf):
         one = scan.select(F.lit(name).alias("format"), "fkey", F.size("polygons").alias("parts"), sizes.alias("area"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("sc_28_geometry_decode", fx.sql("""select g.fkey, case when g.fkey % 5 = 0 then 2 else 1 end as parts, area + case when g.fkey % 5 = 0 then 6 else 0 end as area from geo g join
+  (select fkey, max(case when r = 1 then abs(s) end) - coalesce(sum(case when r > 1 then abs(s) end), 0) as area from ringa group by fkey) a on g.fkey = a.fkey where g.fkey % 7 <> 6""", "geo", more=_POLY))
+def sc_28(spark, sf):
+    """Polygons and multipolygons as text and as hexadecimal bytes of either order, decoded; rows that are none are dropped."""
+    m = _multi(spark, sf).withColumn("open", F.transform("polygons", lambda p: F.transform(p, rings.opened)))
+    both = geometry.encoded(geometry.encoded(m, "polygons", "little"), "polygons", "big", big=True)
+    k = F.col("fkey") % 7
+    form = F.when(k == 6, "POINT (1 2)").when(k % 3 == 0, geometry.as_text(F.col("open"))).when(k % 3 == 1, F.hex("little")).otherwise(F.lower(F.hex("big")))
+    g = geometry.decoded(both.select("fkey", form.alias("g")), "g").where("polygons is not null")
+    return g.select("fkey", F.size("polygons").alias("parts"), F.aggregate(F.transform("polygons", rings.area), F.lit(0.0), lambda s, a: s + a).alias("area"))
+
+
+# ------------------------------------------------------------------ regions by layers
+
+#: Zones are diamonds with a diamond hole, around places of suppliers; quarters are strips of nations that overlap a little.
+_LAYERS = """zone as (select s_suppkey as place, s_name as name, s_suppkey * 977 % 10000 + 0.37 as cx, s_suppkey * 613 % 2400 + 0.61 as cy, 150.0 + s_suppkey % 7 * 40 as big from supplier),
+ quarter as (select n_nationkey as place, n_name as name, n_nationkey * 400 - 0.41 as a, n_nationkey * 400 + 430.43 as b from nation)"""
+
+
+def _layers(spark, sf):
+    s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    cx, cy, big = s * 977 % 10000 + 0.37, s * 613 % 2400 + 0.61, s % 7 * 40 + 150.0
+    diamond = lambda r: F.array(point(cx - r, cy), point(cx, cy - r), point(cx + r, cy), point(cx, cy + r))
+    zone = fx.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), s.alias("place"), F.array(diamond(big), diamond(big / 3)).alias("rings"))
+    a, b, low, high = n * 400 - 0.41, n * 400 + 430.43, F.lit(-1.0), F.lit(1e6)
+    quarter = fx.table(spark, sf, "nation").select(F.col("n_name").alias("name"), n.alias("place"), F.array(F.array(point(a, low), point(b, low), point(b, high), point(a, high))).alias("rings"))
+    return [("zone", zone, lambda c: c), ("quarter", quarter, lambda c: F.concat(F.lit("Q "), F.lower(c)))]
+
+
+@query("sp_46_layer_tags", fx.sql("""select fkey, coalesce(arg_min(z.name, z.place), '(None)') as zone, coalesce(arg_min('Q ' || lower(q.name), q.place), '(None)') as quarter from inner_ p left join zone z on abs(x - cx) + abs(y - cy) < big and not abs(x - cx) + abs(y - cy) < big / 3 left join quarter q on a < x and x < b group by fkey""", "geo", more=_POLY + ", " + _BINNED + ", " + _LAYERS))
+def sp_46_layers(spark, sf):
+    """Parcels tagged with the zones and quarters that hold a point inside them, holes left out."""
+    p = _poly(spark, sf).select("fkey", rings.inside_point(F.col("rings")).alias("p")).select("fkey", "p.x", "p.y")
+    return regions.tagged(p, "fkey", "x", "y", _layers(spark, sf)).select("fkey", "zone", "quarter")
+
+
+# ------------------------------------------------------------------ condominiums
+
+_ROLLS = """r as (select fkey, l_partkey, l_linenumber, category[1] as boro, l_suppkey % 17 as condo, l_partkey % 9 as block, case when l_suppkey % 17 < 3 then 'plain' when l_linenumber = 7 and l_suppkey % 17 <> 5 and (l_partkey % 9 < 6 or l_suppkey % 17 = 6) then 'billing' else 'unit' end as kind, land, total, qty % 11 as area, category[2] as tax from rec),
+ ub as (select boro, condo, block, sum(land) as land, sum(total) as total, count(*) as n from r where kind = 'unit' group by 1, 2, 3), bb as (select distinct boro, condo, block from r where kind = 'billing'), bc as (select distinct boro, condo from bb),
+ pool as (select boro, condo, sum(land) as land, sum(total) as total, sum(n) as n from ub anti join bb using (boro, condo, block) group by 1, 2),
+ cls as (select boro, condo, arg_min(tax, [-t, ascii(tax)]) as tax from (select boro, condo, tax, sum(total) as t from r where kind = 'unit' group by 1, 2, 3) group by 1, 2),
+ bill as (select *, case when sum(area) over k > 0 then area * 1.0 / sum(area) over k else 1.0 / count(*) over k end as sk, case when sum(area) over c > 0 then area * 1.0 / sum(area) over c else 1.0 / count(*) over c end as sc from r where kind = 'billing' window k as (partition by boro, condo, block), c as (partition by boro, condo))"""
+
+
+@query("sp_43_condo_lots", fx.sql("""select fkey, l_partkey, boro, condo, kind, round(land, 4) as land, round(total, 4) as total, round(n_units, 6) as n_units, tax from (
+  select fkey, l_partkey, boro, condo, kind, cast(land as double) as land, cast(total as double) as total, 0.0 as n_units, tax from r where kind = 'plain'
+  union all select fkey, l_partkey, b.boro, b.condo, kind, b.land + coalesce(o.land, 0) * sk + coalesce(p.land, 0) * sc, b.total + coalesce(o.total, 0) * sk + coalesce(p.total, 0) * sc, coalesce(o.n, 0) * sk + coalesce(p.n, 0) * sc, coalesce(cls.tax, b.tax) from bill b left join ub o using (boro, condo, block) left join pool p on b.boro = p.boro and b.condo = p.condo left join cls on b.boro = cls.boro and b.condo = cls.condo
+  union all select null, null, boro, condo, 'orphan', sum(land), sum(total), sum(n), null from ub anti join bc using (boro, condo) group by boro, condo)""", "rec", more=_ROLLS))
+def sp_43_lots(spark, sf):
+    """Units' values on the lots that are billed for them: same block first, the rest over all, and what no lot takes."""
+    r = fx.rec(spark, sf).withColumns({"boro": F.substring("category", 1, 1), "tax": F.substring("category", 2, 1), "condo": F.col("l_suppkey") % 17, "block": F.col("l_partkey") % 9, "area": F.col("qty") % 11})
+    has_lot = (F.col("l_linenumber") == 7) & (F.col("condo") != 5) & ((F.col("block") < 6) | (F.col("condo") == 6))
+    r = r.withColumn("kind", F.when(F.col("condo") < 3, "plain").when(has_lot, "billing").otherwise("unit")).select("fkey", "l_partkey", "boro", "condo", "block", "kind", "land", "total", "area", "tax")
+    lots, lost = condos.to_lots(r, ["boro", "condo"], "block", "kind", ["land", "total"], "area", "tax")
+    lost = lost.select(F.lit(None).cast("long").alias("fkey"), F.lit(None).cast("long").alias("l_partkey"), "boro", "condo", F.lit("orphan").alias("kind"), F.col("land").cast("double").alias("land"), F.col("total").cast("double").alias("total"), F.col("n_units").cast("double").alias("n_units"), F.lit(None).cast("string").alias("tax"))
+    every = lots.select(*lost.columns).unionByName(lost)
+    return every.withColumns({c: F.round(c, d) for c, d in (("land", 4), ("total", 4), ("n_units", 6))})
+
+
+# ------------------------------------------------------------------ collapse
+
+_RULES = collapse.Rules(reach=1.0, ground_ratio=1.2, complex_ratio=1.5, child=1500, parent=1600, complex_units=3, complex_children=2, rest=1300, support=2500, anchor_units=5)
+
+
+def _accounts(spark, sf):
+    """Footprints as accounts: kind and name from the owner, so that neighbours often share them."""
+    k, c = F.col("fkey"), F.col("o_custkey")
+    block = F.floor(F.col("x0") / 400) * 7 + F.floor(F.col("y0") / 80)
+    family = F.when((k + block) % 5 != 4, F.concat_ws(" ", F.element_at(F.array(*[F.lit(w) for w in ("OAK", "ELM", "PINE")]), (block % 3 + 1).cast("int")), F.when(c % 4 == 0, "COURT").when(c % 4 == 1, "PARK")))
+    kind = F.when(c % 3 == 0, "parcel").otherwise("condo")
+    p = fx.par(spark, sf).where("exempt = 0")
+    return p.select(k.alias("id"), kind.alias("kind"), family.alias("family"), F.coalesce(F.split(family, " "), F.array().cast("array<string>")).alias("tokens"), (c % 6 == 0).alias("support"), "land", "impr", F.col("area").cast("double").alias("area"), F.col("n").alias("units"), *[F.col(b).cast("double").alias(b) for b in GEO])
+
+
+_SUMS = "cast(sum(land) as bigint) as land, cast(sum(impr) as bigint) as impr, cast(sum(n) as bigint) as units"
+
+
+@query("sp_45_seven_passes", fx.sql(f"""select pass, land, impr, units from (select {_SUMS} from par where exempt = 0), (select unnest(['platted', 'on_ground', 'campuses', 'complexes', 'remaining', 'supports', 'clusters']) as pass)""", "par"))
+def sp_45_seven(spark, sf):
+    """Seven passes from accounts to the ground they stand on; after each, values and units add up to what there was."""
+    lots = fx.lot(spark, sf).select("lot", *GEO)
+    out = None
+    for name, rows in collapse.passes(_accounts(spark, sf), lots, _RULES):
+        one = rows.agg(F.lit(name).alias("pass"), F.sum("land").alias("land"), F.sum("impr").alias("impr"), F.sum("units").alias("units"))
+        out = one if out is None else out.unionByName(one)
+    return out
