@@ -66,7 +66,7 @@ def _axes(dims: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def curve_rows(cls: DataFrame, dims: int) -> DataFrame:
-    """(curve, key, g1, g2, vec, asked): every class on every curve."""
+    """(curve, key, g1, g2, cid, vec, asked): every class on every curve."""
     axes = [_axes(dims, c) for c in range(CURVES)]
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,9 @@ def curve_rows(cls: DataFrame, dims: int) -> DataFrame:
     n = max(sums[0]["n"], 1.0) if sums else 1.0
     mean = np.array([r["s"] for r in sums]).reshape(CURVES, -1) / n
     sd = np.sqrt(np.maximum(np.array([r["q"] for r in sums]).reshape(CURVES, -1) / n - mean**2, 1e-18))
-    schema = "curve int, key long, g1 long, g2 long, vec array<double>, asked boolean"
+    schema = "curve int, key long, g1 long, g2 long, cid long, vec array<double>, asked boolean"
+
+    rest = ["g1", "g2", "cid", "vec", "asked"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = 1 << BITS
@@ -94,9 +96,9 @@ def curve_rows(cls: DataFrame, dims: int) -> DataFrame:
             for c, (a, shift) in enumerate(axes):
                 at = ((v @ a - mean[c]) / sd[c] / 6 + 0.5) * (top - 1) + shift  # three deviations either way, shifted by part of a cell
                 h = hilbert_index(np.clip(at, 0, top - 1).astype(np.int64), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(h), b.column("g1"), b.column("g2"), b.column("vec"), b.column("asked")], names=["curve", "key", "g1", "g2", "vec", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(h), *(b.column(n) for n in rest)], names=["curve", "key", *rest])
 
-    return mapped(cls.select("g1", "g2", "vec", "asked"), keys, schema)
+    return mapped(cls.select(*rest), keys, schema)
 
 
 def window(cls: DataFrame, placed: DataFrame, dims: int, total: int, k: int) -> tuple[int, float]:
@@ -147,7 +149,7 @@ def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> Dat
     cls, members, dims = classes(vectors, k)
     total = cls.count()
     rows = curve_rows(cls, dims)
-    placed, path = ordered_positions(rows, run=["curve", "key"], tie=["g1", "g2"], carry=["curve", "g1", "g2", "vec", "asked"])
+    placed, path = ordered_positions(rows, run=["curve", "key"], tie=["g1", "g2"], carry=["curve", "g1", "g2", "cid", "vec", "asked"])
     placed = placed.withColumn("pos", F.col("pos") - F.col("curve") * total)
     if half is None:
         half, _ = window(cls, placed, dims, total, k)
@@ -155,12 +157,12 @@ def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> Dat
     homes = -(-max(1, -(-total // BLOCK)) // reach)
     at = F.col("block")
     searched_by = F.sequence(F.greatest(F.lit(0), F.floor(at / reach) - 1).cast("int"), F.least(F.lit(homes - 1), F.floor(at / reach) + 1).cast("int"))
-    packed = placed.groupBy("curve", (F.col("pos") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("g1", "g2", "vec", "asked")).alias("rows"))
+    packed = placed.groupBy("curve", (F.col("pos") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("g1", "g2", "cid", "vec", "asked")).alias("rows"))
     packed, packed_path = materialize(packed)
     asked = packed.select("curve", F.floor(at / reach).cast("int").alias("home"), F.filter("rows", lambda x: x["asked"]).alias("rows"), F.lit(-1).alias("block")).where(F.size("rows") > 0)
     data = packed.select("curve", F.explode(searched_by).alias("home"), "rows", "block")
     both = asked.unionByName(data).repartition("curve", "home").sortWithinPartitions("curve", "home", "block")
-    schema = "q1 long, q2 long, g1 long, g2 long, score double"
+    schema = "q1 long, q2 long, g1 long, g2 long, cid long, score double"
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, q, qid, best, ids = None, [], [], None, None
@@ -172,7 +174,7 @@ def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> Dat
             n = keep.sum(1)
             a = np.repeat(np.concatenate(qid), n, axis=0)
             b = ids[keep]
-            return [pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(best[keep])], names=["q1", "q2", "g1", "g2", "score"])]
+            return [pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(b[:, 2]), pa.array(best[keep])], names=["q1", "q2", "g1", "g2", "cid", "score"])]
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> Dat
                     now, q, qid, best, ids = key, [], [], None, None
                 held = one.column("rows").flatten()
                 v = _matrix(held.field("vec"), dims)
-                g = np.stack([held.field("g1").to_numpy(), held.field("g2").to_numpy()], axis=1)
+                g = np.stack([held.field(n).to_numpy() for n in ("g1", "g2", "cid")], axis=1)
                 if one.column("block")[0].as_py() < 0:
                     q.append(v), qid.append(g)
                     continue
@@ -191,18 +193,20 @@ def search(vectors: DataFrame, k: int = NEAREST, half: int | None = None) -> Dat
                     continue
                 if best is None:
                     q = [np.concatenate(q)]
-                    best, ids = np.full((len(q[0]), k + 1), -np.inf), np.zeros((len(q[0]), k + 1, 2), dtype=np.int64)
+                    best, ids = np.full((len(q[0]), k + 1), -np.inf), np.zeros((len(q[0]), k + 1, 3), dtype=np.int64)
                 s = q[0] @ v.T
                 m = min(k + 1, len(v))
+                least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]  # what comes within rounding of the last one goes on, too
+                m = int((s >= least - 1e-9 * np.abs(s).max(axis=1, keepdims=True)).sum(1).max())
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(v) else np.tile(np.arange(m), (len(s), 1))
                 exact = np.stack([(q[0] * v[top[:, j]]).sum(1) for j in range(m)], axis=1)  # one order of summation for all
                 best, ids = np.concatenate([best, exact], axis=1), np.concatenate([ids, g[top]], axis=1)
-                order = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+                order = np.lexsort((ids[:, :, 2], -best), axis=1)[:, : k + 1]
                 best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order[:, :, None], 1)
         yield from out()
 
-    found = mapped(both, rank, schema).groupBy("q1", "q2", "g1", "g2").agg(F.max("score").alias("score"))
-    per = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "g1", "g2")
+    found = mapped(both, rank, schema).groupBy("q1", "q2", "g1", "g2", "cid").agg(F.max("score").alias("score"))
+    per = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "cid")  # a class's least id stands for it, so ties fall as they do among vectors
     found, _ = materialize(found.withColumn("r", F.row_number().over(per)).where(F.col("r") <= k + 1).drop("r"))
     discard(spark, path, packed_path)
     named = found.join(members, ["g1", "g2"]).select("q1", "q2", "vec_id", "score").distinct()
