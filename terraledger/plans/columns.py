@@ -106,7 +106,7 @@ def pj_20(spark, sf):
 
     r = fx.roll(spark, sf).select("fkey", F.when(F.col("fkey") % 50 != 0, F.col("category")).alias("value"))
     ids = rollup.encode(r, "value").select("value", F.col("id").cast("long").alias("id"))
-    return r.join(F.broadcast(ids), "value", "left").select("fkey", F.coalesce("id", F.lit(-1).cast("long")).alias("id"))
+    return r.join(ids, "value", "left").select("fkey", F.coalesce("id", F.lit(-1).cast("long")).alias("id"))
 
 
 @query("pj_22_link", "select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, 'https://example.org/p/' || page_id as link from pages")

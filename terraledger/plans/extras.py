@@ -359,4 +359,4 @@ def jn_09(spark, sf):
 def sx_19(spark, sf):
     p = fx.par(spark, sf).withColumn("v", F.col("total") / F.col("area"))
     m = ranks.percentiles(p, ["v"], [50], ["district"]).select("district", F.col("p")[0].alias("m"))
-    return p.join(F.broadcast(m), "district").where(F.col("v") > F.col("m") * 4).select("fkey", F.round(F.col("v") / F.col("m"), 6).alias("times"))
+    return p.join(m, "district").where(F.col("v") > F.col("m") * 4).select("fkey", F.round(F.col("v") / F.col("m"), 6).alias("times"))

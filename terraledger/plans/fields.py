@@ -105,7 +105,7 @@ def jn_32(spark, sf):
     """Common areas go to the largest unit group of their name; the others by touch, only to groups that got none by name."""
     g = fx.geo(spark, sf).where("fkey % 50 < 30").select("fkey", (F.col("o_custkey") % 40).alias("g"), (F.col("fkey") % 50).alias("name"), *GEO)
     size = g.groupBy("g").agg(F.count("*").alias("n"))
-    unit = g.join(F.broadcast(size), "g")
+    unit = g.join(size, "g")
     k = F.col("lot")
     ca = fx.lot(spark, sf).select("lot", F.when(k % 4 == 0, k % 100).otherwise(-1).alias("name"), *[F.col(c).alias("l" + c) for c in GEO])
     best = F.max_by("g", F.struct("n", -F.col("g"))).alias("g")

@@ -203,7 +203,7 @@ def ag_42(spark, sf):
     r = fx.roll(spark, sf).where("total > 0").select("category", (F.col("land") / F.col("total")).alias("s"))
     m = ranks.percentiles(r, ["s"], [50], ["category"]).select("category", F.col("p")[0].alias("mid"))
     near = F.avg(F.when(F.abs(F.col("s") - F.col("mid")) <= 0.005, 1.0).otherwise(0.0))
-    return r.join(F.broadcast(m), "category").groupBy("category", "mid").agg(F.count("*").alias("n"), F.round(near, 6).alias("near"), F.count_distinct(F.round("s", 3)).alias("kinds")).withColumn("mid", F.round("mid", 6))
+    return r.join(m, "category").groupBy("category", "mid").agg(F.count("*").alias("n"), F.round(near, 6).alias("near"), F.count_distinct(F.round("s", 3)).alias("kinds")).withColumn("mid", F.round("mid", 6))
 
 
 @query("ag_44_stacked_clusters", fx.sql("select k as stacked, count(*) as clusters from (select floor(x0 / 200) as a, floor(y0 / 200) as b, count(*) as k from geo group by 1, 2) where k > 1 group by k", "geo"))
@@ -239,7 +239,7 @@ def wn_02(spark, sf):
     """Few categories hold all rows: their sizes are counted and joined; keys of a few rows go through a window."""
     r = fx.rec(spark, sf)
     same = r.groupBy("category").agg(F.count("*").alias("same"))  # a row a category
-    return r.join(F.broadcast(same), "category").select("fkey", "l_partkey", "l_suppkey", "total", F.count("*").over(Window.partitionBy("fkey")).alias("n"), "same")
+    return r.join(same, "category").select("fkey", "l_partkey", "l_suppkey", "total", F.count("*").over(Window.partitionBy("fkey")).alias("n"), "same")
 
 
 @query("wn_03_group_median_outlier", fx.sql("""select fkey, round(p.land * 1.0 / p.area / m.mid, 6) as times from par p join (select region, quantile_cont(land * 1.0 / area, 0.5) as mid from par where land > 0 group by region) m on p.region = m.region
@@ -248,7 +248,7 @@ def wn_03(spark, sf):
     p = fx.par(spark, sf).withColumn("rate", F.col("land") / F.col("area"))
     m = ranks.percentiles(p.where("land > 0"), ["rate"], [50], ["region"]).select("region", F.col("p")[0].alias("mid"))
     times = F.col("rate") / F.col("mid")
-    return p.join(F.broadcast(m), "region").where((times > 3) & (F.col("area") < 2000)).select("fkey", F.round(times, 6).alias("times"))
+    return p.join(m, "region").where((times > 3) & (F.col("area") < 2000)).select("fkey", F.round(times, 6).alias("times"))
 
 
 @query("wn_05_last_row", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) as r from orders) where r = 1")

@@ -57,7 +57,7 @@ def sm_05(spark, sf):
     d = ranks.distribution(e, ["value"], ["event_type", "band"])
     n = d.groupBy("event_type", "band").agg(F.sum("n").alias("total"))
     half = F.floor(F.col("total") / 2)
-    return d.join(F.broadcast(n), ["event_type", "band"]).where((half >= F.col("before")) & (half < F.col("before") + F.col("n"))).select("event_type", "band", F.col("value").alias("mid"), F.col("total").alias("n"))
+    return d.join(n, ["event_type", "band"]).where((half >= F.col("before")) & (half < F.col("before") + F.col("n"))).select("event_type", "band", F.col("value").alias("mid"), F.col("total").alias("n"))
 
 
 @query("sm_06_rate_limit", "select user_id, time_bucket(interval 1 day, ts) as start, count(*) as n, count(*) - 3 as rejected from events group by 1, 2 having count(*) > 3")

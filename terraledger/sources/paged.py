@@ -46,8 +46,9 @@ class PagedReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             sign = _SIGNS.get(type(f))
-            if sign and len(f.attribute) == 1:
-                value = f"'{f.value}'" if isinstance(f.value, str) else f.value
+            plain = isinstance(getattr(f, "value", None), (str, int, float)) and not isinstance(f.value, bool)
+            if sign and len(f.attribute) == 1 and plain:
+                value = "'" + f.value.replace("'", "''") + "'" if isinstance(f.value, str) else f.value
                 self.where.append(f"{f.attribute[0]} {sign} {value}")
             else:
                 yield f

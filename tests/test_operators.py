@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,30 @@ def test_unions_are_exact(spark):
     got = {r["k"]: r["covered"] for r in unions.union_area(spark.createDataFrame(rects, "k long, x0 long, x1 long, y0 long, y1 long"), ["k"]).collect()}
     for k in range(4):
         assert got[k] == len({(x, y) for g, x0, x1, y0, y1 in rects if g == k for x in range(x0, x1) for y in range(y0, y1)})
+
+
+def test_percentiles_of_large_groups(spark, monkeypatch):
+    """With a coarse sketch, groups large and small give the same as numpy."""
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    monkeypatch.setattr(ranks, "SLACK", 4 / 100)
+    rng = random.Random(8)
+    draw = {"flat": lambda: rng.random(), "ties": lambda: float(rng.randrange(4)), "tail": lambda: rng.paretovariate(0.4), "few": lambda: rng.gauss(0, 1), "same": lambda: 3.0}
+    rows = [(g, f(), rng.choice([None, f()])) for g, f in draw.items() for _ in range(150 if g == "few" else 4000)]
+    df, ps = spark.createDataFrame(rows, "g string, v double, w double").repartition(6), [0, 0.5, 25, 50, 99.9, 100]
+    for got in ranks.percentiles(df, ["v", "w"], ps, ["g"]).collect():
+        xs = [r[1 if got["field"] == "v" else 2] for r in rows if r[0] == got["g"]]
+        xs = [x for x in xs if x is not None]
+        assert got["n"] == len(xs) and got["p"] == pytest.approx(np.percentile(xs, ps).tolist(), rel=1e-12)
+    whole = ranks.percentiles(df, ["v"], ps).first()
+    assert whole["p"] == pytest.approx(np.percentile([r[1] for r in rows], ps).tolist(), rel=1e-12)
+
+
+def test_paged_texts_are_quoted():
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+    from pyspark.sql.types import StructType
+
+    from terraledger.sources.paged import PagedReader
+
+    reader = PagedReader(StructType(), {"fetch": "a:b"})
+    left = list(reader.pushFilters([EqualTo(("name",), "O'Hara"), GreaterThan(("n",), 3), EqualTo(("flag",), True)]))
+    assert reader.where == ["name = 'O''Hara'", "n > 3"] and len(left) == 1
