@@ -54,17 +54,16 @@ def _cuts(sides: DataFrame, grid: float) -> DataFrame:
     return ends.unionByName(met.select("k", F.explode(found).alias("p"))).select("k", "p.s", "p.x", "p.y").distinct()
 
 
-def facing(edges: np.ndarray) -> np.ndarray:
-    """Undirected edges turned so that the inside (even-odd rule) is on their left.
+def sided(edges: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(past, before): for each edge and shape, whether the places just past the edge, and just before it, lie in the shape.
 
-    Every edge parts inside from outside.  A ray from its middle, along the axis
-    that it runs across, tells which side is which by the edges it meets.
+    ``own`` tells which shapes' borders an edge is part of.  A ray leaves the
+    middle of an edge along the axis that it runs across and counts the
+    shapes' edges that it meets (even-odd rule).
     """
-    out = edges.copy()
-    steep = np.abs(edges[:, 3] - edges[:, 1]) >= np.abs(edges[:, 2] - edges[:, 0])
-    for axis in (0, 1):  # a ray along x for steep edges, along y for the others
-        u, v = (0, 1) if axis == 0 else (1, 0)
-        rows = np.flatnonzero(steep if axis == 0 else ~steep)
+    past = np.zeros(own.shape, dtype=bool)
+    steep = _steep(edges)
+    for u, v, rows in ((0, 1, np.flatnonzero(steep)), (1, 0, np.flatnonzero(~steep))):
         a, b = edges[:, [u, v]], edges[:, [2 + u, 2 + v]]
         for i in range(0, len(rows), BLOCK):
             mine = rows[i : i + BLOCK]
@@ -73,11 +72,33 @@ def facing(edges: np.ndarray) -> np.ndarray:
             with np.errstate(divide="ignore", invalid="ignore"):
                 hit = over & (mu < (b[:, 0] - a[:, 0]) * (mv - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0])
             hit[np.arange(len(mine)), mine] = False
-            inner = hit.sum(1) % 2 == 1  # just past the edge, along the ray, is inside
-            rising = (b[mine, 1] > a[mine, 1])
-            turn = mine[rising == inner] if axis == 0 else mine[rising != inner]
-            out[turn] = out[turn][:, [2, 3, 0, 1]]
-    return out
+            past[mine] = (hit.astype(np.int32) @ own.astype(np.int32)) % 2 == 1
+    return past, past ^ own
+
+
+def _steep(edges: np.ndarray) -> np.ndarray:
+    """Edges whose ray runs along x."""
+    return np.abs(edges[:, 3] - edges[:, 1]) >= np.abs(edges[:, 2] - edges[:, 0])
+
+
+def turned(edges: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Edges directed so that the inside, which lies past them or else before, is on their left."""
+    steep = _steep(edges)
+    rising = np.where(steep, edges[:, 3] > edges[:, 1], edges[:, 2] > edges[:, 0])
+    turn = np.where(steep, rising == past, rising != past)
+    return np.where(turn[:, None], edges[:, [2, 3, 0, 1]], edges)
+
+
+def facing(edges: np.ndarray) -> np.ndarray:
+    """Edges that all part inside from outside, directed so that the inside is on their left."""
+    return turned(edges, sided(edges, np.ones((len(edges), 1), dtype=bool))[0][:, 0])
+
+
+def pieces(cuts: DataFrame, sides: DataFrame) -> DataFrame:
+    """k, s, p, q: each side's pieces between the places where it is cut; sides are (k, s, ax, ay, bx, by)."""
+    along = (F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))
+    w = Window.partitionBy("k", "s").orderBy("along", "x", "y")
+    return cuts.join(sides, ["k", "s"]).withColumn("along", along).select("k", "s", F.struct("x", "y").alias("p"), F.lead(F.struct("x", "y")).over(w).alias("q")).where("q is not null")
 
 
 def valid(polys: DataFrame, key: str, rings: str = "rings", grid: float = 1e-6) -> DataFrame:
@@ -90,10 +111,7 @@ def valid(polys: DataFrame, key: str, rings: str = "rings", grid: float = 1e-6)
     """
     cuts = _cuts(_sides(polys, key, rings, grid), grid)
     sides = _sides(polys, key, rings, grid).select("k", "s", "ax", "ay", "bx", "by").distinct()
-    along = (F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))
-    w = Window.partitionBy("k", "s").orderBy("along", "x", "y")
-    steps = cuts.join(sides, ["k", "s"]).withColumn("along", along).select("k", F.struct("x", "y").alias("p"), F.lead(F.struct("x", "y")).over(w).alias("q")).where("q is not null")
-    edges = steps.groupBy("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("n")).where("n % 2 = 1")
+    edges = pieces(cuts, sides).groupBy("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("n")).where("n % 2 = 1")
     one = edges.groupBy("k").agg(F.flatten(F.collect_list(F.array("a.x", "a.y", "b.x", "b.y"))).alias("e"))
     schema = T.StructType([T.StructField("k", polys.schema[key].dataType), T.StructField("part", T.IntegerType()), T.StructField("rings", T._parse_datatype_string(shapes.RINGS))])
 

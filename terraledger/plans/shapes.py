@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from terraledger.functions import rings
-from terraledger.operators import borders, collapse, condos, hexgrid, hulls, lineage, mesh, raster, regions, repair, simplify, spatial, unions
+from terraledger.operators import borders, collapse, condos, hexgrid, hulls, lineage, mesh, overlay, raster, regions, repair, roads, simplify, spatial, unions
 from terraledger.plans import fixtures as fx
 from terraledger.plans.parcels import _GRID, _POLY, GEO, LOT, _poly
 from terraledger.plans.registry import query
@@ -368,3 +368,35 @@ def sp_45_seven(spark, sf):
         one = rows.agg(F.lit(name).alias("pass"), F.sum("land").alias("land"), F.sum("impr").alias("impr"), F.sum("units").alias("units"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ------------------------------------------------------------------ overlays of any polygons
+
+
+def _sloped(spark, sf):
+    """Roads in all directions: class by nation, lanes known for some."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    kinds = F.array(*[F.lit(c) for c in (*roads.HALF_WIDTHS, "track")])
+    ax, ay = (k * 61 % 250 * 40).cast("double"), (k * 7 % 60 * 40 + 15).cast("double")
+    bx, by = ax + 200 + k % 9 * 25, ay + (k * 13 % 17 - 8) * 22
+    half = roads.half_width(F.get(kinds, (n % 13).cast("int")), F.when(k % 4 != 0, (k % 7).cast("string")).otherwise("many"))
+    return fx.table(spark, sf, "supplier").select(k.alias("road"), roads.strip(ax, ay, bx, by, half).alias("rings"))
+
+
+@query("sp_12_sloped_roads", None)
+def sp_12_sloped(spark, sf):
+    """L-shaped parcels with holes less roads of any direction, as wide as their class or lanes; parts under 5 are left out."""
+    left = roads.without_roads(_poly(spark, sf), "fkey", _sloped(spark, sf), least=5.0)
+    return left.groupBy("fkey").agg(F.count("*").alias("parts"), F.round(F.sum(rings.area(F.col("rings"))), 4).alias("area"))
+
+
+@query("sp_10_zone_shares", None)
+def sp_10_zones(spark, sf):
+    """The shapes that parcels share with the zones around them (diamonds with a hole)."""
+    (_, zone, _), _ = _layers(spark, sf)
+    v = lambda c: F.transform(F.element_at("rings", 1), lambda p: p[c])
+    box = lambda df, n, *cols: df.select(*cols, *[f(v(c)).alias(f"{n}{c}{i}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))])
+    land, near = _poly(spark, sf), box(zone, "b", F.col("rings").alias("zone_rings"))
+    hit = spatial.overlapping(box(land, "a", "fkey"), near, ("ax0", "ax1", "ay0", "ay1"), ("bx0", "bx1", "by0", "by1")).select("fkey", F.col("zone_rings").alias("rings"))
+    both = overlay.overlay(land, hit, "fkey", "intersection")
+    return both.groupBy("fkey").agg(F.count("*").alias("parts"), F.round(F.sum(rings.area(F.col("rings"))), 4).alias("area"))
