@@ -153,6 +153,7 @@ class MergeList:
 
 def byte_letters() -> list[str]:
     """The printable stand-ins of the 256 byte values in byte-level vocabularies."""
+    # The bytes that stand for themselves
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, extra = [""] * 256, 256
     for b in range(256):
@@ -202,7 +203,7 @@ class WordStore:
         self.n_flat += len(flat)
 
 
-#: How the byte-level vocabulary splits text, and the classes of long runs.
+#: How the byte-level vocabulary splits text, and the classes of long runs.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: The same for text of which every letter is below U+0250, for the faster engine.
 LATIN = re.compile(
