@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraledger.operators.lineage import saved
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root): every node's least reachable node; ``edges`` has u and v.
 
     Each round is cut off by a reliable checkpoint in the cluster's
@@ -17,8 +17,8 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     nodes = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
     e = saved(edges.select(F.greatest("u", "v").alias("big"), F.least("u", "v").alias("small")).where("big <> small").distinct())
     mark = None
-    for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum("small"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
+    while True:  # a round that changes nothing is the last; each lowers some edge, so there is one
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
@@ -28,7 +28,26 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("big").agg(F.min("small").alias("m"))
         pair = large.join(low, "big")
         e = saved(pair.select(F.col("small").alias("a"), "m").unionAll(pair.select(F.col("big").alias("a"), "m")).select(F.greatest("a", "m").alias("big"), F.least("a", "m").alias("small")).where("big <> small").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("big").alias("node"), F.col("small").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def mixed(units: DataFrame, areas: DataFrame, parents: DataFrame, fewest: int = 2) -> DataFrame:
+    """(node, kind, root): components of units that touch, common areas that several touch, and parents around groups without one.
+
+    ``units`` has u and v (pairs that touch), ``areas`` unit and area (pairs that
+    touch), ``parents`` unit and parent (a unit in a hole of a parent).  An area
+    joins the units on it if they are ``fewest`` at least; a parent joins a
+    group that has no area.  Nodes are structs of kind and id, the root is the
+    least of them.
+    """
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    several = areas.groupBy("area").agg(F.count_distinct("unit").alias("n")).where(F.col("n") >= fewest).select("area")
+    on_area = areas.join(several, "area").select(node("area", "area").alias("u"), node("unit", "unit").alias("v"))
+    pairs = units.select(node("unit", "u").alias("u"), node("unit", "v").alias("v"))
+    edges = saved(pairs.unionByName(on_area))
+    first = connected(edges)
+    bare = first.groupBy("root").agg(F.bool_or(F.col("node.kind") == "area").alias("has")).where("not has").select("root")
+    free = first.join(bare, "root").select(F.col("node.id").alias("unit"))
+    around = parents.join(free, "unit", "left_semi").select(node("parent", "parent").alias("u"), node("unit", "unit").alias("v"))
+    return connected(edges.unionByName(around)).select("node", F.col("node.kind").alias("kind"), "root")

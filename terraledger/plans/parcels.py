@@ -236,21 +236,6 @@ def sp_41(spark, sf):
     return down.unionByName(rest.withColumn("merged", (F.col("n") > 1).cast("int")))
 
 
-@query("sp_39_mixed_components", "with recursive " + fx.sql("""select root, count(*) filter (where node > 0) as units, count(*) filter (where node < 0) as areas from comp group by root""", "geo", "lot", more=_OTHER + """,
- ul as (select fkey, lot from geo join lot on geo.x0 <= lot.x1 and lot.x0 <= geo.x1 and geo.y0 <= lot.y1 and lot.y0 <= geo.y1 where lot % 3 = 0), okl as (select lot from ul group by lot having count(*) >= 2),
- e as (select fkey as u, gkey as v from geo join other on o_custkey % 20 = gcust % 20 and fkey < gkey and x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1 union select fkey, -lot from ul where lot in (select lot from okl)), two as (select u, v from e union select v, u from e),
- reach(node, root) as (select u, least(u, v) from two union select two.u, reach.root from two join reach on two.v = reach.node where reach.root < two.u), comp as (select node, min(root) as root from reach group by node)""")[5:])
-def sp_39(spark, sf):
-    """Groups of units and common areas (negative ids): units that touch, and areas that at least two units touch."""
-    units = _pairs(spark, sf, touch=True).where("o_custkey % 20 = gcust % 20").select(F.col("fkey").alias("u"), F.col("gkey").alias("v"))
-    areas = fx.lot(spark, sf).where("lot % 3 = 0").select("lot", *[F.col(c).alias("l" + c) for c in GEO])
-    hit = spatial.overlapping(fx.geo(spark, sf).select("fkey", *GEO), areas, GEO, LOT, touch=True).select("fkey", "lot")
-    several = hit.groupBy("lot").agg(F.count("*").alias("n")).where("n >= 2").select("lot")
-    edges = units.unionAll(hit.join(several, "lot").select(F.col("fkey").alias("u"), (-F.col("lot")).alias("v")))
-    c = components.connected(edges)
-    return c.groupBy("root").agg(F.count_if(F.col("node") > 0).alias("units"), F.count_if(F.col("node") < 0).alias("areas"))
-
-
 @query("sp_45_collapse_passes", "with recursive " + fx.sql("""select id, count(*) as parcels, cast(sum(land) as bigint) as land, cast(sum(total) as bigint) as total from (select case when small then 'campus ' || o_custkey else 'parcel ' || lead end as id, land, total from
   (select lead, min(o_custkey) as o_custkey, sum(area) < 2000 as small, sum(land) as land, sum(total) as total from (select coalesce(c.root, par.fkey) as lead, o_custkey % 20 as o_custkey, area, land, total from par left join comp c on par.fkey = c.node) group by lead)) group by id""", "par", more=_OTHER + ", " + _REACH)[5:])
 def sp_45(spark, sf):

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from terraledger.functions import rings
-from terraledger.operators import borders, collapse, condos, hexgrid, hulls, lineage, mesh, overlay, raster, regions, repair, roads, simplify, spatial, unions
+from terraledger.operators import borders, collapse, components, condos, hexgrid, hulls, lineage, mesh, overlay, raster, regions, repair, roads, simplify, spatial, unions
 from terraledger.plans import fixtures as fx
-from terraledger.plans.parcels import _GRID, _POLY, GEO, LOT, _poly
+from terraledger.plans.joins import _OTHER, _pairs
+from terraledger.plans.parcels import _POLY, GEO, LOT, _poly
 from terraledger.plans.registry import query
 from terraledger.sources import files, geometry, vector
 
@@ -153,9 +154,9 @@ def sp_07_crossings(spark, sf):
 # ------------------------------------------------------------------ differences
 
 #: Unit squares of each lot outside all parcels, and the border and corners that they make.
-_LEFT = """cell as (select lot, x0 + i as x, y0 + j as y from lot, unnest(range(0, x1 - x0)) t(i), unnest(range(0, y1 - y0)) s(j)),
- free as (select lot, x, y from cell anti join (select lot as k, x as px, y as py from cell join geo on geo.x0 <= x and x < geo.x1 and geo.y0 <= y and y < geo.y1) on lot = k and x = px and y = py),
- side as (select lot, a, b, c, d from (select lot, unnest([x, x + 1, x, x]) as a, unnest([y, y, y, y + 1]) as b, unnest([x, x + 1, x + 1, x + 1]) as c, unnest([y + 1, y + 1, y, y + 1]) as d from free) group by all having count(*) = 1),
+_LEFT = """cell as materialized (select lot, x, unnest(range(y0, y1)) as y from (select lot, y0, y1, unnest(range(x0, x1)) as x from lot)),
+ free as materialized (select lot, x, y from cell anti join (select lot as k, x as px, y as py from (select *, x - x % 40 - dx as gx, y - y % 40 - dy as gy from cell, (values (0), (40)) a(dx), (values (0), (40)) b(dy)) join geo on geo.x0 = gx and geo.y0 = gy where x < geo.x1 and y < geo.y1) on lot = k and x = px and y = py),
+ side as materialized (select lot, a, b, c, d from (select lot, unnest([x, x + 1, x, x]) as a, unnest([y, y, y, y + 1]) as b, unnest([x, x + 1, x + 1, x + 1]) as c, unnest([y + 1, y + 1, y, y + 1]) as d from free) group by all having count(*) = 1),
  knot as (select lot, x, y, count(*) as n, sum((a + c) - 2 * x) as sx, sum((b + d) - 2 * y) as sy from (select lot, unnest([a, c]) as x, unnest([b, d]) as y, a, b, c, d from side) group by lot, x, y)"""
 
 
@@ -177,11 +178,11 @@ def sp_11_shapes(spark, sf):
 
 #: Probabilities where lots lie (pixels of four units), infrared from the floors of buildings; limits of mask and vegetation, radius of the opening.
 LIKELY, GREEN, RADIUS = 0.5, 0.2, 3
-_PIXELS = f"""prob as (select x, y, sum(0.35 + 0.1 * (p_size % 4)) as p from lot, unnest(range(cast(floor(x0 / 4) as bigint), cast(floor((2 * x1 - x0) / 4) as bigint))) t(x), unnest(range(cast(floor(y0 / 4) as bigint), cast(floor((2 * y1 - y0) / 4) as bigint))) s(y) group by x, y),
- band as (select x, y, max(floors) as f from bld, unnest(range(cast(floor(bx0 / 4) as bigint), cast(floor(bx1 / 4) as bigint))) t(x), unnest(range(cast(floor(by0 / 4) as bigint), cast(floor(by1 / 4) as bigint))) s(y) group by x, y),
- likely as (select x, y, coalesce(20.0 * f / (200 + 20 * f), 0) as ndvi from prob left join band using (x, y) where round(p, 6) >= {LIKELY}), bare as (select x, y from likely where ndvi <= {GREEN}),
+_PIXELS = f"""prob as (select x, y, sum(0.35 + 0.1 * (p_size % 4)) as p from (select p_size, x, unnest(range(cast(floor(y0 / 4) as bigint), cast(floor((2 * y1 - y0) / 4) as bigint))) as y from (select p_size, y0, y1, unnest(range(cast(floor(x0 / 4) as bigint), cast(floor((2 * x1 - x0) / 4) as bigint))) as x from lot)) group by x, y),
+ band as (select x, y, max(floors) as f from (select floors, x, unnest(range(cast(floor(by0 / 4) as bigint), cast(floor(by1 / 4) as bigint))) as y from (select floors, by0, by1, unnest(range(cast(floor(bx0 / 4) as bigint), cast(floor(bx1 / 4) as bigint))) as x from bld)) group by x, y),
+ likely as materialized (select x, y, coalesce(20.0 * f / (200 + 20 * f), 0) as ndvi from prob left join band using (x, y) where round(p, 6) >= {LIKELY}), bare as materialized (select x, y from likely where ndvi <= {GREEN}),
  off as (select dx, dy from range(-{RADIUS}, {RADIUS + 1}) t(dx), range(-{RADIUS}, {RADIUS + 1}) s(dy) where dx * dx + dy * dy <= {RADIUS * RADIUS}),
- inner_ as (select b.x, b.y from bare b, off join bare n on n.x = b.x + dx and n.y = b.y + dy group by b.x, b.y having count(*) = {len(raster.disk(RADIUS))}), op as (select distinct x + dx as x, y + dy as y from inner_, off)"""
+ inner_ as materialized (select b.x, b.y from (select x, y, x + dx as nx, y + dy as ny from bare, off) b join bare n on n.x = nx and n.y = ny group by b.x, b.y having count(*) = {len(raster.disk(RADIUS))}), op as materialized (select distinct x + dx as x, y + dy as y from inner_, off)"""
 
 
 def _likely(spark, sf):
@@ -208,8 +209,8 @@ def sp_50_mask(spark, sf):
 
 
 #: Regions of the opened mask in SQL: runs of each row of the whole image, joined to the runs above.
-_REGIONS = """run as (select y, min(x) as x0, max(x) + 1 as x1, y * 4294967296 + min(x) as id from (select *, x - row_number() over (partition by y order by x) as g from op) group by y, g),
- two as (select a.id as u, b.id as v from run a join run b on a.y = b.y + 1 and a.x0 < b.x1 and b.x0 < a.x1 union select b.id, a.id from run a join run b on a.y = b.y + 1 and a.x0 < b.x1 and b.x0 < a.x1),
+_REGIONS = """run as materialized (select y, min(x) as x0, max(x) + 1 as x1, y * 4294967296 + min(x) as id from (select *, x - row_number() over (partition by y order by x) as g from op) group by y, g),
+ two as materialized (select a.id as u, b.id as v from run a join run b on a.y = b.y + 1 and a.x0 < b.x1 and b.x0 < a.x1 union select b.id, a.id from run a join run b on a.y = b.y + 1 and a.x0 < b.x1 and b.x0 < a.x1),
  reach(node, root) as (select u, least(u, v) from two union select two.u, reach.root from two join reach on two.v = reach.node where reach.root < two.u),
  region as (select coalesce(root, id) as label, run.* from run left join (select node, min(root) as root from reach group by node) on id = node)"""
 
@@ -400,3 +401,33 @@ def sp_10_zones(spark, sf):
     hit = spatial.overlapping(box(land, "a", "fkey"), near, ("ax0", "ax1", "ay0", "ay1"), ("bx0", "bx1", "by0", "by1")).select("fkey", F.col("zone_rings").alias("rings"))
     both = overlay.overlay(land, hit, "fkey", "intersection")
     return both.groupBy("fkey").agg(F.count("*").alias("parts"), F.round(F.sum(rings.area(F.col("rings"))), 4).alias("area"))
+
+
+# ------------------------------------------------------------------ groups of several kinds
+
+#: Places of the zones alone.
+_PLACES = "zone as (select s_suppkey as place, s_suppkey * 977 % 10000 + 0.37 as cx, s_suppkey * 613 % 2400 + 0.61 as cy, 150.0 + s_suppkey % 7 * 40 as big from supplier)"
+_BOTH = "(select u, v from {e} union select v, u from {e})"
+_WALK = "{r}(node, root) as (select u, least(u, v) from {t} union select {t}.u, {r}.root from {t} join {r} on {t}.v = {r}.node where {r}.root < {t}.u)"
+#: Areas are numbers from 10^12 on, parents from 2 * 10^12 on, so that the least node of a group is the one that Spark's order of kinds gives.
+_MIXED = f"""ul as (select fkey, lot from geo join lot on geo.x0 <= lot.x1 and lot.x0 <= geo.x1 and geo.y0 <= lot.y1 and lot.y0 <= geo.y1),
+ e1 as (select 2000000000000 + fkey as u, 2000000000000 + gkey as v from geo join other on o_custkey % 20 = gcust % 20 and fkey < gkey and x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1 union select 2000000000000 + fkey, lot from ul where lot in (select lot from ul group by lot having count(distinct fkey) >= 2)),
+ t1 as {_BOTH.format(e="e1")}, {_WALK.format(r="r1", t="t1")}, c1 as (select node, min(root) as root from r1 group by node),
+ bare as (select root from c1 group by root having count(*) filter (where node < 1000000000000) = 0),
+ e2 as (select u, v from e1 union select 2000000000000 + fkey, 1000000000000 + place from c1 join bare using (root) join geo on node = 2000000000000 + fkey join zone on abs((x0 + x1) / 2.0 - cx) + abs((y0 + y1) / 2.0 - cy) < big / 3),
+ t2 as {_BOTH.format(e="e2")}, {_WALK.format(r="r2", t="t2")}, c2 as (select node, min(root) as root from r2 group by node)"""
+
+
+@query("sp_39_mixed_components", "with recursive " + fx.sql("select root % 1000000000000 as root, count(*) filter (where node >= 2000000000000) as units, count(*) filter (where node < 1000000000000) as areas, count(*) filter (where node >= 1000000000000 and node < 2000000000000) as parents from c2 group by root", "geo", "lot", more=_OTHER + ", " + _PLACES + ", " + _MIXED)[5:])
+def sp_39(spark, sf):
+    """Groups of units that touch, of common areas on which several lie, and of parents in whose holes groups without one lie."""
+    units = _pairs(spark, sf, touch=True).where("o_custkey % 20 = gcust % 20").select(F.col("fkey").alias("u"), F.col("gkey").alias("v"))
+    lots = fx.lot(spark, sf).select("lot", *[F.col(c).alias("l" + c) for c in GEO])
+    areas = spatial.overlapping(fx.geo(spark, sf).select("fkey", *GEO), lots, GEO, LOT, touch=True).select(F.col("fkey").alias("unit"), F.col("lot").alias("area"))
+    (_, zone, _), _ = _layers(spark, sf)
+    v = lambda c: F.transform(F.col("hole"), lambda p: p[c])
+    holes = zone.select("place", F.col("rings")[1].alias("hole")).select("place", "hole", *[f(v(c)).alias(f"h{c}{i}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))])
+    mid = fx.geo(spark, sf).select(F.col("fkey").alias("unit"), ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"))
+    parents = spatial.containing(mid, holes, "mx", "my", ("hx0", "hx1", "hy0", "hy1")).where(rings.holds(F.array("hole"), F.col("mx"), F.col("my"))).select("unit", F.col("place").alias("parent"))
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"{kind}s")
+    return components.mixed(units, areas, parents).groupBy("root").agg(count("unit"), count("area"), count("parent")).select(F.col("root.id").alias("root"), "units", "areas", "parents")
