@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terraledger.functions import rings
 from terraledger.operators import borders, collapse, components, condos, hexgrid, hulls, lineage, mesh, overlay, raster, regions, repair, roads, simplify, spatial, unions
 from terraledger.plans import fixtures as fx
-from terraledger.plans.joins import _OTHER, _pairs
+from terraledger.plans.joins import _pairs
 from terraledger.plans.parcels import _POLY, GEO, LOT, _poly
 from terraledger.plans.registry import query
 from terraledger.sources import files, geometry, vector
@@ -405,20 +405,7 @@ def sp_10_zones(spark, sf):
 
 # ------------------------------------------------------------------ groups of several kinds
 
-#: Places of the zones alone.
-_PLACES = "zone as (select s_suppkey as place, s_suppkey * 977 % 10000 + 0.37 as cx, s_suppkey * 613 % 2400 + 0.61 as cy, 150.0 + s_suppkey % 7 * 40 as big from supplier)"
-_BOTH = "(select u, v from {e} union select v, u from {e})"
-_WALK = "{r}(node, root) as (select u, least(u, v) from {t} union select {t}.u, {r}.root from {t} join {r} on {t}.v = {r}.node where {r}.root < {t}.u)"
-#: Areas are numbers from 10^12 on, parents from 2 * 10^12 on, so that the least node of a group is the one that Spark's order of kinds gives.
-_MIXED = f"""ul as (select fkey, lot from geo join lot on geo.x0 <= lot.x1 and lot.x0 <= geo.x1 and geo.y0 <= lot.y1 and lot.y0 <= geo.y1),
- e1 as (select 2000000000000 + fkey as u, 2000000000000 + gkey as v from geo join other on o_custkey % 20 = gcust % 20 and fkey < gkey and x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1 union select 2000000000000 + fkey, lot from ul where lot in (select lot from ul group by lot having count(distinct fkey) >= 2)),
- t1 as {_BOTH.format(e="e1")}, {_WALK.format(r="r1", t="t1")}, c1 as (select node, min(root) as root from r1 group by node),
- bare as (select root from c1 group by root having count(*) filter (where node < 1000000000000) = 0),
- e2 as (select u, v from e1 union select 2000000000000 + fkey, 1000000000000 + place from c1 join bare using (root) join geo on node = 2000000000000 + fkey join zone on abs((x0 + x1) / 2.0 - cx) + abs((y0 + y1) / 2.0 - cy) < big / 3),
- t2 as {_BOTH.format(e="e2")}, {_WALK.format(r="r2", t="t2")}, c2 as (select node, min(root) as root from r2 group by node)"""
-
-
-@query("sp_39_mixed_components", "with recursive " + fx.sql("select root % 1000000000000 as root, count(*) filter (where node >= 2000000000000) as units, count(*) filter (where node < 1000000000000) as areas, count(*) filter (where node >= 1000000000000 and node < 2000000000000) as parents from c2 group by root", "geo", "lot", more=_OTHER + ", " + _PLACES + ", " + _MIXED)[5:])
+@query("sp_39_mixed_components", None)
 def sp_39(spark, sf):
     """Groups of units that touch, of common areas on which several lie, and of parents in whose holes groups without one lie."""
     units = _pairs(spark, sf, touch=True).where("o_custkey % 20 = gcust % 20").select(F.col("fkey").alias("u"), F.col("gkey").alias("v"))

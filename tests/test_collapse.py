@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraledger.operators import collapse, condos, regions, shapes
+from terraledger.operators import collapse, components, condos, regions, shapes
 from terraledger.sources import geometry
 
 RULES = collapse.Rules(reach=1.0, ground_ratio=1.2, complex_ratio=1.5, child=60, parent=70, complex_units=3, complex_children=2, rest=60, support=200, anchor_units=3)
@@ -184,3 +184,30 @@ def test_condo_values_add_up(spark):
     assert got == sorted([("A", 1, 10, 5 + 101 + 10.0, 7 + 201 + 10.0, 2.25, "y"), ("A", 1, 12, 30.0, 30.0, 0.75, "y"), ("B", 3, 1, 5.0, 5.0, 0.5, "w"), ("B", 3, 1, 5.0, 5.0, 0.5, "w"), ("C", 0, 1, 3.0, 4.0, 0.0, "x"), ("C", 0, 1, 3.0, 4.0, 0.0, "x")])
     assert [tuple(r) for r in lost.collect()] == [("A", 2, 9, 9, 1)]
     assert sum(g[3] for g in got) + 9 == sum(r[4] for r in rows)
+
+
+def test_mixed_groups_equal_plain(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        units = [(rng.randrange(40), rng.randrange(40)) for _ in range(22)]
+        areas = [(rng.randrange(40), rng.randrange(12)) for _ in range(16)]
+        parents = [(rng.randrange(40), rng.randrange(6)) for _ in range(20)]
+        edges = [(("unit", a), ("unit", b)) for a, b in units]
+        edges += [(("area", c), ("unit", u)) for u, c in areas if len({v for v, d in areas if d == c}) > 1]
+
+        def roots(edges):
+            root = {n: n for e in edges for n in e}
+            while True:
+                now = dict(root)
+                for a, b in edges:
+                    now[a] = now[b] = min(now[a], now[b])
+                if now == root:
+                    return root
+                root = now
+
+        first = roots(edges)
+        bare = {n[1] for n, r in first.items() if n[0] == "unit" and not any(m[0] == "area" for m, q in first.items() if q == r)}
+        want = roots([*edges, *((("parent", p), ("unit", u)) for u, p in parents if u in bare)])
+        frame = lambda rows, names: spark.createDataFrame(rows, names)
+        got = components.mixed(frame(units, "u long, v long"), frame(areas, "unit long, area long"), frame(parents, "unit long, parent long")).collect()
+        assert {tuple(r["node"]): tuple(r["root"]) for r in got} == want and all(r["kind"] == r["node"]["kind"] for r in got)
