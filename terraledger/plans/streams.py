@@ -46,8 +46,8 @@ _WINDOWS = f"""s as (select *, row_number() over (partition by user_id order by
 @query("sm_02_gap_windows", f"""with recursive {_WINDOWS} select user_id, 'window' as kind, start, "end", n, worst, max(worst) over (partition by user_id order by i rows between {RULES.history - 1} preceding and current row) as recent from win
   union all select user_id, 'episode', min(start), max("end"), count(*), max(worst), null from run where worst > {RULES.bad} group by user_id, seg, e""")
 def sm_02_windows(spark, sf):
-    """Windows that a gap throws away, the episodes that bad ones make and gaps close, and the worst of a bounded history."""
-    return windows.windows(_events(spark, sf), "user_id", "ts", "value", "event_id", RULES)
+    """Windows that a gap throws away, the episodes that bad ones make and gaps close, and the worst of a bounded history; a sample without a user is in none."""
+    return windows.windows(_events(spark, sf).where("user_id is not null"), "user_id", "ts", "value", "event_id", RULES)
 
 
 @query("sm_05_report", "select event_type, user_id % 3 as band, list_sort(list(value))[cast(floor(count(value) / 2) as bigint) + 1] as mid, count(value) as n from events group by 1, 2")

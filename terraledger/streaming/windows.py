@@ -7,6 +7,10 @@ A window whose worst value is over ``bad`` opens or extends an episode; two
 (``good``) windows in a row that are not close it.  Every window also tells the
 worst of the last ``history`` windows of its key, so that is what a key keeps.
 
+Time is in whole milliseconds: the nearest, and of two as near the one further
+from 1970.  Of samples in the same millisecond one without a tie-breaker comes
+last.  A null value is better than any, not-a-number is worse than any.
+
 A stream waits for its watermark before it takes a sample, so the order of
 arrival does not matter; what comes later than the watermark allows is dropped.
 A key without samples for longer than a gap is closed by a timer, and keeps its
@@ -15,20 +19,21 @@ history alone.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: One row a window or episode: begin and end in milliseconds, samples or windows, worst value, worst of the history (windows only).
 OUT = "kind string, start long, end long, n long, worst double, recent double"
+NAMES = OUT.replace(",", "").split()[::2]
 
 
 @dataclass(frozen=True)
@@ -42,26 +47,32 @@ class Rules:
     history: int = 2400
 
 
+def _worse(a: float | None, b: float | None) -> float | None:
+    if a is None or b is None:
+        return b if a is None else a
+    return a if a != a or a >= b else b
+
+
 class Fold:
     """One key's state."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
         self.begin = self.last = None
-        self.n, self.worst = 0, float("-inf")
+        self.n, self.worst = 0, None
         self.episode: tuple | None = None  # begin, end, windows, worst
         self.calm = 0
-        self.recent: deque[float] = deque(maxlen=rules.history)
+        self.recent: deque[float | None] = deque(maxlen=rules.history)
 
     def push(self, t: int, value: float | None) -> list[tuple]:
-        """Rows of ``OUT`` that a sample completes.  A null value counts as a sample that is not worse than any."""
+        """Rows of ``OUT`` that a sample completes."""
         out: list[tuple] = []
         if self.last is None or t - self.last > self.rules.gap:
             out = self.close()
             self.begin = t
         else:
             self.n += 1
-            self.worst = max(self.worst, float("-inf") if value is None else value)
+            self.worst = _worse(self.worst, value)
             if t - self.begin >= self.rules.width:
                 out = self._window(t)
         self.last = t
@@ -69,16 +80,15 @@ class Fold:
 
     def _window(self, t: int) -> list[tuple]:
         self.recent.append(self.worst)
-        known = lambda v: None if v == float("-inf") else v
-        out = [("window", self.begin, t, self.n, known(self.worst), known(max(self.recent)))]
-        if self.worst > self.rules.bad:
+        out = [("window", self.begin, t, self.n, self.worst, functools.reduce(_worse, self.recent))]
+        if self.worst is not None and not self.worst <= self.rules.bad:
             first, _, windows, worst = self.episode or (self.begin, t, 0, self.worst)
-            self.episode, self.calm = (first, t, windows + 1, max(worst, self.worst)), 0
+            self.episode, self.calm = (first, t, windows + 1, _worse(worst, self.worst)), 0
         elif self.episode:
             self.calm += 1
             if self.calm >= self.rules.good:
                 out += self._ended()
-        self.begin, self.n, self.worst = t, 0, float("-inf")
+        self.begin, self.n, self.worst = t, 0, None
         return out
 
     def _ended(self) -> list[tuple]:
@@ -88,13 +98,18 @@ class Fold:
 
     def close(self) -> list[tuple]:
         """What a gap ends."""
-        self.begin, self.n, self.worst = None, 0, float("-inf")
+        self.begin, self.n, self.worst = None, 0, None
         return self._ended()
 
 
+def _millis(ts: str) -> Column:
+    micros = f"unix_micros(cast({ts} as timestamp))"
+    return F.expr(f"({micros} + if({micros} < 0, -500, 500)) div 1000")
+
+
 def windows(samples: DataFrame, key: str, ts: str, value: str, tie: str, rules: Rules) -> DataFrame:
     """key and ``OUT`` of a table; ties in time go by ``tie``.  A key is read once, in order, and only its state is held."""
-    rows = samples.select(F.col(key).alias("k"), F.expr(f"unix_millis(cast({ts} as timestamp))").alias("t"), F.col(value).cast("double").alias("v"), F.col(tie).alias("tie")).where("t is not null")
+    rows = samples.select(F.col(key).alias("k"), _millis(ts).alias("t"), F.col(value).cast("double").alias("v"), F.col(tie).alias("tie")).where("t is not null")
     kind = samples.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *T._parse_datatype_string(OUT).fields])
 
@@ -112,12 +127,12 @@ def windows(samples: DataFrame, key: str, ts: str, value: str, tie: str, rules:
         if began:
             yield _batch([(now, *r) for r in fold.close()], key, key_type)
 
-    return rows.repartition("k").sortWithinPartitions("k", "t", "tie").select("k", "t", "v").mapInArrow(run, schema)
+    return rows.repartition("k").sortWithinPartitions("k", "t", F.asc_nulls_last("tie")).select("k", "t", "v").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], key: str, kind: pa.DataType) -> pa.RecordBatch:
     types = [kind, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, *OUT.replace(",", "").split()[::2]])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, *NAMES])
 
 
 class Windows(StatefulProcessor):
@@ -135,19 +150,18 @@ class Windows(StatefulProcessor):
         held = pickle.loads(self.waiting.getValue((t,))[0]) if self.waiting.containsKey((t,)) else []
         self.waiting.updateValue((t,), (pickle.dumps([*held, row]),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for t, v, tie in zip(part["t"].tolist(), part["v"].tolist(), part["tie"].tolist(), strict=True):
-                self._add(int(t), (tie, None if v is None or v != v else v))
-                self.handle.registerTimer(int(t))
-        yield self._frame(key, [])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in rows:
+            self._add(r["t"], (r["tie"], r["v"]))
+            self.handle.registerTimer(r["t"])
+        return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
         fold = pickle.loads(self.fold.get()[0]) if self.fold.exists() else Fold(self.rules)
         out = []
         for t in sorted(int(k[0]) for k in self.waiting.keys() if int(k[0]) <= mark):
-            for _, v in sorted(pickle.loads(self.waiting.getValue((t,))[0]), key=lambda r: r[0]):
+            for _, v in sorted(pickle.loads(self.waiting.getValue((t,))[0]), key=lambda r: (r[0] is None, r[0])):
                 out += fold.push(t, v)
             self.waiting.removeKey((t,))
         if fold.last is not None and mark > fold.last + self.rules.gap:
@@ -156,12 +170,8 @@ class Windows(StatefulProcessor):
         elif fold.last is not None:
             self.handle.registerTimer(fold.last + self.rules.gap + 1)
         self.fold.update((pickle.dumps(fold),))
-        yield self._frame(key, out)
-
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        names = OUT.replace(",", "").split()[::2]
-        frame = pd.DataFrame([(*key, *r) for r in out], columns=[self.key, *names])
-        return frame.astype({"start": "Int64", "end": "Int64", "n": "Int64", "worst": "float64", "recent": "float64"})
+        row = Row(self.key, *NAMES)
+        return (row(*key, *r) for r in out)
 
     def close(self) -> None:
         pass
@@ -169,6 +179,6 @@ class Windows(StatefulProcessor):
 
 def stream_windows(samples: DataFrame, key: str, ts: str, value: str, tie: str, rules: Rules, late: str) -> DataFrame:
     """key and ``OUT`` of a stream (append mode, RocksDB state store); ``late`` is how long samples are waited for."""
-    rows = samples.withWatermark(ts, late).select(F.col(key), F.col(ts), F.expr(f"unix_millis(cast({ts} as timestamp))").alias("t"), F.col(value).cast("double").alias("v"), F.col(tie).alias("tie")).where("t is not null")
+    rows = samples.withWatermark(ts, late).select(F.col(key), F.col(ts), _millis(ts).alias("t"), F.col(value).cast("double").alias("v"), F.col(tie).alias("tie")).where("t is not null")
     schema = T.StructType([T.StructField(key, samples.schema[key].dataType), *T._parse_datatype_string(OUT).fields])
-    return rows.groupBy(key).transformWithStateInPandas(Windows(key, rules), schema, "Append", "EventTime")
+    return rows.groupBy(key).transformWithState(Windows(key, rules), schema, "Append", "EventTime")
