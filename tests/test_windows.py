@@ -1,5 +1,6 @@
 """Windows with gaps against their SQL to the last digit, on odd samples too, and over a stream of them."""
 
+import os
 import random
 
 import duckdb
@@ -63,6 +64,8 @@ def test_stream_of_odd_samples_equals_table(spark, tmp_path):
     for i in (1, 2):  # two marks, so that the watermark passes all
         mark = pa.table([pa.array([-i]), pa.array([last + i * 100_000 * HOUR], pa.timestamp("us")), pa.array([99]), pa.array([0.0])], names=t.column_names)
         pq.write_table(mark, str(tmp_path / "in" / f"{i}.parquet"))
+    for i in range(3):
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))  # files are taken in order of their times
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
