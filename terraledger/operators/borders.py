@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraledger.operators import shapes
+from terraledger.operators import arrange, shapes
 
 EDGE = ("ax", "ay", "bx", "by")
 
@@ -50,51 +50,21 @@ def outlines(rects: DataFrame, key: Sequence[str], x0: str = "x0", x1: str = "x1
 
 
 def trace(edges: np.ndarray) -> list[list[np.ndarray]]:
-    """Polygons (exterior counter-clockwise, then its holes) whose border the rows (ax, ay, bx, by) are.
-
-    At a vertex a walk takes the sharpest left turn, and a walk that comes back
-    to one of its vertices is cut there, so rings touch others at most in
-    single vertices.  Vertices in line with their neighbours are left out.
-    """
-    ends, place = np.unique(edges.reshape(-1, 2), axis=0, return_inverse=True)
-    a, b = place.reshape(-1, 2).T
-    step = ends[b] - ends[a]
-    angle = np.arctan2(step[:, 1], step[:, 0])
-    order = np.lexsort((angle, a))
-    first = np.searchsorted(a[order], np.arange(len(ends) + 1))
-    after = np.empty(len(edges), dtype=np.int64)
-    for e in range(len(edges)):
-        out = order[first[b[e]] : first[b[e] + 1]]
-        if not len(out):
-            raise ValueError("a border that is not closed")
-        back = np.arctan2(-step[e, 1], -step[e, 0])
-        after[e] = out[int(np.searchsorted(angle[out], back - 1e-12)) - 1]  # the next one clockwise; before the first comes the last
-    rings, seen = [], np.zeros(len(edges), dtype=bool)
-    for e in range(len(edges)):
-        walk: list[int] = []
-        at: dict[int, int] = {}
-        while not seen[e]:
-            seen[e] = True
-            v = int(a[e])
-            if v in at:
-                rings.append(walk[at[v] :])
-                for u in walk[at[v] :]:
-                    del at[u]
-                del walk[len(at) :]
-            at[v] = len(walk)
-            walk.append(v)
-            e = int(after[e])
-        if walk:
-            rings.append(walk)
-    return nested([straightened(ends[r]) for r in rings])
-
-
-def straightened(ring: np.ndarray) -> np.ndarray:
-    """The ring without vertices on the line between their neighbours, begun at its least vertex."""
-    before, after = ring - np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0) - ring
-    bend = before[:, 0] * after[:, 1] != before[:, 1] * after[:, 0]
-    ring = ring[bend]
-    return np.roll(ring, -int(np.lexsort((ring[:, 1], ring[:, 0]))[0]), axis=0) if len(ring) else ring
+    """Polygons (exterior counter-clockwise, then its holes) whose border the rows (ax, ay, bx, by) are; rings as in ``arrange.walks``."""
+    return traces(np.zeros(len(edges), dtype=int), edges)[1]
+
+
+def traces(group: np.ndarray, edges: np.ndarray) -> tuple[list[int], list[list[np.ndarray]]]:
+    """(group, polygon) of the borders of many groups, which are in order."""
+    owner, length, xy = arrange.walks(group, edges)
+    rings = np.split(xy, np.cumsum(length)[:-1]) if len(length) else []
+    size = arrange.areas(length, xy)
+    groups, polygons = [], []
+    for i, j in zip(*(v.tolist() for v in arrange.spans(owner)), strict=True):
+        found = [[rings[i]]] if j == i + 1 and size[i] > 0 else nested(rings[i:j])
+        groups += [int(owner[i])] * len(found)
+        polygons += found
+    return groups, polygons
 
 
 def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:

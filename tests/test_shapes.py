@@ -327,3 +327,20 @@ def test_heightfield_is_closed(spark):
         assert (got["cells"], got["open_edges"], got["volume"]) == ((h > 0).sum(), 0, h.sum())
     flat = spark.createDataFrame([(x, y, 2.0) for x in range(3) for y in range(3)], "x int, y int, h double")
     assert mesh.heightfield(flat, "x", "y", "h").count() == 9 * 4 + 12 * 2  # tops and bottoms, and no wall inside
+
+
+def test_repair_moves_no_rows(spark):
+    """Sides are cut in the batch in which their polygon lies: no exchange, whatever the number of polygons."""
+    v = repair.valid(polygon_frame(spark, [(1, [[(0, 0), (4, 4), (4, 0), (0, 4)]])]), "k")
+    assert "Exchange" not in v._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repair_of_rings_of_many_sides(spark):
+    """More sides than are paired without an order along x."""
+    rng = np.random.default_rng(12)
+    polygons = [(k, [rng.integers(0, 60, (90, 2)).astype(float)]) for k in range(3)]
+    got = repair.valid(polygon_frame(spark, polygons), "k", grid=1e-6).collect()
+    for k, p in polygons:
+        mine = as_polygons(r for r in got if r["k"] == k)
+        for x, y in rng.uniform(-1, 61, (80, 2)):
+            assert sum(holds(m, x, y) for m in mine) == holds(p, x, y)
