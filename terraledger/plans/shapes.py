@@ -395,11 +395,7 @@ def sp_12_sloped(spark, sf):
 def sp_10_zones(spark, sf):
     """The shapes that parcels share with the zones around them (diamonds with a hole)."""
     (_, zone, _), _ = _layers(spark, sf)
-    v = lambda c: F.transform(F.element_at("rings", 1), lambda p: p[c])
-    box = lambda df, n, *cols: df.select(*cols, *[f(v(c)).alias(f"{n}{c}{i}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))])
-    land, near = _poly(spark, sf), box(zone, "b", F.col("rings").alias("zone_rings"))
-    hit = spatial.overlapping(box(land, "a", "fkey"), near, ("ax0", "ax1", "ay0", "ay1"), ("bx0", "bx1", "by0", "by1")).select("fkey", F.col("zone_rings").alias("rings"))
-    both = overlay.overlay(land, hit, "fkey", "intersection")
+    both = overlay.taken(_poly(spark, sf), zone.select("rings"), "fkey", "intersection")
     return both.groupBy("fkey").agg(F.count("*").alias("parts"), F.round(F.sum(rings.area(F.col("rings"))), 4).alias("area"))
 
 

@@ -81,3 +81,20 @@ def test_queries_of_overlays(spark):
     shared = {r["fkey"]: r["area"] for r in QUERIES["sp_10_zone_shares"](spark, SF).collect()}
     whole = {r["fkey"]: r["a"] for r in plans._poly(spark, SF).select("fkey", R.area(F.col("rings")).alias("a")).collect()}
     assert any(cut[k] < whole[k] for k in cut) and all(v <= whole[k] + 1e-3 for d in (cut, shared) for k, v in d.items()) and shared
+
+
+def test_sides_far_from_a_subject_stay_away(spark):
+    """Shapes found by place give what shapes given by key do; of those that hold a subject, or pass by it, no side moves."""
+    rng = np.random.default_rng(24)
+    land = random_polygons(rng, 12)
+    more = [p for _, p in random_polygons(rng, 12)] + [[np.array([(-500.0, 0), (0, -500), (500, 0), (0, 500)])] for _ in range(2)]
+    for others in (more[:12], more):
+        keyed = polygon_frame(spark, [(k, p) for k, _ in land for p in others])
+        for rule in ("intersection", "difference"):
+            size = lambda df: {r["k"]: (r["n"], pytest.approx(r["a"], abs=1e-3)) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.sum(R.area(F.col("rings"))).alias("a")).collect()}
+            got, want = size(overlay.taken(polygon_frame(spark, land), polygon_frame(spark, list(enumerate(others))).select("rings"), "k", rule)), size(overlay.overlay(polygon_frame(spark, land), keyed, "k", rule))
+            shared = want if rule == "intersection" else {k: want[k] for k in want if k in shared}  # noqa: F821  what meets no other stays as it is, crossings and all
+            assert {k: got[k][0] for k in shared} == {k: v[0] for k, v in shared.items()} and all(shared[k][1] == got[k][1].expected for k in shared)
+    box = spark.range(1).selectExpr("0.0D x0", "10.0D x1", "0.0D y0", "10.0D y1", "array(array(struct(-300.0D x, 5.0D y), struct(5.0D x, -300.0D y), struct(300.0D x, 5.0D y), struct(5.0D x, 300.0D y))) r")
+    near = box.select(overlay._within(overlay._lines(F.col("r"), 1e-6), ("x0", "x1", "y0", "y1"), 1e-6).alias("l"))
+    assert near.select(F.exists("l", lambda s: s["cut"])).first()[0] is False
