@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraledger.functions.rings import let
-from terraledger.operators.spatial import overlapping
-from terraledger.operators.unions import union_area
+from terraledger.operators.spatial import cells
 
 #: A unit box's corners as bits x, y, z, and its twelve outward triangles.
 FACES = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
 
+#: Places of a cell's grid that are painted at a time.
+PAINT = 1 << 21
+
 
 def prisms(cells: DataFrame, x: str, y: str, height: str) -> DataFrame:
     """Twelve triangles a cell: cell, face, p1, p2, p3 (struct x, y, z)."""
@@ -126,15 +132,47 @@ def obj_lines(triangles: DataFrame) -> DataFrame:
     return vertices.unionByName(faces.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("id")).cast("long").alias("n"), F.concat(F.lit("f "), names).alias("value")))
 
 
-def carved(boxes: DataFrame) -> DataFrame:
+def carved(boxes: DataFrame, size: int = 200) -> DataFrame:
     """(lot, area, kept): the area left to each rectangle after all larger ones that overlap it (ties: smaller id first).
 
-    A rectangle loses the union of what it shares with those before it, so each
-    needs its own neighbours only, not its whole cluster.
+    A rectangle keeps the places at which it comes first.  Of equal rectangles
+    the first one keeps what they have, and in each map cell the others are
+    painted over each other, the first one last; so no pair of rectangles is
+    made, however many lie on one place.
     """
-    box, other_box = ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1")
+    box = ("x0", "x1", "y0", "y1")
     sized = boxes.select("lot", *box).withColumn("area", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("long"))
-    other = sized.select(*[F.col(c).alias(f"b{c}") for c in sized.columns])
-    before = (F.col("barea") > F.col("area")) | ((F.col("barea") == F.col("area")) & (F.col("blot") < F.col("lot")))
-    cut = overlapping(sized, other, box, other_box).where(before).select("lot", *[f(c, f"b{c}").alias(c) for c, f in zip(box, (F.greatest, F.least, F.greatest, F.least), strict=True)])
-    return sized.join(union_area(cut, ["lot"]), "lot", "left").select("lot", "area", (F.col("area") - F.coalesce("covered", F.lit(0.0))).cast("long").alias("kept"))
+    first = sized.where("x1 > x0 and y1 > y0").groupBy(*box, "area").agg(F.min("lot").alias("lot"))
+    row = F.struct((-F.col("area")).alias("area"), "lot", *[F.col(c).cast("double").alias(c) for c in box])
+    cell = cells(first, *box, size).groupBy("_ix", "_iy").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    schema = T.StructType([sized.schema["lot"], T.StructField("own", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ix, iy, r in zip(b.column("_ix").to_pylist(), b.column("_iy").to_pylist(), b.column("r"), strict=True):
+                x0, x1, y0, y1 = (r.values.field(c).to_numpy(zero_copy_only=False) for c in box)
+                x, y = (np.clip(v, i * size, (i + 1) * size) for v, i in ((np.stack([x0, x1]), ix), (np.stack([y0, y1]), iy)))
+                own = _painted(x, y)
+                some = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([r.values.field("lot").take(pa.array(some)), pa.array(own[some])], names=["lot", "own"])
+
+    own = cell.mapInArrow(run, schema).groupBy("lot").agg(F.sum("own").alias("own"))
+    covered = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) - F.coalesce("own", F.lit(0.0))
+    return sized.join(own, "lot", "left").select("lot", "area", (F.col("area") - covered).cast("long").alias("kept"))
+
+
+def _painted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The area at which each rectangle (columns of from and to) is the first, some ``PAINT`` places of the grid of borders at a time."""
+    xs, ys = np.unique(x), np.unique(y)
+    i, j = np.searchsorted(xs, x), np.searchsorted(ys, y)
+    own = np.zeros(x.shape[1])
+    step = max(1, PAINT // max(len(ys), 1))
+    for at in range(0, len(xs) - 1, step):
+        wide, high = np.diff(xs[at : at + step + 1]), np.diff(ys)
+        top = np.full((len(wide), len(high)), -1, dtype=np.int32)
+        a, b = np.clip(i - at, 0, len(wide))
+        for k in np.flatnonzero((b > a) & (j[1] > j[0]))[::-1]:
+            top[a[k] : b[k], j[0, k] : j[1, k]] = k
+        seen = top >= 0
+        own += np.bincount(top[seen], weights=np.outer(wide, high)[seen], minlength=len(own))
+    return own

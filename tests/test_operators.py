@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraledger.functions import fields, rings, scalar
-from terraledger.operators import assign, classify, components, metrics, ranks, spatial, stats, unions
+from terraledger.operators import assign, classify, components, mesh, metrics, ranks, spatial, stats, unions
 from terraledger.streaming import telemetry
 
 
@@ -212,3 +212,28 @@ def test_paged_texts_are_quoted():
     reader = PagedReader(StructType(), {"fetch": "a:b"})
     left = list(reader.pushFilters([EqualTo(("name",), "O'Hara"), GreaterThan(("n",), 3), EqualTo(("flag",), True)]))
     assert reader.where == ["name = 'O''Hara'", "n > 3"] and len(left) == 1
+
+
+# ------------------------------------------------------------------ many shapes on one place
+
+
+def crowd(seed, n, spread=12):
+    """Rectangles with whole corners, many equal, some of equal area."""
+    rng = np.random.default_rng(seed)
+    x, y, w, h = rng.integers(0, spread, n) * 30, rng.integers(0, 3, n) * 30, rng.integers(1, 4, n) * 20, rng.integers(1, 4, n) * 20
+    return [(int(k), *map(int, v)) for k, v in zip(rng.permutation(n), zip(x, x + w, y, y + h, strict=True), strict=True)]
+
+
+BOXES = "lot long, x0 long, x1 long, y0 long, y1 long"
+
+
+def test_carve_makes_no_pairs(spark):
+    rows = crowd(31, 200)
+    got = mesh.carved(spark.createDataFrame(rows, BOXES), size=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # the rectangles with what they keep
+    taken, want = np.zeros((500, 200), dtype=bool), {}
+    for k, x0, x1, y0, y1 in sorted(rows, key=lambda r: (-(r[2] - r[1]) * (r[4] - r[3]), r[0])):
+        want[k] = ((x1 - x0) * (y1 - y0), int((~taken[x0:x1, y0:y1]).sum()))
+        taken[x0:x1, y0:y1] = True
+    assert {r["lot"]: (r["area"], r["kept"]) for r in got.collect()} == want
