@@ -237,3 +237,14 @@ def test_carve_makes_no_pairs(spark):
         want[k] = ((x1 - x0) * (y1 - y0), int((~taken[x0:x1, y0:y1]).sum()))
         taken[x0:x1, y0:y1] = True
     assert {r["lot"]: (r["area"], r["kept"]) for r in got.collect()} == want
+
+
+def test_carve_over_strips_of_the_grid(spark, monkeypatch):
+    """Fractions of units and rectangles without area; painted a few columns at a time it is the same."""
+    x = np.array([[0, 0.5, 2, 0], [3, 2.5, 6, 3.0]])
+    y = np.array([[0, 0.5, 1, 0], [3, 4.5, 2, 3.0]])
+    whole = mesh._painted(x, y)
+    monkeypatch.setattr(mesh, "PAINT", 1)
+    assert mesh._painted(x, y).tolist() == whole.tolist() == [9.0, 3.0, 3.0, 0.0]
+    got = mesh.carved(spark.createDataFrame([(1, 5, 5, 0, 9), (2, 0, 9, 0, 9), (3, 0, 9, 0, 9)], BOXES)).collect()
+    assert sorted((r["lot"], r["area"], r["kept"]) for r in got) == [(1, 0, 0), (2, 81, 81), (3, 81, 0)]
