@@ -8,6 +8,7 @@ the lower-left corner of the overlap, so no distinct is needed afterwards.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Colum
     return F.when((w > 0) & (h > 0), w * h).otherwise(0)
 
 
-def overlapping(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], size: int = 400, touch: bool = False) -> DataFrame:
-    """Pairs of rectangles that share area (with ``touch``: or a border), with ``shared``."""
+def overlapping(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], size: int = 400, touch: bool = False, same: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of rectangles that share area (with ``touch``: or a border), with ``shared``; with ``same`` only those equal in two columns."""
     l, r = cells(left, *a, size), cells(right, *b, size)
     x, y = F.greatest(F.col(a[0]), F.col(b[0])), F.greatest(F.col(a[2]), F.col(b[2]))
     own = (F.floor(x / size) == l["_ix"]) & (F.floor(y / size) == l["_iy"])
@@ -42,9 +43,23 @@ def overlapping(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str],
     else:
         hit = (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col(a[2]) < F.col(b[3])) & (F.col(b[2]) < F.col(a[3]))
     on = (l["_ix"] == r["_ix"]) & (l["_iy"] == r["_iy"]) & own & hit
+    if same:
+        on &= l[same[0]] == r[same[1]]
     return l.join(r, on).drop("_ix", "_iy").withColumn("shared", overlap(a, b))
 
 
+def first_meeting(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], rid: str, more: Sequence[str], size: int = 100) -> DataFrame:
+    """Left rectangles that meet right ones, with the least ``rid`` of these and its ``more``.
+
+    Equal rectangles meet the same ones, so each place and size is joined once,
+    by the least id it has.
+    """
+    of = lambda t: F.min_by(t, F.col(f"{t}.{rid}") if isinstance(t, str) else rid)
+    first = right.groupBy(*b).agg(of(F.struct(rid, *more)).alias("_t"))
+    hit = overlapping(left.select(*a).distinct(), first, a, b, size, touch=True).groupBy(*a).agg(of("_t").alias("_t"))
+    return left.join(hit, list(a)).select(*left.columns, "_t.*")
+
+
 def containing(points: DataFrame, boxes: DataFrame, x: str, y: str, b: tuple[str, str, str, str], size: int = 400, how: str = "inner") -> DataFrame:
     """Points with each rectangle that holds them (borders included)."""
     r = cells(boxes, *b, size)

@@ -194,8 +194,7 @@ def sp_38(spark, sf):
 @query("sp_31_tag_attach", fx.sql("select lot, bid, floors from (select lot, bid, floors, row_number() over (partition by lot order by bid) as r from lot join bld on x0 <= bx1 and bx0 <= x1 and y0 <= by1 and by0 <= y1) where r = 1", "lot", "bld"))
 def sp_31(spark, sf):
     """The first tagged shape that meets a lot."""
-    hit = spatial.overlapping(fx.lot(spark, sf).select("lot", *GEO), fx.bld(spark, sf), GEO, BLD, touch=True)
-    return hit.groupBy("lot").agg(F.min_by(F.struct("bid", "floors"), "bid").alias("t")).select("lot", "t.bid", "t.floors")
+    return spatial.first_meeting(fx.lot(spark, sf).select("lot", *GEO), fx.bld(spark, sf), GEO, BLD, "bid", ["floors"]).select("lot", "bid", "floors")
 
 
 _PRICED = """select lot, fkey, round(rate, 6) as rate, round(coalesce(la * rate, 0), 4) as value, coalesce(exempt, 0) = 1 or fkey is null or covered * 1.0 / la < 0.1 as exempt from (select l.lot, la, fkey, {land} * 1.0 / area as rate, exempt, covered from

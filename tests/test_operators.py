@@ -248,3 +248,15 @@ def test_carve_over_strips_of_the_grid(spark, monkeypatch):
     assert mesh._painted(x, y).tolist() == whole.tolist() == [9.0, 3.0, 3.0, 0.0]
     got = mesh.carved(spark.createDataFrame([(1, 5, 5, 0, 9), (2, 0, 9, 0, 9), (3, 0, 9, 0, 9)], BOXES)).collect()
     assert sorted((r["lot"], r["area"], r["kept"]) for r in got) == [(1, 0, 0), (2, 81, 81), (3, 81, 0)]
+
+
+def test_first_meeting_joins_places_once(spark):
+    left, right = crowd(32, 120), crowd(33, 90, spread=5)
+    r = spark.createDataFrame(right, "bid long, bx0 long, bx1 long, by0 long, by1 long").withColumn("floors", F.col("bid") % 7)
+    got = {v["lot"]: (v["bid"], v["floors"]) for v in spatial.first_meeting(spark.createDataFrame(left, BOXES), r, ("x0", "x1", "y0", "y1"), ("bx0", "bx1", "by0", "by1"), "bid", ["floors"]).collect()}
+    want = {}
+    for k, x0, x1, y0, y1 in left:
+        met = [b for b, a0, a1, c0, c1 in right if x0 <= a1 and a0 <= x1 and y0 <= c1 and c0 <= y1]
+        if met:
+            want[k] = (min(met), min(met) % 7)
+    assert got == want and len(got) < len(left)
