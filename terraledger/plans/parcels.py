@@ -307,10 +307,7 @@ def sp_29(spark, sf):
  reach(node, root) as (select u, least(u, v) from two union select two.u, reach.root from two join reach on two.v = reach.node where reach.root < two.u)""")[5:])
 def sp_37(spark, sf):
     """Groups of lots of one kind that touch."""
-    l = fx.lot(spark, sf).select("lot", (F.col("p_size") % 6).alias("size6"), *GEO)
-    other = l.select(F.col("lot").alias("other"), F.col("size6").alias("other6"), *[F.col(c).alias("l" + c) for c in GEO])
-    pairs = spatial.overlapping(l, other, GEO, LOT, touch=True).where("lot < other and size6 = other6")
-    return components.connected(pairs.select(F.col("lot").alias("u"), F.col("other").alias("v"))).groupBy("root").agg(F.count("*").alias("n"))
+    return components.touching(fx.lot(spark, sf).select("lot", (F.col("p_size") % 6).alias("size6"), *GEO), "lot", "size6", GEO).where("n > 1")
 
 
 @query("sp_47_overlay", fx.sql("select name, round(covered, 6) as covered, slabs from (" + _GRID.format(key="name", src="tidy") + ")", "par", more="tidy as (select region || ' ' || cast(floor(y0 / 400) as bigint) || '/' || cast(floor(x0 / 2000) as bigint) as name, floor(x0 / 8 + 0.5) * 8 as x0, floor(x1 / 8 + 0.5) * 8 as x1, floor(y0 / 8 + 0.5) * 8 as y0, floor(y1 / 8 + 0.5) * 8 as y1 from par)"))

@@ -260,3 +260,16 @@ def test_first_meeting_joins_places_once(spark):
         if met:
             want[k] = (min(met), min(met) % 7)
     assert got == want and len(got) < len(left)
+
+
+def test_touching_groups(spark):
+    """Equal rectangles are one node; groups are those of all pairs."""
+    rows = [(k, k % 3, *b) for k, *b in crowd(34, 90, spread=40)]
+    got = {(r["root"], r["n"]) for r in components.touching(spark.createDataFrame(rows, "lot long, kind long, x0 long, x1 long, y0 long, y1 long"), "lot", "kind", ("x0", "x1", "y0", "y1")).collect()}
+    root = {r[0]: r[0] for r in rows}
+    for _ in range(12):
+        for k, g, x0, x1, y0, y1 in rows:
+            for m, h, a0, a1, b0, b1 in rows:
+                if g == h and x0 <= a1 and a0 <= x1 and y0 <= b1 and b0 <= y1:
+                    root[k] = root[m] = min(root[k], root[m])
+    assert got == {(v, list(root.values()).count(v)) for v in root.values()} and 1 < len(got) < 90
