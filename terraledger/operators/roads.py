@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraledger.functions import rings as R
-from terraledger.operators.overlay import overlay
-from terraledger.operators.spatial import overlapping
+from terraledger.operators.overlay import taken
 
 #: Half of a road's width in metres by its class, of other classes, of a lane, and of what lies beside the lanes.
 HALF_WIDTHS = {
@@ -43,10 +42,4 @@ def without_roads(land: DataFrame, key: str, roads: DataFrame, least: float = 0.
 
     Roads that cross or overlap count once; land that no road meets stays as it is.
     """
-    extent = lambda c: (F.array_min(F.transform(F.element_at("rings", 1), lambda p: p[c])), F.array_max(F.transform(F.element_at("rings", 1), lambda p: p[c])))
-    boxed = lambda df, n, *cols: df.select(*cols, *[e.alias(f"{n}{c}{i}") for c in "xy" for i, e in enumerate(extent(c))])
-    a, b = boxed(land, "a", key), boxed(roads, "b", F.col("rings").alias("road_rings"))
-    hit = overlapping(a, b, ("ax0", "ax1", "ay0", "ay1"), ("bx0", "bx1", "by0", "by1"), cell, touch=True).select(key, F.col("road_rings").alias("rings"))
-    left = overlay(land.join(hit.select(key).distinct(), key, "left_semi"), hit, key, "difference")
-    free = land.join(hit.select(key), key, "left_anti").select(key, F.lit(0).alias("part"), F.col("rings").cast("array<array<struct<x:double,y:double>>>").alias("rings"))
-    return left.unionByName(free).where(R.area(F.col("rings")) >= least)
+    return taken(land, roads, key, "difference", cell=cell).where(R.area(F.col("rings")) >= least)

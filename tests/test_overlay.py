@@ -98,3 +98,12 @@ def test_sides_far_from_a_subject_stay_away(spark):
     box = spark.range(1).selectExpr("0.0D x0", "10.0D x1", "0.0D y0", "10.0D y1", "array(array(struct(-300.0D x, 5.0D y), struct(5.0D x, -300.0D y), struct(300.0D x, 5.0D y), struct(5.0D x, 300.0D y))) r")
     near = box.select(overlay._within(overlay._lines(F.col("r"), 1e-6), ("x0", "x1", "y0", "y1"), 1e-6).alias("l"))
     assert near.select(F.exists("l", lambda s: s["cut"])).first()[0] is False
+
+
+def test_land_beside_a_road_stays_as_it_is(spark):
+    """A road whose extent reaches a parcel, but which runs past it, changes nothing, not even the order of corners; one that covers it leaves nothing."""
+    corner = [(90.0, 10.0), (99.0, 1.0), (99.0, 10.0)]
+    land = polygon_frame(spark, [(1, [corner]), (2, [[(300.0, 0.0), (310.0, 0.0), (310.0, 10.0)]])])
+    road = spark.range(1).select(roads.strip(*[F.lit(v) for v in (0.0, 0.0, 100.0, 100.0)], F.lit(3.0)).alias("rings")).unionByName(spark.range(1).select(roads.strip(*[F.lit(v) for v in (250.0, 5.0, 350.0, 5.0)], F.lit(20.0)).alias("rings")))
+    left = roads.without_roads(land, "k", road).collect()
+    assert [(r["k"], [(p["x"], p["y"]) for p in r["rings"][0]]) for r in left] == [(1, corner)]
