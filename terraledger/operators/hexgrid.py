@@ -94,23 +94,25 @@ def touched(df: DataFrame, rings: str, size: float) -> DataFrame:
     return _each(rows, "hq", F.ceil((left - wide / 2) / wide - F.col("hr") / 2), F.floor((right + wide / 2) / wide - F.col("hr") / 2))
 
 
-def planes(q: Column, r: Column, size: float) -> Column:
-    """The six half planes whose common part is a hexagon."""
-    cx, cy = (q + r / 2) * (math.sqrt(3) * size), r * (1.5 * size)
+def planes(size: float) -> Column:
+    """The six half planes whose common part is a hexagon around the origin."""
     faces = [(math.cos(k * math.pi / 3), math.sin(k * math.pi / 3)) for k in range(6)]
-    return F.array(*[F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), (cx * nx + cy * ny + math.sqrt(3) / 2 * size).alias("c")) for nx, ny in faces])
+    return F.array(*[F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(math.sqrt(3) / 2 * size).alias("c")) for nx, ny in faces])
 
 
 def pieces(df: DataFrame, rings: str, size: float) -> DataFrame:
     """``df`` with hq, hr and ``piece``: the area that a polygon and a hexagon share, holes left out; only where there is some.
 
-    Exact: every ring is clipped by the hexagon's half planes.
+    Exact: every ring is clipped by the hexagon's half planes, seen from the
+    hexagon's middle, so that far from the origin products do not cancel.
     """
-    cut = touched(df, rings, size).withColumn("_h", planes(F.col("hq"), F.col("hr"), size))
-    sizes = F.transform(F.col(rings), lambda ring: R.let(R.clipped(ring, F.col("_h")), lambda c: F.abs(R.signed_area(c))))
+    cx, cy = (F.col("hq") + F.col("hr") / 2) * math.sqrt(3) * size, F.col("hr") * (1.5 * size)
+    cut = touched(df, rings, size).withColumn("_c", F.struct(cx.alias("x"), cy.alias("y")))
+    moved = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - F.col("_c.x")).alias("x"), (p["y"] - F.col("_c.y")).alias("y")))
+    sizes = F.transform(F.col(rings), lambda ring: R.let(R.clipped(moved(ring), planes(size)), lambda c: F.abs(R.signed_area(c))))
     piece = R.let(sizes, lambda s: F.aggregate(s, F.element_at(s, 1) * 2, lambda t, a: t - a))
     # a generator, so that the filter does not compute the piece once more
-    return cut.withColumn("piece", F.explode(F.array(piece))).drop("_h").where(F.col("piece") > 1e-9)
+    return cut.withColumn("piece", F.explode(F.array(piece))).drop("_c").where(F.col("piece") > 1e-9)
 
 
 def binned_pieces(df: DataFrame, rings: str, size: float, times: float = 3.0) -> DataFrame:

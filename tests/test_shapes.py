@@ -199,6 +199,15 @@ def test_hex_pieces_add_up(spark):
     assert {k: round(v, 6) for k, v in per.items()} == {k: round(area(p), 6) for k, p in polygons}
 
 
+def test_pieces_far_from_the_origin(spark):
+    """Two million rows of hexagons away the pieces are the same, without slivers beside them."""
+    near, up = [(k, [np.round(r) for r in p]) for k, p in random_polygons(np.random.default_rng(7), 10)], 2000000
+    far = [(k, [r + np.array([0.0, 1.5 * 25.0 * up]) for r in p]) for k, p in near]
+    size = lambda polygons, up: {(r["k"], r["hq"] + up // 2, r["hr"] - up): r["piece"] for r in hexgrid.pieces(polygon_frame(spark, polygons), "rings", 25.0).where("piece > 1e-7").collect()}
+    want, got = size(near, 0), size(far, up)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
+
+
 def test_polyfill_holds_centres(spark):
     polygons = random_polygons(np.random.default_rng(8), 25)
     got = {(r["k"], r["hq"], r["hr"]) for r in hexgrid.polyfill(polygon_frame(spark, polygons), "rings", 4.0).collect()}
