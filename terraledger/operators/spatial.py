@@ -8,10 +8,14 @@ the lower-left corner of the overlap, so no distinct is needed afterwards.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terraledger.functions import rings as R
 from terraledger.operators.lineage import saved
@@ -71,10 +75,13 @@ def containing(points: DataFrame, boxes: DataFrame, x: str, y: str, b: tuple[str
 def nearest(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, size: float = 200, others: bool = False) -> DataFrame:
     """The k nearest right points of each left point by squared distance ``d2``, then id: ``place`` from 1.
 
-    Left points look at the nine cells around them.  What lies within a cell's
-    width is then complete; points with fewer than k such neighbours go on with
-    cells twice as wide, until a cell is as wide as the whole map.  With
-    ``others`` a point of the same id is no neighbour.  Ids are unique.
+    Points meet in tiles of ``TILE`` cells a side, to which the right points
+    around them go too; left points look at the nine cells around them, and
+    only their neighbours leave the tile, with all columns of both sides.  What
+    lies within a cell's width is then complete; points with fewer than k such
+    neighbours go on with cells twice as wide, until a cell is as wide as the
+    whole map.  With ``others`` a point of the same id is no neighbour.  Ids
+    are unique; both sides are read several times.
     """
     span = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     boxes = [b for b in (span(left, lx, ly), span(right, rx, ry)) if b["x0"] is not None]
@@ -82,7 +89,13 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: s
     step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     dist = (F.col(lx) - F.col(rx)) * (F.col(lx) - F.col(rx)) + (F.col(ly) - F.col(ry)) * (F.col(ly) - F.col(ry))
     first = Window.partitionBy(lid).orderBy("d2", rid)
-    pending, done = left, []
+    pending, out = left, None
+    if size <= extent:
+        tiled = _tiled(left, right, k, lid, rid, lx, ly, rx, ry, size, others, dist)
+        pending, out = saved(tiled(False)), tiled(True)
+        if pending.isEmpty():
+            return out
+        size *= 2
     while True:
         l = pending.withColumn("_dx", step).withColumn("_dy", step).withColumn("_ix", F.floor(F.col(lx) / size) + F.col("_dx")).withColumn("_iy", F.floor(F.col(ly) / size) + F.col("_dy")).drop("_dx", "_dy")
         r = right.withColumn("_ix", F.floor(F.col(rx) / size)).withColumn("_iy", F.floor(F.col(ry) / size))
@@ -93,20 +106,84 @@ def nearest(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: s
         if others:
             met = met.where(F.col(lid) != F.col(rid))
         near = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+        if not last:
+            near = saved(near)
+            full = near.where(F.col("place") == k).select(lid)
+            pending = saved(pending.join(full, lid, "left_anti"))
+            near, last = near.join(full, lid, "left_semi"), pending.isEmpty()
+        out = near if out is None else out.unionByName(near)
         if last:
-            done.append(near)
-            break
-        near = saved(near)
-        full = near.where(F.col("place") == k).select(lid)
-        done.append(near.join(full, lid, "left_semi"))
-        pending = saved(pending.join(full, lid, "left_anti"))
-        if pending.isEmpty():
-            break
+            return out
         size *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+
+
+#: Cells along a side of a tile in which neighbours are looked for, and pairs of points looked at at a time.
+TILE, PAIRS = 8, 1 << 20
+
+
+def _tiled(left: DataFrame, right: DataFrame, k: int, lid: str, rid: str, lx: str, ly: str, rx: str, ry: str, size: float, others: bool, dist: Column) -> Callable[[bool], DataFrame]:
+    """f(True): neighbours of the left points that have k within a cell's width; f(False): the other left points."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    tile = lambda c: F.floor(c / TILE)
+    reach = lambda c: F.explode(F.sequence(tile(cell(c) - 1), tile(cell(c) + 1)))
+    l = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumn("_tx", tile(cell(lx))).withColumn("_ty", tile(cell(ly)))
+    r = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_tx", reach(rx)).withColumn("_ty", reach(ry))
+    d2 = left.select(lx, ly).crossJoin(right.select(rx, ry)).select(dist.alias("d2")).schema["d2"]
+    schemas = {True: T.StructType([*left.schema, *right.schema, d2, T.StructField("place", T.IntegerType())]), False: left.schema}
+    lefts, rights = left.columns, right.columns
+
+    def found(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left row, right row, d2): k rows for each left point that has as many within a cell's width, the nearest first."""
+        v = lambda t, c: t.column(c).to_numpy()
+        b_order = np.argsort(v(b, rid), kind="stable")
+        bx, by, ax, ay = v(b, rx)[b_order], v(b, ry)[b_order], v(a, lx), v(a, ly)
+        at = lambda x, y: (np.floor(x / size).astype(np.int64), np.floor(y / size).astype(np.int64))
+        (ai, aj), (bi, bj) = at(ax, ay), at(bx, by)
+        own, which = np.unique(np.stack([ai, aj]), axis=1, return_inverse=True)
+        by_cell = np.argsort(which.ravel(), kind="stable")
+        columns = np.argsort(bi, kind="stable")
+        got = []
+        for (i, j), rows in zip(own.T, np.split(by_cell, np.cumsum(np.bincount(which.ravel()))[:-1]), strict=True):
+            near = columns[slice(*np.searchsorted(bi[columns], [i - 1, i + 2]))]
+            near = np.sort(near[np.abs(bj[near] - j) <= 1])  # in order of ids, which breaks ties
+            for s in range(0, len(rows), n := max(1, PAIRS // max(1, len(near)))):
+                some = rows[s : s + n]
+                dx, dy = ax[some, None] - bx[near], ay[some, None] - by[near]
+                d = dx * dx + dy * dy
+                ok = d <= size * size
+                if others:
+                    ok &= v(a, lid)[some, None] != v(b, rid)[b_order[near]]
+                full = ok.sum(1) >= k
+                some, d, ok = some[full], d[full], ok[full]
+                if not len(some):
+                    continue
+                far = np.where(ok, d, size * size + 1)
+                ok &= d <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+                p, q = np.nonzero(ok)
+                order = np.lexsort((d[p, q], p))  # stable, so equal ones stay in order of ids
+                p, q = p[order], q[order]
+                head = np.arange(len(p)) - np.searchsorted(p, p) < k
+                p, q = p[head], q[head]
+                got.append((some[p], b_order[near[q]], d[p, q]))
+        if not got:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+    def run(full: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        target = to_arrow_schema(schemas[full])
+
+        def one(a: pa.Table, b: pa.Table) -> pa.Table:
+            p, q, d = found(a, b) if len(a) else (np.zeros(0, dtype=np.int64),) * 3
+            if not full:
+                rest = np.ones(len(a), dtype=bool)
+                rest[p] = False
+                return a.select(lefts).filter(pa.array(rest)).cast(target)
+            place = pa.array(np.arange(len(p)) % k + 1)
+            return pa.Table.from_arrays([*a.select(lefts).take(pa.array(p)).columns, *b.select(rights).take(pa.array(q)).columns, pa.array(d), place], names=target.names).cast(target)
+
+        return one
+
+    return lambda full: l.groupBy("_tx", "_ty").cogroup(r.groupBy("_tx", "_ty")).applyInArrow(run(full), schemas[full])
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terraledger.operators import metrics, quality, ranks, regions, spatial, stats
+from terraledger.operators.lineage import stored
 from terraledger.plans import fixtures as fx
 from terraledger.plans.registry import query
 
@@ -109,20 +110,19 @@ def _knn(who, donors, k):
   (select a.fkey, min(((a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0)) * 100000000 + b.fkey, {k}) as vs from {who} a, {donors} b where a.fkey <> b.fkey group by a.fkey)))"""
 
 
-def _neighbours(who, donors, k):
-    """fkey, gkey, d2: the k nearest donors of each parcel."""
-    b = donors.select(F.col("fkey").alias("gkey"), F.col("x0").alias("gx"), F.col("y0").alias("gy"))
-    return spatial.nearest(who.select("fkey", "x0", "y0"), b, k, "fkey", "gkey", "x0", "y0", "gx", "gy", others=True).select("fkey", "gkey", "d2")
+def _neighbours(who, donors, k, value):
+    """fkey, d2, r: the k nearest donors of each parcel, with their ``value``."""
+    b = donors.select(F.col("fkey").alias("gkey"), F.col("x0").alias("gx"), F.col("y0").alias("gy"), value.alias("r"))
+    return spatial.nearest(who.select("fkey", "x0", "y0"), b, k, "fkey", "gkey", "x0", "y0", "gx", "gy", others=True).select("fkey", "d2", "r")
 
 
 @query("sx_16_knn_smoothing", fx.sql("""select p.fkey, round(case when s.v is null then p.v when p.v is null then s.v else 0.25 * p.v + 0.75 * s.v end, 4) as v from rate p left join
   (select near.fkey, sum(q.v / greatest(sqrt(d2), 10)) / sum(case when q.v is not null then 1 / greatest(sqrt(d2), 10) end) as v from near join rate q on near.gkey = q.fkey group by near.fkey) s on p.fkey = s.fkey""", "par", more="rate as (select fkey, x0, y0, case when land > 0 then land * 1.0 / area end as v from par), " + _knn("rate", "rate", 10)))
 def sx_16(spark, sf):
     """Land rates drawn to the weighted mean of the ten nearest; those of unknown value are left out after the choice."""
-    r = fx.par(spark, sf).select("fkey", "x0", "y0", F.when(F.col("land") > 0, F.col("land") / F.col("area")).alias("v"))
-    other = r.select(F.col("fkey").alias("gkey"), F.col("v").alias("other"))
-    w = F.when(F.col("other").isNotNull(), F.lit(1) / F.greatest(F.sqrt("d2"), F.lit(10)))
-    s = _neighbours(r, r, 10).join(other, "gkey").groupBy("fkey").agg((F.sum(F.col("other") * w) / F.sum(w)).alias("s"))
+    r = stored(fx.par(spark, sf).select("fkey", "x0", "y0", F.when(F.col("land") > 0, F.col("land") / F.col("area")).alias("v")))
+    w = F.when(F.col("r").isNotNull(), F.lit(1) / F.greatest(F.sqrt("d2"), F.lit(10)))
+    s = _neighbours(r, r, 10, F.col("v")).groupBy("fkey").agg((F.sum(F.col("r") * w) / F.sum(w)).alias("s"))
     v = F.when(F.col("s").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("s")).otherwise(F.col("v") * 0.25 + F.col("s") * 0.75)
     return r.join(s, "fkey", "left").select("fkey", F.round(v, 4).alias("v"))
 
@@ -131,10 +131,10 @@ def sx_16(spark, sf):
   where least(rate * area, 0.7 * total) > land""", "par", more="poor as (select * from par where land * 5 < total), donor as (select * from par where land > 0 and land * 5 >= total and area >= 500), " + _knn("poor", "donor", 15)))
 def sx_17(spark, sf):
     """Land of parcels with hardly any, at the median rate of 15 donors, at most 0.7 of the total and only where it is more."""
-    p = fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area")
+    p = stored(fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area"))
     donors = p.where("land > 0 and land * 5 >= total and area >= 500")
-    near = _neighbours(p.where("land * 5 < total"), donors, 15)
-    rates = near.join(donors.select(F.col("fkey").alias("gkey"), (F.col("land") / F.col("area")).alias("r")), "gkey").groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("rate"))  # 15 values a parcel
+    near = _neighbours(p.where("land * 5 < total"), donors, 15, F.col("land") / F.col("area"))
+    rates = near.groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("rate"))  # 15 values a parcel
     v = F.least(F.col("rate") * F.col("area"), F.col("total") * 0.7)
     return p.join(rates, "fkey").withColumn("v", v).where("v > land").select("fkey", F.round(F.round("v", 6)).alias("imputed"))
 
@@ -146,7 +146,7 @@ def sx_18(spark, sf):
     """Merged parcels whose land rate is over three times their neighbours' median get that rate; the total stays."""
     p = fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area", "n", "category")
     merged, donors = p.where("n >= 4"), p.where("n < 4 and land > 0 and area >= 500 and category <> 'NO'")
-    rates = _neighbours(merged, donors, 15).join(donors.select(F.col("fkey").alias("gkey"), (F.col("land") / F.col("area")).alias("r")), "gkey").groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("mid"))
+    rates = _neighbours(merged, donors, 15, F.col("land") / F.col("area")).groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("mid"))
     hot = merged.join(rates, "fkey").where(F.col("land") / F.col("area") / F.col("mid") > 3)
     new = F.least(F.round(F.round(F.col("mid") * F.col("area"), 6)), F.col("total")).cast("bigint")
     return hot.select("fkey", F.col("land").alias("was"), new.alias("land"), (F.col("total") - new).alias("impr"))

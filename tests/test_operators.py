@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraledger.functions import fields, rings, scalar
-from terraledger.operators import assign, classify, components, mesh, metrics, ranks, spatial, stats, unions
+from terraledger.operators import assign, classify, components, lineage, mesh, metrics, ranks, spatial, stats, unions
 from terraledger.plans import joins as _joins  # noqa: F401  registers its queries
 from terraledger.plans.registry import QUERIES
 from terraledger.streaming import telemetry
@@ -288,3 +288,19 @@ def test_token_overlap_pairs_names_first(spark, tmp_path):
     kind = {k: t for k, _, t, _ in rows}
     want = sorted((a, b, round(len(words[a] & words[b]) / len(words[a]), 6)) for a in words for b in words if a < b and words[a] and words[b] and kind[a] == kind[b] and 2 * len(words[a] & words[b]) >= len(words[a]))
     assert sorted(map(tuple, df.collect())) == want and len(want) > 60
+
+
+def test_neighbours_leave_their_tile_once(spark):
+    """Only those of the nearest that are kept are moved on: no window over all that meet, ties by id, and columns of both sides come along."""
+    rng = np.random.default_rng(35)
+    pts = [(int(k), int(x), int(y), f"v{k}") for k, (x, y) in zip(rng.permutation(400), rng.integers(0, 60, (400, 2)) * 10, strict=True)]
+    left, right = spark.createDataFrame(pts, "l long, lx long, ly long, name string"), spark.createDataFrame(pts, "r long, rx long, ry long, other string")
+    got = spatial.nearest(left, right, 2, "l", "r", "lx", "ly", "rx", "ry", size=200, others=True)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == [*left.columns, *right.columns, "d2", "place"]
+    want = {(k, i + 1, *v) for k, x, y, _ in pts for i, v in enumerate(sorted(((x - a) ** 2 + (y - b) ** 2, m, n) for m, a, b, n in pts if m != k)[:2])}
+    assert {(r["l"], r["place"], r["d2"], r["r"], r["other"]) for r in got.collect()} == want
+
+
+def test_stored_rows_come_back(spark):
+    df = lineage.stored(spark.range(5).selectExpr("id", "if(id = 2, null, id * 0.5) v"))
+    assert "Range" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 5 and df.where("v is null").count() == 1
