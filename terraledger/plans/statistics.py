@@ -144,7 +144,7 @@ def sx_17(spark, sf):
   more="merged as (select * from par where n >= 4), donor as (select * from par where n < 4 and land > 0 and area >= 500 and category <> 'NO'), " + _knn("merged", "donor", 15)))
 def sx_18(spark, sf):
     """Merged parcels whose land rate is over three times their neighbours' median get that rate; the total stays."""
-    p = fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area", "n", "category")
+    p = stored(fx.par(spark, sf).select("fkey", "x0", "y0", "land", "total", "area", "n", "category"))
     merged, donors = p.where("n >= 4"), p.where("n < 4 and land > 0 and area >= 500 and category <> 'NO'")
     rates = _neighbours(merged, donors, 15, F.col("land") / F.col("area")).groupBy("fkey").agg(F.expr("percentile(r, 0.5)").alias("mid"))
     hot = merged.join(rates, "fkey").where(F.col("land") / F.col("area") / F.col("mid") > 3)
